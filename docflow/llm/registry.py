@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from docflow.llm import sharding
+from docflow.llm import quality, secrets, sharding
 
 
 def queries():
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_secret_scan": secrets.op2_secret_scan,
+        "op8_quality_rules": quality.op8_quality_rules,
     }
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op2_secret_scan": secrets.ORACLE,
+        "op8_quality_rules": quality.ORACLE,
+    }
