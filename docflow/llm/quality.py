@@ -39,8 +39,10 @@ def repeat_words(words: Column) -> Column:
     Windows are hashed; only a text in which two hashes are equal pays for sorting the (hash,
     place) pairs, which puts equal windows side by side: n log n for any text.
     """
-    places = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
-    hashes = F.transform(places, lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in range(WINDOW)]))
+
+    def windows(ws: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(ws) - (WINDOW - 1))
+        return F.transform(places, lambda i: F.xxhash64(*[F.element_at(ws, i + k) for k in range(WINDOW)]))
 
     def doubled(pairs: Column) -> Column:
         return F.filter(
@@ -60,8 +62,13 @@ def repeat_words(words: Column) -> Column:
         )
 
     zero = F.lit(0).cast("long")
-    counted = _let(hashes, lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), zero).otherwise(covered(hs)))
-    return F.when(F.size(words) <= WINDOW, zero).otherwise(counted[0])
+
+    def counted(hs: Column) -> Column:
+        return F.when(F.size(F.array_distinct(hs)) == F.size(hs), zero).otherwise(covered(hs))
+
+    # everything is bound inside the expression: a filter on the result, which Spark moves below
+    # the projection that splits the words, would else split them again for each window
+    return _let(words, lambda ws: F.when(F.size(ws) <= WINDOW, zero).otherwise(_let(windows(ws), counted)[0]))[0]
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
