@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docflow.llm import quality, secrets, sharding
+from docflow.llm import licenses, quality, secrets, sharding, simhash
 
 
 def queries():
@@ -10,6 +10,8 @@ def queries():
         "op1_sharding": sharding.op1_sharding,
         "op2_secret_scan": secrets.op2_secret_scan,
         "op8_quality_rules": quality.op8_quality_rules,
+        "op9_simhash": simhash.op9_simhash,
+        "op10_license_scan": licenses.op10_license_scan,
     }
 
 
@@ -17,4 +19,5 @@ def oracle_sql():
     return {
         "op2_secret_scan": secrets.ORACLE,
         "op8_quality_rules": quality.ORACLE,
+        "op10_license_scan": licenses.ORACLE,
     }
