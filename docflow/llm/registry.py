@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from docflow.llm import licenses, quality, secrets, sharding, simhash
+from docflow.llm import licenses, quality, secrets, sharding, simhash, tokens
 
 
 def queries():
     return {
         "op1_sharding": sharding.op1_sharding,
         "op2_secret_scan": secrets.op2_secret_scan,
+        "op4_token_ids": tokens.op4_token_ids,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_simhash": simhash.op9_simhash,
         "op10_license_scan": licenses.op10_license_scan,
