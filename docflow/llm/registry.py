@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from docflow.llm import licenses, quality, secrets, sharding, simhash, tokens
+from docflow.llm import decontamination, language, licenses, quality, secrets, sharding, simhash, tokens
 
 
 def queries():
     return {
         "op1_sharding": sharding.op1_sharding,
         "op2_secret_scan": secrets.op2_secret_scan,
+        "op3_language_id": language.op3_language_id,
         "op4_token_ids": tokens.op4_token_ids,
+        "op6_decontamination": decontamination.op6_decontamination,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_simhash": simhash.op9_simhash,
         "op10_license_scan": licenses.op10_license_scan,
