@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from docflow.llm import decontamination, language, licenses, quality, secrets, sharding, simhash, tokens
+import corpus_pipeline
+from docflow.llm import decontamination, html, language, licenses, pieces, quality, secrets, sharding, simhash, tokens
 
 
 def queries():
@@ -11,16 +12,20 @@ def queries():
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_language_id": language.op3_language_id,
         "op4_token_ids": tokens.op4_token_ids,
+        "op5_sentencepiece": pieces.op5_sentencepiece,
         "op6_decontamination": decontamination.op6_decontamination,
+        "op7_html_text": html.op7_html_text,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_simhash": simhash.op9_simhash,
         "op10_license_scan": licenses.op10_license_scan,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
     return {
         "op2_secret_scan": secrets.ORACLE,
+        "op7_html_text": html.ORACLE,
         "op8_quality_rules": quality.ORACLE,
         "op10_license_scan": licenses.ORACLE,
     }

@@ -154,14 +154,14 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     return F.when(text.rlike(rule.regex), F.aggregate(zipped, start, step, lambda a: a["out"])).otherwise(F.expr(empty))
 
 
-def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, text and ``found``: all spans of all rules, sorted by start, then rule order.
+def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of ``docs``, text and ``found``: all spans, sorted by start, then rule.
 
     Every row of ``docs`` comes back once. Defined cases: a null text counts as empty and has no
     spans; a null doc_id is kept; repeated rows (or ids) each get their own spans; other columns
-    are ignored; an empty table gives no rows; texts are never cut.
+    are ignored unless kept; an empty table gives no rows; texts are never cut.
     """
-    base = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    base = docs.select("doc_id", F.struct(*keep).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.regex)) is not None}
     if queries:
         trigrams = sorted({t for q in queries.values() for grams in q for t in grams})
@@ -179,7 +179,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     for i, rule in enumerate(rules):
         spans = spans_of(F.col("text"), rule, i)
         parts.append(F.when(mask.bitwiseAND(1 << i) != 0, spans).otherwise(none) if i in queries else spans)
-    return base.select("doc_id", "text", F.array_sort(F.concat(*parts)).alias("found"))
+    return base.select("row.*", "text", F.array_sort(F.concat(*parts)).alias("found"))
 
 
 def redacted(text: Column, found: Column) -> Column:
@@ -195,6 +195,18 @@ def redacted(text: Column, found: Column) -> Column:
     return F.when(F.size(found) == 0, text).otherwise(whole)
 
 
+def without_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with all its columns, each secret in the text replaced by its <kind>.
+
+    A column n_chars, if there is one, follows the new text. A null text becomes empty.
+    """
+    others = tuple(c for c in docs.columns if c != "text")
+    clean = scan_secrets(docs, rules, others).withColumn("text", redacted(F.col("text"), F.col("found")))
+    if "n_chars" in others:
+        clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
+
+
 def _number(kind: str) -> Column:
     return F.size(F.filter("found", lambda s: s["name"] == kind)).cast("long")
 
