@@ -65,13 +65,11 @@ def fragments_to_lines(frags: DataFrame) -> DataFrame:
     return joined.where(F.col("ended") | (trim(F.col("line")) != "")).select("page_id", "line_no", "line", "y")
 
 
-def adaptive_breaks(df: DataFrame, key: str, order: str, value: Column, quantile: float = 0.25, ratio: float = 1.5) -> DataFrame:
-    """``df`` with gap and is_break: positive gaps over ``ratio`` times the key's usual gap.
+def adaptive_breaks(df: DataFrame, key: str, gap: str, quantile: float = 0.25, ratio: float = 1.5) -> DataFrame:
+    """``df`` with usual_gap and is_break: positive gaps over ``ratio`` times the key's usual gap.
 
-    ``value`` is the gap to the row before (null for the first); usual is the quantile's exact
-    order statistic over the key's positive gaps.
+    ``gap`` is the distance to the row before (null for the first); usual is the exact order
+    statistic at the quantile of the key's positive gaps.
     """
-    gaps = df.withColumn("gap", value.over(Window.partitionBy(key).orderBy(order)))
-    usual = order_statistic(gaps.where("gap > 0"), key, "gap", quantile)
-    joined = gaps.join(usual, key, "left")
-    return joined.withColumn("is_break", F.coalesce(F.col("gap") > F.col("stat") * ratio, F.lit(False))).withColumnRenamed("stat", "usual_gap")
+    usual = order_statistic(df.where(F.col(gap) > 0), key, gap, quantile).withColumnRenamed("stat", "usual_gap")
+    return df.join(usual, key, "left").withColumn("is_break", F.coalesce(F.col(gap) > F.col("usual_gap") * ratio, F.lit(False)))
