@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docflow.plans import state_queries, text_queries  # noqa: F401
+from docflow.plans import state_queries, stream_queries, text_queries  # noqa: F401
 from docflow.plans.registry import ORACLES, QUERIES, QueryFn
 
 

@@ -30,14 +30,14 @@ class ProgressFold(StatefulProcessor):
         self.total = handle.getValueState("total", "total long")
         self.ended = handle.getValueState("ended", "at long")
 
-    def handleInitialState(self, key, initial, timer_values) -> None:
-        rows = initial if isinstance(initial, pd.DataFrame) else pd.concat(list(initial))
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        rows = initialState if isinstance(initialState, pd.DataFrame) else pd.concat(list(initialState))
         self.total.update((int(rows["total"].max()),))
         for idx, status in zip(rows["idx"], rows["status"], strict=True):
             if status in ("done", "failed"):
                 self.status.updateValue((int(idx),), (status,))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
         if self.ended.exists():
             return  # late events of a document that has ended
@@ -91,7 +91,7 @@ class StaleTimer(StatefulProcessor):
         self.handle = handle
         self.due = handle.getValueState("due", "at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = pd.concat(list(rows)).sort_values("ts", kind="stable").iloc[-1]
         if self.due.exists():
             self.handle.deleteTimer(self.due.get()[0])
@@ -102,9 +102,9 @@ class StaleTimer(StatefulProcessor):
             self.due.update((at,))
         yield pd.DataFrame({"document_id": [], "idx": [], "stale_at": []}).astype({"document_id": "int64", "idx": "int32", "stale_at": "int64"})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.due.clear()
-        yield pd.DataFrame({"document_id": [key[0]], "idx": [key[1]], "stale_at": [expired.getExpiryTimeInMs()]})
+        yield pd.DataFrame({"document_id": [key[0]], "idx": [key[1]], "stale_at": [expiredTimerInfo.getExpiryTimeInMs()]})
 
     def close(self) -> None:
         pass
