@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,8 @@ from docflow.llm.shared import table
 SHINGLE = 5
 OVERLAP = 0.8
 K1, B = 1.2, 0.75
-BLOCK = 16
+#: Items of a block; a block's maximum bounds what a word gives to any of them.
+BLOCK = 4
 #: Words of a passage at least; passages share as many words as the longest item has.
 PASSAGE = 96
 #: Characters of test items in one index (it is broadcast); more items make more indexes.
@@ -78,56 +80,71 @@ class ItemIndex:
             bound = sum(sorted(impacts.values())[: max(1, len(impacts) - missing)]) * (1 - 1e-9)
             for w, x in impacts.items():
                 lists.setdefault(w, []).append((at, x / bound))
-        self.items = {w: [at for at, _ in p] for w, p in lists.items()}
-        self.impacts = {w: [x for _, x in p] for w, p in lists.items()}
-        self.most = {w: max(x) for w, x in self.impacts.items()}
-        self.blocks = {w: [max(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)] for w, x in self.impacts.items()}
-
-    def retrieve(self, terms: list[bytes]) -> list[tuple[int, float]]:
+        self.term = {w: i for i, w in enumerate(lists)}
+        flat = list(lists.values())
+        # postings of term t: items[first[t]:first[t + 1]], ascending, with their impacts
+        self.first = np.cumsum([0, *map(len, flat)])
+        self.items = np.array([at for p in flat for at, _ in p], np.int64)
+        self.impacts = np.array([x for p in flat for _, x in p])
+        # its block maxima, for the blocks of BLOCK items that it has postings in
+        term_of = np.repeat(np.arange(len(flat)), np.diff(self.first))
+        block_of = self.items // BLOCK
+        starts = np.flatnonzero(np.r_[True, (term_of[1:] != term_of[:-1]) | (block_of[1:] != block_of[:-1])]) if len(flat) else np.zeros(0, int)
+        self.block = block_of[starts]
+        self.block_max = np.maximum.reduceat(self.impacts, starts) if len(flat) else np.zeros(0)
+        self.block_first = np.searchsorted(term_of[starts], np.arange(len(flat) + 1))
+
+    def live_blocks(self, terms: np.ndarray) -> np.ndarray:
+        """Blocks whose maxima over the terms add up to the threshold: the others hold no hit."""
+        counts = self.block_first[terms + 1] - self.block_first[terms]
+        places = np.repeat(self.block_first[terms] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
+        return np.flatnonzero(np.bincount(self.block[places], self.block_max[places]) >= 1)
+
+    def retrieve(self, terms: np.ndarray) -> list[tuple[int, float]]:
         """(item, score) of all items that score 1 or more for the distinct ``terms``."""
+        out: list[tuple[int, float]] = []
+        if len(terms):
+            for block in self.live_blocks(terms).tolist():
+                out += self._wand(terms, block)
+        return out
+
+    def _wand(self, terms: np.ndarray, block: int) -> list[tuple[int, float]]:
+        """WAND over the postings of one live block, with the terms' maxima in it as bounds."""
+        cursors = []  # [item, rest of the postings, bound]
+        for t in terms.tolist():
+            a, z = self.first[t], self.first[t + 1]
+            a, z = a + np.searchsorted(self.items[a:z], [block * BLOCK, (block + 1) * BLOCK])
+            if a < z:
+                rest = list(zip(self.items[a:z].tolist(), self.impacts[a:z].tolist(), strict=True))[::-1]
+                cursors.append([rest[-1][0], rest, max(x for _, x in rest)])
         out = []
-        cursors = [[self.items[t][0], 0, t] for t in terms if t in self.items]
         while cursors:
             cursors.sort(key=lambda c: c[0])
             bound, pivot = 0.0, -1
             for k, c in enumerate(cursors):
-                bound += self.most[c[2]]
+                bound += c[2]
                 if bound >= 1:
                     pivot = k
                     break
             if pivot < 0:
-                return out
+                break
             item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            shallow, stop = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else len(self.ids)
-            for c in cursors[: pivot + 1]:  # maxima of the blocks that could hold the pivot
-                own = self.items[c[2]]
-                at = c[1]
-                while at < len(own) and own[min(len(own), (at // BLOCK + 1) * BLOCK) - 1] < item:
-                    at = (at // BLOCK + 1) * BLOCK
-                if at < len(own):
-                    shallow += self.blocks[c[2]][at // BLOCK]
-                    stop = min(stop, own[min(len(own), (at // BLOCK + 1) * BLOCK) - 1] + 1)
-            if shallow < 1:
-                self._advance(cursors, pivot, max(stop, item + 1))
-            elif cursors[0][0] == item:
-                score = sum(self.impacts[c[2]][c[1]] for c in cursors[: pivot + 1])
+            if cursors[0][0] == item:
+                score = sum(c[1][-1][1] for c in cursors if c[0] == item)
                 if score >= 1:
                     out.append((item, score))
-                self._advance(cursors, pivot, item + 1)
+                to = item + 1
             else:
-                self._advance(cursors, pivot, item)
+                to = item
+            for c in cursors:
+                if c[0] >= to:
+                    break
+                while c[1] and c[1][-1][0] < to:
+                    c[1].pop()
+                c[0] = c[1][-1][0] if c[1] else None
             cursors = [c for c in cursors if c[0] is not None]
         return out
 
-    def _advance(self, cursors: list[list], pivot: int, to: int) -> None:
-        for c in cursors[: pivot + 1]:
-            own = self.items[c[2]]
-            while c[1] < len(own) and own[c[1]] < to:
-                c[1] += 1
-            c[0] = own[c[1]] if c[1] < len(own) else None
-
     def leaks(self, text: str) -> list[tuple[int, float, float, float, float]]:
         """(item_id, score, overlap, question_overlap, answer_overlap) of the items in ``text``."""
         if not self.ids:
@@ -137,18 +154,16 @@ class ItemIndex:
             return []
         width = max(PASSAGE, 2 * self.longest)
         step = width - self.longest
-        get = self.most.get
-        sums = np.concatenate([[0.0], np.cumsum(np.fromiter((get(w, 0.0) for w in ws), np.float64, len(ws)))])
-        starts = np.arange(0, max(1, len(ws) - self.longest), step)
-        stops = np.minimum(starts + width, len(ws))
+        ids = np.fromiter(map(self.term.get, ws, repeat(-1)), np.int64, len(ws))
+        starts = range(0, max(1, len(ws) - self.longest), step)
         found: dict[int, tuple] = {}
-        for a in np.flatnonzero(sums[stops] - sums[starts] >= 1).tolist():  # the rest can't reach the threshold
-            passage = ws[starts[a] : stops[a]]
-            terms = set(passage)
-            if sum(get(w, 0.0) for w in terms) < 1:
+        for start in starts:
+            window = np.unique(ids[start : start + width])
+            hits = self.retrieve(window[window >= 0])
+            if not hits:
                 continue
-            hits = self.retrieve(list(terms))
-            have = shingles(passage) if hits else set()
+            passage = ws[start : start + width]
+            have = shingles(passage)
             short: dict[int, set] = {}
             for at, score in hits:
                 shares = [self._share(part, passage, have, short) for part in (self.whole[at], *self.parts[at])]
