@@ -15,12 +15,14 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docflow.llm.shared import table
 
@@ -28,7 +30,7 @@ MARK = "▁"
 SEED, DROPOUT, VARIANTS = 20_240_101, 0.1, 4
 #: Words of at most so many characters are merged many at a time, longer ones by a heap.
 BATCHED_CHARS = 40
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 MIX = 0x9E3779B97F4A7C15
 M64 = (1 << 64) - 1
 TOKEN = re.compile(" *[^ \n]+| +|\n")
@@ -186,26 +188,23 @@ class PieceCodec:
 
     def encode(self, texts: list[str], variants: list[int]) -> list[np.ndarray]:
         """Ids of whole texts."""
-        if sum(map(len, self.known.values())) > CACHED_WORDS:
-            self.known.clear()
+        full = sum(map(len, self.known.values())) >= CACHED_WORDS
         split = [TOKEN.findall(" " + t) if t else [] for t in texts]
-        long: dict[int, dict[str, bytes]] = {}
+        extra: dict[int, dict[str, bytes]] = {}
         for v in set(variants):
             known = self.known.setdefault(v, {})
             new = list(set().union(*[ws for ws, w in zip(split, variants, strict=True) if w == v]).difference(known))
-            if not new:
-                continue
             keys = [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), (self.seed * 1_000_003 + v) & M64) for w in new]
             short = [k for k, w in enumerate(new) if len(w) <= BATCHED_CHARS]
-            if short:
-                words = [new[k] for k in short]
-                known.update(zip(words, self.batch(words, [keys[k] for k in short]), strict=True))
-            long[v] = {w: np.array(self.agenda(w, k), "<i4").tobytes() for w, k in zip(new, keys, strict=True) if len(w) > BATCHED_CHARS}
+            words = [new[k] for k in short]
+            coded = dict(zip(words, self.batch(words, [keys[k] for k in short]), strict=True)) if short else {}
+            extra[v] = {w: np.array(self.agenda(w, k), "<i4").tobytes() for w, k in zip(new, keys, strict=True) if len(w) > BATCHED_CHARS}
+            (extra[v] if full else known).update(coded)
         out = []
         for ws, v in zip(split, variants, strict=True):
-            known = self.known[v]
-            if more := long.get(v):
-                out.append(b"".join([more[w] if w in more else known[w] for w in ws]))
+            known, more = self.known[v], extra[v]
+            if more:
+                out.append(b"".join([known[w] if w in known else more[w] for w in ws]))
             else:
                 out.append(b"".join(map(known.__getitem__, ws)))
         return [np.frombuffer(x, "<i4") for x in out]
@@ -216,6 +215,12 @@ class PieceCodec:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "surrogatepass")
 
 
+@lru_cache(maxsize=1)
+def codec(model: str, seed: int, dropout: float) -> PieceCodec:
+    """One codec for each worker process, whose tasks follow each other."""
+    return PieceCodec(model, seed, dropout)
+
+
 def variant_of(text: Column, seed: int, variants: int) -> Column:
     return F.pmod(F.xxhash64(text, F.lit(seed)), F.lit(variants)).cast("int")
 
@@ -229,17 +234,18 @@ def encode_pieces(docs: DataFrame, model: str, seed: int = SEED, dropout: float
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
-    @F.pandas_udf("ids array<int>, lossless boolean")
-    def encode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        codec = PieceCodec(model, seed, dropout)
-        for texts, numbers in batches:
-            ids: list[np.ndarray] = []
-            for at in range(0, len(texts), 128):
-                ids += codec.encode(texts.iloc[at : at + 128].tolist(), numbers.iloc[at : at + 128].tolist())
-            yield pd.DataFrame({"ids": ids, "lossless": [codec.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]})
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = codec(model, seed, dropout)
+        for b in batches:
+            for at in range(0, len(b), 128):  # few documents at a time bound the memory
+                some = b.iloc[at : at + 128]
+                ids = words.encode(some["_text"].tolist(), some["variant"].tolist())
+                lossless = [words.decode(x.tolist()) == t for x, t in zip(ids, some["_text"], strict=True)]
+                yield some.drop(columns="_text").assign(ids=ids, lossless=lossless)
 
-    variant = variant_of(text, seed, variants)
-    return docs.select(*keep, variant.alias("variant"), encode(text, variant).alias("coded")).select(*keep, "variant", "coded.ids", "coded.lossless")
+    rows = docs.select(*keep, variant_of(text, seed, variants).alias("variant"), text.alias("_text"))
+    schema = T.StructType([*rows.drop("_text").schema, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
+    return rows.mapInPandas(encode, schema)
 
 
 def decode_pieces(coded: DataFrame, model: str) -> DataFrame:
@@ -247,9 +253,9 @@ def decode_pieces(coded: DataFrame, model: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = PieceCodec(model)
+        words = codec(model, SEED, DROPOUT)
         for ids in batches:
-            yield pd.Series([None if x is None else codec.decode([int(i) for i in x]) for x in ids])
+            yield pd.Series([None if x is None else words.decode([int(i) for i in x]) for x in ids])
 
     return coded.withColumn("text", decode(F.col("ids")))
 
