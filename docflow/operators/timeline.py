@@ -117,4 +117,4 @@ def throttle(df: DataFrame, key: list[str], ts: str, ms: int = 5000) -> DataFram
         micros, start, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.coalesce(F.element_at(acc, -1), t) > ms * 1000), F.concat(acc, F.array(t))).otherwise(acc)
     )
     guarded = F.when(F.size(micros) > 0, kept)
-    return df.groupBy(*key).agg(guarded.alias("k")).select(*key, F.explode("k").alias("us")).select(*key, F.timestamp_micros("us").alias(ts))
+    return df.groupBy(*key).agg(guarded.alias("_kept")).select(*key, F.explode("_kept").alias("_us")).select(*key, F.timestamp_micros("_us").alias(ts))
