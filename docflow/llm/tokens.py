@@ -15,9 +15,13 @@ ones                  select samples: place in ``high`` of every 256th one bit (
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
+from collections import ChainMap
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,8 +35,9 @@ from docflow.llm.shared import table, written
 SAMPLE = 256
 BLOCK_TOKENS = 1 << 20
 END_ID = 1
-#: Words of up to so many characters are kept by a task, at most so many of them at a time.
-CACHED_CHARS, CACHED_WORDS = 40, 400_000
+#: Pieces of up to so many characters are kept by a worker, at most so many whole pieces and words
+#: of letters; later ones are encoded whenever they come.
+CACHED_CHARS, CACHED_PIECES, CACHED_LETTERS = 40, 200_000, 400_000
 
 
 @dataclass(frozen=True)
@@ -98,25 +103,62 @@ class WordEncoder:
 
     The tokenizer's normaliser turns white space into a space and its pattern never matches
     across one, so the ids of a text are those of its space- and line-separated pieces in order.
-    Pieces repeat, so a task keeps the ids of short ones.
+    Pieces repeat, so a worker keeps the ids of short ones. A piece of Latin letters and trailing
+    marks falls into two matches of the pattern, the letters and the marks; the letters of new
+    pieces go straight to the tokenizer's merges.
     """
 
+    LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?#%$&*|]*)")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        # byte-level tokenizers write a byte that isn't printable as the next character from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.as_bytes = {b: 256 + k for k, b in enumerate(sorted(set(range(256)).difference(plain)))}
+
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)] if pieces else []
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words of letters, each of which is one match of the pattern."""
+        merge = self.tokenizer.model.tokenize
+        spelled = [w if w.isascii() else w.encode().decode("latin-1").translate(self.as_bytes) for w in words]
+        return [array("I", [t.id for t in merge(w)]).tobytes() for w in spelled]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""}
-        new = list(set().union(*split).difference(self.known)) if split else []
-        ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)] if new else []
-        known = self.known | dict(zip(new, ids, strict=True)) if any(len(w) > CACHED_CHARS for w in new) else self.known
-        self.known.update((w, x) for w, x in zip(new, ids, strict=True) if len(w) <= CACHED_CHARS)
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        known, letters, marks = self.known, self.letters, self.marks
+        new = set().union(*split).difference(known) if split else set()
+        parts = [(w, m[1].lower(), m[2]) for w in new if len(w) <= CACHED_CHARS and (m := self.LETTERS.fullmatch(w))]
+        fresh = list({x for _, x, _ in parts}.difference(letters))
+        of_fresh = dict(zip(fresh, self._words(fresh), strict=True))
+        if len(letters) < CACHED_LETTERS:
+            letters.update(of_fresh)
+            of_fresh = letters
+        else:
+            of_fresh = ChainMap(of_fresh, letters)
+        fresh = list({x for _, _, x in parts}.difference(marks))
+        marks.update(zip(fresh, self._each(fresh), strict=True))
+        ids = {w: of_fresh[x] + marks[y] for w, x, y in parts}
+        rest = list(new.difference(ids))
+        ids.update(zip(rest, self._each(rest), strict=True))
+        if len(known) < CACHED_PIECES:
+            known.update((w, x) for w, x in ids.items() if len(w) <= CACHED_CHARS)
+        ids[""] = b""
+        kept = known.get
+        return [b"".join([kept(w) or ids[w] for w in ws]) for ws in split]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One encoder for each worker process, whose tasks follow each other."""
+    return WordEncoder(path)
 
 
 TOKEN_TABLE = "part int, block int, start long, doc_ids array<long>, n_tokens long, width int, ids binary, low_bits int, low binary, high binary, ones binary"
@@ -141,7 +183,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_to
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, number, start = TaskContext.get().partitionId(), 0, 0
-        encoder = WordEncoder(tokenizer)
+        words = encoder(tokenizer)
         doc_ids: list = []
         parts: list[bytes] = []
         held = 0
@@ -149,7 +191,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_to
             for at in range(0, len(b), 256):
                 some = b.iloc[at : at + 256]
                 doc_ids += [None if pd.isna(d) else int(d) for d in some["doc_id"]]
-                fresh = [x + end for x in encoder.encode(some["text"].tolist())]
+                fresh = [x + end for x in words.encode(some["text"].tolist())]
                 parts += fresh
                 held += sum(map(len, fresh)) // 4
                 if held >= block_tokens:
@@ -162,7 +204,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_to
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange(n, "doc_id", tie).sortWithinPartitions("doc_id", tie)
-    return written(ordered.mapInPandas(encode, TOKEN_TABLE), "token-table")
+    return written(ordered.mapInPandas(encode, TOKEN_TABLE), "token-table", compression="zstd")
 
 
 def read_tokens(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
