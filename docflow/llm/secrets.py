@@ -154,13 +154,18 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     return F.when(text.rlike(rule.regex), F.aggregate(zipped, start, step, lambda a: a["out"])).otherwise(F.expr(empty))
 
 
-def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of ``docs``, text and ``found``: all spans, sorted by start, then rule.
+def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, text and ``found`` of every row: all spans, sorted by start, then rule.
 
     Every row of ``docs`` comes back once. Defined cases: a null text counts as empty and has no
     spans; a null doc_id is kept; repeated rows (or ids) each get their own spans; other columns
-    are ignored unless kept; an empty table gives no rows; texts are never cut.
+    are ignored; an empty table gives no rows; texts are never cut.
     """
+    return _scanned(docs, rules, ("doc_id",)).select("row.*", "text", "found")
+
+
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...], keep: tuple[str, ...]) -> DataFrame:
+    """``row`` (a struct of the columns ``keep``, whatever their names), text and found."""
     base = docs.select("doc_id", F.struct(*keep).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.regex)) is not None}
     if queries:
@@ -179,7 +184,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[s
     for i, rule in enumerate(rules):
         spans = spans_of(F.col("text"), rule, i)
         parts.append(F.when(mask.bitwiseAND(1 << i) != 0, spans).otherwise(none) if i in queries else spans)
-    return base.select("row.*", "text", F.array_sort(F.concat(*parts)).alias("found"))
+    return base.select("row", "text", F.array_sort(F.concat(*parts)).alias("found"))
 
 
 def redacted(text: Column, found: Column) -> Column:
@@ -200,11 +205,12 @@ def without_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFra
 
     A column n_chars, if there is one, follows the new text. A null text becomes empty.
     """
-    others = tuple(c for c in docs.columns if c != "text")
-    clean = scan_secrets(docs, rules, others).withColumn("text", redacted(F.col("text"), F.col("found")))
+    others = [c for c in docs.columns if c != "text"]
+    clean = _scanned(docs, rules, tuple(others)).select("row", redacted(F.col("text"), F.col("found")).alias("text"))
+    out = {c: F.col("row")[c] for c in others} | {"text": F.col("text")}
     if "n_chars" in others:
-        clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+        out["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return clean.select(*[out[c].alias(c) for c in docs.columns])
 
 
 def _number(kind: str) -> Column:
