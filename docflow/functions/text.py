@@ -140,7 +140,8 @@ _VETO = (
     "(?<!(?<![A-Za-z])[A-Z])"
     f"(?<!(?<![A-Za-z])(?i:{'|'.join(dict.fromkeys(ABBREVIATIONS))}))"
 )
-SENTENCE_END = f"((?<![.!?])(?:[.!?]{{2,}}+|[!?]|{_VETO}\\.(?![.!?])){CLOSERS}*+)(?=[{WS}]+[{OPENERS}A-Z0-9])"
+# the look-aheads for the terminator come first: look-behinds at every character would cost most of the time
+SENTENCE_END = f"((?=[.!?])(?<![.!?])(?:[.!?]{{2,}}+|[!?]|(?=\\.){_VETO}\\.(?![.!?])){CLOSERS}*+)(?=[{WS}]+[{OPENERS}A-Z0-9])"
 
 
 def split_sentences(c: Column) -> Column:
