@@ -149,16 +149,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): connected components of edges (a, b) by alternating large and small stars.
 
     root is the least node; nodes without an edge don't appear. Each round is written to the
-    shared folder, so lineage stays short; the driver sees one count and one checksum a round.
+    shared folder, so lineage stays short; the driver sees one count and one checksum a round. The
+    minima are written before they are joined: a join of two exchanged sides is one that Spark can
+    split where a star has many arms.
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     before = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least-around")
         large = both.join(low.hint("merge"), "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = written(large.distinct(), "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least-below")
         small = large.join(least.hint("merge"), "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
