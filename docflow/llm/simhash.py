@@ -170,8 +170,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id that links of 4 bits or fewer reach.
+    """doc_id, fp, component_id (the smallest doc_id that links of 4 bits or fewer reach), root.
 
+    root is the component's least fingerprint; it tells components apart where doc_ids repeat.
     Defined cases: texts without words (null, empty) have fingerprint 0 and are linked like any
     other; repeated rows come back each; a null doc_id is kept and never names a component, unless
     it has no other (then null); extra columns are ignored; an empty table gives no rows.
@@ -181,28 +182,44 @@ def near_duplicates(docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     roots = components(links(reps.select("fp"), hot_key=hot_key))
     linked = reps.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = linked.join(least.hint("merge"), "root").select("fp", "component_id")
-    return prints.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    named = linked.join(least.hint("merge"), "root").select("fp", "component_id", "root")
+    return prints.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id", "root")
 
 
 #: Up to so many ids (8 bytes each) are broadcast by :func:`one_of_each`; beyond, a shuffled join.
 BROADCAST_IDS = 1_000_000
 
 
+def _by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of ``docs`` with the distinct ``doc_id`` of ``ids``; columns stay in place."""
+    side = ids.select(F.col("doc_id").alias("one_id"))
+    side = F.broadcast(side) if ids.count() <= BROADCAST_IDS else side.hint("merge")
+    return docs.join(side, docs["doc_id"] == side["one_id"], how)
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns, only the row with the smallest doc_id of each component.
 
     Rows with a null doc_id stay: nothing names them, so none of them can stand for the others.
+    Rows that share a doc_id are told apart by their texts: of each component one row stays, and
+    rows of other components under the same doc_id are judged by their own component.
     """
     found = written(near_duplicates(docs), "near-duplicates")
+    again = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    again = written(again, "repeated-ids")
     extra = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    side = F.broadcast(extra) if extra.count() <= BROADCAST_IDS else extra.hint("merge")
-    kept = docs.join(side, "doc_id", "left_anti")
-    again = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not again.take(1):
-        return kept
-    named = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where(F.col("doc_id").isNull()))
+        return _by_ids(docs, extra, "left_anti")
+    single = _by_ids(_by_ids(docs, again, "left_anti"), extra, "left_anti")
+
+    @F.pandas_udf("long")
+    def print_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64))
+
+    repeated = _by_ids(docs, again, "left_semi").select("doc_id", print_of(F.col("text").cast("string")).alias("fp"), F.struct("*").alias("row"))
+    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id", "fp", "root").distinct()
+    kept = repeated.join(first.hint("merge"), ["doc_id", "fp"]).dropDuplicates(["doc_id", "root"])
+    return single.unionByName(kept.select("row.*"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

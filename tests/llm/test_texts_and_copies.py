@@ -243,6 +243,17 @@ def test_near_copies_of_odd_tables(spark):
     assert {r.component_id for r in simhash.near_duplicates(nulls).collect()} == {4}
 
 
+def test_one_id_with_several_texts_loses_none(spark):
+    copy, other, third, fourth = (" ".join(f"{w}{i}" for i in range(30)) for w in "abcd")
+    rows = [(copy, 5, "kept"), (copy, 7, "copy"), (other, 7, "kept"), (third, 9, "kept"), (fourth, 9, "kept"), (None, None, "kept"), (third, 9, "kept")]
+    df = spark.createDataFrame(rows, "text string, doc_id long, root string")
+    kept = simhash.one_of_each(df)
+    assert kept.columns == df.columns  # doc_id stays where it was
+    got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert got == sorted([(0, ""), (5, copy), (7, other), (9, third), (9, fourth)])
+    assert {r.root for r in kept.collect()} == {"kept"}
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline_stages(spark, docs):
     bench = [r.text for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
