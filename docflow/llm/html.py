@@ -32,7 +32,8 @@ BROADCAST_CHARS = 16_000_000
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S
 )
-ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])([^\s\"'=/>]++)\s*+=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+NAMING = frozenset(("class", "id", "role"))
 RAW = frozenset("script style textarea title noscript iframe noframes xmp template".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset(
@@ -67,6 +68,12 @@ class Node:
         self.aside = bool(parent and parent.aside) or aside
 
 
+def _names(attributes: str) -> str:
+    """Values of the attributes class, id and role, in order."""
+    found = (a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(attributes) if a[1].lower() in NAMING)
+    return " ".join(v for x in found if (v := x.strip()))
+
+
 def tokens(page: str) -> Iterator[tuple[Node, str | None, bool]]:
     """(element, None, starts a block) for each opened element, (element, text, _) for each text
     node, and (element, "", starts a block) where an element ends or white space stands for one."""
@@ -100,7 +107,7 @@ def tokens(page: str) -> Iterator[tuple[Node, str | None, bool]]:
                     break
                 if stack[k].tag in ("ul", "ol", "article", "div", "section", "table", "blockquote", "body"):
                     break
-        names = " ".join(v for a in ATTRIBUTE.finditer(m[3]) if (v := (a[2] or a[3] or a[4] or "").strip())) if "=" in m[3] else ""
+        names = _names(m[3]) if "=" in m[3] else ""
         node = Node(tag, names, stack[-1] if stack else None)
         yield node, None, tag in BLOCKS
         if tag in SPACED:

@@ -184,6 +184,27 @@ def test_pages(spark):
     assert html.extract_pages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("attributes", "names"),
+    [
+        (' class="a b" ID=c role = \'d\'', "a b c d"),
+        (' data-id="ad" aria-grid=menu xclass="nav"', ""),
+        (' title="no class=ads here" alt=\'id="menu"\' id=x', "x"),
+        (' href="/a?id=nav"class="y"', "y"),
+        (" class id role=", ""),
+    ],
+)
+def test_names_come_from_their_own_attributes(attributes, names):
+    assert html._names(attributes) == names
+    text, _ = html.extract(f"<article><p{attributes}>Body.</p></article>", [])
+    assert text == "Body."
+
+
+def test_long_attributes_take_linear_time():
+    for junk in ("x" * 300_000, " " * 300_000, "x " * 150_000, "= " * 150_000, "'" * 299_999):
+        assert html._names(f" {junk} ") in ("", "=")
+
+
 # ---------------------------------------------------------------- operator 9
 def brute(fps):
     root = {f: f for f in fps}
