@@ -4,9 +4,11 @@ A page is a sequence of tokens: tags and text nodes, each with its path of open
 that occur equally often on every page of a host share an occurrence vector; the vectors are
 compared by fingerprints that Spark sums up over the pages, so no host is gathered anywhere. A
 class of tokens with one vector is a part of the host's template if it is large and frequent
-enough and, on the page at hand, in order and nested. What lies between template tokens are slots:
-the text under the innermost template element. Text that is itself a template token is static.
-Slots with the article's text are kept, others are menus, notices and the like.
+enough and, on the page at hand, in order and nested. The same is done for each layout of a host
+(pages with the same kinds of sections), so a rare layout has classes of its own. What lies between
+template tokens are slots: the text under the innermost template element. Text that is itself a
+template token is static and dropped, inside an article element too; element names are a hint on
+which of the other slots hold the article's text.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import html as references
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from docflow.llm.shared import table, written
 
-#: A class is part of the template from so many tokens, pages, and share of the host's pages on.
+#: A class is part of the template from so many tokens, pages, and share of the pages of its host or layout on.
 MIN_TOKENS, MIN_PAGES, MIN_SHARE = 3, 3, 0.1
 #: Templates (characters in all) are broadcast up to this size; beyond, a shuffled join.
 BROADCAST_CHARS = 16_000_000
@@ -130,6 +133,17 @@ def host_of(url: Column) -> Column:
     return F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), "^(?:[^/?#]*//)?(?:[^/?#@]*@)?([^/?#:]*)", 1)
 
 
+def layout_of(page: Column) -> Column:
+    """Hash of the kinds (tag and class, without digits) of sections that a page has.
+
+    It only says which pages are compared with each other besides those of the whole host.
+    """
+    opened = F.regexp_extract_all(page, F.lit(r"(?i)<(?:body|main|article|section|nav|header|footer|aside|form|div)\b[^<>]*"), F.lit(0))
+    tag, names = r"(?i)^<([a-z]+)", r"(?i)\sclass\s*=\s*([\"'][^\"']*|[^\s\"'>]+)"
+    kinds = F.transform(opened, lambda x: F.concat(F.lower(F.regexp_extract(x, tag, 1)), F.regexp_replace(F.regexp_extract(x, names, 1), r"[\d\"']+", "")))
+    return F.xxhash64(F.array_sort(F.array_distinct(kinds)))
+
+
 def occurrences(page: str) -> dict[int, tuple[int, int]]:
     """token -> (times, first place) on one page."""
     out: dict[int, tuple[int, int]] = {}
@@ -146,60 +160,93 @@ def occurrences(page: str) -> dict[int, tuple[int, int]]:
 
 
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial sums for each host and token: pages, two fingerprints of the vector, places."""
+    """Partial sums for each host, layout and token: pages, two fingerprints of the vector, places."""
     for b in batches:
-        sums: dict[tuple[str, int], list[int]] = {}
-        for page_id, url, host, page in zip(b["page_id"], b["url"], b["host"], b["html"], strict=True):
+        sums: dict[tuple[str, int, int], list[int]] = {}
+        for page_id, url, host, layout, page in zip(b["page_id"], b["url"], b["host"], b["layout"], b["html"], strict=True):
             who = f"{page_id}\0{url}".encode("utf-8", "surrogatepass")
             for key, (times, first) in occurrences(page).items():
                 mark = xxhash.xxh64_intdigest(who, times)
-                s = sums.setdefault((host, key), [0, 0, 0, 0])
+                s = sums.setdefault((host, layout, key), [0, 0, 0, 0])
                 s[0] += 1
                 s[1] += mark >> 32
                 s[2] += mark & 0xFFFFFFFF
                 s[3] += first
-        rows = [(h, k, *s) for (h, k), s in sums.items()]
-        yield pd.DataFrame(rows, columns=["host", "token", "n", "f1", "f2", "place"])
+        rows = [(*k, *s) for k, s in sums.items()]
+        yield pd.DataFrame(rows, columns=["host", "layout", "token", "n", "f1", "f2", "place"])
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """host, template: a JSON list of classes, each a list of tokens in order of place.
+    """host, layout, template: a JSON list of classes, each a list of tokens in order of place.
 
-    A token needs MIN_SHARE of its host's pages, so a template has at most 1 / MIN_SHARE times as
-    many tokens as the host's mean page, however many pages there are.
+    The row with a null layout is of the whole host; layouts that all pages of the host share have
+    no row of their own. A token needs MIN_SHARE of the pages of its host or layout, so a template
+    has at most 1 / MIN_SHARE times as many tokens as the mean page, however many pages there are.
     """
-    rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    partial = rows.mapInPandas(_vectors, "host string, token long, n long, f1 long, f2 long, place long")
-    vectors = partial.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("n", "f1", "f2", "place")])
-    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    frequent = vectors.where(F.col("n") >= MIN_PAGES).join(sizes.hint("shuffle_hash"), "host").where(F.col("n") >= MIN_SHARE * F.col("pages"))
+    rows = pages.select("page_id", "url", "host", "layout", "html")
+    sums = [F.sum(c).alias(c) for c in ("n", "f1", "f2", "place")]
+    partial = rows.mapInPandas(_vectors, "host string, layout long, token long, n long, f1 long, f2 long, place long")
+    by_layout = partial.groupBy("host", "layout", "token").agg(*sums)
+    whole = F.lit(None).cast("long").alias("layout")
+    vectors = by_layout.unionByName(by_layout.groupBy("host", "token").agg(*sums).select("host", whole, "token", "n", "f1", "f2", "place"))
+    layouts = rows.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("pages"))
+    hosts = layouts.groupBy("host").agg(F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("layouts"))
+    several = hosts.where(F.col("layouts") > 1).select("host")
+    sizes = hosts.select("host", whole, "pages").unionByName(layouts.where(F.col("pages") >= MIN_PAGES).join(several, "host").select("host", "layout", "pages"))
+    sizes = sizes.select(F.col("host").alias("s_host"), F.col("layout").alias("s_layout"), "pages")
+    same = (F.col("host") == F.col("s_host")) & F.col("layout").eqNullSafe(F.col("s_layout"))
+    frequent = vectors.where(F.col("n") >= MIN_PAGES).join(sizes.hint("shuffle_hash"), same).where(F.col("n") >= MIN_SHARE * F.col("pages"))
     classes = (
-        frequent.groupBy("host", "n", "f1", "f2")
+        frequent.groupBy("host", "layout", "n", "f1", "f2")
         .agg(F.sort_array(F.collect_list(F.struct((F.col("place") / F.col("n")).alias("at"), "token"))).alias("c"))
         .where(F.size("c") >= MIN_TOKENS)
-        .select("host", F.col("n"), F.transform("c", lambda t: t["token"]).alias("c"))
+        .select("host", "layout", F.col("n"), F.transform("c", lambda t: t["token"]).alias("c"))
     )
-    return classes.groupBy("host").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("n"), "c"))), lambda x: x["c"])).alias("template"))
+    return classes.groupBy("host", "layout").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("n"), "c"))), lambda x: x["c"])).alias("template"))
 
 
-def template_tokens(template: list[list[int]], found: dict[int, tuple[int, int]]) -> set[int]:
-    """Tokens of the classes that are valid on this page: complete, equally often, in order."""
-    out: set[int] = set()
+def valid_classes(template: list[list[int]], found: dict[int, tuple[int, int]]) -> list[list[int]]:
+    """The classes that are valid on this page: complete, equally often, in order."""
+    out = []
     for cls in template:
         seen = [found.get(t) for t in cls]
         if any(s is None for s in seen) or len({s[0] for s in seen}) > 1:
             continue
         firsts = [s[1] for s in seen]
         if all(a < b for a, b in zip(firsts, firsts[1:], strict=False)):
-            out.update(cls)
+            out.append(cls)
+    return out
+
+
+def static_in_article(classes: list[list[int]], elements: set[int], texts: list[int]) -> set[int]:
+    """Static tokens among the tokens of an article's ``texts``.
+
+    Classes without an element are passages that articles have in common, not a layout. Pages
+    that are copies of each other have all in common; so a class, in order of pages, is static
+    only while more than half of the article's texts are left.
+    """
+    times = Counter(texts)
+    left = len(texts)
+    out: set[int] = set()
+    for cls in classes:
+        own = [t for t in cls if t in times and t not in out]
+        rest = left - sum(times[t] for t in own)
+        if own and 2 * rest > len(texts) and not elements.isdisjoint(cls):
+            left = rest
+            out.update(own)
     return out
 
 
 def extract(page: str, template: list[list[int]]) -> tuple[str, list[tuple[str, bool, int]]]:
     """The main text, and the page's slots: (path of its template element, kept, characters)."""
     stream = list(tokens(page))
-    known = template_tokens(template, occurrences(page)) if template else set()
+    classes = valid_classes(template, occurrences(page)) if template else []
+    known = {t for cls in classes for t in cls}
     in_article = any(node.article and text and text.strip() for node, text, _ in stream)
+    static = known
+    if in_article and known:
+        texts = [_text_key(node, text) for node, text, _ in stream if text and node.article and not node.aside and text.strip()]
+        static = static_in_article(classes, {node.key for node, text, _ in stream if text is None}, texts)
     slot_of: dict[str, str] = {}
     opened = {node.path for node, text, _ in stream if text is None and node.key in known}
 
@@ -218,7 +265,7 @@ def extract(page: str, template: list[list[int]]) -> tuple[str, list[tuple[str,
             blocks.append([])
         if not text:
             continue
-        keep = not node.aside and (node.article if in_article else _text_key(node, text) not in known)
+        keep = not node.aside and (node.article or not in_article) and not (static and _text_key(node, text) in static)
         if text.strip():
             at = (slot(node.path), keep)
             slots[at] = slots.get(at, 0) + len(text.strip())
@@ -232,33 +279,42 @@ def _extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     parsed: dict[str, list[list[int]]] = {}
     for b in batches:
         texts, slots = [], []
-        for page, template in zip(b["html"], b["template"], strict=True):
-            if template not in parsed:
-                if len(parsed) > 1000:
-                    parsed.clear()
-                parsed[template] = json.loads(template)
-            text, found = extract(page, parsed[template])
+        for page, *templates in zip(b["html"], b["template"], b["layout_template"], strict=True):
+            for template in templates:
+                if template not in parsed:
+                    if len(parsed) > 1000:
+                        parsed.clear()
+                    parsed[template] = json.loads(template)
+            text, found = extract(page, [cls for t in templates for cls in (parsed[t] if t in parsed else json.loads(t))])
             texts.append(text)
             slots.append([{"slot": p, "kept": k, "n_chars": n} for p, k, n in found])
         yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "slots": slots, "n_chars": np.fromiter(map(len, texts), np.int64, len(texts))})
 
 
+def _joined(pages: DataFrame, side: DataFrame, on: list[str], name: str) -> DataFrame:
+    """``pages`` with the template of ``side`` as ``name``: broadcast if small, else a shuffled join."""
+    size = side.agg(F.sum(F.length("template"))).first()[0] or 0
+    side = side.select(*[F.col(c).alias(f"t_{c}") for c in on], F.col("template").alias(name))
+    side = F.broadcast(side) if size <= BROADCAST_CHARS else side.hint("merge")
+    same = [F.col(c) == F.col(f"t_{c}") for c in on]
+    return pages.join(side, same, "left").drop(*[f"t_{c}" for c in on])
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and ``slots`` (path, kept, characters) of every row of ``pages``.
 
-    Where a page has text in an article or main element, that is its article; else all slots that
-    are neither aside nor static. Defined cases: null and empty html give an empty text; a null or
-    odd url belongs to the host it can be read as (perhaps the empty one); a host with few pages
-    has no template, then element names alone decide; repeated rows come back each; other columns
-    are ignored; an empty table gives no rows; pages are read whole.
+    Static text goes everywhere. Of the rest, where a page has text in an article or main element,
+    that is its article; else all slots that are not aside. Defined cases: null and empty html
+    give an empty text; a null or odd url belongs to the host it can be read as (perhaps the empty
+    one); a host with few pages has no template, then element names alone decide; repeated rows
+    come back each; other columns are ignored; an empty table gives no rows; pages are read whole.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    base = base.withColumns({"host": host_of(F.col("url")), "layout": layout_of(F.col("html"))})
     templates = written(deduce_templates(base), "page-templates")
-    size = templates.agg(F.sum(F.length("template"))).first()[0] or 0
-    side = templates.withColumnRenamed("host", "t_host")
-    side = F.broadcast(side) if size <= BROADCAST_CHARS else side.hint("merge")
-    joined = base.withColumn("host", host_of(F.col("url"))).join(side, F.col("host") == F.col("t_host"), "left")
-    rows = joined.select("page_id", "url", "html", F.coalesce("template", F.lit("[]")).alias("template"))
+    joined = _joined(base, templates.where(F.col("layout").isNull()), ["host"], "template")
+    joined = _joined(joined, templates.where(F.col("layout").isNotNull()), ["host", "layout"], "layout_template")
+    rows = joined.select("page_id", "url", "html", *[F.coalesce(c, F.lit("[]")).alias(c) for c in ("template", "layout_template")])
     return rows.mapInPandas(_extracted, "page_id long, url string, text string, slots array<struct<slot:string,kept:boolean,n_chars:long>>, n_chars long")
 
 

@@ -184,6 +184,21 @@ def test_pages(spark):
     assert html.extract_pages(df.limit(0)).count() == 0
 
 
+def test_boilerplate_inside_an_article_is_static(spark):
+    words = "tree river stone cloud".split()
+    body = lambda i: f"<h1>Title {i}</h1><p>First {i} about {words[i % 4]}.</p><p>Second {i}.</p>"
+    rows = [page(i, f"<article>{body(i)}<p>All rights reserved.</p></article>") for i in range(60)]
+    # a layout of 3 of 63 pages with a line of its own
+    rows += [page(100 + i, f"<article class=long>{body(100 + i)}<div class=box><p>Tell your friends.</p></div></article>") for i in range(3)]
+    # copies of one page but for a word: their text is no template
+    rows += [page(200 + i, f"<article><h1>Same</h1><p>Same one.</p><p>Same two.</p><p>Word {i}.</p></article>", "copies.example") for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract_pages(df).collect()}
+    assert got[5] == "Title 5\nFirst 5 about river.\nSecond 5."
+    assert got[101] == "Title 101\nFirst 101 about river.\nSecond 101."
+    assert got[202] == "Same\nSame one.\nSame two.\nWord 2."
+
+
 @pytest.mark.parametrize(
     ("attributes", "names"),
     [
