@@ -53,10 +53,16 @@ ASIDE_NAME = re.compile(
     re.I,
 )
 ARTICLE = frozenset(("article", "main"))
+#: Elements that hold the page's text whatever their names say they have (no-sidebar, main-search).
+HOLDERS = frozenset(("html", "body", "main", "article"))
+#: An article with one of these words among its names is aside: it is a comment, not one with comments.
+ASIDE_ARTICLE = re.compile(r"(?<!\S)(?:comment|reply|teaser|ad|advert|advertisement|sponsored|promo|related)(?!\S)", re.I)
+#: Grades of ``Node.aside``: in the page's text, aside by an article's names only, aside.
+INSIDE, NAMED, OUTSIDE = 0, 1, 2
 
 
 class Node:
-    """An open element: its path, and whether text in it is aside or in the article."""
+    """An open element: its path, how far text in it is aside, and whether it is in the article."""
 
     __slots__ = ("article", "aside", "key", "path", "tag")
 
@@ -67,8 +73,9 @@ class Node:
         self.key = xxhash.xxh64_intdigest(self.path) >> 1
         self.article = bool(parent and parent.article) or tag in ARTICLE
         # a header in an article is its title; a page's header isn't
-        aside = tag in ASIDE or (tag == "header" and not self.article) or bool(names and ASIDE_NAME.search(names))
-        self.aside = bool(parent and parent.aside) or aside
+        aside = tag in ASIDE or (tag == "header" and not self.article) or bool(names and tag not in HOLDERS and ASIDE_NAME.search(names))
+        named = tag == "article" and bool(names and ASIDE_ARTICLE.search(names))
+        self.aside = max(parent.aside if parent else INSIDE, OUTSIDE if aside else NAMED if named else INSIDE)
 
 
 def _names(attributes: str) -> str:
@@ -242,10 +249,13 @@ def extract(page: str, template: list[list[int]]) -> tuple[str, list[tuple[str,
     stream = list(tokens(page))
     classes = valid_classes(template, occurrences(page)) if template else []
     known = {t for cls in classes for t in cls}
-    in_article = any(node.article and text and text.strip() for node, text, _ in stream)
+    filled = {(node.aside, node.article) for node, text, _ in stream if text and text.strip()}
+    # a page with no other text is one of comments
+    most = INSIDE if any(aside == INSIDE for aside, _ in filled) else NAMED
+    in_article = any(article and aside <= most for aside, article in filled)
     static = known
     if in_article and known:
-        texts = [_text_key(node, text) for node, text, _ in stream if text and node.article and not node.aside and text.strip()]
+        texts = [_text_key(node, text) for node, text, _ in stream if text and node.article and node.aside <= most and text.strip()]
         static = static_in_article(classes, {node.key for node, text, _ in stream if text is None}, texts)
     slot_of: dict[str, str] = {}
     opened = {node.path for node, text, _ in stream if text is None and node.key in known}
@@ -265,7 +275,7 @@ def extract(page: str, template: list[list[int]]) -> tuple[str, list[tuple[str,
             blocks.append([])
         if not text:
             continue
-        keep = not node.aside and (node.article or not in_article) and not (static and _text_key(node, text) in static)
+        keep = node.aside <= most and (node.article or not in_article) and not (static and _text_key(node, text) in static)
         if text.strip():
             at = (slot(node.path), keep)
             slots[at] = slots.get(at, 0) + len(text.strip())

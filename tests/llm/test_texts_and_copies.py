@@ -199,6 +199,23 @@ def test_boilerplate_inside_an_article_is_static(spark):
     assert got[202] == "Same\nSame one.\nSame two.\nWord 2."
 
 
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ("<body><div><p>Text.</p></div><article class='comment even'><p>Nice.</p></article></body>", "Text."),
+        ("<body><div><p>Text.</p></div><aside><article><p>Teaser.</p></article></aside></body>", "Text."),
+        ("<body><div class=comments><article><p>Nice.</p></article></div><p>Text.</p></body>", "Text."),
+        ("<body class='has-sidebar'><p>Text.</p></body>", "Text."),
+        ("<body class='page no-sidebar'><main class='main main-search'><p>Text.</p></main></body>", "Text."),
+        ("<body><nav>Home</nav><article class='post share-enabled'><p>Text.</p></article></body>", "Text."),
+        ("<body><main><p>Text.</p><article class=comment>Nice.</article></main></body>", "Text."),
+        ("<body><nav>Home</nav><article class=comment>One.</article><article class=comment>Two.</article></body>", "One.\nTwo."),
+    ],
+)
+def test_names_and_asides_lose_no_text(body, text):
+    assert html.extract(f"<html class=no-ads>{body}</html>", [])[0] == text
+
+
 @pytest.mark.parametrize(
     ("attributes", "names"),
     [
