@@ -19,11 +19,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docflow.llm.shared import table
 
 ORDER = 3
-#: Documents (about) of each language that the model is fitted on; their texts are taken whole.
+#: Distinct texts of each language that the model is fitted on (at most); they are taken whole.
 SAMPLE_DOCS = 400
 #: Contexts of three bytes that the tree keeps, the most frequent ones of all languages.
 MAX_CONTEXTS = 8_000
@@ -79,17 +80,37 @@ def gram_counts(sample: DataFrame) -> DataFrame:
 
 
 def training_sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """About ``sample_docs`` labelled documents a language that aren't held out, by hash of the text."""
+    """lang, text: of each language the ``sample_docs`` distinct texts with the smallest hashes.
+
+    Only labelled documents that aren't held out count. Copies count once, so a language with any
+    usable text is learned. The hashes are cut down within each partition (of the rows, so no
+    copies gather) before the few that are left of each language are ranked together.
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "") & ~held_out(F.col("doc_id"))).select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     )
-    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return usable
-    share = F.lit(0)
-    for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, F.lit(int(1_000_000 * min(1.0, sample_docs / n)))).otherwise(share)
-    return usable.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
+    keyed = usable.withColumn("h", F.xxhash64("text"))
+
+    def smallest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = pd.DataFrame({"lang": pd.Series(dtype=object), "h": pd.Series(dtype="int64")})
+        for b in batches:
+            kept = pd.concat([kept, b]).drop_duplicates().sort_values("h", kind="stable").groupby("lang").head(sample_docs)
+        yield kept
+
+    some = keyed.select("lang", "h").mapInPandas(smallest, "lang string, h long").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    # at most sample_docs rows a language
+    chosen = some.withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("lang", "h")
+
+    def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[str, int]] = set()
+        for b in batches:
+            b = b[[k not in seen for k in zip(b["lang"], b["h"], strict=True)]].drop_duplicates(["lang", "h"])
+            seen.update(zip(b["lang"], b["h"], strict=True))
+            yield b
+
+    few = keyed.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", "text").mapInPandas(once, "lang string, h long, text string")
+    return few.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_contexts: int = MAX_CONTEXTS) -> Model:

@@ -70,6 +70,17 @@ def test_code_lengths_by_definition(spark):
                 assert model.code_lengths(text)[k] == pytest.approx(expected, rel=1e-4)
 
 
+def test_a_language_of_a_few_hot_texts_is_learned(spark):
+    hot = ["uno dos tres cuatro", "cinco seis siete ocho", "nueve diez once doce"]
+    texts = [f"the cat {i} sat on the mat {i * i}" for i in range(300)] + [hot[i % 3] for i in range(600)]
+    df = table(spark, texts, langs=["en"] * 300 + ["es"] * 600).repartition(5)
+    got = [(r.lang, r.text) for r in language.training_sample(df, 20).collect()]
+    assert sorted(t for lang, t in got if lang == "es") == sorted(hot)
+    assert len({t for lang, t in got if lang == "en"}) == 20 and len(got) == 23
+    found = language.identify(df, 20).where("doc_id >= 300").groupBy("lang_pred").count().collect()
+    assert [(r.lang_pred, r["count"]) for r in found] == [("es", 600)]
+
+
 def test_language_of_odd_tables(spark):
     got = {r.doc_id: r for r in language.identify(table(spark, ODD)).collect()}
     assert len(got) == len(ODD) and all(r.lang_pred == "und" and r.score == 0 for r in got.values())
