@@ -4,7 +4,8 @@ Documents are ordered by ``(hash of text, hash of doc_id)``. Splitters between s
 by counting, exactly and over all rows, the bytes below candidate boundaries: the first pass
 counts 4096 equal cells of the key space, and each further pass counts only the cells in which a
 splitter still lies, each cut into 4096 finer ones, until the bytes below a boundary are within
-tolerance of the target. Rows are exchanged once, by shard and cell, when the splitters are known.
+tolerance of the target. Whole rows are exchanged once, by shard and cell, when the splitters are
+known, and written as files of one shard each in slot order; sizes and CRCs are those of the files.
 
 Equal texts have equal leading keys, so a group of copies is contiguous and stays in one shard,
 unless keeping it whole would break the tolerance; then it is cut at a document.
@@ -12,14 +13,17 @@ unless keeping it whole would break the tolerance; then it is cut at a document.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from docflow.llm.shared import table, written
+from docflow.llm.shared import shared_dir, table, written
 
 BITS = 12
 CELLS = 1 << BITS
@@ -41,16 +45,18 @@ class Splitter:
         return (h > self.hash) | ((h == self.hash) & (k >= self.key))
 
 
+def _size(text: Column) -> Column:
+    return (F.octet_length(F.coalesce(text.cast("string"), F.lit(""))) + 1).cast("long")
+
+
+def _keys() -> list[Column]:
+    """The two parts of the sort key."""
+    return [F.xxhash64(F.col("text")).alias("h"), F.xxhash64(F.col("doc_id")).alias("k")]
+
+
 def shard_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and the two parts of the sort key; the text itself is dropped."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(
-        F.col("doc_id"),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
-        F.xxhash64(F.col("text")).alias("h"),
-        F.xxhash64(F.col("doc_id")).alias("k"),
-    )
+    """size and the two parts of the sort key of each row: what the splitters are found from."""
+    return docs.select(_size(F.col("text")).alias("size"), *_keys())
 
 
 def _edge(prefix: int, shift: int) -> int | None:
@@ -133,68 +139,92 @@ def _shard_of(splitters: list[Splitter], h: Column, k: Column, first: int = 0) -
     ).otherwise(_shard_of(splitters[:mid], h, k, first))
 
 
-def _with_pieces(keys: DataFrame) -> DataFrame:
-    """Add cell, group and piece: no (cell, group, piece) has much over 1/4096 of the rows.
+def _pieces(keys: DataFrame) -> tuple[list[str], Callable[[DataFrame], DataFrame]]:
+    """What adds cell, group and piece to rows with the columns h and k, by the counts of ``keys``.
 
-    A cell is 1/4096 of the hash range; a group of copies with more rows than that stands by
-    itself (there are fewer than 4096) and is cut into pieces by the hash of doc_id.
+    Their names come first: only the cell if no group is cut (a constant column would keep Spark
+    from seeing that rows dealt by these columns lie right for a window over them). No (cell, group, piece) has much over 1/4096 of the rows. A cell is 1/4096 of the hash range;
+    a group of copies with more rows than that stands by itself (there are fewer than 4096) and
+    is cut into pieces by the hash of doc_id.
     """
     cell = F.shiftright("h", 52)
     sizes = keys.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()
     total = sum(r.n for r in sizes)
     limit = max(1, total // CELLS)
     full = [r.cell for r in sizes if r.n > max(4 * limit, 1000)]
-    keys = keys.withColumn("cell", cell)
     if not full:
-        return keys.withColumns({"grp": F.lit(None).cast("long"), "piece": F.lit(0).cast("long")})
+        return ["cell"], lambda rows: rows.withColumn("cell", cell)
     heavy = (
-        keys.where(F.col("cell").isin(full)).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+        keys.where(cell.isin(full)).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
         .select("h", F.lit(1).alias("is_heavy"), F.least(F.lit(BITS), F.ceil(F.log2(F.col("n") / limit))).cast("int").alias("bits"))
     )
-    rows = [tuple(r) for r in heavy.collect()]  # fewer than 4096, see above
+    found = [tuple(r) for r in heavy.collect()]  # fewer than 4096, see above
+    if not found:
+        return ["cell"], lambda rows: rows.withColumn("cell", cell)
     schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("is_heavy", T.IntegerType()), T.StructField("bits", T.IntegerType())])
-    small = keys.sparkSession.createDataFrame(rows, schema)
-    return (
-        keys.join(F.broadcast(small), "h", "left")
+    small = keys.sparkSession.createDataFrame(found, schema)
+    return ["cell", "grp", "piece"], lambda rows: (
+        rows.withColumn("cell", cell).join(F.broadcast(small), "h", "left")
         .withColumn("grp", F.when(F.col("is_heavy") == 1, F.col("h")))
         .withColumn("piece", F.when(F.col("is_heavy") == 1, F.expr("shiftright(k, 64 - greatest(bits, 1))")).otherwise(F.lit(0)).cast("long"))
         .drop("is_heavy", "bits")
     )
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.005) -> DataFrame:
-    """Put every row of ``docs`` (doc_id, text, anything else) into a shard and a slot in it.
+def write_shards(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.005) -> str:
+    """Write every row of ``docs``, with all its columns, into its shard; returns the folder.
 
-    Law ``bytes``: each splitter is within ``tolerance`` of a shard's bytes of its target, or at
-    the document boundary nearest to it. Slots are gapless from 0, in key order by cells (a group
-    with over 1/4096 of the rows comes last in its cell).
-
-    Defined cases: a null text has size 1, CRC 0 and is a group of its own, apart from the empty
-    text; a null doc_id is kept; repeated rows get a slot each; other columns are ignored, so
-    their names can't clash; an empty table gives no rows. Returns doc_id, size, text_crc32, law,
-    shard, slot, grown_shard (null: this law doesn't grow).
+    A folder ``shard=N`` holds Parquet files of ``slot`` and ``row``, a struct of the columns of
+    ``docs``. Each file has the rows of one range of slots in their order.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
     keys = written(shard_keys(docs), "shard-keys")
     splitters = find_splitters(keys, n_shards, tolerance)
-    placed = _with_pieces(keys).withColumn("shard", _shard_of(splitters, F.col("h"), F.col("k")))
-    place = ["shard", "cell", "grp", "piece"]
-    before = Window.partitionBy("shard").orderBy(F.col("cell"), F.col("grp").asc_nulls_first(), F.col("piece"))
+    (names, pieces), shard = _pieces(keys), _shard_of(splitters, F.col("h"), F.col("k"))
+    place = ["shard", *names]
+    before = Window.partitionBy("shard").orderBy(*[F.col(c).asc_nulls_first() for c in names])
     starts = (  # at most a few times 4096 rows for all shards
-        placed.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
+        pieces(keys).withColumn("shard", shard).groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
         .withColumn("start", F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .select(*[F.col(c).alias(f"s_{c}") for c in place], "start")
     )
-    ordered = placed.withColumn("rank", F.row_number().over(Window.partitionBy(*place).orderBy("h", "k", "doc_id", "size")))
-    same = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in place]
-    return ordered.join(F.broadcast(starts), same[0] & same[1] & same[2] & same[3]).select(
-        "doc_id",
-        "size",
-        "text_crc32",
+    rows = pieces(docs.select(F.struct("*").alias("row"), *_keys())).withColumn("shard", shard)
+    dealt = rows.repartitionByRange(*place)  # the one exchange of whole rows; the window keeps to it
+    order = Window.partitionBy(*place).orderBy("h", "k", "row.doc_id", _size(F.col("row.text")))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in place])
+    slots = dealt.withColumn("rank", F.row_number().over(order)).join(F.broadcast(starts), same)
+    path = f"{shared_dir(docs.sparkSession)}/docflow/shards-{uuid.uuid4().hex}"
+    slots.select("shard", (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"), "row").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return path
+
+
+def read_shards(spark: SparkSession, path: str, row: T.StructType) -> DataFrame:
+    """shard, slot and row (of that type) from the files of :func:`write_shards`."""
+    schema = T.StructType([T.StructField("slot", T.LongType()), T.StructField("row", row), T.StructField("shard", T.IntegerType())])
+    return spark.read.schema(schema).parquet(path).select("shard", "slot", "row")
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.005) -> DataFrame:
+    """Put every row of ``docs`` (doc_id, text, anything else) into a shard and a slot in it.
+
+    Law ``bytes``: each splitter is within ``tolerance`` of a shard's bytes of its target, or at
+    the document boundary nearest to it. Slots are gapless from 0, in key order by cells (a group
+    with over 1/4096 of the rows comes last in its cell).
+
+    Defined cases: a null text has size 1, CRC 0 and is a group of its own, apart from the empty
+    text; a null doc_id is kept; repeated rows get a slot each; other columns go into the shards
+    in a struct, so their names can't clash; an empty table gives no rows. Returns doc_id, size,
+    text_crc32, law, shard, slot, grown_shard (null: this law doesn't grow), read from the shards.
+    """
+    placed = read_shards(docs.sparkSession, write_shards(docs, n_shards, tolerance), docs.schema)
+    return placed.select(
+        "row.doc_id",
+        _size(F.col("row.text")).alias("size"),
+        F.crc32(F.encode(F.coalesce(F.col("row.text").cast("string"), F.lit("")), "UTF-8")).cast("long").alias("text_crc32"),
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"),
+        "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
 

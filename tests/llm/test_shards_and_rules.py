@@ -52,6 +52,27 @@ def test_a_hot_group_is_split_and_others_stay_whole(spark):
     assert sum(len(s) > 1 for t, s in shards.items() if t != "copy of one text") == 0
 
 
+def test_shard_files_hold_the_whole_rows_in_slot_order(spark):
+    import pyarrow.parquet as pq
+
+    texts = ["copy of one text"] * 1500 + [f"text {i} " * 5 for i in range(3000)] + ODD
+    df = table(spark, texts).withColumnRenamed("words", "slot").withColumnRenamed("found", "row").repartition(7)
+    path = sharding.write_shards(df, 3)
+    got = {}
+    for shard in range(3):
+        slots = []
+        for file in sorted(__import__("pathlib").Path(path.removeprefix("file://"), f"shard={shard}").glob("*.parquet")):
+            own = pq.ParquetFile(file).read().to_pylist()
+            assert [r["slot"] for r in own] == list(range(own[0]["slot"], own[0]["slot"] + len(own)))
+            slots += [r["slot"] for r in own]
+            for r in own:
+                got[r["row"]["doc_id"]] = r["row"]
+        assert sorted(slots) == list(range(len(slots))) and slots
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i] == {"doc_id": i, "text": t, "h": "h", "k": "k", "slot": "w", "row": "f", "c_key": "c"}
+
+
 @pytest.mark.parametrize("texts", [[], [None], ODD, ["same"] * 50])
 def test_shards_of_odd_tables(spark, texts):
     rows = laid_out(sharding.shard_documents(table(spark, texts)))
