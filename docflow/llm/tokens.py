@@ -14,17 +14,20 @@ ones                  select samples: place in ``high`` of every 256th one bit (
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from array import array
+from bisect import bisect_left
 from collections import ChainMap
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,23 +101,58 @@ class EliasFano:
         return ((places - np.arange(self.n)) << self.low_bits) + low.reshape(self.n, self.low_bits).astype(np.int64) @ weights
 
 
-class WordEncoder:
-    """Ids of whole texts, as little-endian 32-bit bytes.
-
-    The tokenizer's normaliser turns white space into a space and its pattern never matches
-    across one, so the ids of a text are those of its space- and line-separated pieces in order.
-    Pieces repeat, so a worker keeps the ids of short ones. A piece of Latin letters and trailing
-    marks falls into two matches of the pattern, the letters and the marks; the letters of new
-    pieces go straight to the tokenizer's merges.
-    """
-
-    LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?#%$&*|]*)")
+class TextEncoder:
+    """Ids of whole texts, as little-endian 32-bit bytes, by any tokenizer file."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)] if pieces else []
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return self._each(texts)
+
+
+class WordEncoder(TextEncoder):
+    """The same for tokenizer files whose normaliser and pattern are those of :meth:`fits`.
+
+    That normaliser turns white space into a space and that pattern never matches across one, so
+    the ids of a text are those of its space- and line-separated pieces in order. Pieces repeat,
+    so a worker keeps the ids of short ones. A piece of Latin letters and trailing marks falls
+    into two matches of the pattern, the letters and the marks; the letters of new pieces go
+    straight to the tokenizer's merges.
+    """
+
+    LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?#%$&*|]*)")
+    #: What the file must say for the pieces to be independent.
+    NORMALISERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"})
+    PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+    @classmethod
+    def fits(cls, path: str) -> bool:
+        """Whether pieces may be encoded apart under this file."""
+        form = json.loads(Path(path).read_text("utf-8"))
+        normal, split = form.get("normalizer") or {}, form.get("pre_tokenizer") or {}
+        steps = split.get("pretokenizers", [])
+        spaced = any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in form.get("added_tokens", []))
+        return (
+            form["model"].get("type", "BPE") == "BPE"
+            and not form["model"].get("dropout")
+            and tuple(normal.get("normalizers", ())) == cls.NORMALISERS
+            and len(steps) == 2
+            and steps[0] == {"type": "Split", "pattern": {"Regex": cls.PATTERN}, "behavior": "Removed", "invert": True}
+            and steps[1].get("type") == "ByteLevel"
+            and not steps[1].get("add_prefix_space")
+            and not steps[1].get("use_regex")
+            and not spaced
+        )
+
+    def __init__(self, path: str):
+        super().__init__(path)
         self.known: dict[str, bytes] = {}
         self.letters: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
@@ -122,9 +160,6 @@ class WordEncoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.as_bytes = {b: 256 + k for k, b in enumerate(sorted(set(range(256)).difference(plain)))}
 
-    def _each(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)] if pieces else []
-
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of lower-case words of letters, each of which is one match of the pattern."""
         merge = self.tokenizer.model.tokenize
@@ -151,25 +186,29 @@ class WordEncoder:
         if len(known) < CACHED_PIECES:
             known.update((w, x) for w, x in ids.items() if len(w) <= CACHED_CHARS)
         ids[""] = b""
-        kept = known.get
-        return [b"".join([kept(w) or ids[w] for w in ws]) for ws in split]
+        kept = known.get  # the ids of a piece may be none at all, b""
+        return [b"".join([ids[w] if (x := kept(w)) is None else x for w in ws]) for ws in split]
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> TextEncoder:
     """One encoder for each worker process, whose tasks follow each other."""
-    return WordEncoder(path)
+    return WordEncoder(path) if WordEncoder.fits(path) else TextEncoder(path)
 
 
 TOKEN_TABLE = "part int, block int, start long, doc_ids array<long>, n_tokens long, width int, ids binary, low_bits int, low binary, high binary, ones binary"
+_BLOCK = pa.schema(
+    [("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("width", pa.int32())]
+    + [("ids", pa.binary()), ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("ones", pa.binary())]
+)
 
 
-def _block(part: int, number: int, start: int, doc_ids: list, parts: list[bytes]) -> pd.DataFrame:
+def _block(part: int, number: int, start: int, doc_ids: list, parts: list[bytes]) -> pa.RecordBatch:
     ids = np.frombuffer(b"".join(parts), "<u4")
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
     ends = EliasFano.of(np.cumsum([len(p) // 4 for p in parts]))
     row = (part, number, start, doc_ids, len(ids), width, ids.astype(f"<u{width}").tobytes(), ends.low_bits, ends.low, ends.high, ends.ones)
-    return pd.DataFrame([row], columns=[c.split()[0] for c in TOKEN_TABLE.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _BLOCK.types, strict=True)], schema=_BLOCK)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -177,21 +216,22 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_to
 
     Rows are dealt out by ranges of doc_id, so blocks in order of (part, block) hold the documents
     in ascending doc_id order. A null text is empty: its only id is ``end_id``; null doc_ids come
-    first; repeated rows are written each; other columns are ignored.
+    first; repeated rows are written each; other columns are ignored; an empty table makes an
+    empty one. Ids of documents keep all their 64 bits.
     """
     end = np.array([end_id], "<u4").tobytes()
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, start = TaskContext.get().partitionId(), 0, 0
         words = encoder(tokenizer)
         doc_ids: list = []
         parts: list[bytes] = []
         held = 0
         for b in batches:
-            for at in range(0, len(b), 256):
-                some = b.iloc[at : at + 256]
-                doc_ids += [None if pd.isna(d) else int(d) for d in some["doc_id"]]
-                fresh = [x + end for x in words.encode(some["text"].tolist())]
+            for at in range(0, b.num_rows, 256):
+                some = b.slice(at, 256)
+                doc_ids += some.column(0).to_pylist()
+                fresh = [x + end for x in words.encode(some.column(1).to_pylist())]
                 parts += fresh
                 held += sum(map(len, fresh)) // 4
                 if held >= block_tokens:
@@ -204,41 +244,60 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_to
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange(n, "doc_id", tie).sortWithinPartitions("doc_id", tie)
-    return written(ordered.mapInPandas(encode, TOKEN_TABLE), "token-table", compression="zstd")
-
-
-def read_tokens(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
+    return written(ordered.mapInArrow(encode, TOKEN_TABLE), "token-table", compression="zstd")
+
+
+_DOCUMENT = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+
+def _documents(block: dict, wanted: list[int] | None, with_ids: bool) -> pa.RecordBatch:
+    """Rows of a block's documents, or of the ``wanted`` ones (sorted): select gives their bounds."""
+    ids = np.frombuffer(block["ids"], f"<u{block['width']}")
+    doc_ids = block["doc_ids"]
+    ends = EliasFano(len(doc_ids), block["low_bits"], block["low"], block["high"], block["ones"])
+    if wanted is None:
+        places = range(len(doc_ids))
+    else:
+        nulls = doc_ids.count(None) if doc_ids and doc_ids[0] is None else 0
+        places = []
+        for d in wanted:
+            k = bisect_left(doc_ids, d, nulls)
+            while k < len(doc_ids) and doc_ids[k] == d:
+                places.append(k)
+                k += 1
+    rows = []
+    before, end = -1, 0
+    for k in places:
+        start = end if k == before + 1 else ends.select(k - 1)
+        before, end = k, ends.select(k)
+        own = ids[start:end].astype("<u4")
+        rows.append((block["part"], doc_ids[k], block["start"] + start, end - start, zlib.crc32(own), own.astype(np.int32) if with_ids else None))
+    schema = _DOCUMENT if with_ids else _DOCUMENT.remove(5)
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=False)], schema=schema)
+
+
+def read_tokens(blocks: DataFrame, with_ids: bool = False, doc_ids: list[int] | None = None) -> DataFrame:
     """Per document of a token table: doc_id, start, n_tokens, ids_crc32 and, if asked, ids.
 
     ``start`` counts the ids of all documents before it: the offset in the block, which select
-    gives, plus the block's place in its part, plus the parts before it.
+    gives, plus the block's place in its part, plus the parts before it. With ``doc_ids`` only
+    these documents are read, from the blocks that hold them: two selects give a document's ids,
+    and no other document's bounds or ids are decoded. An empty table gives no rows.
     """
     schema = "part int, doc_id long, at long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    wanted = None if doc_ids is None else sorted(set(doc_ids))
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.itertuples(index=False):
-                ids = np.frombuffer(r.ids, f"<u{r.width}").astype("<u4")
-                ends = EliasFano(len(r.doc_ids), r.low_bits, r.low, r.high, r.ones).decode()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                raw = memoryview(ids).cast("B")
-                out = pd.DataFrame(
-                    {
-                        "part": r.part,
-                        "doc_id": pd.array([None if pd.isna(d) else int(d) for d in r.doc_ids], "Int64"),
-                        "at": starts + r.start,
-                        "n_tokens": ends - starts,
-                        "ids_crc32": [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)],
-                    }
-                )
-                if with_ids:
-                    out["ids"] = [ids[a:z].astype(np.int32) for a, z in zip(starts, ends, strict=True)]
-                yield out
+            for at in range(b.num_rows):
+                yield _documents(b.slice(at, 1).to_pylist()[0], wanted, with_ids)
 
     sizes = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row for each part
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(F.col("part").alias("b_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    docs = blocks.mapInPandas(decode, schema)
+    read = blocks if wanted is None else blocks.where(F.arrays_overlap("doc_ids", F.array(*[F.lit(d).cast("long") for d in wanted]).cast("array<long>")))
+    docs = read.mapInArrow(decode, schema)
     ids = ["ids"] if with_ids else []
     return docs.join(F.broadcast(bases), F.col("part") == F.col("b_part")).select(
         "doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *ids
