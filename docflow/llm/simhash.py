@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,16 +50,16 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        prints = np.fromiter((fingerprint(t) for t in b["text"]), np.uint64, len(b))
-        yield pd.DataFrame({"doc_id": b["doc_id"], "fp": prints.view(np.int64)})
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:  # Arrow, so that ids next to a null keep all their bits
+        prints = np.fromiter((fingerprint(t) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a signed long) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(_fingerprints, "doc_id long, fp long")
+    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -104,45 +105,103 @@ def _flipped(flips: Column, i: int, first: Column, second: Column) -> Column:
     return F.transform(flips, lambda x: _keys(i, first, second.bitwiseXOR(x)))
 
 
-#: More distinct fingerprints than this under one key are linked through pivots instead.
+#: More distinct fingerprints than this under one key are looked up under longer chains.
 HOT_KEY = 2000
 
 
+def _third(start: Column, fp: Column) -> Column:
+    """The third segment of the chain that begins at segment ``start``."""
+    out = _segment(fp, 1)
+    for i in range(len(SEGMENTS)):
+        out = F.when(start == i, _segment(fp, i + 2)).otherwise(out)
+    return out
+
+
+def _flips(width: int, most: int) -> list[int]:
+    """Masks of up to ``most`` (2 at most) bits of a segment."""
+    one = [1 << b for b in range(width)]
+    two = [(1 << b) | (1 << c) for b in range(width) for c in range(b)]
+    return [0, *one, *(two if most > 1 else [])]
+
+
+def _longer_probe_keys(key: Column, exact: Column, fp: Column) -> Column:
+    """``key`` with the third segment, up to two bits of it flipped; one if the second used one."""
+    out = F.array().cast("array<long>")
+    for i in range(len(SEGMENTS)):
+        width, third = SEGMENTS[(i + 2) % len(SEGMENTS)][1], _segment(fp, i + 2)
+        for most, own in ((2, exact), (1, ~exact)):
+            flips = F.lit(_flips(width, most)).cast("array<long>")
+            out = F.when((key.bitwiseAND(7) == i) & own, _longer(flips, key, third)).otherwise(out)
+    return out
+
+
+def _longer(flips: Column, key: Column, third: Column) -> Column:
+    return F.transform(flips, lambda x: _longer_key(key, third.bitwiseXOR(x)))
+
+
+def _longer_key(key: Column, third: Column) -> Column:
+    """Start and three segments: 3 + 13 + 13 + 13 bits."""
+    return F.shiftleft(F.shiftright(key, 3), 16).bitwiseOR(F.shiftleft(third, 3)).bitwiseOR(key.bitwiseAND(7))
+
+
 def links(prints: DataFrame, max_bits: int = MAX_BITS, hot_key: int = HOT_KEY) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that keep all components as they are.
 
-    Each pair at most once: it is taken at the first start whose chain holds. Fingerprints under a
-    key with over ``hot_key`` of them would make a square of pairs; they are linked through pivots
-    instead: two fingerprints differ in 4 bits or fewer exactly if both are within 2 bits of some
-    value, so each is linked to the least fingerprint around each value within 2 bits of it. That
-    is 2081 rows for each of these fingerprints, whatever their number, and loses no component.
+    Each pair at most once: it is taken at the first start whose chain holds. A key with over
+    ``hot_key`` fingerprints is cut by a longer chain: its fingerprints are looked up under three
+    segments, the third up to the bits that the chain has left. Fingerprints that are still over
+    ``hot_key`` under three segments (39 equal bits or all but two) would make a square of pairs
+    whatever the chain; they are linked through pivots: two fingerprints differ in 4 bits or fewer
+    exactly if both are within 2 bits of some value, so each is linked to the least fingerprint
+    around each value within 2 bits of it: 2081 rows for each of these fingerprints, whatever
+    their number, and no component is lost. An empty table gives no links.
     """
     if max_bits != MAX_BITS:
         raise ValueError("segments and pivots are laid out for 4 bits")
     build = prints.select(F.col("fp").alias("b"), F.explode(_build_keys(F.col("fp"))).alias("key"))
     probe = prints.select(F.col("fp").alias("a"), F.explode(_probe_keys(F.col("fp"))).alias("key"))
-    hot = written(build.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_key).select("key"), "hot-keys")
-    any_hot = bool(hot.take(1))
-    if any_hot:
-        build = build.join(hot.hint("merge"), "key", "left_anti")
-    pairs = probe.join(build.hint("merge"), "key").where(F.col("a") < F.col("b"))
-    diff = F.col("a").bitwiseXOR(F.col("b"))
+    hot = _over(build, hot_key, "hot-keys")
+    if not hot.take(1):
+        return _chained(probe.join(build.hint("merge"), "key"), once=True)
+    cold = build.join(hot.hint("merge"), "key", "left_anti")
     start = F.col("key").bitwiseAND(7)
-    pairs = pairs.where(F.bit_count(diff) <= max_bits)
+    longer = written(
+        build.join(hot.hint("merge"), "key", "left_semi").select("b", _longer_key(F.col("key"), _third(start, F.col("b"))).alias("key")), "longer-keys"
+    )
+    own = F.array_contains(_build_keys(F.col("a")), F.col("key"))
+    probed = probe.join(hot.hint("merge"), "key", "left_semi").select("a", F.explode(_longer_probe_keys(F.col("key"), own, F.col("a"))).alias("key"))
+    dense = _over(longer, hot_key, "dense-keys")
+    short_pairs = probe.join(cold.hint("merge"), "key")
+    if not dense.take(1):
+        return _chained(short_pairs.unionByName(probed.join(longer.hint("merge"), "key")), once=True)
+    sparse = longer.join(dense.hint("merge"), "key", "left_anti")
+    # with dense keys left out, the first start may be one of them: keep any start, then distinct
+    kept = _chained(short_pairs.unionByName(probed.join(sparse.hint("merge"), "key")), once=False).distinct()
+    around = written(probed.join(dense.hint("merge"), "key", "left_semi").select(F.col("a").alias("fp")).distinct(), "dense-prints")
+    return kept.unionByName(_pivot_links(around))
+
+
+def _over(keyed: DataFrame, limit: int, label: str) -> DataFrame:
+    """The keys with more than ``limit`` rows."""
+    return written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("key"), label)
+
+
+def _chained(pairs: DataFrame, once: bool) -> DataFrame:
+    """The pairs (a, b) whose chain holds; with ``once``, only under the first start where it does."""
+    diff = F.col("a").bitwiseXOR(F.col("b"))
+    pairs = pairs.where((F.col("a") < F.col("b")) & (F.bit_count(diff) <= MAX_BITS))
     first = F.lit(None).cast("int")
     for i in reversed(range(len(SEGMENTS))):
-        first = F.when(_chain_holds(diff, i, max_bits), F.lit(i)).otherwise(first)
-    if not any_hot:
-        return pairs.where(start == first).select("a", "b")
-    # with hot keys left out, the first start may be one of them: keep any start, then distinct
-    kept = pairs.where(first.isNotNull()).select("a", "b").distinct()
+        first = F.when(_chain_holds(diff, i, MAX_BITS), F.lit(i)).otherwise(first)
+    return pairs.where(F.col("key").bitwiseAND(7) == first if once else first.isNotNull()).select("a", "b")
+
+
+def _pivot_links(dense: DataFrame) -> DataFrame:
     flips = [0, *[1 << i for i in range(64)], *[(1 << i) | (1 << j) for i in range(64) for j in range(i)]]
-    signed = F.array(*[F.lit(f - (1 << 64) if f >> 63 else f).cast("long") for f in flips])
-    dense = written(probe.join(hot.hint("merge"), "key", "left_semi").select(F.col("a").alias("fp")).distinct(), "dense-prints")
+    signed = F.lit([f - (1 << 64) if f >> 63 else f for f in flips]).cast("array<long>")
     around = dense.select("fp", F.explode(signed).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("pivot"))
     least = around.groupBy("pivot").agg(F.min("fp").alias("b"))
-    starred = around.join(least.hint("merge"), "pivot").where(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b")
-    return kept.unionByName(starred.distinct())
+    return around.join(least.hint("merge"), "pivot").where(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -180,8 +239,9 @@ def near_duplicates(docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     prints = written(fingerprints(docs), "fingerprints")
     reps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-prints")
     roots = components(links(reps.select("fp"), hot_key=hot_key))
-    linked = reps.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
+    # both sides are written, so the join exchanges them as they are and Spark can split a large root
+    linked = written(reps.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "roots")
+    least = written(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "least-of-roots")
     named = linked.join(least.hint("merge"), "root").select("fp", "component_id", "root")
     return prints.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id", "root")
 
