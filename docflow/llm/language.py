@@ -1,12 +1,12 @@
 """Operator 3: language ID by prediction by partial matching (PPM) over bytes.
 
 For each language a context tree of the bytes up to three back is counted on a bounded sample of
-labelled documents. A byte is coded in its longest kept context; if it wasn't seen there, an escape
-is coded and the next shorter context is tried, down to an even distribution over 256 bytes
-(escape method C: in a context seen n times with d different bytes, a byte seen c times has
-probability c / (n + d), the escape d / (n + d)). Statistics are frozen, so the code length of a
-byte depends on its three predecessors only and every language's lengths fit into one table: a
-context leads to a row of the tree, row and byte to the lengths for all languages. A text's code
+labelled documents; every context of the sample is kept. A byte is coded in its longest context
+seen; if it wasn't seen there, an escape is coded and the next shorter context is tried, down to
+an even distribution over 256 bytes (escape method C: in a context seen n times with d different
+bytes, a byte seen c times has probability c / (n + d), the escape d / (n + d)). Statistics are
+frozen, so the length of a byte depends on its three predecessors only, and the lengths of all
+languages are looked up together in sparse tables, one for each context length. A text's code
 length is summed exactly over its whole bytes; the language with the shortest one wins.
 """
 
@@ -26,10 +26,6 @@ from docflow.llm.shared import table
 ORDER = 3
 #: Distinct texts of each language that the model is fitted on (at most); they are taken whole.
 SAMPLE_DOCS = 400
-#: Contexts of three bytes that the tree keeps, the most frequent ones of all languages.
-MAX_CONTEXTS = 8_000
-#: Bytes with rows of their own; the rarer ones of the sample share a symbol.
-MAX_SYMBOLS = 128
 UNDETERMINED = "und"
 #: A text whose shortest code is longer than this many bits a byte is in no learned language:
 #: an even distribution over all bytes, which has learned nothing, takes 8.
@@ -40,28 +36,56 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+@dataclass(frozen=True)
+class Level:
+    """Contexts of one length: ``grams`` (context and next byte, as sorted ints) with the whole
+    lengths of that byte in each language, and ``contexts`` with the escapes of each language
+    (0 where the language hasn't seen the context: it falls through)."""
+
+    grams: np.ndarray
+    bits: np.ndarray
+    contexts: np.ndarray
+    escapes: np.ndarray
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``wanted`` are among the sorted ``keys``, and the places of those."""
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[place] == wanted
+    return hit, place[hit]
+
+
 @dataclass(frozen=True)
 class Model:
-    """``row[a, b, c]`` is the tree's row for the context; ``bits[row, byte]`` a length a language."""
+    """``levels[k]`` holds the contexts of k bytes; without a sample there are no languages."""
 
     langs: tuple[str, ...]
-    symbol: np.ndarray  # (256,) symbol of a byte
-    row: np.ndarray  # (s * s * s,) int32
-    bits: np.ndarray  # (rows * s, languages) float32
+    levels: tuple[Level, ...]
 
     def code_lengths(self, text: str) -> np.ndarray:
         """Bits of the whole text in each language; contexts before its start are zero bytes."""
         raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        n_symbols = np.int64(self.symbol.max()) + 1
-        total = np.zeros(len(self.langs))
         padded = np.concatenate([np.zeros(ORDER, np.uint8), raw])
+        total = np.zeros(len(self.langs))
         for at in range(0, len(raw), 1 << 16):  # blocks bound the memory, not the text
-            s = self.symbol[padded[at : at + (1 << 16) + ORDER]].astype(np.int64)
-            context = (s[:-3] * n_symbols + s[1:-2]) * n_symbols + s[2:-1]
-            cell = self.row[context] * n_symbols + s[3:]
-            total += self.bits.take(cell, axis=0).sum(axis=0, dtype=np.float64)
+            x = padded[at : at + (1 << 16) + ORDER].astype(np.uint32)
+            total += self._lengths((x[:-3] << 24) | (x[1:-2] << 16) | (x[2:-1] << 8) | x[3:])
         return total
 
+    def _lengths(self, grams: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(self.langs))
+        for order in range(ORDER, -1, -1):
+            level = self.levels[order]
+            grams = grams & np.uint32((1 << 8 * (order + 1)) - 1)
+            hit, place = _found(level.grams, grams)
+            total += level.bits.take(place, axis=0).sum(axis=0, dtype=np.float64)
+            grams = grams[~hit]
+            if not len(grams):
+                return total
+            _, place = _found(level.contexts, grams >> 8)
+            total += level.escapes.take(place, axis=0).sum(axis=0, dtype=np.float64)
+        return total + 8.0 * len(grams)
+
 
 def gram_counts(sample: DataFrame) -> DataFrame:
     """lang, gram (four bytes as an int), n: how often each byte follows each three-byte context."""
@@ -113,59 +137,34 @@ def training_sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFram
     return few.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_contexts: int = MAX_CONTEXTS) -> Model:
-    """Fit on the sample; the driver gets its distinct four-byte counts, never a text."""
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+    """Fit on the sample; the driver gets its distinct four-byte counts, never a text.
+
+    The tables grow with the sample's distinct four-byte strings times its languages, so with
+    ``sample_docs`` and the number of languages, not with the corpus.
+    """
     counts = gram_counts(training_sample(docs, sample_docs)).toPandas()
     langs = tuple(sorted(counts["lang"].unique()))
     if not langs:
-        return Model((), np.zeros(256, np.int16), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
+        return Model((), ())
     grams, n = counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
     lang = np.searchsorted(np.array(langs, object), counts["lang"].to_numpy(object))
-    # symbols: 0 for all rare bytes together, else one for each byte
-    seen = np.bincount(grams & 255, n, 256)
-    own = [b for b in np.argsort(-seen, kind="stable")[: MAX_SYMBOLS - 1] if seen[b] > 0]
-    symbol = np.zeros(256, np.int16)
-    symbol[own] = np.arange(1, len(own) + 1)
-    size = len(own) + 1
-    s = [symbol[(grams >> k) & 255].astype(np.int64) for k in (24, 16, 8, 0)]
-
-    # lengths by order, from none to three bytes of context; each is dense over its kept contexts
-    even = np.full((1, size, len(langs)), np.log2(256.0))
-    bits = even
-    levels = []
+    levels: list[Level] = []
     for order in range(ORDER + 1):
-        context = np.zeros(len(grams), np.int64)
-        for k in range(order):
-            context = context * size + s[3 - order + k]
-        total = np.bincount(context, n, size**order)
-        kept = np.flatnonzero(total > 0)
-        if order == ORDER and len(kept) > max_contexts:
-            kept = np.sort(kept[np.argsort(-total[kept], kind="stable")[:max_contexts]])
-        place = np.full(size**order, -1, np.int64)
-        place[kept] = np.arange(len(kept))
-        inside = place[context] >= 0
-        c = np.zeros((len(kept), size, len(langs)))
-        np.add.at(c, (place[context[inside]], s[3][inside], lang[inside]), n[inside])
+        keys, row = np.unique(grams & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+        c = np.bincount(row * len(langs) + lang, n, len(keys) * len(langs)).reshape(len(keys), len(langs))
+        contexts, of = np.unique(keys >> 8, return_inverse=True)
+        starts = np.searchsorted(of, np.arange(len(contexts)))  # keys of one context follow each other
+        total, distinct = np.add.reduceat(c, starts), np.add.reduceat(c > 0, starts, dtype=np.float64)
+        below = 8.0
         if order:
-            shorter = levels[-1][0][kept % size ** (order - 1)]
-            below = bits[shorter]
-        else:
-            below = np.repeat(even, len(kept), axis=0)
-        d, sum_n = (c > 0).sum(axis=1, keepdims=True), c.sum(axis=1, keepdims=True)
+            shorter = levels[-1]
+            below = shorter.bits[np.searchsorted(shorter.grams, keys & ((1 << 8 * order) - 1))]
         with np.errstate(divide="ignore", invalid="ignore"):
-            coded = -np.log2(c / (sum_n + d))
-            escape = np.where(sum_n > 0, -np.log2(d / (sum_n + d)), 0.0)  # a language without the context falls through
-        bits = np.where(c > 0, coded, escape + below)
-        levels.append((place, bits))
-    # one table of rows: all levels below each other; a context takes its longest kept suffix
-    first = np.cumsum([0, *[len(b) for _, b in levels]])
-    context = np.arange(size**ORDER)
-    row = np.full(size**ORDER, -1)
-    for order in range(ORDER, -1, -1):
-        place = levels[order][0][context % size**order]
-        row = np.where((row < 0) & (place >= 0), first[order] + place, row)
-    stacked = np.concatenate([b for _, b in levels])
-    return Model(langs, symbol, np.maximum(row, 0).astype(np.int32), stacked.reshape(-1, len(langs)).astype(np.float32))
+            escapes = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
+            bits = np.where(c > 0, -np.log2(c / (total + distinct)[of]), escapes[of] + below)
+        levels.append(Level(keys.astype(np.uint32), bits, contexts.astype(np.uint32), escapes.astype(np.float32)))
+    return Model(langs, tuple(Level(x.grams, x.bits.astype(np.float32), x.contexts, x.escapes) for x in levels))
 
 
 def language(text: Column, model: Model, spark: SparkSession) -> Column:
@@ -175,7 +174,7 @@ def language(text: Column, model: Model, spark: SparkSession) -> Column:
     byte. A text that is null or has no letter, and any text if no language was learned, is
     ``und`` with score 0 and null bits.
     """
-    shared = spark.sparkContext.broadcast(model)  # bounded by MAX_CONTEXTS and MAX_SYMBOLS
+    shared = spark.sparkContext.broadcast(model)  # bounded by SAMPLE_DOCS texts a language
 
     @F.pandas_udf("lang string, score double, bits double")
     def predict(texts: pd.Series) -> pd.DataFrame:
@@ -212,6 +211,9 @@ def known_language_only(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Data
     """``docs`` with all its columns, without the texts in no learned language.
 
     Those are ``und`` texts and texts whose shortest code takes over :data:`MOST_BITS` a byte.
+    Defined cases: null, empty and letterless texts go; if no language was learned (no labelled
+    text, an empty table) all go; null ids and null labels don't matter; repeated rows are judged
+    each; no other column is looked at and none is changed.
     """
     found = language(F.col("text").cast("string"), fit(docs, sample_docs), docs.sparkSession)
     return docs.where(F.coalesce(found["bits"] <= MOST_BITS, F.lit(False)))
