@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm.shared import table, written
+from docflow.llm.shared import let, scanned, table, written
 
 KEY_WORDS = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
 
@@ -98,9 +98,14 @@ def trigram_query(regex: str) -> list[frozenset[str]] | None:
     return sorted(set(branches), key=sorted)
 
 
+def _key() -> Column:
+    """What postings name a row by: a hash of id and text, so rows without an id don't gather."""
+    return F.xxhash64("doc_id", "text")
+
+
 def trigram_postings(docs: DataFrame, trigrams: list[str], n_buckets: int) -> DataFrame:
     """The inverted index: (trigram number, bucket, doc keys) for the given lower-case trigrams."""
-    low = docs.select(F.xxhash64("doc_id").alias("key"), F.lower(F.col("text")).alias("low"))
+    low = docs.select(_key().alias("key"), F.lower(F.col("text")).alias("low"))
     held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
     return (
         low.select("key", F.explode(held).alias("trigram"))
@@ -131,27 +136,32 @@ def candidates(postings: DataFrame, queries: dict[int, list[frozenset[str]]], tr
     )
 
 
-def spans_of(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct<start,kind,end,word>> of the rule's matches, in code points.
+_SPANS = "ARRAY<STRUCT<start: INT, kind: INT, `end`: INT, name: STRING, at: INT, `to`: INT>>"
+_MATCHES = "ARRAY<STRUCT<gap: STRING, hit: STRING, word: STRING>>"
 
-    Java's regex functions give texts, not places; the lengths of the pieces between the matches
-    and of the matches add up to the places.
-    """
-    pieces = F.split(text, rule.regex, -1)
-    found = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
+
+def matches_of(text: Column, rule: Rule) -> Column:
+    """The rule's matches: array of the piece before each (gap), its text (hit) and its group (word)."""
+    gaps = F.split(text, rule.regex, -1)
+    hits = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
     words = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group))
-    empty = "CAST(array() AS ARRAY<STRUCT<start: INT, kind: INT, `end`: INT, name: STRING>>)"
-    start = F.struct(F.lit(0).alias("at"), F.expr(empty).alias("out"))
+    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("0"), hits.alias("1"), words.alias("2")).cast(_MATCHES)
+    return F.when(text.rlike(rule.regex), zipped).otherwise(F.array().cast(_MATCHES))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.char_length(x["0"])
-        end = begin + F.char_length(x["1"])
-        span = F.struct(begin.alias("start"), F.lit(order).alias("kind"), end.alias("end"), F.lit(rule.kind).alias("name"))
-        kept = F.when(F.char_length(x["2"]) >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), kept.alias("out"))
 
-    zipped = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("0"), found.alias("1"), words.alias("2"))
-    return F.when(text.rlike(rule.regex), F.aggregate(zipped, start, step, lambda a: a["out"])).otherwise(F.expr(empty))
+def spans_of(matches: str, rule: Rule, order: int) -> str:
+    """SQL for array<struct<start,kind,end,name,at,to>> of a column of :func:`matches_of`: start
+    and end in code points, at and to in bytes.
+
+    Java's regex functions give texts, not places; the lengths of the pieces between the matches
+    and of the matches add up to the places.
+    """
+    upto = lambda size: scanned(f"transform(ms, m -> {size}(m.gap) + {size}(m.hit))", "{a} + {b}")
+    place = "cast(get({0}, i) - {1}(m.hit) as int) as {2}, cast(get({0}, i) as int) as {3}"
+    span = f"struct({place.format('ends', 'char_length', 'start', '`end`')}, {place.format('stops', 'octet_length', 'at', '`to`')})"
+    kept = f"transform(ms, (m, i) -> CASE WHEN char_length(m.word) >= {rule.least} THEN {span} END)"
+    each = f"transform(array_compact({let('ends', upto('char_length'), let('stops', upto('octet_length'), kept))}), s -> named_struct('start', s.start, 'kind', {order}, 'end', s.`end`, 'name', '{rule.kind}', 'at', s.at, 'to', s.`to`))"
+    return let("ms", matches, f"CASE WHEN size(ms) = 0 THEN cast(array() as {_SPANS}) ELSE {each} END")
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -175,38 +185,44 @@ def _scanned(docs: DataFrame, rules: tuple[Rule, ...], keep: tuple[str, ...]) ->
         hits = written(candidates(postings, queries, trigrams), "secret-candidates")
         side = hits.select(F.col("key").alias("c_key"), F.col("mask").alias("c_mask"))
         side = F.broadcast(side) if hits.count() <= BROADCAST_CANDIDATES else side.hint("merge")
-        base = base.join(side, F.xxhash64("doc_id") == F.col("c_key"), "left")
+        base = base.join(side, _key() == F.col("c_key"), "left")
     else:
         base = base.withColumn("c_mask", F.lit(0))
     mask = F.coalesce(F.col("c_mask"), F.lit(0))
-    none = F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, kind: INT, `end`: INT, name: STRING>>)")
-    parts = []
+    none = F.array().cast(_MATCHES)
+    matches = []
     for i, rule in enumerate(rules):
-        spans = spans_of(F.col("text"), rule, i)
-        parts.append(F.when(mask.bitwiseAND(1 << i) != 0, spans).otherwise(none) if i in queries else spans)
-    return base.select("row", "text", F.array_sort(F.concat(*parts)).alias("found"))
-
+        own = matches_of(F.col("text"), rule)
+        matches.append((F.when(mask.bitwiseAND(1 << i) != 0, own).otherwise(none) if i in queries else own).alias(f"m{i}"))
+    spans = [spans_of(f"m{i}", rule, i) for i, rule in enumerate(rules)]
+    return base.select("row", "text", *matches).select("row", "text", F.expr(f"array_sort(concat({', '.join(spans)}))").alias("found"))
 
-def redacted(text: Column, found: Column) -> Column:
-    """``text`` with every span of ``found`` (sorted by start) replaced by <kind>; overlaps merge."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        label = F.when(x["start"] >= acc["at"], F.concat(F.lit("<"), x["name"], F.lit(">"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], gap, label).alias("out"))
+def redacted(text: str = "text", found: str = "found") -> Column:
+    """``text`` with every span of ``found`` (sorted by start) replaced by <kind>; overlaps merge.
 
-    whole = F.aggregate(found, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
-    return F.when(F.size(found) == 0, text).otherwise(whole)
+    The pieces between the spans are cut out of the text's bytes, so each costs its own length.
+    """
+    cut = "cast(substring(raw, cast({0} + 1 as int), cast(greatest({1} - {0}, 0L) as int)) as string)"
+    before = "coalesce(get(reach, {0} - 1), 0L)"
+    label = f"CASE WHEN s.at >= {before.format('i')} THEN concat('<', s.name, '>') ELSE '' END"
+    parts = f"transform({found}, (s, i) -> concat({cut.format(before.format('i'), 's.at')}, {label}))"
+    rest = cut.format(before.format("size(reach)"), "octet_length(raw)")
+    reach = scanned(f"transform({found}, s -> s.`to`)", "greatest({a}, {b})")
+    whole = let("raw", f"cast({text} as binary)", let("reach", reach, f"concat(array_join({parts}, ''), {rest})"))
+    return F.expr(f"CASE WHEN size({found}) = 0 THEN {text} ELSE {whole} END")
 
 
 def without_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with all its columns, each secret in the text replaced by its <kind>.
 
-    A column n_chars, if there is one, follows the new text. A null text becomes empty.
+    A column n_chars, if there is one, follows the new text. Defined cases: a null text becomes
+    empty; rows with a null or repeated doc_id, and repeated rows, are masked each by their own
+    text; every row stays; other columns are not changed, whatever their names; an empty table
+    gives no rows; texts are masked whole.
     """
     others = [c for c in docs.columns if c != "text"]
-    clean = _scanned(docs, rules, tuple(others)).select("row", redacted(F.col("text"), F.col("found")).alias("text"))
+    clean = _scanned(docs, rules, tuple(others)).select("row", redacted().alias("text"))
     out = {c: F.col("row")[c] for c in others} | {"text": F.col("text")}
     if "n_chars" in others:
         out["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
