@@ -2,12 +2,14 @@
 
 Encoding is agenda processing: all adjacent pairs whose concatenation is a piece are candidates,
 the best-scored (then leftmost) one is merged, and its new neighbours join the agenda. With
-dropout, a candidate is skipped if a hash of (seed, variant, word, left piece, right piece) falls
-below the dropout rate. A text's variant is a hash of seed and text, so the same run gives the same
-segmentation on any cluster, while other seeds and variants give others; all decode to the text.
+dropout, a candidate is skipped if a hash keyed by the seed, the document, the word's place in it,
+the candidate's place in the word and its two pieces falls below the dropout rate. So every
+occurrence of a word draws for itself, the same run gives the same segmentation on any cluster,
+and other seeds give others; all decode to the text.
 
 Pieces hold a space mark only in front, never a line break, so words with the spaces before them
-are encoded on their own and a task keeps the ids of words that it has seen.
+are encoded on their own, many at a time: the agendas of thousands of words are the columns of one
+matrix, and each round does the first entry of every agenda.
 """
 
 from __future__ import annotations
@@ -19,28 +21,44 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docflow.llm.shared import table
 
 MARK = "▁"
-SEED, DROPOUT, VARIANTS = 20_240_101, 0.1, 4
-#: Words of at most so many characters are merged many at a time, longer ones by a heap.
-BATCHED_CHARS = 40
-CACHED_WORDS = 300_000
-MIX = 0x9E3779B97F4A7C15
+SEED, DROPOUT = 20_240_101, 0.1
+#: Words of up to so many characters share a matrix; longer ones have a heap each. (Results are equal.)
+WIDTHS = (4, 6, 8, 10, 13, 18, 40)
+#: Words encoded together.
+SLICE_WORDS = 1 << 14
+MIX, MORE = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 M64 = (1 << 64) - 1
 TOKEN = re.compile(" *[^ \n]+| +|\n")
 #: Symbols from here on stand for characters without a piece; they never merge.
 LOOSE = 1 << 20
+FAR = np.int64(1) << 62
 
 
-def _skip_hash(word_key: int, left: int, right: int) -> int:
-    x = (word_key ^ ((left << 32 | right) * MIX & M64)) * MIX & M64
-    return x >> 40  # 24 bits
+def _occurrences(document: int, n: int) -> np.ndarray:
+    """A key for each of the document's ``n`` words."""
+    x = np.uint64(document & M64) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(MIX)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MORE)
+    return x ^ (x >> np.uint64(27))
+
+
+def _draw(keys, candidates):
+    """24 hash bits of each occurrence key and candidate (place << 40 | left << 20 | right)."""
+    x = (keys ^ (candidates * np.uint64(MIX))) * np.uint64(MORE)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(MIX)
+    return x >> np.uint64(40)
+
+
+def _draw_one(key: int, candidate: int) -> int:
+    x = (key ^ (candidate * MIX & M64)) * MORE & M64
+    return (x ^ x >> 29) * MIX % (1 << 64) >> 40
 
 
 class PieceCodec:
@@ -74,12 +92,7 @@ class PieceCodec:
                 if a is not None and b is not None:
                     merges[a, b] = (rank[score[i]], i)
         self.merges = merges
-        keys = np.array([a << 32 | b for a, b in merges], np.int64)
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        both = np.array(list(merges.values()), np.int64).reshape(-1, 2)[order]
-        self.ranks, self.made = both[:, 0], both[:, 1]
-        self.known: dict[int, dict[str, bytes]] = {}
+        self._hash(np.array([a << 32 | b for a, b in merges], np.int64), np.array(list(merges.values()), np.int64).reshape(-1, 2))
         self.of_code_point = np.arange(0x110000, dtype=np.int64) + LOOSE
         for p, i in self.char.items():
             self.of_code_point[ord(p)] = i
@@ -99,8 +112,8 @@ class PieceCodec:
                 out += [self.byte_id[b] for b in chr(s - LOOSE).encode("utf-8", "surrogatepass")]
         return out
 
-    def agenda(self, word: str, word_key: int) -> list[int]:
-        """Ids of one word by a heap of candidate merges: n log n for any length."""
+    def agenda(self, word: str, key: int) -> list[int]:
+        """Ids of one occurrence of a word by a heap of candidate merges: n log n for any length."""
         sym: list[int | None] = list(self.symbols(word))
         n = len(sym)
         prev, following = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -108,7 +121,7 @@ class PieceCodec:
 
         def offer(i: int) -> None:
             j = following[i]
-            if j < n and (m := self.merges.get((sym[i], sym[j]))) and not (self.limit and _skip_hash(word_key, sym[i], sym[j]) < self.limit):
+            if j < n and (m := self.merges.get((sym[i], sym[j]))) and not (self.limit and _draw_one(key, (i << 40 | sym[i] << 20 | sym[j]) & M64) < self.limit):
                 heapq.heappush(heap, (m[0], i, sym[i], sym[j], m[1]))
 
         for i in range(n - 1):
@@ -127,87 +140,132 @@ class PieceCodec:
             offer(i)
         return self._ids([s for s in sym if s is not None])
 
-    def batch(self, words: list[str], word_keys: list[int]) -> list[bytes]:
-        """The same for many short words: each round does the first agenda entry of every word."""
+    def _hash(self, pairs: np.ndarray, results: np.ndarray) -> None:
+        """A table of the merges with open addresses: slots of pair, rank and result."""
+        self.bits = max(4, int(len(pairs)).bit_length() + 3)
+        size = 1 << self.bits
+        self.slots = np.full(size, -1, np.int64)
+        of_slot = np.zeros((size, 2), np.int64)
+        at, left, self.probes = self._slot(pairs), np.arange(len(pairs)), 0
+        while len(left):
+            self.probes += 1
+            free = np.flatnonzero(self.slots[at[left]] < 0)
+            _, first = np.unique(at[left[free]], return_index=True)
+            won = left[free[first]]
+            self.slots[at[won]], of_slot[at[won]] = pairs[won], results[won]
+            left = np.setdiff1d(left, won)
+            at[left] = (at[left] + 1) & (size - 1)
+        self.ranks, self.made = of_slot[:, 0].copy(), of_slot[:, 1].copy()
+
+    def _slot(self, pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.astype(np.uint64) * np.uint64(MIX)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _candidates(self, left, right, place, keys) -> tuple[np.ndarray, np.ndarray]:
+        """Agenda entry (rank << 6 | place) and result of merging ``left`` with ``right``; FAR if none."""
+        pair = left << 32 | right
+        at = self._slot(pair)
+        got = self.slots[at]
+        rest = np.flatnonzero((got != pair) & (got >= 0))
+        for _ in range(self.probes - 1):
+            if not len(rest):
+                break
+            at[rest] = (at[rest] + 1) & (len(self.slots) - 1)
+            got[rest] = self.slots[at[rest]]
+            rest = rest[(got[rest] != pair[rest]) & (got[rest] >= 0)]
+        found = np.flatnonzero((got == pair) & (pair >= 0))
+        entry, made = np.full(len(pair), FAR), np.zeros(len(pair), np.int64)
+        if self.limit and len(found):
+            candidate = (place[found] << 40 | left[found] << 20 | right[found]).astype(np.uint64)
+            found = found[_draw(keys[found], candidate) >= np.uint64(self.limit)]
+        at = at[found]
+        entry[found], made[found] = self.ranks[at] << 6 | place[found], self.made[at]
+        return entry, made
+
+    def _matrix(self, words: list[str], keys: np.ndarray, width: int) -> list[bytes]:
+        """Ids of words of up to ``width`` characters; a word is a column, a symbol a cell.
+
+        Row ``width`` is beyond the ends of all words: it holds no symbol and takes no entry.
+        """
+        n = len(words)
+        sizes = np.fromiter(map(len, words), np.int64, n)
         flat = self.of_code_point[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")]
-        word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
-        keys = np.array(word_keys, np.uint64)
-        far = np.int64(1) << 62
-        rank, made = self._candidates(flat, word, keys)
-        ended_flat, ended_word = [], []
-        while len(flat):
-            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            best = np.minimum.reduceat(rank, starts)
-            lengths = np.diff(np.r_[starts, len(word)])
-            ended = best == far
-            if ended.any():  # nothing left to merge in these words
-                gone = np.repeat(ended, lengths)
-                ended_flat.append(flat[gone])
-                ended_word.append(word[gone])
-                keep = ~gone
-                flat, word, rank, made = flat[keep], word[keep], rank[keep], made[keep]
-                best, lengths = best[~ended], lengths[~ended]
-                if not len(flat):
+        column = np.repeat(np.arange(n), sizes)
+        row = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        sym = np.full((width + 1, n), -1, np.int64)
+        sym[row, column] = flat
+        following = np.repeat(np.minimum(np.arange(1, width + 2), width)[:, None], n, axis=1)
+        before = np.repeat(np.r_[width, np.arange(width)][:, None], n, axis=1)
+        entry, made = np.full((width + 1, n), FAR), np.zeros((width + 1, n), np.int64)
+        inner = np.flatnonzero(row + 1 < sizes[column])
+        own = row[inner], column[inner]
+        entry[own], made[own] = self._candidates(flat[inner], flat[inner + 1], row[inner], keys[column[inner]])
+        at_end = sizes - 1
+        following[at_end, np.arange(n)] = width
+        out = np.full((width, n), -1, np.int64)
+        name = np.arange(n)
+        while n:
+            best = entry.min(axis=0)
+            live = np.flatnonzero(best < FAR)
+            if len(live) < 0.75 * n or not len(live):
+                done = np.flatnonzero(best >= FAR)
+                out[:, name[done]] = sym[:width, done]
+                sym, following, before, entry, made = (np.ascontiguousarray(x[:, live]) for x in (sym, following, before, entry, made))
+                name, keys, best, n = name[live], keys[live], best[live], len(live)
+                live = np.arange(n)
+                if not n:
                     break
-            hit = np.flatnonzero(rank == np.repeat(best, lengths))
-            hit = hit[np.r_[True, word[hit[1:]] != word[hit[:-1]]]]  # the leftmost of each word
-            flat[hit] = made[hit]
-            keep = np.ones(len(flat), bool)
-            keep[hit + 1] = False
-            at = hit - np.arange(len(hit))  # one symbol went before each further hit
-            flat, word, rank, made = flat[keep], word[keep], rank[keep], made[keep]
-            touched = np.zeros(len(flat), bool)
-            touched[at] = touched[np.maximum(at - 1, 0)] = True
-            again = np.flatnonzero(touched)
-            rank[again], made[again] = self._candidates(flat, word, keys, again)
-        flat, word = np.concatenate(ended_flat), np.concatenate(ended_word)
-        order = np.argsort(word, kind="stable")
-        flat, word = flat[order], word[order]
-        cuts = np.r_[np.flatnonzero(np.r_[True, word[1:] != word[:-1]]), len(word)]
+            s, f, b, e, m = sym.ravel(), following.ravel(), before.ravel(), entry.ravel(), made.ravel()
+            place = best[live] & 63
+            at = place * n + live
+            gone = f[at] * n + live
+            merged = m[at]
+            s[at], s[gone], e[gone] = merged, -1, FAR
+            after, prior = f[gone], b[at]
+            f[at] = after
+            b[after * n + live] = place
+            to, back = after * n + live, prior * n + live
+            k = keys[live]
+            both = self._candidates(np.r_[merged, s[back]], np.r_[s[to], merged], np.r_[place, prior], np.r_[k, k])
+            e[at], m[at] = both[0][: len(at)], both[1][: len(at)]
+            e[back], m[back] = both[0][len(at) :], both[1][len(at) :]
+        cells = out.T
+        held = cells >= 0
+        flat, counts = cells[held], held.sum(axis=1)
         raw = flat.astype("<i4").tobytes()
-        out = [raw[4 * a : 4 * z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        for w in np.unique(word[flat >= LOOSE]).tolist():  # characters without a piece become bytes
-            out[w] = np.array(self._ids(flat[cuts[w] : cuts[w + 1]].tolist()), "<i4").tobytes()
+        cuts = np.r_[0, np.cumsum(counts)].tolist()
+        coded = [raw[4 * a : 4 * z] for a, z in zip(cuts, cuts[1:], strict=False)]
+        for w in np.unique(np.repeat(np.arange(len(words)), counts)[flat >= LOOSE]).tolist():  # characters without a piece become bytes
+            coded[w] = np.array(self._ids(flat[cuts[w] : cuts[w + 1]].tolist()), "<i4").tobytes()
+        return coded
+
+    def _encode_words(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        least = 0
+        for width in WIDTHS:
+            chosen = np.flatnonzero((sizes > least) & (sizes <= width))
+            least = width
+            if len(chosen):
+                places = chosen.tolist()
+                for k, ids in zip(places, self._matrix([words[k] for k in places], keys[chosen], width), strict=True):
+                    out[k] = ids
+        for k in np.flatnonzero(sizes > least).tolist():
+            out[k] = np.array(self.agenda(words[k], int(keys[k])), "<i4").tobytes()
         return out
 
-    def _candidates(self, flat, word, keys, at=None) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and result of the merge of each symbol (or those ``at``) with the next one."""
-        at = np.arange(len(flat)) if at is None else at
-        rank, made = np.full(len(at), np.int64(1) << 62), np.zeros(len(at), np.int64)
-        inner = np.flatnonzero((at + 1 < len(flat)) & (word[np.minimum(at + 1, len(flat) - 1)] == word[at]))
-        left, right = flat[at[inner]], flat[at[inner] + 1]
-        pair = left << 32 | right
-        place = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-        found = self.keys[place] == pair
-        if self.limit:
-            mix = np.uint64(MIX)
-            x = (keys[word[at[inner]]] ^ (pair.astype(np.uint64) * mix)) * mix
-            found &= (x >> np.uint64(40)).astype(np.int64) >= self.limit
-        rank[inner[found]], made[inner[found]] = self.ranks[place[found]], self.made[place[found]]
-        return rank, made
-
-    def encode(self, texts: list[str], variants: list[int]) -> list[np.ndarray]:
-        """Ids of whole texts."""
-        full = sum(map(len, self.known.values())) >= CACHED_WORDS
+    def encode(self, texts: list[str], documents: list[int]) -> list[np.ndarray]:
+        """Ids of whole texts; ``documents`` are the keys of their draws."""
         split = [TOKEN.findall(" " + t) if t else [] for t in texts]
-        extra: dict[int, dict[str, bytes]] = {}
-        for v in set(variants):
-            known = self.known.setdefault(v, {})
-            new = list(set().union(*[ws for ws, w in zip(split, variants, strict=True) if w == v]).difference(known))
-            keys = [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), (self.seed * 1_000_003 + v) & M64) for w in new]
-            short = [k for k, w in enumerate(new) if len(w) <= BATCHED_CHARS]
-            words = [new[k] for k in short]
-            coded = dict(zip(words, self.batch(words, [keys[k] for k in short]), strict=True)) if short else {}
-            extra[v] = {w: np.array(self.agenda(w, k), "<i4").tobytes() for w, k in zip(new, keys, strict=True) if len(w) > BATCHED_CHARS}
-            (extra[v] if full else known).update(coded)
-        out = []
-        for ws, v in zip(split, variants, strict=True):
-            known, more = self.known[v], extra[v]
-            if more:
-                out.append(b"".join([known[w] if w in known else more[w] for w in ws]))
-            else:
-                out.append(b"".join(map(known.__getitem__, ws)))
-        return [np.frombuffer(x, "<i4") for x in out]
+        words = [w for ws in split for w in ws]
+        keys = np.concatenate([_occurrences(d ^ self.seed * MIX, len(ws)) for ws, d in zip(split, documents, strict=True)]) if split else np.zeros(0, np.uint64)
+        coded: list[bytes] = []
+        for at in range(0, len(words), SLICE_WORDS):
+            coded += self._encode_words(words[at : at + SLICE_WORDS], keys[at : at + SLICE_WORDS])
+        out, at = [], 0
+        for ws in split:
+            out.append(np.frombuffer(b"".join(coded[at : at + len(ws)]), "<i4"))
+            at += len(ws)
+        return out
 
     def decode(self, ids) -> str:
         """The text of the ids: bytes of the pieces, without the space put in front."""
@@ -221,31 +279,32 @@ def codec(model: str, seed: int, dropout: float) -> PieceCodec:
     return PieceCodec(model, seed, dropout)
 
 
-def variant_of(text: Column, seed: int, variants: int) -> Column:
-    return F.pmod(F.xxhash64(text, F.lit(seed)), F.lit(variants)).cast("int")
-
-
-def encode_pieces(docs: DataFrame, model: str, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of ``docs``, the text's ``variant``, its ``ids`` and ``lossless``.
+def encode_pieces(docs: DataFrame, model: str, seed: int = SEED, dropout: float = DROPOUT, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of ``docs``, the text's ``ids`` and ``lossless``.
 
-    ``lossless`` says that decoding the ids gave the text back. Defined cases: a null text counts
-    as empty and has no ids; repeated rows come back each (and alike); other columns are ignored;
-    an empty table gives no rows; texts are encoded whole.
+    ``lossless`` says that decoding the ids gave the text back. A document's draws are keyed by
+    its doc_id and text, so copies under other ids get other segmentations. Defined cases: a null
+    text counts as empty and has no ids; a null doc_id is a key like others; repeated rows come
+    back each (and alike); columns that aren't asked for are ignored, those that are keep their
+    values whatever their type; an empty table gives no rows; texts are encoded whole.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = codec(model, seed, dropout)
         for b in batches:
-            for at in range(0, len(b), 128):  # few documents at a time bound the memory
-                some = b.iloc[at : at + 128]
-                ids = words.encode(some["_text"].tolist(), some["variant"].tolist())
-                lossless = [words.decode(x.tolist()) == t for x, t in zip(ids, some["_text"], strict=True)]
-                yield some.drop(columns="_text").assign(ids=ids, lossless=lossless)
-
-    rows = docs.select(*keep, variant_of(text, seed, variants).alias("variant"), text.alias("_text"))
-    schema = T.StructType([*rows.drop("_text").schema, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
-    return rows.mapInPandas(encode, schema)
+            for at in range(0, b.num_rows, 128):  # few documents at a time bound the memory
+                some = b.slice(at, 128)
+                *kept, keys, column = some.columns
+                texts = column.to_pylist()
+                ids = words.encode(texts, keys.to_pylist())
+                lossless = [words.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]
+                lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)]).astype(np.int32), np.concatenate([*ids, np.zeros(0, "<i4")]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(lossless)], [*keep, "ids", "lossless"])
+
+    rows = docs.select(*keep, F.xxhash64("doc_id", text).alias("_key"), text.alias("_text"))
+    schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
+    return rows.mapInArrow(encode, schema)
 
 
 def decode_pieces(coded: DataFrame, model: str) -> DataFrame:

@@ -185,9 +185,28 @@ def test_pieces_vary_and_decode(spark):
     assert all(r.lossless for run in runs for r in run)
     back = {r.doc_id: r.text for r in pieces.decode_pieces(pieces.encode_pieces(df, path), path).collect()}
     assert all(back[i] == (t or "") for i, t in enumerate(ODD))
+
+
+def test_each_occurrence_draws_for_itself():
+    path = public_tokenizers.path("piece_bpe_32k.model")
     codec = pieces.PieceCodec(path, dropout=0.3)
-    words = [" internationalization", " a", "xyz.", " ééé😀"]
-    assert codec.batch(words, [11, 12, 13, 14]) == [np.array(codec.agenda(w, k), "<i4").tobytes() for w, k in zip(words, [11, 12, 13, 14])]
+    text = "internationalization of the representation " * 400 + "ééé😀 xyz. 日本 " + "a" * 39 + " " + "the" * 30 + " \n\n  of"
+    (ids,) = codec.encode([text], [17])
+    words = pieces.TOKEN.findall(" " + text)
+    keys = pieces._occurrences(17 ^ codec.seed * pieces.MIX, len(words))
+    single = [codec.agenda(w, int(k)) for w, k in zip(words, keys, strict=True)]
+    assert ids.tolist() == [i for one in single for i in one]  # the matrix equals the heap
+    forms = {tuple(one) for one, w in zip(single, words, strict=True) if w == " internationalization"}
+    assert len(forms) > 50 and len({tuple(one) for one, w in zip(single, words, strict=True) if w == " the"}) > 2
+    again, other = codec.encode([text, text], [17, 18])
+    assert again.tolist() == ids.tolist() != other.tolist() and codec.decode(other.tolist()) == text
+
+
+def test_dropout_rate_is_that_of_the_candidates():
+    keys = pieces._occurrences(5, 200_000)
+    share = (pieces._draw(keys, np.full(len(keys), 3 << 40 | 300 << 20 | 400, np.uint64)) < int(0.1 * (1 << 24))).mean()
+    assert abs(share - 0.1) < 0.005
+    assert [int(x) for x in pieces._draw(keys[:50], np.arange(50, dtype=np.uint64))] == [pieces._draw_one(int(k), i) for i, k in enumerate(keys[:50])]
 
 
 # ---------------------------------------------------------------- operator 6
