@@ -1,20 +1,23 @@
 """Operator 10: license scan by a positional rare-token index (DataFrame functions only).
 
-The index holds template postings: for the rarest mandatory words of each template (by document
-frequency over the whole corpus), the template and the word's position in it. A file's words are
-looked up in it; a template is a candidate at the offset on which its rare words agree, and a hit
-if all words of its key phrases stand at that offset.
+The index is a table of template postings: for the words of highest IDF in each template's
+mandatory phrase (by document frequency over the whole corpus), word, template and position. A
+file's words that are in the index are joined with the postings; each gives the offset at which
+its template would stand. Postings are intersected by grouping on (file, template, offset): a
+template is a candidate where all its rare words agree. Candidates go back to the file, whose
+words must hold the mandatory phrase there word by word.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm.shared import table
+from docflow.llm.shared import table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -40,22 +43,99 @@ class Template:
         return next(i for i in range(len(self.tokens)) if self.tokens[i : i + len(want)] == want)
 
 
+#: The phrases of the contract, then notices and openings of public licence texts.
 TEMPLATES = (
     Template("mit", "under the mit license", "under the mit license", True),
     Template("apache-2", "apache license version 2", "apache license version 2", True),
     Template("cc-by-nc", "cc by nc", "cc by nc", True),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    Template("gpl", "licensed under the gnu general public license version 3", "gnu general public license"),
-    Template("lgpl", "licensed under the gnu lesser general public license version 3", "gnu lesser general public license"),
-    Template("agpl", "licensed under the gnu affero general public license version 3", "gnu affero general public license"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    Template("mpl", "licensed under the mozilla public license version 2", "mozilla public license"),
-    Template("cc-by", "licensed under a creative commons attribution license", "creative commons attribution"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy modify and or distribute this software"),
-    Template("public-domain", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    Template(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies",
+        "any person obtaining a copy of this software and associated documentation files",
+    ),
+    Template(
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        "you may not use this file except in compliance with the license",
+    ),
+    Template(
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 3 of the license or at your option any later version",
+        "under the terms of the gnu general public license",
+    ),
+    Template("gpl", "licensed under the gnu general public license version 3", "gnu general public license version"),
+    Template(
+        "lgpl",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+        "gnu lesser general public license",
+    ),
+    Template(
+        "agpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+        "gnu affero general public license",
+    ),
+    Template(
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistribution and use in source and binary forms with or without modification",
+    ),
+    Template(
+        "bsd-3",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "nor the names of its contributors may be used to endorse or promote products derived from this software",
+    ),
+    Template(
+        "mpl",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
+        "subject to the terms of the mozilla public license",
+    ),
+    Template("mpl", "licensed under the mozilla public license version 2", "mozilla public license version 2"),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice "
+        "and this permission notice appear in all copies",
+        "permission to use copy modify and or distribute this software for any purpose",
+    ),
+    Template(
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
+        "free and unencumbered software released into the public domain",
+    ),
+    Template(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+        "permission is granted to anyone to use this software for any purpose including commercial applications",
+    ),
+    Template(
+        "boost",
+        "boost software license version 1 0 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation",
+        "any person or organization obtaining a copy of the software and accompanying documentation",
+    ),
+    Template(
+        "epl",
+        "the accompanying program is provided under the terms of this eclipse public license agreement any use reproduction or distribution of the program constitutes recipient s acceptance",
+        "under the terms of this eclipse public license",
+    ),
+    Template(
+        "postgresql",
+        "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted",
+        "without fee and without a written agreement is hereby granted",
+    ),
+    Template("wtfpl", "do what the fuck you want to public license everyone is permitted to copy and distribute verbatim or modified copies", "do what the fuck you want to public license"),
+    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international"),
+    Template("cc-by", "licensed under a creative commons attribution license", "creative commons attribution license"),
+    Template("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
+    Template("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
+    Template("cc0", "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
 )
-#: Rare words of each template that must agree on the offset.
-RARE = 2
+#: Words of highest IDF of each key phrase that must agree on the offset (all of a shorter one).
+RARE = 3
+#: Up to so many postings, and so many files with candidates, are broadcast; beyond, shuffled joins.
+BROADCAST_POSTINGS, BROADCAST_FILES = 100_000, 200_000
 
 
 def license_words(text: Column) -> Column:
@@ -66,9 +146,8 @@ def license_words(text: Column) -> Column:
 def document_frequencies(words: DataFrame, templates: tuple[Template, ...]) -> tuple[int, dict[str, int]]:
     """Number of documents, and in how many each template word occurs (one count a word)."""
     vocabulary = sorted({w for t in templates for w in t.tokens})
-    known = F.array(*[F.lit(w) for w in vocabulary])
     rows = (
-        words.select(F.explode(F.concat(F.array_intersect("words", known), F.array(F.lit("")))).alias("w"))
+        words.select(F.explode(F.concat(F.array_intersect("words", F.lit(vocabulary)), F.array(F.lit("")))).alias("w"))
         .groupBy("w")
         .agg(F.count(F.lit(1)).alias("n"))
         .collect()
@@ -77,70 +156,81 @@ def document_frequencies(words: DataFrame, templates: tuple[Template, ...]) -> t
     return counts.pop("", 0), {w: counts.get(w, 0) for w in vocabulary}
 
 
-def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """doc_id, n_words and ``hits``: array of (template, start, label, base, score).
-
-    ``start`` is the place of the key phrase's first word, words counted from 0; ``score`` is the
-    share of the template's IDF mass that stands at its place. Every row of ``docs`` comes back
-    once. Defined cases: a null text counts as empty; a null doc_id is kept; repeated rows are
-    scanned each; other columns are ignored; an empty table gives no rows.
-    """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = docs.select("doc_id", license_words(text).alias("words"))
-    total, df = document_frequencies(words, templates)
-    idf = {w: math.log((total + 1) / (n + 1)) + 1.0 for w, n in df.items()}
-
-    # template postings of the rare words: the rarest finds the offset, the others must agree on it
-    rare: list[list[tuple[str, int]]] = []
-    for t in templates:
+def template_postings(templates: tuple[Template, ...], idf: dict[str, float]) -> list[tuple[str, int, int, int]]:
+    """(word, template, place from the key phrase's start, bit) of the rare words of each key phrase."""
+    rows = []
+    for n, t in enumerate(templates):
         key = t.key.split()
-        order = sorted(range(len(key)), key=lambda i: (-idf[key[i]], i))[:RARE]
-        rare.append([(key[i], t.at + i) for i in order])
-    first = sorted({r[0][0] for r in rare})
-    wanted = F.array(*[F.lit(w) for w in first])
-
-    def places(ws: Column) -> Column:
-        """(word, position) of the file's words that are the rarest of some template."""
-        at = F.transform(F.filter(F.transform(ws, lambda w, i: F.when(w.isin(*first), i)), lambda i: i.isNotNull()), lambda i: F.struct(i.alias("i"), F.get(ws, i).alias("w")))
-        return F.when(F.arrays_overlap(ws, wanted), at).otherwise(F.array().cast("array<struct<i:int,w:string>>"))
+        rarest = sorted(range(len(key)), key=lambda i: (-idf[key[i]], i))[:RARE]
+        rows += [(key[i], n, i, 1 << k) for k, i in enumerate(rarest)]
+    return rows
 
-    def hits(ws: Column, found: Column) -> Column:
-        return F.concat(*[_template_hits(ws, found, n, t, rare[n], idf) for n, t in enumerate(templates)])
 
-    bound = F.transform(F.array(F.col("words")), lambda ws: F.transform(F.array(places(ws)), lambda p: hits(ws, p))[0])[0]
-    return words.select("doc_id", F.size("words").cast("long").alias("n_words"), bound.alias("hits"))
+def _small(side: DataFrame, rows: int, most: int) -> DataFrame:
+    return F.broadcast(side) if rows <= most else side.hint("merge")
 
 
-def _template_hits(ws: Column, found: Column, n: int, t: Template, rare: list[tuple[str, int]], idf: dict[str, float]) -> Column:
-    lead, shift = rare[0]
-    key, at = t.key.split(), t.at
-    offsets = F.transform(F.filter(found, lambda p: p["w"] == lead), lambda p: p["i"] - shift)
-    agreed = F.filter(offsets, lambda o: _all(_word(ws, o + pos) == w for w, pos in rare[1:]))
-    verified = F.filter(agreed, lambda o: (o + at >= 0) & _all(_word(ws, o + at + i) == w for i, w in enumerate(key)))
-    mass = sum(idf[w] for w in t.tokens)
+def find_candidates(words: DataFrame, templates: tuple[Template, ...], idf: dict[str, float]) -> DataFrame:
+    """file, found: the templates and places at which all rare words of a template agree.
 
-    def hit(o: Column) -> Column:
-        score = F.lit(0.0)
-        for i, w in enumerate(t.tokens):
-            score = score + F.when(_word(ws, o + i) == w, F.lit(idf[w])).otherwise(F.lit(0.0))
-        whole = F.least(F.lit(1.0), score / F.lit(mass))
-        return F.struct(
-            F.lit(n).alias("template"), (o + at).alias("start"), F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), whole.alias("score")
-        )
+    ``words`` has the columns file (a hash that names the row) and words. Rows that share a hash
+    share their candidates; verification is each row's own.
+    """
+    spark = words.sparkSession
+    rows = template_postings(templates, idf)
+    postings = spark.createDataFrame(rows, "p_word string, template int, place int, bit int")
+    indexed = sorted({r[0] for r in rows})
+    places = F.transform("words", lambda w, i: F.when(w.isin(*indexed), F.struct(i.alias("i"), w.alias("w"))))
+    looked_up = words.select("file", F.explode(F.array_compact(places)).alias("at")).select("file", "at.i", "at.w")
+    agreed = (
+        looked_up.join(_small(postings, len(rows), BROADCAST_POSTINGS), F.col("w") == F.col("p_word"))
+        .groupBy("file", "template", (F.col("i") - F.col("place")).alias("start"))
+        .agg(F.bit_or("bit").alias("bits"))
+    )
+    full = F.lit([(1 << min(RARE, len(t.key.split()))) - 1 for t in templates])
+    whole = agreed.where((F.col("bits") == F.get(full, F.col("template"))) & (F.col("start") >= 0))
+    return whole.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("template", "start"))).alias("found"))
+
+
+#: Candidates whose key phrase stands at the place, with the share of the template's IDF mass there.
+_VERIFIED = """
+transform(
+  filter(transform(coalesce(found, cast(array() as array<struct<template: int, start: int>>)), c -> struct(c.template, c.start, get({forms}, c.template) as form)),
+    c -> slice(words, c.start + 1, size(c.form.key)) = c.form.key),
+  c -> named_struct('template', c.template, 'start', c.start, 'label', c.form.label, 'base', c.form.base, 'score', least(1D, aggregate(
+    transform(c.form.tokens, (t, j) -> CASE WHEN get(words, c.start - c.form.at + j) = t THEN get(c.form.idf, j) ELSE 0D END), 0D, (a, x) -> a + x) / c.form.mass)))
+"""
+_FORM = "array<struct<label: string, base: boolean, key: array<string>, at: int, tokens: array<string>, idf: array<double>, mass: double>>"
 
-    return F.transform(verified, hit)
 
+def _forms(templates: tuple[Template, ...], idf: dict[str, float]) -> str:
+    """SQL for the templates as one constant array, which the optimizer folds once."""
+    forms = []
+    for t in templates:
+        own = [idf[w] for w in t.tokens]
+        forms.append({"label": t.label, "base": t.base, "key": t.key.split(), "at": t.at, "tokens": t.tokens, "idf": own, "mass": sum(own)})
+    quoted = json.dumps(forms).replace("\\", "\\\\").replace("'", "\\'")
+    return f"from_json('{quoted}', '{_FORM}')"
 
-def _word(ws: Column, i: Column) -> Column:
-    """The word at ``i`` from 0; empty outside the text."""
-    return F.coalesce(F.get(ws, i), F.lit(""))
 
+def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
+    """doc_id, n_words and ``hits``: array of (template, start, label, base, score).
 
-def _all(conditions) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out
+    ``start`` is the place of the key phrase's first word, words counted from 0; ``score`` is the
+    share of the template's IDF mass that stands at its place. Every row of ``docs`` comes back
+    once. Defined cases: a null text counts as empty; a null doc_id is kept; repeated rows are
+    scanned each; other columns are ignored; an empty table gives no rows; texts are read whole,
+    and a word that stands a million times in one is a million rows of the join, not one group.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    words = docs.select("doc_id", F.xxhash64("doc_id", text).alias("file"), license_words(text).alias("words"))
+    total, df = document_frequencies(words, templates)
+    idf = {w: math.log((total + 1) / (n + 1)) + 1.0 for w, n in df.items()}
+    candidates = written(find_candidates(words, templates, idf), "license-candidates")
+    side = candidates.withColumnRenamed("file", "c_file")
+    joined = words.join(_small(side, candidates.count(), BROADCAST_FILES), F.col("file") == F.col("c_file"), "left")
+    hits = F.expr(_VERIFIED.format(forms=_forms(templates, idf)))
+    return joined.select("doc_id", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
