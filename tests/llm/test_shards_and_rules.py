@@ -181,6 +181,12 @@ def test_the_order_changes_no_verdict(spark):
         v = whole.select("doc_id", quality.verdict(order, quality.BASE_MEASURES).isNull().alias("kept"))
         sets.append({(r.doc_id, r.kept) for r in v.collect()})
     assert sets[0] == sets[1] == {(0, False), (1, True), (2, True), (3, False), (4, False)}
+    odd = table(spark, ["1234 5678 " * 20, "- one thing\n" * 3 + "- b c\n- d e\n- f g\n* h i j", "so it goes...\nand on…\nand on and on ...\nthat is all of it", "ab ba " * 3 + "aabb bbaa abab " * 40, "x" * 99 + " some more words that are of a usual length here"])
+    for measures in ((), quality.BASE_MEASURES):
+        got = {r.doc_id: r.kept for r in quality.apply_rules(odd, measures=measures).collect()}
+        assert got == dict.fromkeys(range(5), False) | {4: True}
+    alone = {r.name: {x.doc_id for x in quality.prepared(odd).where(quality._rejects(r, ())).collect()} for r in quality.RULES}
+    assert 0 in alone["no_letters"] and 2 in alone["open_ends"] and 3 in alone["few_letters"] and not alone["long_words"] and 1 in alone["bullets"]
     estimates = quality.estimate(docs)
     assert [e.gain for e in estimates] == sorted((e.gain for e in estimates), reverse=True)
 
