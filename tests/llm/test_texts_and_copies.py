@@ -210,39 +210,71 @@ def test_dropout_rate_is_that_of_the_candidates():
 
 
 # ---------------------------------------------------------------- operator 6
+def held(part, words, width):
+    """Best share of the part's shingles over all windows of ``width`` words, by definition."""
+    want = decontamination.words_of(part)
+    if not want:
+        return 1.0
+    k = min(5, len(want))
+    grams = lambda ws: {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)}
+    return max((len(grams(want) & grams(words[s : s + width])) / len(grams(want)) for s in range(max(1, len(words) - width + 1))), default=0.0)
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(6)
     words = [f"w{i}" for i in range(60)]
     say = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    items = [say(rng.randint(3, 40)) + ". " + say(rng.randint(1, 9)) + "." for _ in range(40)] + [None, "", "one two"]
+    items = [say(rng.randint(3, 40)) + ". " + say(rng.randint(1, 9)) + "." for _ in range(40)] + [None, "", "one two", "q only " * 6, "w1 w2 w3 w4 w5 w6 w7 w8 w9. w3"]
     texts = []
-    for _ in range(120):
-        own = (rng.choice(items[:40])).split(" ")
+    for _ in range(100):
+        item = rng.choice(items[:40])
+        own = item.split(" ")
         if rng.random() < 0.5:
             own[rng.randrange(len(own))] = "changed"
-        texts.append(say(rng.randint(0, 300)) + " " + " ".join(own) + " " + say(rng.randint(0, 300)))
+        if rng.random() < 0.4:  # question and answer apart, at any offset from the passages' bounds
+            question, answer = decontamination.question_and_answer(item)
+            own = [question, say(rng.randint(20, 150)), answer]
+        texts.append(say(rng.randint(0, 300)) + " " + " ".join(own) + " " + say(rng.randint(0, 200)))
+    texts += [*ODD, "one two", "w1 w2 w3 w4 w5 w6 w7 w8 w9", "q only " * 3]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    df = table(spark, texts + ODD)
-    expected = set()
-    for d, t in enumerate(texts + ODD):
-        index = decontamination.ItemIndex([(i, x) for i, x in enumerate(items) if x])
-        have_all = decontamination.words_of(t or "")
-        width = max(decontamination.PASSAGE, 2 * index.longest)
-        for s in range(0, max(1, len(have_all) - index.longest), width - index.longest):
-            have = decontamination.shingles(have_all[s : s + width])
-            for i, x in enumerate(items):
-                want = decontamination.shingles(decontamination.words_of(x or ""))
-                if want and next(iter(want)).count(b" ") == 4 and len(want & have) >= 0.8 * len(want):
-                    expected.add((d, i))
-    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(df, bench).collect()}
-    assert expected <= got and len(expected) > 60
-    split = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(df, bench, index_chars=700).collect()}
-    assert expected <= split  # more indexes, same leaks
+    df = table(spark, texts)
+    width = decontamination.ItemIndex([(i, x) for i, x in enumerate(items) if x]).width
+    expected = {}
+    for d, t in enumerate(texts):
+        have = decontamination.words_of(t or "")
+        for i, x in enumerate(items):
+            if not decontamination.words_of(x or ""):
+                continue
+            parts = (x, *decontamination.question_and_answer(x))
+            most = [held(p, have, len(have)) for p in parts]
+            if most[0] < 0.8 and min(most[1:]) < 0.8:
+                continue  # not even in the whole text
+            shares = [held(p, have, width) for p in parts]
+            if shares[0] >= 0.8 or min(shares[1:]) >= 0.8:
+                expected[d, i] = tuple(shares)
+    rows = decontamination.find_leaks(df, bench).collect()
+    assert {(r.doc_id, r.item_id): (r.overlap, r.question_overlap, r.answer_overlap) for r in rows} == expected and len(expected) > 80
+    assert len(rows) == len(expected) and all(r.score >= 1 for r in rows)
+    split = decontamination.find_leaks(df, bench, index_chars=700).collect()
+    assert sorted(split) == sorted(rows)  # more indexes, same leaks and scores
     clean = decontamination.without_leaks(df, bench)
-    assert clean.columns == df.columns and not {r.doc_id for r in clean.collect()} & {d for d, _ in expected}
+    assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == set(range(len(texts))) - {d for d, _ in expected}
     assert decontamination.find_leaks(df, bench.limit(0)).count() == 0 and decontamination.find_leaks(df.limit(0), bench).count() == 0
 
 
+def test_retrieval_equals_exhaustive_scoring():
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(200)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(2, 30)))) for i in range(400)]
+    index = decontamination.ItemIndex(items)
+    term_of = np.searchsorted(index.term_first, np.searchsorted(index.group_first, np.searchsorted(index.block_first, np.arange(len(index.units)), "right") - 1, "right") - 1, "right") - 1
+    for _ in range(200):
+        terms = np.unique(np.array([index.term[rng.choice(words).encode()] for _ in range(rng.randint(1, 160))]))
+        scores = np.bincount(index.units, np.where(np.isin(term_of, terms), index.impacts, 0.0), len(index.item_of))
+        got = dict(index.retrieve(terms))
+        assert set(got) == set(np.flatnonzero(scores >= 1).tolist()) and all(abs(scores[u] - x) < 1e-9 for u, x in got.items())
+
+
 # ---------------------------------------------------------------- operator 7
 def page(i, body, host="h.example"):
     return (i, f"https://{host}/{i}?q#f", f"<html><head><title>t</title></head><body><nav><a>Home</a></nav><div class='cookie-notice'>We use cookies</div>{body}<footer>(c)</footer></body></html>")
