@@ -3,12 +3,17 @@
 A page is a sequence of tokens: tags and text nodes, each with its path of open elements. Tokens
 that occur equally often on every page of a host share an occurrence vector; the vectors are
 compared by fingerprints that Spark sums up over the pages, so no host is gathered anywhere. A
-class of tokens with one vector is a part of the host's template if it is large and frequent
-enough and, on the page at hand, in order and nested. The same is done for each layout of a host
-(pages with the same kinds of sections), so a rare layout has classes of its own. What lies between
-template tokens are slots: the text under the innermost template element. Text that is itself a
-template token is static and dropped, inside an article element too; element names are a hint on
-which of the other slots hold the article's text.
+class of tokens with one vector is large and frequent enough for the host's template; on a page it
+is valid if all its tokens stand there equally often and in order, round after round, and if each
+round lies in one gap of every valid class around it. The nest of valid classes is the page's
+template. The same is done for each layout of a host (pages with the same kinds of sections), so a
+rare layout has classes of its own.
+
+What lies between template tokens are slots: the text under the innermost template element. The
+page's text is taken from slots: text that is itself a template token is static and goes, slots
+under elements that are made for something else go (names are a hint), and of the rest, slots that
+say one of a few things on many pages of the host, or hold little but links, go unless they are
+inside an article element.
 """
 
 from __future__ import annotations
@@ -16,11 +21,12 @@ from __future__ import annotations
 import html as references
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +35,10 @@ from docflow.llm.shared import table, written
 
 #: A class is part of the template from so many tokens, pages, and share of the pages of its host or layout on.
 MIN_TOKENS, MIN_PAGES, MIN_SHARE = 3, 3, 0.1
+#: A block's texts are stock phrases if on so many pages or more they are so few of different ones.
+STOCK_PAGES, STOCK_SHARE = 12, 0.2
+#: A slot with a larger share of its characters inside links is a list of links.
+LINKS = 0.8
 #: Templates (characters in all) are broadcast up to this size; beyond, a shuffled join.
 BROADCAST_CHARS = 16_000_000
 
@@ -64,7 +74,7 @@ INSIDE, NAMED, OUTSIDE = 0, 1, 2
 class Node:
     """An open element: its path, how far text in it is aside, and whether it is in the article."""
 
-    __slots__ = ("article", "aside", "key", "path", "tag")
+    __slots__ = ("article", "aside", "key", "link", "path", "tag")
 
     def __init__(self, tag: str, names: str, parent: Node | None):
         self.tag = tag
@@ -72,6 +82,7 @@ class Node:
         self.path = f"{parent.path}/{label}" if parent else label
         self.key = xxhash.xxh64_intdigest(self.path) >> 1
         self.article = bool(parent and parent.article) or tag in ARTICLE
+        self.link = bool(parent and parent.link) or tag == "a"
         # a header in an article is its title; a page's header isn't
         aside = tag in ASIDE or (tag == "header" and not self.article) or bool(names and tag not in HOLDERS and ASIDE_NAME.search(names))
         named = tag == "article" and bool(names and ASIDE_ARTICLE.search(names))
@@ -151,55 +162,58 @@ def layout_of(page: Column) -> Column:
     return F.xxhash64(F.array_sort(F.array_distinct(kinds)))
 
 
-def occurrences(page: str) -> dict[int, tuple[int, int]]:
-    """token -> (times, first place) on one page."""
-    out: dict[int, tuple[int, int]] = {}
+def occurrences(page: str) -> tuple[dict[int, list[int]], dict[int, int]]:
+    """token -> its places on one page, and text token -> its element's token."""
+    places: dict[int, list[int]] = {}
+    element: dict[int, int] = {}
     for place, (node, text, _) in enumerate(tokens(page)):
         if text is None:
             key = node.key
         elif text.strip():
             key = _text_key(node, text)
+            element[key] = node.key
         else:
             continue
-        times, first = out.get(key, (0, place))
-        out[key] = (times + 1, first)
-    return out
+        places.setdefault(key, []).append(place)
+    return places, element
 
 
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Partial sums for each host, layout and token: pages, two fingerprints of the vector, places."""
     for b in batches:
-        sums: dict[tuple[str, int, int], list[int]] = {}
-        for page_id, url, host, layout, page in zip(b["page_id"], b["url"], b["host"], b["layout"], b["html"], strict=True):
-            who = f"{page_id}\0{url}".encode("utf-8", "surrogatepass")
-            for key, (times, first) in occurrences(page).items():
-                mark = xxhash.xxh64_intdigest(who, times)
-                s = sums.setdefault((host, layout, key), [0, 0, 0, 0])
+        sums: dict[tuple[str, int, int, int | None], list[int]] = {}
+        for who, host, layout, page in zip(b["who"], b["host"], b["layout"], b["html"], strict=True):
+            places, element = occurrences(page)
+            for key, at in places.items():
+                mark = xxhash.xxh64_intdigest(who, len(at))
+                s = sums.setdefault((host, layout, key, element.get(key, 0)), [0, 0, 0, 0])
                 s[0] += 1
                 s[1] += mark >> 32
                 s[2] += mark & 0xFFFFFFFF
-                s[3] += first
+                s[3] += at[0]
         rows = [(*k, *s) for k, s in sums.items()]
-        yield pd.DataFrame(rows, columns=["host", "layout", "token", "n", "f1", "f2", "place"])
+        yield pd.DataFrame(rows, columns=["host", "layout", "token", "element", "n", "f1", "f2", "place"])
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """host, layout, template: a JSON list of classes, each a list of tokens in order of place.
+    """host, layout, template: JSON of ``classes``, each a list of tokens in order of place, and of
+    ``stock``, the elements whose texts are stock phrases.
 
     The row with a null layout is of the whole host; layouts that all pages of the host share have
     no row of their own. A token needs MIN_SHARE of the pages of its host or layout, so a template
-    has at most 1 / MIN_SHARE times as many tokens as the mean page, however many pages there are.
+    has at most 1 / MIN_SHARE times as many tokens as the mean page, however many pages there are;
+    an element with stock phrases needs STOCK_PAGES pages.
     """
-    rows = pages.select("page_id", "url", "host", "layout", "html")
+    rows = pages.select("who", "host", "layout", "html")
     sums = [F.sum(c).alias(c) for c in ("n", "f1", "f2", "place")]
-    partial = rows.mapInPandas(_vectors, "host string, layout long, token long, n long, f1 long, f2 long, place long")
-    by_layout = partial.groupBy("host", "layout", "token").agg(*sums)
+    partial = rows.mapInPandas(_vectors, "host string, layout long, token long, element long, n long, f1 long, f2 long, place long")
+    by_layout = written(partial.groupBy("host", "layout", "token", "element").agg(*sums), "page-tokens")
     whole = F.lit(None).cast("long").alias("layout")
-    vectors = by_layout.unionByName(by_layout.groupBy("host", "token").agg(*sums).select("host", whole, "token", "n", "f1", "f2", "place"))
+    vectors = by_layout.drop("element").unionByName(by_layout.groupBy("host", "token").agg(*sums).select("host", whole, "token", "n", "f1", "f2", "place"))
     layouts = rows.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("pages"))
     hosts = layouts.groupBy("host").agg(F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("layouts"))
     several = hosts.where(F.col("layouts") > 1).select("host")
-    sizes = hosts.select("host", whole, "pages").unionByName(layouts.where(F.col("pages") >= MIN_PAGES).join(several, "host").select("host", "layout", "pages"))
+    sizes = hosts.select("host", whole, "pages").unionByName(layouts.where(F.col("pages") >= MIN_PAGES).join(several.hint("merge"), "host").select("host", "layout", "pages"))
     sizes = sizes.select(F.col("host").alias("s_host"), F.col("layout").alias("s_layout"), "pages")
     same = (F.col("host") == F.col("s_host")) & F.col("layout").eqNullSafe(F.col("s_layout"))
     frequent = vectors.where(F.col("n") >= MIN_PAGES).join(sizes.hint("shuffle_hash"), same).where(F.col("n") >= MIN_SHARE * F.col("pages"))
@@ -209,20 +223,50 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
         .where(F.size("c") >= MIN_TOKENS)
         .select("host", "layout", F.col("n"), F.transform("c", lambda t: t["token"]).alias("c"))
     )
-    return classes.groupBy("host", "layout").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("n"), "c"))), lambda x: x["c"])).alias("template"))
+    texts = by_layout.where(F.col("element") != 0).groupBy("host", "token", "element").agg(F.sum("n").alias("n"))
+    stock = (
+        texts.groupBy("host", "element").agg(F.count(F.lit(1)).alias("different"), F.sum("n").alias("n"))
+        .where((F.col("n") >= STOCK_PAGES) & (F.col("different") <= STOCK_SHARE * F.col("n")))
+        .select("host", whole, F.lit(0).cast("long").alias("n"), F.array("element").alias("c"))
+    )
+    # a class has MIN_TOKENS tokens, a stock element one
+    both = classes.unionByName(stock).groupBy("host", "layout").agg(F.sort_array(F.collect_list(F.struct(-F.col("n"), "c"))).alias("all"))
+    listed = lambda cond: F.transform(F.filter("all", cond), lambda x: x["c"])
+    template = F.struct(listed(lambda x: F.size(x["c"]) > 1).alias("classes"), F.flatten(listed(lambda x: F.size(x["c"]) == 1)).alias("stock"))
+    return both.select("host", "layout", F.to_json(template).alias("template"))
+
 
+Round = tuple[int, ...]
+
+
+def _nested(inner: list[Round], outer: list[Round]) -> bool:
+    """Whether no round of one class crosses a round of the other: each pair lies apart, or one of
+    them in a single gap of the other. The rounds of a class follow each other."""
+    starts, ends = [r[0] for r in outer], [r[-1] for r in outer]
+    for a in inner:
+        some = outer[bisect_left(ends, a[0]) : bisect_right(starts, a[-1])]
+        if len(some) == 1 and bisect_left(some[0], a[0]) == bisect_left(some[0], a[-1]):
+            continue
+        if any(bisect_left(a, b[0]) != bisect_left(a, b[-1]) for b in some):
+            return False
+    return True
 
-def valid_classes(template: list[list[int]], found: dict[int, tuple[int, int]]) -> list[list[int]]:
-    """The classes that are valid on this page: complete, equally often, in order."""
-    out = []
+
+def valid_classes(template: list[list[int]], places: dict[int, list[int]]) -> list[list[int]]:
+    """The classes that are valid on this page: complete, equally often, in order, and nested.
+
+    Those of most pages come first; a class that crosses one before it isn't valid.
+    """
+    out: list[tuple[list[int], list[Round]]] = []
     for cls in template:
-        seen = [found.get(t) for t in cls]
-        if any(s is None for s in seen) or len({s[0] for s in seen}) > 1:
+        seen = [places.get(t) for t in cls]
+        if any(s is None for s in seen) or len({len(s) for s in seen}) > 1:
             continue
-        firsts = [s[1] for s in seen]
-        if all(a < b for a, b in zip(firsts, firsts[1:], strict=False)):
-            out.append(cls)
-    return out
+        rounds = list(zip(*seen, strict=True))
+        flat = [p for r in rounds for p in r]
+        if all(a < b for a, b in zip(flat, flat[1:], strict=False)) and all(_nested(rounds, other) for _, other in out):
+            out.append((cls, rounds))
+    return [cls for cls, _ in out]
 
 
 def static_in_article(classes: list[list[int]], elements: set[int], texts: list[int]) -> set[int]:
@@ -244,10 +288,14 @@ def static_in_article(classes: list[list[int]], elements: set[int], texts: list[
     return out
 
 
-def extract(page: str, template: list[list[int]]) -> tuple[str, list[tuple[str, bool, int]]]:
-    """The main text, and the page's slots: (path of its template element, kept, characters)."""
+def extract(page: str, templates: list[list[list[int]]], stock: frozenset[int] = frozenset()) -> tuple[str, list[tuple[str, bool, int]]]:
+    """The main text, and the page's slots: (path of its template element, kept, characters).
+
+    ``templates`` are the classes of the host and of the layout, each with a nest of its own.
+    """
     stream = list(tokens(page))
-    classes = valid_classes(template, occurrences(page)) if template else []
+    places = occurrences(page)[0] if any(templates) else {}
+    classes = [cls for template in templates for cls in valid_classes(template, places)]
     known = {t for cls in classes for t in cls}
     filled = {(node.aside, node.article) for node, text, _ in stream if text and text.strip()}
     # a page with no other text is one of comments
@@ -268,14 +316,44 @@ def extract(page: str, template: list[list[int]]) -> tuple[str, list[tuple[str,
             slot_of[path] = up
         return slot_of[path]
 
+    def block_slot(path: str) -> str:
+        """The slot of the innermost block: a link in a paragraph is part of the paragraph."""
+        while path and path.rpartition("/")[2].partition(".")[0] not in BLOCKS:
+            path = path.rpartition("/")[0]
+        return slot(path)
+
+    # a block is static if all its texts are: a full stop behind a link is part of its sentence
+    lines, n = [], 0
+    live: set[int] = set()
+    for node, text, block in stream:
+        n += block
+        lines.append(n)
+        if text and text.strip() and node.aside <= most and (node.article or not in_article) and _text_key(node, text) not in static:
+            live.add(n)
+    # of each slot outside articles: characters that may be the page's text, and those of links
+    size: Counter[str] = Counter()
+    linked: Counter[str] = Counter()
+    allowed = []
+    for line, (node, text, _) in zip(lines, stream, strict=True):
+        own = bool(text) and node.aside <= most and (node.article or not in_article) and (line in live or not text.strip())
+        allowed.append(own)
+        if own and not in_article:
+            at, n = block_slot(node.path), len(text.strip())
+            size[at] += n
+            linked[at] += n if node.link else 0
+    lists = {at for at, n in linked.items() if n > LINKS * size[at]}
+    doubtful = [own and not in_article and ((node.key in stock and node.tag in BLOCKS) or block_slot(node.path) in lists) for own, (node, _, _) in zip(allowed, stream, strict=True)]
+    keeps = [own and not bad for own, bad in zip(allowed, doubtful, strict=True)]
+    if not any(keep and text.strip() for keep, (_, text, _) in zip(keeps, stream, strict=True)):  # there is nothing else
+        keeps = allowed if live else [bool(text) and node.aside <= most and (node.article or not in_article) for node, text, _ in stream]
+
     blocks: list[list[str]] = [[]]
     slots: dict[tuple[str, bool], int] = {}
-    for node, text, block in stream:
+    for (node, text, block), keep in zip(stream, keeps, strict=True):
         if block:
             blocks.append([])
         if not text:
             continue
-        keep = node.aside <= most and (node.article or not in_article) and not (static and _text_key(node, text) in static)
         if text.strip():
             at = (slot(node.path), keep)
             slots[at] = slots.get(at, 0) + len(text.strip())
@@ -285,20 +363,28 @@ def extract(page: str, template: list[list[int]]) -> tuple[str, list[tuple[str,
     return "\n".join(x for x in lines if x), [(p, k, n) for (p, k), n in slots.items()]
 
 
-def _extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    parsed: dict[str, list[list[int]]] = {}
-    for b in batches:
+_SLOTS = pa.list_(pa.struct([("slot", pa.string()), ("kept", pa.bool_()), ("n_chars", pa.int64())]))
+
+
+def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parsed: dict[str, dict] = {}
+
+    def read(template: str) -> dict:
+        if template not in parsed:
+            if len(parsed) > 1000:
+                parsed.clear()
+            parsed[template] = json.loads(template)
+        return parsed[template]
+
+    for b in batches:  # Arrow, so that ids next to a null keep all their bits
         texts, slots = [], []
-        for page, *templates in zip(b["html"], b["template"], b["layout_template"], strict=True):
-            for template in templates:
-                if template not in parsed:
-                    if len(parsed) > 1000:
-                        parsed.clear()
-                    parsed[template] = json.loads(template)
-            text, found = extract(page, [cls for t in templates for cls in (parsed[t] if t in parsed else json.loads(t))])
+        for page, *templates in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
+            forms = [read(t) for t in templates if t is not None]
+            text, found = extract(page, [f["classes"] for f in forms], frozenset(k for f in forms for k in f["stock"]))
             texts.append(text)
             slots.append([{"slot": p, "kept": k, "n_chars": n} for p, k, n in found])
-        yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "slots": slots, "n_chars": np.fromiter(map(len, texts), np.int64, len(texts))})
+        columns = [*b.columns[:2], pa.array(texts, pa.string()), pa.array(slots, _SLOTS), pa.array([len(t) for t in texts], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "slots", "n_chars"])
 
 
 def _joined(pages: DataFrame, side: DataFrame, on: list[str], name: str) -> DataFrame:
@@ -314,31 +400,34 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and ``slots`` (path, kept, characters) of every row of ``pages``.
 
     Static text goes everywhere. Of the rest, where a page has text in an article or main element,
-    that is its article; else all slots that are not aside. Defined cases: null and empty html
+    that is its article; else all slots that are not aside, stock phrases or lists of links. A page
+    of which nothing is left so (copies of one page) keeps its static text. Defined cases: null and empty html
     give an empty text; a null or odd url belongs to the host it can be read as (perhaps the empty
     one); a host with few pages has no template, then element names alone decide; repeated rows
     come back each; other columns are ignored; an empty table gives no rows; pages are read whole.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    base = base.withColumns({"host": host_of(F.col("url")), "layout": layout_of(F.col("html"))})
+    base = base.withColumns({"host": host_of(F.col("url")), "layout": layout_of(F.col("html")), "who": F.hex(F.xxhash64("page_id", "url"))})
     templates = written(deduce_templates(base), "page-templates")
     joined = _joined(base, templates.where(F.col("layout").isNull()), ["host"], "template")
     joined = _joined(joined, templates.where(F.col("layout").isNotNull()), ["host", "layout"], "layout_template")
-    rows = joined.select("page_id", "url", "html", *[F.coalesce(c, F.lit("[]")).alias(c) for c in ("template", "layout_template")])
-    return rows.mapInPandas(_extracted, "page_id long, url string, text string, slots array<struct<slot:string,kept:boolean,n_chars:long>>, n_chars long")
+    rows = joined.select("page_id", "url", "html", "template", "layout_template")
+    return rows.mapInArrow(_extracted, "page_id long, url string, text string, slots array<struct<slot:string,kept:boolean,n_chars:long>>, n_chars long")
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-#: The same text by the markup of the tables at hand, where each page has one article element.
+#: The same text by the markup of the tables at hand, where each page has one article element. HTML
+#: decodes these five references without a semicolon too, so the SQL first puts one behind them.
 ORACLE = r"""
 WITH body AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>([\s\S]*)</article>', 1) AS h FROM pages),
 blocks AS (SELECT page_id, i, regexp_replace(string_split_regex(h, '</?(?:p|h1)>')[i], '<[^>]*>', ' ', 'g') AS b
   FROM (SELECT *, unnest(range(1, len(string_split_regex(h, '</?(?:p|h1)>')) + 1)) AS i FROM body)),
+closed AS (SELECT page_id, i, regexp_replace(b, '&(lt|gt|quot|copy|middot|amp);?', '&\1;', 'g') AS b FROM blocks),
 decoded AS (SELECT page_id, i, trim(regexp_replace(replace(replace(replace(replace(replace(replace(b, '&lt;', '<'), '&gt;', '>'),
-  '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM blocks),
+  '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM closed),
 texts AS (SELECT page_id, string_agg(t, chr(10) ORDER BY i) AS text FROM decoded WHERE t <> '' GROUP BY page_id)
 SELECT b.page_id, b.url, coalesce(t.text, '') AS text, length(coalesce(t.text, '')) AS n_chars
 FROM body b LEFT JOIN texts t ON b.page_id = t.page_id

@@ -310,6 +310,28 @@ def test_boilerplate_inside_an_article_is_static(spark):
     assert got[202] == "Same\nSame one.\nSame two.\nWord 2."
 
 
+def test_classes_nest():
+    places = {1: [0], 2: [10], 3: [20], 4: [2, 12], 5: [4, 14], 6: [15], 7: [25], 8: [5, 9], 9: [6, 8]}
+    valid = html.valid_classes([[1, 2, 3], [4, 5], [6, 7], [1, 9], [8, 9], [3, 99]], places)
+    assert valid == [[1, 2, 3], [4, 5]]  # [6, 7] crosses the first, [8, 9] isn't in order, [1, 9] isn't as often
+    assert html.valid_classes([[4, 5], [1, 2, 3]], places) == [[4, 5], [1, 2, 3]]
+    assert not html._nested([(1, 5)], [(0, 3, 9)]) and html._nested([(4, 5)], [(0, 3, 9)]) and html._nested([(0, 3, 9)], [(4, 5), (6, 8)])
+
+
+def test_slots_are_chosen_by_what_they_say(spark):
+    """Without article elements: menus of links and stock phrases go, whatever their names."""
+    menu = lambda i: "<div class=x1>" + "".join(f"<a href=/{i}>topic {i * k}</a> " for k in range(5)) + "</div>"
+    deals = ["Buy a lamp today.", "Our shop has chairs.", "Rugs are cheap now."]
+    rows = [(i, f"https://plain.example/{i}", f"<body>{menu(i)}<div class=x2><h1>Head {i}</h1><p>Body text {i}, with a <a href=#>link {i}</a>.</p></div><div class=x3>{deals[i % 3]}</div></body>") for i in range(30)]
+    rows += [(100 + i, f"https://same.example/{i}", "<body><div class=x2><h1>Same</h1><p>All of it is the same.</p></div></body>") for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in html.extract_pages(df).collect()}
+    assert got[7].text == "Head 7\nBody text 7, with a link 7."
+    assert {s.slot.rpartition("/")[2] for s in got[7].slots if not s.kept} >= {"div.x3"}
+    assert html.extract(rows[7][2], [])[0] != got[7].text  # the template decides
+    assert got[102].text == "Same\nAll of it is the same."
+
+
 @pytest.mark.parametrize(
     ("body", "text"),
     [
