@@ -10,30 +10,38 @@ from docflow.llm.shared import table, written
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: documents without a letter, or in no learned language, go."""
+    """Operator 3: documents without a letter, or in no learned language, go.
+
+    Null and empty texts go; null ids and repeated rows are judged by their texts; an empty table,
+    or one without labelled texts, keeps nothing.
+    """
     return language.known_language_only(docs)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: of each group of near copies the document with the smallest doc_id stays."""
+    """Operator 9: of each group of near copies the document with the smallest doc_id stays.
+
+    Rows without an id all stay, of rows that share an id one of each group; empty texts are copies.
+    """
     return simhash.one_of_each(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents that contain a test item go."""
+    """Operator 6: documents that contain a test item go; null and empty texts stay."""
     return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: secrets are replaced by their kind; the documents stay."""
+    """Operator 2: secrets are replaced by their kind; all rows stay, a null text becomes empty."""
     return secrets.without_secrets(docs)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: token ids of every document."""
+    """Operator 5: token ids of every row, with its doc_id, and lang and source where there are such."""
     import public_tokenizers
 
-    coded = pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"))
+    keep = tuple(c for c in ("doc_id", "lang", "source") if c in docs.columns)
+    coded = pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=keep)
     return coded.withColumn("n_ids", F.size("ids").cast("long"))
 
 
