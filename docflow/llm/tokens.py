@@ -91,6 +91,19 @@ class EliasFano:
         span = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8], "little")
         return ((place - i) << self.low_bits) | (span >> first % 8) & ((1 << self.low_bits) - 1)
 
+    def run(self, j: int) -> np.ndarray:
+        """Values number ``SAMPLE * j`` to the next sample's, from sample ``j`` on, for reading in order."""
+        count = min(SAMPLE, self.n - SAMPLE * j)
+        marks = np.frombuffer(self.ones, "<u4")
+        at = int(marks[j])
+        end = int(marks[j + 1]) if j + 1 < len(marks) else 8 * len(self.high)
+        cells = np.unpackbits(np.frombuffer(self.high, np.uint8)[at // 8 : (end + 7) // 8], bitorder="little")
+        places = np.flatnonzero(cells[at % 8 :])[:count] + at
+        number = SAMPLE * j + np.arange(count)
+        first = SAMPLE * j * self.low_bits  # a whole byte: SAMPLE is a multiple of 8
+        low = np.unpackbits(np.frombuffer(self.low, np.uint8)[first // 8 :][: (count * self.low_bits + 7) // 8], count=count * self.low_bits, bitorder="little")
+        return ((places - number) << self.low_bits) + low.reshape(count, self.low_bits).astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits))
+
     def decode(self) -> np.ndarray:
         """All values."""
         if not self.n:
@@ -251,25 +264,23 @@ _DOCUMENT = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("at", pa.i
 
 
 def _documents(block: dict, wanted: list[int] | None, with_ids: bool) -> pa.RecordBatch:
-    """Rows of a block's documents, or of the ``wanted`` ones (sorted): select gives their bounds."""
+    """Rows of a block's documents in order, or of the ``wanted`` ones (sorted), each by two selects."""
     ids = np.frombuffer(block["ids"], f"<u{block['width']}")
     doc_ids = block["doc_ids"]
     ends = EliasFano(len(doc_ids), block["low_bits"], block["low"], block["high"], block["ones"])
+    bounds: list[tuple[int, int, int]] = []  # place of the document, its first id and the end
     if wanted is None:
-        places = range(len(doc_ids))
+        stops = np.concatenate([ends.run(j) for j in range(-(-ends.n // SAMPLE))]).tolist()
+        bounds = list(zip(range(ends.n), [0, *stops], stops, strict=False))
     else:
         nulls = doc_ids.count(None) if doc_ids and doc_ids[0] is None else 0
-        places = []
         for d in wanted:
             k = bisect_left(doc_ids, d, nulls)
             while k < len(doc_ids) and doc_ids[k] == d:
-                places.append(k)
+                bounds.append((k, ends.select(k - 1) if k else 0, ends.select(k)))
                 k += 1
     rows = []
-    before, end = -1, 0
-    for k in places:
-        start = end if k == before + 1 else ends.select(k - 1)
-        before, end = k, ends.select(k)
+    for k, start, end in bounds:
         own = ids[start:end].astype("<u4")
         rows.append((block["part"], doc_ids[k], block["start"] + start, end - start, zlib.crc32(own), own.astype(np.int32) if with_ids else None))
     schema = _DOCUMENT if with_ids else _DOCUMENT.remove(5)
@@ -280,8 +291,8 @@ def _documents(block: dict, wanted: list[int] | None, with_ids: bool) -> pa.Reco
 def read_tokens(blocks: DataFrame, with_ids: bool = False, doc_ids: list[int] | None = None) -> DataFrame:
     """Per document of a token table: doc_id, start, n_tokens, ids_crc32 and, if asked, ids.
 
-    ``start`` counts the ids of all documents before it: the offset in the block, which select
-    gives, plus the block's place in its part, plus the parts before it. With ``doc_ids`` only
+    ``start`` counts the ids of all documents before it: the offset in the block, which the select
+    samples give run by run, plus the block's place in its part, plus the parts before it. With ``doc_ids`` only
     these documents are read, from the blocks that hold them: two selects give a document's ids,
     and no other document's bounds or ids are decoded. An empty table gives no rows.
     """

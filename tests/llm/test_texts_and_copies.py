@@ -163,6 +163,7 @@ def test_ids_next_to_a_null_keep_their_bits(spark):
 def test_elias_fano(values):
     e = tokens.EliasFano.of(np.array(values))
     assert e.decode().tolist() == values and [e.select(i) for i in range(len(values))] == values
+    assert [v for j in range(-(-len(values) // tokens.SAMPLE)) for v in e.run(j).tolist()] == values
     if len(values) > 1000:
         assert 8 * (len(e.low) + len(e.high) + len(e.ones)) < 8 * len(values)
 
