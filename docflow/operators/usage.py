@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,19 +36,22 @@ def rolling_usage(usage: DataFrame, seconds: int = DAY) -> DataFrame:
 def replay_admission(requests: DataFrame, quota: int = DAILY_QUOTA, seconds: int = DAY) -> DataFrame:
     """user_id, ts, chars, admitted: each request against what was admitted in the window before it.
 
-    A rejected request adds nothing, so decisions depend on decisions: rows come sorted by user
-    and time, and a task walks through them with one user's open window in memory.
+    A rejected request adds nothing, so decisions depend on decisions: rows come sorted by time,
+    and a task walks through them with the open window in memory. A pause of over ``seconds``
+    forgets all that was, so a user's requests are dealt out by the runs between such pauses; the
+    bound of a task is one run, and of its memory the admitted requests of one window.
     """
+    span = seconds * 1_000_000
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, open_window, held = None, [], 0
+        now, open_window, held = None, deque(), 0
         for b in batches:
             out = []
-            for u, at, chars in zip(b["user_id"], b["us"], b["chars"], strict=True):
-                if u != user:
-                    user, open_window, held = u, [], 0
-                while open_window and open_window[0][0] < at - seconds * 1_000_000:
-                    held -= open_window.pop(0)[1]
+            for user, run, at, chars in zip(b["user_id"], b["run"], b["us"], b["chars"], strict=True):
+                if (user, run) != now:
+                    now, open_window, held = (user, run), deque(), 0
+                while open_window and open_window[0][0] < at - span:
+                    held -= open_window.popleft()[1]
                 ok = held + chars <= quota
                 if ok:
                     open_window.append((at, chars))
@@ -56,8 +60,11 @@ def replay_admission(requests: DataFrame, quota: int = DAILY_QUOTA, seconds: int
             yield b.assign(admitted=out)
 
     rows = requests.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "chars")
-    ordered = rows.repartition("user_id").sortWithinPartitions("user_id", "us", "chars")
-    walked = ordered.mapInPandas(walk, "user_id long, us long, chars long, admitted boolean")
+    order = Window.partitionBy("user_id").orderBy("us")
+    pause = F.coalesce(F.col("us") - F.lag("us").over(order) > span, F.lit(False)).cast("int")
+    runs = rows.withColumn("pause", pause).withColumn("run", F.sum("pause").over(order)).drop("pause")
+    ordered = runs.repartition("user_id", "run").sortWithinPartitions("user_id", "run", "us", "chars")
+    walked = ordered.mapInPandas(walk, "user_id long, us long, chars long, run long, admitted boolean")
     return walked.select("user_id", F.timestamp_micros("us").alias("ts"), "chars", "admitted")
 
 

@@ -61,6 +61,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         (0, 'the', 'THE', 1), (0, 'of', 'OF', 2), (1, 'que', 'k', 3), (1, 'de', 'D', 4), (1, 'que', 'QUE', 5), (2, 'der', 'D.E.R', 6),
         (2, 'und', '$1 & und', 7), (2, '', 'x', 8), (3, ' la ', 'LA', 9), (3, 'los', '', 10)) AS v(u, p, r, c)""",
     ),
+    "told_rules_v": (  # each event tells a rule; ties in time are many
+        (),
+        """SELECT user_id, event_type AS pattern, concat('said ', CAST(event_id % 10 AS STRING)) AS replacement, CAST(floor(event_id / 50) AS BIGINT) AS created_at FROM events""",
+    ),
     "docs_v": ((), "SELECT doc_id, doc_id % 4 AS user_id, text FROM documents"),
     "books_v": ((), "SELECT source AS book, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page_no, doc_id, text FROM documents"),
     "paragraphs_v": ((), "SELECT doc_id, replace(text, chr(10), concat(chr(10), chr(10))) AS text FROM documents"),
@@ -105,5 +109,7 @@ def oracle(sql: str, *views: str) -> str:
     sql = sql.strip()
     if not ctes:
         return sql
-    head = "WITH " + ", ".join(ctes)
+    recursive = "RECURSIVE " if sql.upper().startswith("WITH RECURSIVE ") else ""
+    head = f"WITH {recursive}" + ", ".join(ctes)
+    sql = sql.replace(sql[5:15], "", 1) if recursive else sql
     return f"{head}, {sql[5:]}" if sql.upper().startswith("WITH ") else f"{head} {sql}"

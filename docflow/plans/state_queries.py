@@ -335,7 +335,12 @@ def q3(s, d):
     return usage.rolling_usage(view(s, d, "usage_v")).select("event_id", "user_id", "chars", "rolling")
 
 
-@query("q4_replay_admission")
+@query("q4_replay_admission", oracle("""WITH RECURSIVE e AS (SELECT user_id, ts, chars, row_number() OVER (PARTITION BY user_id ORDER BY ts, chars) AS n FROM usage_v),
+  w AS (SELECT user_id, n, ts, chars, chars <= 3000 AS admitted, CASE WHEN chars <= 3000 THEN [{'t': ts, 'c': chars}] ELSE [] END AS held FROM e WHERE n = 1
+  UNION ALL SELECT user_id, n, ts, chars, ok, CASE WHEN ok THEN list_append(held, {'t': ts, 'c': chars}) ELSE held END FROM (
+    SELECT user_id, n, ts, chars, held, coalesce(list_sum(list_transform(held, lambda x: x.c)), 0) + chars <= 3000 AS ok FROM (
+      SELECT e.user_id, e.n, e.ts, e.chars, list_filter(w.held, lambda x: x.t >= e.ts - INTERVAL 24 HOUR) AS held FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)))
+  SELECT user_id, ts, chars, admitted FROM w""", "usage_v"))
 def q4(s, d):
     return usage.replay_admission(view(s, d, "usage_v"), quota=3000)
 

@@ -33,6 +33,15 @@ def _chunk_events(s: SparkSession, d: str) -> DataFrame:
     return told.select(F.col("user_id").alias("document_id"), F.when(status.isNotNull(), _k()).alias("idx"), status.alias("status"), ended.alias("job_status"), "ts")
 
 
+#: Chunk and job events as above; the last status of each chunk up to the end of its document.
+_LAST = """e AS (SELECT user_id AS document_id, CASE WHEN event_type IN ('click', 'purchase') THEN 'done' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'view' THEN 'processing' END AS status,
+  CAST(json_extract_string(props, '$.k') AS INT) AS idx, CASE WHEN event_type = 'signup' AND value > 250 THEN 'succeeded' END AS job_status, ts FROM events WHERE event_type <> 'signup' OR value > 250),
+  d AS (SELECT document_id, min(ts) FILTER (WHERE job_status IS NOT NULL) AS ended FROM e GROUP BY document_id),
+  l AS (SELECT document_id, idx, status FROM (SELECT e.*, row_number() OVER (PARTITION BY e.document_id, idx ORDER BY ts DESC) AS r FROM e JOIN d ON e.document_id = d.document_id
+    WHERE status IS NOT NULL AND idx IS NOT NULL AND (ended IS NULL OR ts <= ended)) WHERE r = 1)"""
+_COUNTS = "count(*) FILTER (WHERE status = 'done') AS done, count(*) FILTER (WHERE status = 'failed') AS failed"
+
+
 @query("s5_write_chunks", oracle("SELECT document_id, idx, status FROM chunks_v", "chunks_v"))
 def s5(s, d):
     name = f"docflow_chunks_{uuid.uuid4().hex[:12]}"
@@ -48,12 +57,19 @@ def s8(s, d):
     return s.read.schema(log.schema).parquet(f"{path}/out")
 
 
-@query("x1_progress_stream")
+@query("x1_progress_stream", f"""WITH {_LAST}, c AS (SELECT document_id, count(*) AS total, {_COUNTS} FROM l GROUP BY document_id)
+  SELECT d.document_id, CASE WHEN ended IS NULL THEN 'progress' ELSE 'succeeded' END AS kind, coalesce(total, 0) AS total, coalesce(done, 0) AS done, coalesce(failed, 0) AS failed,
+  coalesce(total - done - failed, 0) AS pending FROM d LEFT JOIN c ON d.document_id = c.document_id""")
 def x1(s, d):
     return drained(progress.progress_stream(_chunk_events(s, d)), "update")
 
 
-@query("x2_snapshot_then_stream")
+@query("x2_snapshot_then_stream", oracle(f"""WITH {_LAST}, t AS (SELECT document_id, count(*) AS total, {_COUNTS} FROM chunks_v GROUP BY document_id),
+  u AS (SELECT * FROM l UNION ALL SELECT v.document_id, v.idx, v.status FROM chunks_v v WHERE v.status IN ('done', 'failed') AND NOT EXISTS (SELECT 1 FROM l WHERE l.document_id = v.document_id AND l.idx = v.idx)),
+  c AS (SELECT document_id, count(*) AS n, {_COUNTS} FROM u GROUP BY document_id)
+  SELECT d.document_id, 'snapshot' AS kind, total, done, failed, total - done - failed AS pending FROM d JOIN t ON d.document_id = t.document_id
+  UNION ALL SELECT d.document_id, CASE WHEN ended IS NULL THEN 'progress' ELSE 'succeeded' END, coalesce(t.total, n, 0), coalesce(c.done, 0), coalesce(c.failed, 0),
+  greatest(0, coalesce(t.total, n, 0) - coalesce(c.done, 0) - coalesce(c.failed, 0)) FROM d LEFT JOIN t ON d.document_id = t.document_id LEFT JOIN c ON d.document_id = c.document_id""", "chunks_v"))
 def x2(s, d):
     chunks = view(s, d, "chunks_v")
     totals = jobs.document_progress(chunks).select("document_id", "total")
@@ -84,7 +100,9 @@ def x5(s, d):
     return drained(progress.usage_stream(_usage(s, d), slide="6 hours"), "complete")
 
 
-@query("x6_stale_stream")
+@query("x6_stale_stream", f"""WITH {_LAST}, s AS (SELECT * FROM e WHERE status IS NOT NULL),
+  r AS (SELECT document_id, idx, status, ts, row_number() OVER (PARTITION BY document_id, idx ORDER BY ts DESC) AS r FROM s)
+  SELECT document_id, idx, epoch_us(ts) // 1000 + 600000 AS stale_at FROM r WHERE r = 1 AND status = 'processing' AND ts + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM s)""")
 def x6(s, d):
     told = _chunk_events(s, d).where("status IS NOT NULL").select("document_id", "idx", "status", "ts")
     return drained(progress.stale_stream(told), "update")

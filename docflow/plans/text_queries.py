@@ -341,9 +341,9 @@ def r2(s, d):
     return rules.apply_rules(view(s, d, "docs_v"), view(s, d, "rules_v")).select("doc_id", "user_id", "text")
 
 
-@query("r3_upsert_rules", oracle("SELECT user_id, pattern, replacement, created_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id, pattern ORDER BY created_at DESC, replacement DESC) AS r FROM rules_v) WHERE r = 1", "rules_v"))
+@query("r3_upsert_rules", oracle("SELECT user_id, pattern, replacement, created_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id, pattern ORDER BY created_at DESC, replacement DESC) AS r FROM told_rules_v) WHERE r = 1", "told_rules_v"))
 def r3(s, d):
-    return rules.upsert_rules(view(s, d, "rules_v"))
+    return rules.upsert_rules(view(s, d, "told_rules_v"))
 
 
 CANDIDATES = "SELECT doc_id AS user_id, left(text, CAST(doc_id % 140 AS INT)) AS pattern, right(text, CAST(doc_id % 290 AS INT)) AS replacement FROM documents"
@@ -358,9 +358,9 @@ def r4(s, d):
     return rules.validate_rules(cut)
 
 
-@query("r5_list_rules", oracle("SELECT user_id, pattern, replacement, created_at FROM rules_v", "rules_v"))
+@query("r5_list_rules", oracle("SELECT user_id, pattern, replacement, created_at FROM told_rules_v", "told_rules_v"))
 def r5(s, d):
-    return rules.list_rules(view(s, d, "rules_v"))
+    return rules.list_rules(view(s, d, "told_rules_v"))
 
 
 # ---------------------------------------------------------------- titles, formats, feeds

@@ -16,19 +16,27 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from docflow.operators.chunks import chunk_text
 
 TERMINAL = ("succeeded", "failed")
+#: How long a closed document is remembered, so that late events of it yield nothing.
+CLOSED_MS = 7 * 24 * 3_600_000
 PROGRESS = "document_id long, kind string, total long, done long, failed long, pending long"
 
 
 class ProgressFold(StatefulProcessor):
     """Latest status of each chunk of a document; a terminal job event drops the state.
 
-    A known document starts from its snapshot (total and statuses), which goes out first.
+    A known document starts from its snapshot (total and statuses), which goes out once, before
+    the first progress. That a document has ended is kept for ``closed_ms`` of event time.
     """
 
+    def __init__(self, closed_ms: int = CLOSED_MS) -> None:
+        self.closed_ms = closed_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.status = handle.getMapState("status", "idx int", "status string")
         self.total = handle.getValueState("total", "total long")
+        self.shown = handle.getValueState("shown", "shown boolean")
         self.ended = handle.getValueState("ended", "at long")
+        self.handle = handle
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         rows = initialState if isinstance(initialState, pd.DataFrame) else pd.concat(list(initialState))
@@ -41,7 +49,8 @@ class ProgressFold(StatefulProcessor):
         out = []
         if self.ended.exists():
             return  # late events of a document that has ended
-        if self.total.exists():
+        if self.total.exists() and not self.shown.exists():
+            self.shown.update((True,))
             out.append(self._row(key, "snapshot"))
         events = pd.concat(list(rows)).sort_values(["ts", "idx"], kind="stable")
         for e in events.itertuples(index=False):
@@ -49,7 +58,9 @@ class ProgressFold(StatefulProcessor):
                 out.append(self._row(key, e.job_status))
                 self.status.clear()
                 self.total.clear()
+                self.shown.clear()
                 self.ended.update((int(e.ts.value // 1000),))
+                self.handle.registerTimer(int(e.ts.value // 1_000_000) + self.closed_ms)
                 break
             if not pd.isna(e.idx):
                 self.status.updateValue((int(e.idx),), (e.status,))
@@ -57,6 +68,10 @@ class ProgressFold(StatefulProcessor):
             out.append(self._row(key, "progress"))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in PROGRESS.split(", ")])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.ended.clear()
+        yield pd.DataFrame([], columns=[c.split()[0] for c in PROGRESS.split(", ")]).astype({"document_id": "int64", "kind": "object", "total": "int64", "done": "int64", "failed": "int64", "pending": "int64"})
+
     def _row(self, key, kind: str) -> tuple:
         states = [v[0] for v in self.status.values()]
         done, failed = states.count("done"), states.count("failed")
@@ -67,12 +82,14 @@ class ProgressFold(StatefulProcessor):
         pass
 
 
-def progress_stream(events: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+def progress_stream(events: DataFrame, snapshot: DataFrame | None = None, closed_ms: int = CLOSED_MS, delay: str = "1 hour") -> DataFrame:
     """Progress of each document as its events come; with a snapshot (document_id, total, idx,
-    status), that first. A terminal job event closes the document: later events yield nothing."""
+    status), that first and once. A terminal job event closes the document: events of the next
+    ``closed_ms`` yield nothing, and later ones would open it anew. Events over ``delay`` behind
+    the newest one may be left out."""
     initial = snapshot.groupBy("document_id") if snapshot is not None else None
-    return events.groupBy("document_id").transformWithStateInPandas(
-        statefulProcessor=ProgressFold(), outputStructType=PROGRESS, outputMode="Update", timeMode="None", initialState=initial
+    return events.withWatermark("ts", delay).groupBy("document_id").transformWithStateInPandas(
+        statefulProcessor=ProgressFold(closed_ms), outputStructType=PROGRESS, outputMode="Update", timeMode="EventTime", initialState=initial
     )
 
 

@@ -36,6 +36,27 @@ def test_snapshot_comes_first(spark, tmp_path):
     assert [(r.kind, r.total, r.done, r.pending) for r in got] == [("snapshot", 3, 1, 2), ("progress", 3, 2, 1)]
 
 
+def test_the_snapshot_goes_out_once_over_many_batches(spark, tmp_path):
+    snapshot = spark.createDataFrame([(1, 3, 0, "done"), (1, 3, 1, "pending"), (1, 3, 2, "pending")], "document_id long, total long, idx int, status string")
+    for n, rows in enumerate([[(1, 1, "done", None, at(1))], [(1, 2, "failed", None, at(2)), (2, 0, "done", None, at(2))], [(1, None, None, "failed", at(3))], [(1, 2, "done", None, at(4))]]):
+        spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        __import__("time").sleep(1.1)  # files are read in the order of their times
+    live = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = [(r.kind, r.total, r.done, r.failed, r.pending) for r in drained(progress.progress_stream(live, snapshot), "update").where("document_id = 1").collect()]
+    assert sorted(got) == sorted([("snapshot", 3, 1, 0, 2), ("progress", 3, 2, 0, 1), ("progress", 3, 2, 1, 0), ("failed", 3, 2, 1, 0)])
+
+
+def test_chunks_to_synthesise(spark, tmp_path):
+    from docflow.operators.planning import with_hash
+
+    rows = [(1, 7, "One. Two.\n\nThree.", at(0)), (2, 7, "Three.", at(1)), (3, 8, "Three.", at(2)), (4, 7, None, at(3))]
+    known = with_hash(spark.createDataFrame([("One. Two.",)], "text string"), "v", "m").first().content_hash
+    cache = spark.createDataFrame([(7, known)], "user_id long, content_hash string")
+    live = stream_of(spark, tmp_path, rows, "document_id long, user_id long, text string, ts timestamp")
+    got = drained(progress.chunk_stream(live, cache, "v", "m")).collect()
+    assert sorted((r.user_id, r.text) for r in got) == [(7, "Three."), (8, "Three.")]  # not the cached one, and once a user
+
+
 def test_stale_work_needs_a_later_event(spark, tmp_path):
     rows = [(1, 0, "processing", at(0)), (1, 1, "processing", at(0)), (1, 1, "done", at(60)), (2, 0, "done", at(3600))]
     got = drained(progress.stale_stream(stream_of(spark, tmp_path, rows, "document_id long, idx int, status string, ts timestamp")), "update").collect()
