@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from docflow.functions.text import collapse, is_page_number, line_key, rtrim, trim
@@ -14,17 +14,19 @@ def page_lines(pages: DataFrame, book: str = "book", page: str = "page_no", text
     return pages.select(F.col(book).alias("book"), F.col(page).alias("page_no"), F.posexplode(lines).alias("line_no", "line"))
 
 
-def _content(lines: DataFrame, edge: int) -> DataFrame:
-    """Lines with a word, with their position and whether they stand near an edge of the page.
+def _placed(lines: DataFrame, edge: int) -> DataFrame:
+    """``lines`` with near_edge: whether a line with a word stands near an edge of its page.
 
-    The position of a line that occurs again on the page is that of its first occurrence.
+    The position of a line that occurs again on the page is that of its first occurrence. One
+    exchange by page serves all windows; a page is what one task holds, not a book.
     """
-    kept = lines.where(trim(F.col("line")) != "")
-    order = Window.partitionBy("book", "page_no").orderBy("line_no")
-    whole = Window.partitionBy("book", "page_no")
-    ranked = kept.withColumn("pos", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(whole))
-    first = F.min("pos").over(Window.partitionBy("book", "page_no", "line"))
-    return ranked.withColumn("first_pos", first).withColumn("near_edge", (F.col("first_pos") < edge) | (F.col("first_pos") >= F.col("n") - edge))
+    worded = F.coalesce(trim(F.col("line")) != "", F.lit(False))
+    page = Window.partitionBy("book", "page_no")
+    upto = page.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = lines.withColumn("pos", F.when(worded, F.count_if(worded).over(upto) - 1)).withColumn("n", F.count_if(worded).over(page))
+    first = ranked.withColumn("pos", F.min("pos").over(Window.partitionBy("book", "page_no", "line")))
+    near = (F.col("pos") < edge) | (F.col("pos") >= F.col("n") - edge)
+    return first.withColumn("near_edge", F.coalesce(near, F.lit(False))).drop("pos", "n")
 
 
 def find_furniture(lines: DataFrame, edge: int = 3, threshold: float = 0.5, min_pages: int = 3) -> DataFrame:
@@ -42,25 +44,25 @@ def find_furniture(lines: DataFrame, edge: int = 3, threshold: float = 0.5, min_
 
 def drop_furniture(lines: DataFrame, furniture: DataFrame, edge: int = 3) -> DataFrame:
     """Lines without page numbers, and without furniture near an edge; blank lines stay."""
-    near = _content(lines, edge).where("near_edge").select("book", "page_no", "line_no", F.lit(True).alias("near"))
     known = furniture.select("book", "key").distinct().withColumn("is_known", F.lit(True))
-    marked = (
-        lines.withColumn("key", line_key(F.col("line")))
-        .join(near, ["book", "page_no", "line_no"], "left")
-        .join(known, ["book", "key"], "left")
-    )
+    key = F.when(F.col("near_edge"), line_key(F.col("line")))  # no other line can be furniture
+    marked = _placed(lines, edge).withColumn("key", key).join(known, ["book", "key"], "left")
     blank = trim(F.col("line")) == ""
-    gone = is_page_number(F.col("line")) | (F.coalesce("near", F.lit(False)) & F.coalesce("is_known", F.lit(False)))
+    gone = is_page_number(F.col("line")) | F.coalesce("is_known", F.lit(False))
     return marked.where(blank | ~gone).select("book", "page_no", "line_no", "line")
 
 
 def order_statistic(df: DataFrame, key: str, value: str, quantile: float) -> DataFrame:
     """key, stat: the value at 0-based place floor(quantile * n) of the sorted values, exactly.
 
-    Ranked by window, so a key's values are sorted with spilling, never held in one array.
+    Values are counted before they are sorted, so a key with many rows brings its distinct values
+    only into one task; nulls come first, as in a sort.
     """
-    ranked = df.select(key, value).withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(value)) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    return ranked.where(F.col("r") == F.floor(F.col("n") * quantile)).select(key, F.col(value).alias("stat"))
+    counted = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
+    whole = Window.partitionBy(key)
+    upto = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("upto", F.sum("c").over(upto)).withColumn("place", F.floor(F.sum("c").over(whole) * quantile))
+    return ranked.where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("c") <= F.col("place"))).select(key, F.col(value).alias("stat"))
 
 
 def median_width(lines: DataFrame) -> DataFrame:
@@ -75,12 +77,17 @@ def reflow(lines: DataFrame, short_ratio: float = 0.6) -> DataFrame:
     A paragraph ends at a blank line, at the last line, and at a short line that ends a sentence.
     A hyphen at a line's end goes if the next line starts in lower case, else stays without a space.
     """
-    order = Window.partitionBy("book").orderBy("page_no", "line_no")
+    page = Window.partitionBy("book", "page_no").orderBy("line_no")
     bare = lines.select("book", "page_no", "line_no", trim(F.col("line")).alias("t")).join(median_width(lines), "book")
     ends = F.col("t").rlike("[.!?][\"'”’)\\]]?$") & (F.length("t") < F.col("stat") * short_ratio)
-    flagged = bare.withColumn("closes", (F.col("t") == "") | ends).withColumn(
-        "para", F.coalesce(F.sum(F.col("closes").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    closing = bare.withColumn("closes", ((F.col("t") == "") | ends).cast("int"))
+    # ends before a line: those on the pages before it, a row a page, and those before it on its page
+    counts = closing.groupBy("book", "page_no").agg(F.sum("closes").alias("closes"))
+    before = counts.select(
+        F.col("book").alias("b"), F.col("page_no").alias("p"), _sum_before("closes", Window.partitionBy("book").orderBy("page_no")).alias("earlier")
     )
+    same_page = F.col("book").eqNullSafe(F.col("b")) & F.col("page_no").eqNullSafe(F.col("p"))
+    flagged = closing.withColumn("within", _sum_before("closes", page)).join(before, same_page).withColumn("para", F.col("earlier") + F.col("within"))
     inside = Window.partitionBy("book", "para").orderBy("page_no", "line_no")
     following = F.lead("t").over(inside)
     words = flagged.where("t <> ''").withColumn("next", following)
@@ -97,6 +104,10 @@ def reflow(lines: DataFrame, short_ratio: float = 0.6) -> DataFrame:
     return kept.select("book", (F.row_number().over(Window.partitionBy("book").orderBy("para")) - 1).alias("paragraph_no"), "paragraph")
 
 
+def _sum_before(value: str, order: WindowSpec) -> Column:
+    return F.coalesce(F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def clean_pages(pages: DataFrame, edge: int = 3, threshold: float = 0.5, min_pages: int = 3) -> DataFrame:
     """book, paragraph_no, paragraph of whole books: furniture and page numbers gone, reflowed."""
     lines = page_lines(pages)

@@ -109,12 +109,17 @@ def latest_position(updates: DataFrame) -> DataFrame:
 def throttle(df: DataFrame, key: list[str], ts: str, ms: int = 5000) -> DataFrame:
     """key, ts: only what comes over ``ms`` after the last row kept before it.
 
-    What is kept depends on what was kept, so each key's times are folded in order.
+    What is kept depends on what was kept, so times are folded in order. A row that comes over
+    ``ms`` after the row before it is always kept, so each run between such pauses is folded for
+    itself, and a busy key is many small arrays. Null times are dropped.
     """
-    micros = F.array_sort(F.collect_list(F.unix_micros(F.col(ts).cast("timestamp"))))
+    times = df.select(*key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us")).where("_us IS NOT NULL")
+    order = Window.partitionBy(*key).orderBy("_us")
+    pause = F.coalesce(F.col("_us") - F.lag("_us").over(order) > ms * 1000, F.lit(False))
+    runs = times.withColumn("_pause", pause.cast("int")).withColumn("_run", F.sum("_pause").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     start = F.array().cast("array<bigint>")
     kept = F.aggregate(
-        micros, start, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.coalesce(F.element_at(acc, -1), t) > ms * 1000), F.concat(acc, F.array(t))).otherwise(acc)
+        F.array_sort(F.collect_list("_us")), start, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.coalesce(F.element_at(acc, -1), t) > ms * 1000), F.concat(acc, F.array(t))).otherwise(acc)
     )
-    guarded = F.when(F.size(micros) > 0, kept)
-    return df.groupBy(*key).agg(guarded.alias("_kept")).select(*key, F.explode("_kept").alias("_us")).select(*key, F.timestamp_micros("_us").alias(ts))
+    folded = runs.groupBy(*key, "_run").agg(kept.alias("_kept"))
+    return folded.select(*key, F.explode("_kept").alias("_us")).select(*key, F.timestamp_micros("_us").alias(ts))
