@@ -45,10 +45,9 @@ def find_furniture(lines: DataFrame, edge: int = 3, threshold: float = 0.5, min_
 def drop_furniture(lines: DataFrame, furniture: DataFrame, edge: int = 3) -> DataFrame:
     """Lines without page numbers, and without furniture near an edge; blank lines stay."""
     known = furniture.select("book", "key").distinct().withColumn("is_known", F.lit(True))
-    key = F.when(F.col("near_edge"), line_key(F.col("line")))  # no other line can be furniture
-    marked = _placed(lines, edge).withColumn("key", key).join(known, ["book", "key"], "left")
+    marked = _placed(lines, edge).withColumn("key", line_key(F.col("line"))).join(known, ["book", "key"], "left")
     blank = trim(F.col("line")) == ""
-    gone = is_page_number(F.col("line")) | F.coalesce("is_known", F.lit(False))
+    gone = is_page_number(F.col("line")) | (F.col("near_edge") & F.coalesce("is_known", F.lit(False)))
     return marked.where(blank | ~gone).select("book", "page_no", "line_no", "line")
 
 
