@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docflow.llm.shared import table
+from docflow.llm.shared import table, written
 
 ORDER = 3
 #: Distinct texts of each language that the model is fitted on (at most); they are taken whole.
@@ -103,12 +103,19 @@ def gram_counts(sample: DataFrame) -> DataFrame:
     return sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def hash_cell(h: Column) -> Column:
+    """A number that never falls as the hash ``h`` rises: 64 cells for each doubling of the distance
+    from the least hash, so 4096 at most, and of few rows wherever the smallest hashes end."""
+    return F.floor(F.log2(F.greatest(h.cast("double") + F.lit(2.0**63), F.lit(1.0))) * 64)
+
+
 def training_sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """lang, text: of each language the ``sample_docs`` distinct texts with the smallest hashes.
 
     Only labelled documents that aren't held out count. Copies count once, so a language with any
     usable text is learned. The hashes are cut down within each partition (of the rows, so no
-    copies gather) before the few that are left of each language are ranked together.
+    copies gather); those left are counted by :func:`hash_cell`, and only the cells that hold a
+    language's smallest ``sample_docs`` are ranked together, however many partitions there were.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "") & ~held_out(F.col("doc_id"))).select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
@@ -122,9 +129,14 @@ def training_sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFram
         yield kept
 
     some = keyed.select("lang", "h").mapInPandas(smallest, "lang string, h long").distinct()
+    some = written(some.withColumn("cell", hash_cell(F.col("h"))), "sample-hashes")
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    cells = some.groupBy("lang", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+    last = cells.where(F.col("before") < sample_docs).groupBy("lang").agg(F.max("cell").alias("last"))  # one row a language
+    near = some.join(F.broadcast(last), "lang").where("cell <= last")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     # at most sample_docs rows a language
-    chosen = some.withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("lang", "h")
+    chosen = near.withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("lang", "h")
 
     def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[tuple[str, int]] = set()
