@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -88,6 +89,19 @@ def test_many_copies_of_one_text_push_no_text_out(spark):
     assert sum(lang == "en" for lang, _ in got) == 100 and {t for lang, t in got if lang == "es"} == {t for lang, t in usable if lang == "es"}
 
 
+def test_the_sample_has_the_smallest_hashes(spark):
+    texts = [f"{w} {i % 400}" for i in range(2000) for w in ("one", "uno")]
+    df = table(spark, texts, langs=["en", "es"] * 2000).repartition(7)
+    hashed = df.where(~language.held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("text").alias("h")).distinct().collect()
+    for most in (1, 30, 1000):
+        expected = {(r.lang, r.text) for lang in ("en", "es") for r in sorted((r for r in hashed if r.lang == lang), key=lambda r: r.h)[:most]}
+        got = [(r.lang, r.text) for r in language.training_sample(df, most).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected
+    edges = [-(2**63), -(2**63) + 1, -(2**63) + 5000, -(2**62), -1, 0, 1, 2**62, 2**63 - 1]
+    cells = [r.c for r in spark.createDataFrame([(e,) for e in edges], "h long").select("h", language.hash_cell(F.col("h")).alias("c")).orderBy("h").collect()]
+    assert None not in cells and cells == sorted(cells) and 0 <= cells[0] and cells[-1] <= 4096
+
+
 def test_language_of_odd_tables(spark):
     got = {r.doc_id: r for r in language.identify(table(spark, ODD)).collect()}
     assert len(got) == len(ODD) and all(r.lang_pred == "und" and r.score == 0 for r in got.values())
@@ -470,3 +484,31 @@ def test_pipeline_stages(spark, docs):
     assert set(seen["secrets"]) == set(seen["leaks"]) and not any('token = "' in r.text for r in seen["secrets"].values())
     last = corpus_pipeline.run(spark, DIR).collect()
     assert {r.doc_id for r in last} == set(seen["secrets"]) and all(r.lossless for r in last)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    clean = [f"the quick brown fox number {i} walks over {i * 7} lazy dogs and comes home at {i + 3} in the evening" for i in range(12)]
+    leak = "which river runs through the old town of the northern hills and where does it meet the sea at last"
+    spark.createDataFrame([(1, leak), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/odd/benchmark.parquet")
+    texts = [*ODD, *clean, clean[0], f"before {leak} after", 'use password = "hunter2hunter2" here and then go on with the work of the day']
+    rows = table(spark, texts, ids=[None, None, *range(2, len(texts))], langs=["en" if t in clean else None for t in texts])
+    again = rows.unionByName(rows.where("doc_id = 12"))  # a repeated row
+    again.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    at = {t: i for i, t in reversed(list(enumerate(texts))) if t in texts}
+    now = again
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, now = now, stage(spark, now, f"{tmp_path}/odd").cache()
+        assert now.columns == again.columns, name
+        ids = {r.doc_id for r in now.collect()}
+        assert ids <= {r.doc_id for r in before.collect()} and {at[t] for t in clean} <= ids, name
+    kept = now.collect()
+    assert [r.doc_id for r in kept].count(12) == 1 and len(ODD) + len(clean) not in ids and at[texts[-2]] not in ids
+    assert "hunter2hunter2" not in "".join(r.text for r in kept)
+    coded = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert sorted(str(r.doc_id) for r in coded) == sorted(str(r.doc_id) for r in kept) and all(r.lossless for r in coded)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    table(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
