@@ -39,8 +39,11 @@ def chapters(lines: DataFrame) -> DataFrame:
 
 
 def titled(starts: DataFrame, texts: DataFrame) -> DataFrame:
-    """``starts`` with the title from the text of the chapter's first chunk."""
-    return starts.join(texts.select("document_id", "idx", chapter_title(F.col("text")).alias("title")), ["document_id", "idx"], "left")
+    """``starts`` with the title from the text of the chapter's first chunk, null if there is none.
+
+    Texts may come from a generator, whose size Spark can't tell, so the join is always by sort.
+    """
+    return starts.join(texts.hint("merge").select("document_id", "idx", chapter_title(F.col("text")).alias("title")), ["document_id", "idx"], "left")
 
 
 def asset_totals(chunks: DataFrame, lines: DataFrame, bytes_per_ms: int = 16) -> DataFrame:

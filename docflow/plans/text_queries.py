@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docflow.functions import text as fx
-from docflow.operators import chunks, extract, feeds, pages, planning, rules, usage
+from docflow.operators import chunks, extract, feeds, pages, planning, rules, timeline, usage
 from docflow.plans.adapters import oracle, table, view
 from docflow.plans.registry import query
 from docflow.sources.readers import clean_markdown
@@ -372,6 +372,16 @@ def l4(s, d):
     return table(s, d, "documents").select("doc_id", fx.chapter_title(F.col("text")).alias("title"))
 
 
+# three lines make a paragraph, and each line is spoken at 60 ms a character
+@query("l4_titled_chapters", f"""WITH lines AS (SELECT doc_id AS document_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS idx, unnest(string_split(text, chr(10))) AS text FROM documents),
+  timed AS (SELECT *, CAST(coalesce(sum(length(text) * 60 + CASE WHEN idx % 3 = 2 THEN 750 ELSE 350 END) OVER (PARTITION BY document_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms FROM lines)
+  SELECT document_id, idx // 3 AS chapter_no, idx, idx // 3 AS paragraph_idx, start_ms, {TITLE} AS title FROM (SELECT *, {collapse_sql('text')} AS f FROM timed WHERE idx % 3 = 0)""")
+def l4_chapters(s, d):
+    lines = table(s, d, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+    spoken = lines.withColumns({"paragraph_idx": F.expr("idx div 3").cast("int"), "duration_ms": F.length("text") * 60, "ends_paragraph": F.col("idx") % 3 == 2})
+    return timeline.titled(timeline.chapters(timeline.timeline(spoken)), lines)
+
+
 @query("l14_formats", oracle("""SELECT document_id, idx, (duration_ms // 1000) // 60 || ':' || lpad(CAST((duration_ms // 1000) % 60 AS VARCHAR), 2, '0') AS length,
   CASE WHEN char_count >= 1000 THEN ((char_count + 50) // 100) // 10 || '.' || ((char_count + 50) // 100) % 10 || 'k chars' ELSE char_count || ' chars' END AS size FROM chunks_v""", "chunks_v"))
 def l14(s, d):
