@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from docflow.llm import decontamination, html, language, licenses, pieces, quality, secrets, sharding, simhash, tokens
+from docflow.llm import decontamination, html, language, licenses, negatives, packing, pieces, quality, resampling, secrets, sharding, simhash, tokens
 
 
 def queries():
@@ -18,6 +18,9 @@ def queries():
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_simhash": simhash.op9_simhash,
         "op10_license_scan": licenses.op10_license_scan,
+        "op11_importance_resampling": resampling.op11_importance_resampling,
+        "op12_hard_negatives": negatives.op12_hard_negatives,
+        "op13_packing": packing.op13_packing,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -28,4 +31,6 @@ def oracle_sql():
         "op7_html_text": html.ORACLE,
         "op8_quality_rules": quality.ORACLE,
         "op10_license_scan": licenses.ORACLE,
+        "op11_importance_resampling": resampling.ORACLE,
+        "op12_hard_negatives": negatives.ORACLE,
     }
