@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +33,27 @@ def rolling_usage(usage: DataFrame, seconds: int = DAY) -> DataFrame:
     return usage.withColumn("rolling", F.sum("chars").over(span))
 
 
+class Admission:
+    """What was admitted in the window before the present request."""
+
+    def __init__(self, quota: int, span: int, held: Iterable[tuple[int, int]] = ()):
+        self.quota, self.span, self.held = quota, span, deque(held)
+        self.sum = sum(chars for _, chars in self.held)
+
+    def forget(self, before: int) -> None:
+        while self.held and self.held[0][0] < before:
+            self.sum -= self.held.popleft()[1]
+
+    def decide(self, at: int, chars: int) -> bool:
+        """Whether a request is admitted; requests come in order of time."""
+        self.forget(at - self.span)
+        ok = self.sum + chars <= self.quota
+        if ok:
+            self.held.append((at, chars))
+            self.sum += chars
+        return ok
+
+
 def replay_admission(requests: DataFrame, quota: int = DAILY_QUOTA, seconds: int = DAY) -> DataFrame:
     """user_id, ts, chars, admitted: each request against what was admitted in the window before it.
 
@@ -40,31 +61,29 @@ def replay_admission(requests: DataFrame, quota: int = DAILY_QUOTA, seconds: int
     and a task walks through them with the open window in memory. A pause of over ``seconds``
     forgets all that was, so a user's requests are dealt out by the runs between such pauses; the
     bound of a task is one run, and of its memory the admitted requests of one window.
+
+    Defined cases: requests without a user share one quota; null characters are 0; rows without a
+    time are left out; repeated rows are requests each; of requests at one time the smaller one is
+    decided first; an empty table gives no rows. Ids keep all their bits.
     """
     span = seconds * 1_000_000
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, open_window, held = None, deque(), 0
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, window = None, Admission(quota, span)
         for b in batches:
             out = []
-            for user, run, at, chars in zip(b["user_id"], b["run"], b["us"], b["chars"], strict=True):
+            for user, at, chars, run in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (user, run) != now:
-                    now, open_window, held = (user, run), deque(), 0
-                while open_window and open_window[0][0] < at - span:
-                    held -= open_window.popleft()[1]
-                ok = held + chars <= quota
-                if ok:
-                    open_window.append((at, chars))
-                    held += chars
-                out.append(ok)
-            yield b.assign(admitted=out)
-
-    rows = requests.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "chars")
+                    now, window = (user, run), Admission(quota, span)
+                out.append(window.decide(at, chars))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.bool_())], ["user_id", "us", "chars", "admitted"])
+
+    rows = requests.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.coalesce("chars", F.lit(0)).cast("long").alias("chars")).where("us IS NOT NULL")
     order = Window.partitionBy("user_id").orderBy("us")
     pause = F.coalesce(F.col("us") - F.lag("us").over(order) > span, F.lit(False)).cast("int")
     runs = rows.withColumn("pause", pause).withColumn("run", F.sum("pause").over(order)).drop("pause")
     ordered = runs.repartition("user_id", "run").sortWithinPartitions("user_id", "run", "us", "chars")
-    walked = ordered.mapInPandas(walk, "user_id long, us long, chars long, run long, admitted boolean")
+    walked = ordered.select("user_id", "us", "chars", "run").mapInArrow(walk, f"user_id {requests.schema['user_id'].dataType.simpleString()}, us long, chars long, admitted boolean")
     return walked.select("user_id", F.timestamp_micros("us").alias("ts"), "chars", "admitted")
 
 

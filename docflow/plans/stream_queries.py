@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.operators import jobs
+from docflow.plans import state_queries  # noqa: F401  its SQL is used below
 from docflow.plans.adapters import oracle, table, view
-from docflow.plans.registry import query
+from docflow.plans.registry import ORACLES, query
 from docflow.sources.readers import read_events
-from docflow.sources.sinks import write_chunks, write_progress
-from docflow.streaming import progress
+from docflow.sources.sinks import UpsertTable, write_chunks, write_progress
+from docflow.streaming import progress, usage
 from docflow.streaming.run import drained, shared_dir
 
 
@@ -33,11 +34,13 @@ def _chunk_events(s: SparkSession, d: str) -> DataFrame:
     return told.select(F.col("user_id").alias("document_id"), F.when(status.isNotNull(), _k()).alias("idx"), status.alias("status"), ended.alias("job_status"), "ts")
 
 
-#: Chunk and job events as above; the last status of each chunk up to the end of its document.
-_LAST = """e AS (SELECT user_id AS document_id, CASE WHEN event_type IN ('click', 'purchase') THEN 'done' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'view' THEN 'processing' END AS status,
+#: Of two statuses at one time the one further on.
+_STAGE = "CASE status WHEN 'done' THEN 3 WHEN 'failed' THEN 2 ELSE 1 END"
+#: Chunk and job events as above; the last status of each chunk up to the last end of a job of its document.
+_LAST = f"""e AS (SELECT user_id AS document_id, CASE WHEN event_type IN ('click', 'purchase') THEN 'done' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'view' THEN 'processing' END AS status,
   CAST(json_extract_string(props, '$.k') AS INT) AS idx, CASE WHEN event_type = 'signup' AND value > 250 THEN 'succeeded' END AS job_status, ts FROM events WHERE event_type <> 'signup' OR value > 250),
-  d AS (SELECT document_id, min(ts) FILTER (WHERE job_status IS NOT NULL) AS ended FROM e GROUP BY document_id),
-  l AS (SELECT document_id, idx, status FROM (SELECT e.*, row_number() OVER (PARTITION BY e.document_id, idx ORDER BY ts DESC) AS r FROM e JOIN d ON e.document_id = d.document_id
+  d AS (SELECT document_id, max(ts) FILTER (WHERE job_status IS NOT NULL) AS ended FROM e GROUP BY document_id),
+  l AS (SELECT document_id, idx, status FROM (SELECT e.*, row_number() OVER (PARTITION BY e.document_id, idx ORDER BY ts DESC, {_STAGE} DESC) AS r FROM e JOIN d ON e.document_id = d.document_id
     WHERE status IS NOT NULL AND idx IS NOT NULL AND (ended IS NULL OR ts <= ended)) WHERE r = 1)"""
 _COUNTS = "count(*) FILTER (WHERE status = 'done') AS done, count(*) FILTER (WHERE status = 'failed') AS failed"
 
@@ -49,6 +52,22 @@ def s5(s, d):
     return s.table(name)
 
 
+@query("s6_upsert_stream", ORACLES["s6_upsert_cache"])
+def s6_stream(s, d):
+    """The cache grows by a stream of chunks; each micro-batch is merged once."""
+    chunks = s.readStream.schema(table(s, d, "lineitem").schema).option("pathGlobFilter", "lineitem.parquet").parquet(d)
+    owners = table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
+    made = chunks.withColumn("content_hash", F.sha2(F.col("l_partkey").cast("string"), 256)).join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
+    new = made.select("user_id", "content_hash", F.concat(F.lit("new/"), "content_hash", F.lit(".mp3")).alias("path"), F.col("l_shipdate").alias("created_at"))
+    old = view(s, d, "cache_v").withColumn("created_at", F.expr("TIMESTAMP_NTZ '1998-01-01 00:00:00'"))
+    folder = f"{shared_dir(s)}/docflow-streams/{uuid.uuid4().hex}"
+    cache = UpsertTable(s, f"{folder}/cache", new.schema, ["user_id", "content_hash"], ["created_at", "path"])
+    cache.load(old)
+    cache.follow(new, f"{folder}/checkpoint").awaitTermination()
+    cache.compact()
+    return cache.read()
+
+
 @query("s8_event_log", "SELECT event_id, user_id, event_type, value FROM events")
 def s8(s, d):
     path = f"{shared_dir(s)}/docflow-streams/{uuid.uuid4().hex}"
@@ -61,25 +80,26 @@ def s8(s, d):
   SELECT d.document_id, CASE WHEN ended IS NULL THEN 'progress' ELSE 'succeeded' END AS kind, coalesce(total, 0) AS total, coalesce(done, 0) AS done, coalesce(failed, 0) AS failed,
   coalesce(total - done - failed, 0) AS pending FROM d LEFT JOIN c ON d.document_id = c.document_id""")
 def x1(s, d):
-    return drained(progress.progress_stream(_chunk_events(s, d)), "update")
+    return progress.last_rows(drained(progress.progress_stream(_chunk_events(s, d)), "update")).drop("seq")
 
 
 @query("x2_snapshot_then_stream", oracle(f"""WITH {_LAST}, t AS (SELECT document_id, count(*) AS total, {_COUNTS} FROM chunks_v GROUP BY document_id),
   u AS (SELECT * FROM l UNION ALL SELECT v.document_id, v.idx, v.status FROM chunks_v v WHERE v.status IN ('done', 'failed') AND NOT EXISTS (SELECT 1 FROM l WHERE l.document_id = v.document_id AND l.idx = v.idx)),
   c AS (SELECT document_id, count(*) AS n, {_COUNTS} FROM u GROUP BY document_id)
-  SELECT d.document_id, 'snapshot' AS kind, total, done, failed, total - done - failed AS pending FROM d JOIN t ON d.document_id = t.document_id
+  SELECT document_id, 'snapshot' AS kind, total, done, failed, total - done - failed AS pending FROM t
   UNION ALL SELECT d.document_id, CASE WHEN ended IS NULL THEN 'progress' ELSE 'succeeded' END, coalesce(t.total, n, 0), coalesce(c.done, 0), coalesce(c.failed, 0),
   greatest(0, coalesce(t.total, n, 0) - coalesce(c.done, 0) - coalesce(c.failed, 0)) FROM d LEFT JOIN t ON d.document_id = t.document_id LEFT JOIN c ON d.document_id = c.document_id""", "chunks_v"))
 def x2(s, d):
     chunks = view(s, d, "chunks_v")
     totals = jobs.document_progress(chunks).select("document_id", "total")
     snapshot = chunks.join(totals, "document_id").select("document_id", "total", "idx", "status")
-    return drained(progress.progress_stream(_chunk_events(s, d), snapshot), "update")
+    rows = drained(progress.progress_stream(_chunk_events(s, d), snapshot), "update")
+    return rows.where("kind = 'snapshot'").unionByName(progress.last_rows(rows)).drop("seq")
 
 
 @query("x3_until_terminal", """SELECT DISTINCT user_id AS document_id, 'succeeded' AS kind FROM events WHERE event_type = 'signup' AND value > 250""")
 def x3(s, d):
-    return drained(progress.until_terminal(_chunk_events(s, d)), "update").select("document_id", "kind")
+    return drained(progress.until_terminal(_chunk_events(s, d)), "update").select("document_id", "kind").distinct()
 
 
 @query("x4_chunk_stream")
@@ -100,9 +120,21 @@ def x5(s, d):
     return drained(progress.usage_stream(_usage(s, d), slide="6 hours"), "complete")
 
 
+@query("x5_rolling_usage", ORACLES["q3_rolling_usage"])
+def x5_exact(s, d):
+    requests = _events(s, d).where("event_type IN ('purchase', 'click')").select("event_id", "user_id", "ts", F.floor(F.col("value") * 10).cast("long").alias("chars"))
+    return usage.last_totals(drained(usage.rolling_usage_stream(requests), "update")).select("event_id", "user_id", "chars", "rolling")
+
+
+#: The replay of the batch form, as far as the watermark has come.
+@query("q4_admission_stream", ORACLES["q4_replay_admission"] + " WHERE ts <= (SELECT date_trunc('milliseconds', max(ts)) FROM usage_v) - INTERVAL 1 HOUR")
+def q4_stream(s, d):
+    return drained(usage.admission_stream(_usage(s, d), quota=3000))
+
+
 @query("x6_stale_stream", f"""WITH {_LAST}, s AS (SELECT * FROM e WHERE status IS NOT NULL),
-  r AS (SELECT document_id, idx, status, ts, row_number() OVER (PARTITION BY document_id, idx ORDER BY ts DESC) AS r FROM s)
-  SELECT document_id, idx, epoch_us(ts) // 1000 + 600000 AS stale_at FROM r WHERE r = 1 AND status = 'processing' AND ts + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM s)""")
+  r AS (SELECT document_id, idx, status, ts, row_number() OVER (PARTITION BY document_id, idx ORDER BY ts DESC, {_STAGE} DESC) AS r FROM s WHERE idx IS NOT NULL)
+  SELECT document_id, idx, epoch_us(ts) // 1000 + 600000 AS stale_at FROM r WHERE r = 1 AND status = 'processing' AND ts + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM s WHERE idx IS NOT NULL)""")
 def x6(s, d):
     told = _chunk_events(s, d).where("status IS NOT NULL").select("document_id", "idx", "status", "ts")
     return drained(progress.stale_stream(told), "update")
@@ -119,3 +151,14 @@ def x8(s, d):
     views = _events(s, d).where("event_type = 'view'")
     updates = views.select(F.col("event_id").alias("position_id"), "user_id", _k().cast("long").alias("document_id"), F.floor(F.col("value") * 1000).cast("long").alias("position_ms"), "ts")
     return drained(progress.position_stream(updates), "complete")
+
+
+@query("x8_upsert_positions", ORACLES["x8_position_stream"])
+def x8_upsert(s, d):
+    """As x8, without state: each micro-batch leaves its newest rows in a table of upserts."""
+    views = _events(s, d).where("event_type = 'view' AND value >= 0")
+    updates = views.select("user_id", _k().cast("long").alias("document_id"), F.floor(F.col("value") * 1000).cast("long").alias("position_ms"), F.col("ts").alias("updated_at"), F.col("event_id").alias("position_id"))
+    folder = f"{shared_dir(s)}/docflow-streams/{uuid.uuid4().hex}"
+    positions = UpsertTable(s, f"{folder}/positions", updates.schema, ["user_id", "document_id"], ["updated_at", "position_id"])
+    positions.follow(updates, f"{folder}/checkpoint").awaitTermination()
+    return positions.read().drop("position_id")

@@ -1,9 +1,17 @@
-"""Sinks: chunk tables, replaced assets, progress streams."""
+"""Sinks: chunk tables, replaced assets, progress streams, upserts from streams."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
+
+from docflow.operators.rules import newest
 
 
 def write_chunks(chunks: DataFrame, table: str, buckets: int = 64) -> None:
@@ -19,3 +27,80 @@ def write_partitions(df: DataFrame, path: str, *columns: str) -> None:
 def write_progress(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append what is there to Parquet files and stop."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
+
+
+LEDGER = "base string, upto long, version long"
+
+
+class UpsertTable:
+    """A table with one row a key, the newest, that micro-batches are merged into at any number of tries.
+
+    Each epoch writes its rows, the newest of each key, as a partition of its own; an epoch that is
+    played again replaces its partition by the same rows, so nothing changes. Reading takes the newest
+    row of each key from the base and the epochs behind it. :meth:`compact` writes a new base, then
+    appends one row to the ledger; that one file is the switch, so readers see the old base or the
+    new one, and a compaction that broke off is as if it had never been.
+
+    ``order`` names the columns that say which row is newer, the first one most. Defined cases: null
+    keys are a key; rows that are equal in keys and order but not in the rest are told apart by the
+    largest of the rest; an empty batch writes nothing; a table without epochs has no rows.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: list[str], order: list[str]):
+        self.spark, self.path, self.schema, self.keys, self.order = spark, path, schema, keys, order
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        rest = [c for c in self.schema.names if c not in (*self.keys, *self.order)]
+        return newest(rows.select(*self.schema.names), self.keys, *self.order, *rest)
+
+    def write_epoch(self, batch: DataFrame, epoch: int) -> None:
+        """For ``foreachBatch``: this epoch's newest rows, in place of those it may have written before."""
+        write_partitions(self._newest(batch).withColumn("epoch", F.lit(epoch).cast("long")), f"{self.path}/changes", "epoch")
+
+    def _read(self, folder: str, schema: StructType) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
+        except AnalysisException as e:  # nothing was written there yet
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def _base(self) -> tuple[str | None, int, int]:
+        ledger = self._read("ledger", StructType.fromDDL(LEDGER))
+        last = ledger.agg(F.max_by(F.struct("base", "upto", "version"), "version").alias("x")).first().x if ledger is not None else None
+        return (last.base, last.upto, last.version) if last else (None, -1, 0)
+
+    def _changes(self) -> DataFrame | None:
+        return self._read("changes", StructType([*self.schema.fields]).add("epoch", "long"))
+
+    def read(self) -> DataFrame:
+        """The newest row of each key, of the base and the epochs behind it."""
+        base, upto, _ = self._base()
+        changes = self._changes()
+        parts = [self._read(base, self.schema)] if base else []
+        parts += [changes.where(F.col("epoch") > upto).drop("epoch")] if changes is not None else []
+        return self._newest(reduce(DataFrame.unionByName, parts)) if parts else self.spark.createDataFrame([], self.schema)
+
+    def compact(self) -> None:
+        """Fold all epochs so far into a new base; epochs that come meanwhile stay behind it."""
+        changes = self._changes()
+        upto = changes.agg(F.max("epoch")).first()[0] if changes is not None else None
+        if upto is None:
+            return
+        base, before, version = self._base()
+        parts = [changes.where((F.col("epoch") > before) & (F.col("epoch") <= upto)).drop("epoch")]
+        parts += [self._read(base, self.schema)] if base else []
+        self._switch(reduce(DataFrame.unionByName, parts), upto, version + 1)
+
+    def load(self, rows: DataFrame) -> None:
+        """Start from ``rows``, before any epoch."""
+        self._switch(rows, -1, 1)
+
+    def _switch(self, rows: DataFrame, upto: int, version: int) -> None:
+        name = f"base-{version}-{uuid.uuid4().hex[:8]}"
+        self._newest(rows).write.parquet(f"{self.path}/{name}")
+        self.spark.createDataFrame([(name, upto, version)], LEDGER).coalesce(1).write.mode("append").parquet(f"{self.path}/ledger")
+
+    def follow(self, stream: DataFrame, checkpoint: str, mode: str = "append") -> StreamingQuery:
+        """Merge what is there of ``stream`` and stop."""
+        return stream.writeStream.foreachBatch(self.write_epoch).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

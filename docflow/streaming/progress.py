@@ -1,11 +1,15 @@
-"""Streams: chunk progress, usage, rates, positions, stale work.
+"""Streams: chunk progress, usage windows, rates, positions, stale work.
 
-Event shapes: chunk events (document_id, idx, status, cached, ts) and job events (document_id,
-job_status, ts) share one stream with nulls where a field isn't told.
+Event shapes: chunk events (document_id, idx, status, ts) and job events (document_id, job_status, ts)
+share one stream with nulls where a field isn't told; both may carry a job_id. What a stream says of a
+document or chunk is a function of the set of its events: the event times decide, not the order in
+which events arrive or how they are cut into micro-batches. Events over ``delay`` behind the newest
+one may be left out.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,112 +20,211 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from docflow.operators.chunks import chunk_text
 
 TERMINAL = ("succeeded", "failed")
-#: How long a closed document is remembered, so that late events of it yield nothing.
-CLOSED_MS = 7 * 24 * 3_600_000
-PROGRESS = "document_id long, kind string, total long, done long, failed long, pending long"
+#: Of two statuses of a chunk at one time the one further on counts.
+STAGES = ("pending", "processing", "failed", "done")
+#: How long a document is remembered after its last event.
+KEEP_MS = 7 * 24 * 3_600_000
+PROGRESS = "document_id long, kind string, total long, done long, failed long, pending long, seq long"
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    """A frame whose whole numbers stay whole, with or without rows."""
+    fields = [c.split() for c in schema.split(", ")]
+    df = pd.DataFrame(rows, columns=[n for n, _ in fields])
+    return df.astype({n: {"long": "int64", "int": "int32"}.get(t, "object") for n, t in fields})
 
 
 class ProgressFold(StatefulProcessor):
-    """Latest status of each chunk of a document; a terminal job event drops the state.
+    """Progress of one document from the versions (time, status) of its chunks and the ends of its jobs.
 
-    A known document starts from its snapshot (total and statuses), which goes out once, before
-    the first progress. That a document has ended is kept for ``closed_ms`` of event time.
+    A job covers the events up to its end. After the last end the document is closed: later chunk
+    events wait until a newer job shows, by a job event that isn't an end, by a larger job_id, or by
+    an end of its own. Versions older than the watermark are cut down to those that can still count.
     """
 
-    def __init__(self, closed_ms: int = CLOSED_MS) -> None:
-        self.closed_ms = closed_ms
+    def __init__(self, keep_ms: int = KEEP_MS) -> None:
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.status = handle.getMapState("status", "idx int", "status string")
-        self.total = handle.getValueState("total", "total long")
-        self.shown = handle.getValueState("shown", "shown boolean")
-        self.ended = handle.getValueState("ended", "at long")
         self.handle = handle
+        self.chunks = handle.getMapState("chunks", "idx int", "versions string")
+        self.doc = handle.getValueState("doc", "body string")
+
+    def _load(self) -> dict:
+        if self.doc.exists():
+            return json.loads(self.doc.get()[0])
+        return {"total": None, "unshown": False, "ends": [], "starts": {}, "told": None, "seq": 0, "last": 0, "timer": 0}
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         rows = initialState if isinstance(initialState, pd.DataFrame) else pd.concat(list(initialState))
-        self.total.update((int(rows["total"].max()),))
-        for idx, status in zip(rows["idx"], rows["status"], strict=True):
-            if status in ("done", "failed"):
-                self.status.updateValue((int(idx),), (status,))
+        doc = self._load() | {"total": int(rows["total"].max()), "unshown": True}
+        ends = [x for x in rows["job_status"] if x in TERMINAL]
+        doc["ends"] = [[0, max(ends), -1]] if ends else []
+        for idx, status, at in zip(rows["idx"].tolist(), rows["status"], rows["at"].tolist(), strict=True):
+            if status in STAGES:
+                self.chunks.updateValue((idx,), (json.dumps([[at, STAGES.index(status)]]),))
+        self.handle.registerTimer(1)  # comes with the first watermark, for documents that get no event
+        self.doc.update((json.dumps(doc),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.ended.exists():
-            return  # late events of a document that has ended
-        if self.total.exists() and not self.shown.exists():
-            self.shown.update((True,))
-            out.append(self._row(key, "snapshot"))
-        events = pd.concat(list(rows)).sort_values(["ts", "idx"], kind="stable")
-        for e in events.itertuples(index=False):
+        doc = self._load()
+        versions = {k[0]: json.loads(v[0]) for k, v in self.chunks.iterator()}
+        out = self._snapshot(key, doc, versions)
+        before = max(doc["ends"], default=[-1])
+        changed = set()
+        for e in pd.concat(list(rows)).itertuples(index=False):
+            at, job = int(e.at), int(e.job_id)
+            doc["last"] = max(doc["last"], at)
             if e.job_status in TERMINAL:
-                out.append(self._row(key, e.job_status))
-                self.status.clear()
-                self.total.clear()
-                self.shown.clear()
-                self.ended.update((int(e.ts.value // 1000),))
-                self.handle.registerTimer(int(e.ts.value // 1_000_000) + self.closed_ms)
-                break
-            if not pd.isna(e.idx):
-                self.status.updateValue((int(e.idx),), (e.status,))
-        else:
-            out.append(self._row(key, "progress"))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in PROGRESS.split(", ")])
+                doc["ends"].append([at, e.job_status, job])
+            elif e.job_status or job >= 0:
+                doc["starts"][str(job)] = max(at, doc["starts"].get(str(job), 0))
+            if e.idx >= 0 and e.status in STAGES:
+                versions.setdefault(int(e.idx), []).append([at, STAGES.index(e.status)])
+                changed.add(int(e.idx))
+        for end in sorted(x for x in doc["ends"] if x > before):
+            out += self._told(key, doc, end[1], versions, end[0])
+        limit, kind = self._now(doc)
+        out += self._told(key, doc, kind, versions, limit)
+        self._compact(doc, versions, changed, timerValues.getCurrentWatermarkInMs() * 1000)
+        if not doc["timer"]:
+            doc["timer"] = self._due(doc)
+            self.handle.registerTimer(doc["timer"])
+        self.doc.update((json.dumps(doc),))
+        yield _frame(out, PROGRESS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.ended.clear()
-        yield pd.DataFrame([], columns=[c.split()[0] for c in PROGRESS.split(", ")]).astype({"document_id": "int64", "kind": "object", "total": "int64", "done": "int64", "failed": "int64", "pending": "int64"})
-
-    def _row(self, key, kind: str) -> tuple:
-        states = [v[0] for v in self.status.values()]
+        doc = self._load()
+        out: list[tuple] = []
+        if doc["unshown"]:  # of the snapshot, and without an event so far
+            versions = {k[0]: json.loads(v[0]) for k, v in self.chunks.iterator()}
+            out = self._snapshot(key, doc, versions)
+            doc["last"] = timerValues.getCurrentWatermarkInMs() * 1000
+        if expiredTimerInfo.getExpiryTimeInMs() >= self._due(doc):
+            self.doc.clear()
+            self.chunks.clear()
+        elif out or expiredTimerInfo.getExpiryTimeInMs() == doc["timer"]:
+            doc["timer"] = self._due(doc)
+            self.handle.registerTimer(doc["timer"])
+            self.doc.update((json.dumps(doc),))
+        yield _frame(out, PROGRESS)
+
+    def _due(self, doc: dict) -> int:
+        return doc["last"] // 1000 + self.keep_ms
+
+    @staticmethod
+    def _now(doc: dict) -> tuple[int | None, str]:
+        """Up to when events count, None for all, and the kind of row that says so."""
+        if not doc["ends"]:
+            return None, "progress"
+        at, status, ended = max(doc["ends"])
+        newer = any(t > at and (int(job) < 0 or ended < 0 or int(job) > ended) for job, t in doc["starts"].items())
+        return (None, "progress") if newer else (at, status)
+
+    def _snapshot(self, key, doc: dict, versions: dict) -> list[tuple]:
+        """The row of the snapshot, once, and that of its end."""
+        if not doc["unshown"]:
+            return []
+        doc["unshown"] = False
+        out = self._told(key, doc, "snapshot", versions, None)
+        limit, kind = self._now(doc)
+        return out + (self._told(key, doc, kind, versions, limit) if kind in TERMINAL else [])
+
+    @staticmethod
+    def _told(key, doc: dict, kind: str, versions: dict, limit: int | None) -> list[tuple]:
+        """The row of the events up to ``limit``, or none if it is what was told last."""
+        newest = [max((v for v in own if limit is None or v[0] <= limit), default=None) for own in versions.values()]
+        states = [STAGES[v[1]] for v in newest if v]
         done, failed = states.count("done"), states.count("failed")
-        total = self.total.get()[0] if self.total.exists() else len(states)
-        return (key[0], kind, total, done, failed, max(0, total - done - failed))
+        total = len(states) if doc["total"] is None else doc["total"]
+        row = [kind, total, done, failed, max(0, total - done - failed)]
+        if row == doc["told"]:
+            return []
+        doc["told"], doc["seq"] = row, doc["seq"] + 1
+        return [(key[0], *row, doc["seq"])]
+
+    def _compact(self, doc: dict, versions: dict, changed: set[int], floor: int) -> None:
+        """Leave out what no event after the watermark ``floor`` can bring back."""
+        past = max((x for x in doc["ends"] if x[0] <= floor), default=None)
+        doc["ends"] = sorted([x for x in doc["ends"] if x[0] > floor] + ([past] if past else []))
+        for idx in changed:
+            own = versions[idx]
+            old = [max((v for v in own if v[0] <= t), default=None) for t in {floor, min(floor, past[0]) if past else floor}]
+            kept = {tuple(v) for v in [*old, *(v for v in own if v[0] > floor)] if v}
+            self.chunks.updateValue((idx,), (json.dumps(sorted(kept)),))
 
     def close(self) -> None:
         pass
 
 
-def progress_stream(events: DataFrame, snapshot: DataFrame | None = None, closed_ms: int = CLOSED_MS, delay: str = "1 hour") -> DataFrame:
-    """Progress of each document as its events come; with a snapshot (document_id, total, idx,
-    status), that first and once. A terminal job event closes the document: events of the next
-    ``closed_ms`` yield nothing, and later ones would open it anew. Events over ``delay`` behind
-    the newest one may be left out."""
-    initial = snapshot.groupBy("document_id") if snapshot is not None else None
-    return events.withWatermark("ts", delay).groupBy("document_id").transformWithStateInPandas(
-        statefulProcessor=ProgressFold(closed_ms), outputStructType=PROGRESS, outputMode="Update", timeMode="EventTime", initialState=initial
+def progress_stream(events: DataFrame, snapshot: DataFrame | None = None, keep_ms: int = KEEP_MS, delay: str = "1 hour") -> DataFrame:
+    """Rows that say how far each document is; of a document the row with the largest ``seq`` holds.
+
+    With a snapshot (document_id, total, idx, status, and if wanted job_status and ts), its row comes
+    first and once, also for documents without an event (with the first watermark, so the stream needs
+    some event), and that of its end if it has one. A row goes out only if it differs from the last.
+    A document is forgotten ``keep_ms`` of event time after its last event. Defined cases: events
+    without a document or time are left out, repeated events change nothing, of events at one time
+    the status further on counts, unknown statuses are no chunks.
+    """
+    told = events.where("document_id IS NOT NULL AND ts IS NOT NULL").select(
+        "document_id", "ts", F.unix_micros("ts").alias("at"), F.coalesce(F.col("idx").cast("int"), F.lit(-1)).alias("idx"), F.coalesce("status", F.lit("")).alias("status"),
+        F.coalesce("job_status", F.lit("")).alias("job_status"), F.coalesce(F.col("job_id") if "job_id" in events.columns else F.lit(-1), F.lit(-1)).cast("long").alias("job_id"),
+    )
+    initial = None
+    if snapshot is not None:
+        at = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0)) if "ts" in snapshot.columns else F.lit(0)
+        ended = F.coalesce("job_status", F.lit("")) if "job_status" in snapshot.columns else F.lit("")
+        initial = snapshot.select("document_id", "total", "idx", "status", at.cast("long").alias("at"), ended.alias("job_status")).groupBy("document_id")
+    return told.withWatermark("ts", delay).groupBy("document_id").transformWithStateInPandas(
+        statefulProcessor=ProgressFold(keep_ms), outputStructType=PROGRESS, outputMode="Update", timeMode="EventTime", initialState=initial
     )
 
 
+def last_rows(rows: DataFrame) -> DataFrame:
+    """The last row of each document, from what a progress stream wrote in any number of batches."""
+    fields = [c.split()[0] for c in PROGRESS.split(", ")]
+    return rows.where("kind <> 'snapshot'").groupBy("document_id").agg(F.max_by(F.struct(*fields[1:]), "seq").alias("x")).select("document_id", "x.*")
+
+
 def until_terminal(events: DataFrame) -> DataFrame:
-    """Only the rows that close a document."""
+    """Only the rows that close a document: one for each end of a job, in order of ``seq``."""
     return progress_stream(events).where(F.col("kind").isin(*TERMINAL))
 
 
+STALE = "document_id long, idx int, stale_at long"
+
+
 class StaleTimer(StatefulProcessor):
-    """Emits a requeue row when a processing chunk hasn't been heard of for some event time."""
+    """Emits a requeue row when a processing chunk hasn't been heard of for some event time.
+
+    The newest event of the chunk decides, so an older one that comes late changes nothing. What is
+    known of a chunk that isn't processing goes when no older event can come any more.
+    """
 
     def __init__(self, minutes: int) -> None:
         self.ms = minutes * 60_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.due = handle.getValueState("due", "at long")
+        self.newest = handle.getValueState("newest", "at long, stage int, due long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = pd.concat(list(rows)).sort_values("ts", kind="stable").iloc[-1]
-        if self.due.exists():
-            self.handle.deleteTimer(self.due.get()[0])
-            self.due.clear()
-        if last["status"] == "processing":
-            at = int(last["ts"].value // 1_000_000) + self.ms
-            self.handle.registerTimer(at)
-            self.due.update((at,))
-        yield pd.DataFrame({"document_id": [], "idx": [], "stale_at": []}).astype({"document_id": "int64", "idx": "int32", "stale_at": "int64"})
+        at, stage, due = self.newest.get() if self.newest.exists() else (-1, -1, 0)
+        events = pd.concat(list(rows))
+        told = max(zip(events["at"].tolist(), events["stage"].tolist(), strict=True))
+        if told > (at, stage):
+            after = told[0] // 1000 + (self.ms if STAGES[told[1]] == "processing" else 1)
+            if due and due != after:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(after)
+            self.newest.update((*told, after))
+        yield _frame([], STALE)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.due.clear()
-        yield pd.DataFrame({"document_id": [key[0]], "idx": [key[1]], "stale_at": [expiredTimerInfo.getExpiryTimeInMs()]})
+        stale = self.newest.exists() and STAGES[self.newest.get()[1]] == "processing"
+        self.newest.clear()
+        yield _frame([(key[0], key[1], expiredTimerInfo.getExpiryTimeInMs())] if stale else [], STALE)
 
     def close(self) -> None:
         pass
@@ -130,12 +233,13 @@ class StaleTimer(StatefulProcessor):
 def stale_stream(chunks: DataFrame, minutes: int = 10, delay: str = "0 seconds") -> DataFrame:
     """(document_id, idx, stale_at in ms) of chunks (document_id, idx, status, ts) to requeue.
 
-    Timers run on the watermark, so an idle stream needs a later event to fire them.
+    Timers run on the watermark, so an idle stream needs a later event to fire them. Events without
+    a document, idx, known status or time are left out; repeated events change nothing.
     """
-    marked = chunks.withWatermark("ts", delay)
-    return marked.groupBy("document_id", "idx").transformWithStateInPandas(
-        statefulProcessor=StaleTimer(minutes), outputStructType="document_id long, idx int, stale_at long", outputMode="Update", timeMode="EventTime"
-    )
+    stage = F.array_position(F.array(*[F.lit(x) for x in STAGES]), F.col("status")).cast("int") - 1
+    told = chunks.where("document_id IS NOT NULL AND idx IS NOT NULL AND ts IS NOT NULL").withColumn("stage", stage).where("stage >= 0")
+    marked = told.select("document_id", "idx", "ts", F.unix_micros("ts").alias("at"), "stage").withWatermark("ts", delay)
+    return marked.groupBy("document_id", "idx").transformWithStateInPandas(statefulProcessor=StaleTimer(minutes), outputStructType=STALE, outputMode="Update", timeMode="EventTime")
 
 
 def chunk_stream(docs: DataFrame, cache: DataFrame, voice: str, model: str, max_chars: int = 2000, delay: str = "1 hour") -> DataFrame:

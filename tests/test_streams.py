@@ -1,10 +1,19 @@
 """Streams against batch results on small event logs."""
 
 import datetime as dt
+import itertools
+import os
+import random
 
+import pytest
+from pyspark.sql.types import StructType
+
+from docflow.operators import usage
 from docflow.sources.readers import read_events, read_text_docs, read_uploads
+from docflow.sources.sinks import UpsertTable
 from docflow.streaming import progress
-from docflow.streaming.run import drained
+from docflow.streaming import usage as rolling
+from docflow.streaming.run import ROCKSDB, drained
 
 
 def stream_of(spark, tmp_path, rows, schema, name="in"):
@@ -83,3 +92,166 @@ def test_sources(spark, tmp_path):
     texts = {r.path.rsplit("/", 1)[1]: r.text for r in read_text_docs(spark, str(tmp_path / "files/a.txt")).collect()}
     assert texts == {"a.txt": "One\n\ntwo three"}
     assert read_events(spark, "/root/testdata/sf0.001", "events.parquet").isStreaming
+
+
+# ---------------------------------------------------------------- any order, any split
+def in_batches(spark, tmp_path, batches, schema, name="split"):
+    """A stream that gives each of ``batches`` as a micro-batch of its own, in this order."""
+    folder, seen = tmp_path / name, set()
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        for f in set(folder.glob("part-*")) - seen:
+            os.utime(f, (1_700_000_000 + n, 1_700_000_000 + n))
+            seen.add(f)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def of(rows, *fields):
+    return {r.document_id: tuple(r[f] for f in fields) for r in rows}
+
+
+#: A job fails, late news of it comes, a second job ends well; then an event without a job.
+LOG = [(0, "processing", None, 0), (0, "failed", None, 1), (1, "done", None, 60), (None, None, "failed", 100), (0, "done", None, 600), (None, None, "succeeded", 700)]
+
+
+def test_every_order_and_split_of_a_log_ends_the_same(spark, tmp_path):
+    orders = list(itertools.permutations(LOG))  # 720 documents, each with the log in another order
+    event = lambda d, e: (d, e[0], e[1], e[2], at(e[3]))
+    splits = [[[event(d, e) for d, o in enumerate(orders) for e in o[a:b]] for a, b in cuts] for cuts in ([(0, 6)], [(0, 2), (2, 3), (3, 6)], [(0, 1), (1, 5), (5, 6)])]
+    for n, batches in enumerate(splits):
+        rows = drained(progress.progress_stream(in_batches(spark, tmp_path, batches, EVENTS, f"s{n}")), "update")
+        last = of(progress.last_rows(rows).collect(), "kind", "total", "done", "failed", "pending")
+        assert set(last) == set(range(720)) and set(last.values()) == {("succeeded", 2, 2, 0, 0)}
+
+
+def test_an_older_event_never_wins(spark, tmp_path):
+    live = in_batches(spark, tmp_path, [[(1, 0, "done", None, at(60))], [(1, 0, "failed", None, at(1))], [(1, 0, "done", None, at(60))]], EVENTS)
+    rows = drained(progress.progress_stream(live), "update").collect()
+    assert [(r.kind, r.done, r.failed, r.seq) for r in rows] == [("progress", 1, 0, 1)]  # what changes nothing says nothing
+
+
+def test_a_resumed_document_speaks_again(spark, tmp_path):
+    jobs = EVENTS + ", job_id long"
+    batches = [
+        [(1, 0, "done", None, at(1), 5), (1, None, None, "failed", at(2), 5), (2, None, None, "failed", at(2), None), (3, 0, "done", None, at(1), None), (3, None, None, "succeeded", at(2), None)],
+        [(1, 1, "done", None, at(300), 5), (3, 1, "done", None, at(300), None), (2, None, None, "running", at(300), None)],  # late news of the old job; no job; a new job
+        [(1, 2, "done", None, at(600), 6), (2, 0, "done", None, at(600), None)],
+        [(1, None, None, "succeeded", at(700), 6), (2, None, None, "succeeded", at(700), None)],
+    ]
+    rows = sorted(drained(progress.progress_stream(in_batches(spark, tmp_path, batches, jobs)), "update").collect(), key=lambda r: (r.document_id, r.seq))
+    assert [(r.kind, r.done) for r in rows if r.document_id == 1] == [("failed", 1), ("progress", 3), ("succeeded", 3)]
+    assert [(r.kind, r.done) for r in rows if r.document_id == 2] == [("failed", 0), ("progress", 0), ("progress", 1), ("succeeded", 1)]
+    assert [(r.kind, r.done) for r in rows if r.document_id == 3] == [("succeeded", 1)]
+
+
+def test_snapshots_of_silent_and_finished_documents(spark, tmp_path):
+    schema = "document_id long, total long, idx int, status string, job_status string, ts timestamp"
+    snapshot = spark.createDataFrame([(1, 2, 0, "done", "running", at(5)), (1, 2, 1, "pending", "running", at(5)), (2, 1, 0, "done", "succeeded", None), (4, 1, 0, "done", None, at(9))], schema)
+    live = in_batches(spark, tmp_path, [[(3, 0, "done", None, at(9)), (4, 0, "failed", None, at(3))], [(3, 1, "done", None, at(9000))]], EVENTS)
+    got = drained(progress.progress_stream(live, snapshot), "update").collect()
+    kinds = {d: [(r.kind, r.total, r.done, r.pending) for r in sorted(got, key=lambda r: r.seq) if r.document_id == d] for d in range(1, 5)}
+    assert kinds[1] == [("snapshot", 2, 1, 1)]  # no event, yet a snapshot
+    assert kinds[2] == [("snapshot", 1, 1, 0), ("succeeded", 1, 1, 0)]
+    assert kinds[3] == [("progress", 1, 1, 0), ("progress", 2, 2, 0)]
+    assert kinds[4] == [("snapshot", 1, 1, 0), ("progress", 1, 1, 0)]  # the event is older than the snapshot
+
+
+def state_rows(stream, tmp_path, spark, mode="update"):
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        run = stream.writeStream.outputMode(mode).format("noop").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in run.recentProgress if p["stateOperators"]]
+
+
+def test_a_document_that_stops_telling_is_forgotten(spark, tmp_path):
+    batches = [[(1, 0, "processing", None, at(0)), (1, 1, "done", None, at(0))], [(None, 0, "done", None, at(10)), (2, 0, "done", None, at(100_000))], [(2, None, None, "succeeded", at(200_000))], [(2, None, None, "running", at(900_000)), (3, None, None, None, None)]]
+    stream = progress.progress_stream(in_batches(spark, tmp_path, batches, EVENTS), keep_ms=60_000, delay="10 seconds")
+    rows = state_rows(stream.where("document_id = 1 OR document_id = 2"), tmp_path, spark)
+    assert max(rows) > 0 and rows[-1] <= min(x for x in rows if x)  # only what is known of the newest event is left
+    quiet = in_batches(spark, tmp_path, [[(1, 0, "processing", at(0)), (1, 1, "done", at(0))], [(1, 0, "done", at(30))], [(2, 0, "pending", at(99_999))]], "document_id long, idx int, status string, ts timestamp", "quiet")
+    (tmp_path / "second").mkdir()
+    assert state_rows(progress.stale_stream(quiet), tmp_path / "second", spark)[-1] <= 2  # the newest event's
+
+
+def test_a_finished_chunk_is_never_requeued(spark, tmp_path):
+    schema = "document_id long, idx int, status string, ts timestamp"
+    batches = [[(1, 0, "done", at(60)), (1, 1, "processing", at(1)), (1, 2, "processing", at(1))], [(1, 0, "processing", at(1)), (1, 1, "done", at(61)), (1, 2, "processing", at(1))], [(9, 0, "done", at(9000))], [(9, 1, "strange", at(9001)), (None, 1, "processing", at(9001)), (9, None, "processing", at(9001))]]
+    got = drained(progress.stale_stream(in_batches(spark, tmp_path, batches, schema), delay="2 minutes"), "update").collect()
+    assert [(r.document_id, r.idx) for r in got] == [(1, 2)]
+
+
+# ---------------------------------------------------------------- exact usage and admissions
+REQUESTS = "event_id long, user_id long, ts timestamp, chars long"
+
+
+def requests(seed, n=120):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice([1, 2, 2**53 + 1]), at(rng.randrange(0, 4 * 86_400, 600)), rng.choice([0, 5, 40, 400])) for i in range(n)]
+    return sorted(rows, key=lambda r: r[2])
+
+
+@pytest.mark.parametrize("parts", [1, 3, 10])
+def test_rolling_usage_on_a_stream_is_exact(spark, tmp_path, parts):
+    rows = requests(1)
+    random.Random(2).shuffle(rows)  # all within the delay
+    batches = [rows[k::parts] for k in range(parts)]
+    batches[0] = batches[0] + [(900, None, at(5), 1), (901, 1, None, 1)]
+    stream = rolling.rolling_usage_stream(in_batches(spark, tmp_path, batches, REQUESTS), delay="5 days")
+    got = rolling.last_totals(drained(stream, "update")).select("user_id", "event_id", "chars", "rolling").collect()
+    expected = usage.rolling_usage(spark.createDataFrame(rows, REQUESTS)).select("user_id", "event_id", "chars", "rolling").collect()
+    assert sorted(got) == sorted(expected) and len(got) == len(rows)
+
+
+def test_usage_state_goes_with_its_window(spark, tmp_path):
+    rows = [(1, 1, at(0), 5), (2, 1, at(100_000), 7), (3, 2, at(400_000), 1)]
+    stream = rolling.rolling_usage_stream(in_batches(spark, tmp_path, [[r] for r in rows] + [[(4, 2, at(900_000), 1)]], REQUESTS), delay="0 seconds")
+    rows = state_rows(stream, tmp_path, spark)
+    assert rows[-1] <= max(rows) and rows[-1] == min(x for x in rows if x)  # of the user who was last only
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_admissions_on_a_stream_equal_the_replay(spark, tmp_path, parts):
+    rows = requests(3)
+    random.Random(4).shuffle(rows)
+    batches = [rows[k::parts] for k in range(parts)] + [[(999, 5, at(30 * 86_400), 0)]]  # the last one lets the watermark pass
+    got = drained(rolling.admission_stream(in_batches(spark, tmp_path, batches, REQUESTS), quota=900, delay="6 days")).collect()
+    expected = usage.replay_admission(spark.createDataFrame(rows, REQUESTS), quota=900).collect()
+    assert sorted(got) == sorted(expected) and {r.admitted for r in got} == {True, False}
+
+
+def test_replay_keeps_ids_and_nulls(spark):
+    far = 2**53 + 1
+    rows = [(1, far, at(0), 6), (2, far + 2, at(0), 6), (3, None, at(1), 6), (4, None, at(2), 6), (5, None, at(3), None), (6, far, None, 1), (7, far, at(1), 4), (7, far, at(1), 4)]
+    got = usage.replay_admission(spark.createDataFrame(rows, REQUESTS).coalesce(1), quota=10).collect()
+    assert sorted(((r.user_id or 0, r.chars, r.admitted) for r in got)) == [(0, 0, True), (0, 6, False), (0, 6, True), (far, 4, False), (far, 4, True), (far, 6, True), (far + 2, 6, True)]
+    assert usage.replay_admission(spark.createDataFrame([], REQUESTS)).count() == 0
+
+
+# ---------------------------------------------------------------- upserts
+def test_upserts_can_be_played_again(spark, tmp_path):
+    schema = "k long, at long, v string"
+    table = UpsertTable(spark, str(tmp_path / "table"), StructType.fromDDL(schema), ["k"], ["at"])
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    read = lambda: sorted(table.read().collect(), key=repr)
+    assert read() == []
+    table.compact()
+    epochs = [[(1, 5, "a"), (1, 3, "old"), (None, 1, "n")], [(1, 4, "late"), (2, 1, "b"), (2, 1, "a")], [], [(None, 2, "m"), (None, 2, "m")]]
+    for n, rows in enumerate(epochs):
+        table.write_epoch(frame(rows), n)
+    once = read()
+    assert once == sorted([(1, 5, "a"), (2, 1, "b"), (None, 2, "m")], key=repr)
+    table.write_epoch(frame(epochs[1]), 1)
+    assert read() == once
+    table.compact()
+    assert read() == once
+    table.write_epoch(frame(epochs[3]), 3)  # an epoch that is in the base already
+    table.write_epoch(frame([(2, 9, "new")]), 4)
+    table.compact()
+    (tmp_path / "table" / "base-9-broken").mkdir()  # of a compaction that broke off
+    assert read() == sorted([(1, 5, "a"), (2, 9, "new"), (None, 2, "m")], key=repr)
+    assert spark.read.parquet(str(tmp_path / "table" / "ledger")).count() == 2
