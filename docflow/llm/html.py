@@ -11,8 +11,8 @@ rare layout has classes of its own.
 
 What lies between template tokens are slots: the text under the innermost template element. The
 page's text is taken from slots: text that is itself a template token is static and goes, slots
-under elements that are made for something else go (names are a hint), and of the rest, slots that
-say one of a few things on many pages of the host, or hold little but links, go unless they are
+under elements that are made for something else go: by their tag, or by their name unless they hold most of
+what varies on the page or in its articles. Of the rest, slots that say one of a few things on many pages of the host, or hold little but links, go unless they are
 inside an article element.
 """
 
@@ -23,7 +23,7 @@ import json
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -57,11 +57,21 @@ SPACED = frozenset("br td th img".split())
 ENDS_P = BLOCKS - {"body", "html"}
 #: Elements that never hold an article's text.
 ASIDE = frozenset("head nav footer aside form script style noscript template iframe button select textarea svg dialog title".split())
-ASIDE_NAME = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|nav\w*|menus?|sidebar|footer|comments?|cookies?|notices?|consent|"
-    r"newsletter|subscribe|share|social|related|breadcrumbs?|popup|modal|widget|login|search|navigation|complementary|contentinfo|alert)(?:[-_\s]|$)",
-    re.I,
+#: Words that name an element made for something else than the page's text.
+ASIDE_WORD = re.compile(
+    r"ads?|advert\w*|banners?|sponsor\w*|promo\w*|nav\w*|menus?|sidebars?|footer|comments?|reply|replies|cookies?|notices?|consent|"
+    r"newsletter|subscribe|share|social|related|breadcrumbs?|popup|modal|widgets?|login|search|complementary|contentinfo|alert"
 )
+#: Words that say where or what kind of element it is, so that the name still is an aside's ...
+PLAIN_WORDS = frozenset(
+    "area article bar block body bottom box btn button buttons col container content desktop element entry field form global group head header icon icons "
+    "inner item items label large left link links list main mobile module page panel post posts primary region right row secondary section side site slot "
+    "small text title toggle top unit wrap wrapper zone".split()
+)
+#: ... unless one of these comes first: content-sidebar-wrap is what holds content and sidebar.
+HOLDING_WORDS = frozenset("body container content inner wrap wrapper".split())
+#: Names of reader comments, which go however many there are, and of what holds teasers of other pages.
+COMMENT_WORD, TEASER_WORD = re.compile(r"comments?|reply|replies"), re.compile(r"ads?|advert\w*|banners?|sponsor\w*|promo\w*|related|newsletter|subscribe|comments?|reply|replies")
 ARTICLE = frozenset(("article", "main"))
 #: Elements that hold the page's text whatever their names say they have (no-sidebar, main-search).
 HOLDERS = frozenset(("html", "body", "main", "article"))
@@ -71,10 +81,39 @@ ASIDE_ARTICLE = re.compile(r"(?<!\S)(?:comment|reply|teaser|ad|advert|advertisem
 INSIDE, NAMED, OUTSIDE = 0, 1, 2
 
 
+def aside_words(names: str) -> list[str]:
+    """The aside words of the names that say nothing else: sidebar-left has one, no-sidebar none."""
+    out = []
+    for name in names.lower().split():
+        parts = [x for x in re.split(r"[-_\d]+", name) if x]
+        aside = [x for x in parts if ASIDE_WORD.fullmatch(x)]
+        if aside and parts[0] not in HOLDING_WORDS and all(x in PLAIN_WORDS for x in parts if x not in aside):
+            out += aside
+    return out
+
+
+class Mark:
+    """An element whose names say that it is aside. Whether it is, is seen when the page is known."""
+
+    __slots__ = ("article_size", "comment", "size", "teaser", "up")
+
+    def __init__(self, words: list[str], up: Mark | None):
+        self.up = up
+        self.comment = any(COMMENT_WORD.fullmatch(w) for w in words)
+        self.teaser = any(TEASER_WORD.fullmatch(w) for w in words)
+        self.size = self.article_size = 0
+
+    def chain(self) -> Iterator[Mark]:
+        mark: Mark | None = self
+        while mark:
+            yield mark
+            mark = mark.up
+
+
 class Node:
     """An open element: its path, how far text in it is aside, and whether it is in the article."""
 
-    __slots__ = ("article", "aside", "key", "link", "path", "tag")
+    __slots__ = ("article", "aside", "key", "link", "mark", "path", "tag")
 
     def __init__(self, tag: str, names: str, parent: Node | None):
         self.tag = tag
@@ -84,9 +123,36 @@ class Node:
         self.article = bool(parent and parent.article) or tag in ARTICLE
         self.link = bool(parent and parent.link) or tag == "a"
         # a header in an article is its title; a page's header isn't
-        aside = tag in ASIDE or (tag == "header" and not self.article) or bool(names and tag not in HOLDERS and ASIDE_NAME.search(names))
+        aside = tag in ASIDE or (tag == "header" and not self.article)
         named = tag == "article" and bool(names and ASIDE_ARTICLE.search(names))
         self.aside = max(parent.aside if parent else INSIDE, OUTSIDE if aside else NAMED if named else INSIDE)
+        self.mark = parent.mark if parent else None
+        if names and tag not in HOLDERS and (words := aside_words(names)):
+            self.mark = Mark(words, self.mark)
+
+
+def marked_aside(stream: list[tuple[Node, str | None, bool]], static: set[int]) -> set[Mark]:
+    """The marks that hold: those whose elements don't hold the page.
+
+    An element holds the page if over half of the page's varying text is in it (text that is neither
+    the template's nor a link's), or over half of what its articles have of that; a name of teasers
+    is only overruled by the first, one of comments only if there is no other text at all.
+    """
+    total = in_articles = 0
+    for node, text, _ in stream:
+        if not text or node.aside != INSIDE or not (n := len(text.strip())) or node.link or _text_key(node, text) in static:
+            continue
+        total += n
+        in_articles += n if node.article else 0
+        for mark in node.mark.chain() if node.mark else ():
+            mark.size += n
+            mark.article_size += n if node.article else 0
+    out = set()
+    for mark in {m for node, _, _ in stream if node.mark for m in node.mark.chain()}:
+        holds = mark.size == total if mark.comment else 2 * mark.size > total or (not mark.teaser and 2 * mark.article_size > in_articles)
+        if not (holds and mark.size):
+            out.add(mark)
+    return out
 
 
 def _names(attributes: str) -> str:
@@ -162,11 +228,11 @@ def layout_of(page: Column) -> Column:
     return F.xxhash64(F.array_sort(F.array_distinct(kinds)))
 
 
-def occurrences(page: str) -> tuple[dict[int, list[int]], dict[int, int]]:
-    """token -> its places on one page, and text token -> its element's token."""
+def occurrences(stream: Iterable[tuple[Node, str | None, bool]]) -> tuple[dict[int, list[int]], dict[int, int]]:
+    """token -> its places on one page of :func:`tokens`, and text token -> its element's token."""
     places: dict[int, list[int]] = {}
     element: dict[int, int] = {}
-    for place, (node, text, _) in enumerate(tokens(page)):
+    for place, (node, text, _) in enumerate(stream):
         if text is None:
             key = node.key
         elif text.strip():
@@ -183,7 +249,7 @@ def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         sums: dict[tuple[str, int, int, int | None], list[int]] = {}
         for who, host, layout, page in zip(b["who"], b["host"], b["layout"], b["html"], strict=True):
-            places, element = occurrences(page)
+            places, element = occurrences(tokens(page))
             for key, at in places.items():
                 mark = xxhash.xxh64_intdigest(who, len(at))
                 s = sums.setdefault((host, layout, key, element.get(key, 0)), [0, 0, 0, 0])
@@ -294,16 +360,24 @@ def extract(page: str, templates: list[list[list[int]]], stock: frozenset[int] =
     ``templates`` are the classes of the host and of the layout, each with a nest of its own.
     """
     stream = list(tokens(page))
-    places = occurrences(page)[0] if any(templates) else {}
+    places = occurrences(stream)[0] if any(templates) else {}
     classes = [cls for template in templates for cls in valid_classes(template, places)]
     known = {t for cls in classes for t in cls}
-    filled = {(node.aside, node.article) for node, text, _ in stream if text and text.strip()}
+    marks = marked_aside(stream, known)
+    grades: dict[Mark | None, bool] = {None: False}
+
+    def aside_of(node: Node) -> int:
+        if node.mark not in grades:
+            grades[node.mark] = any(m in marks for m in node.mark.chain())
+        return OUTSIDE if grades[node.mark] else node.aside
+
+    filled = {(aside_of(node), node.article) for node, text, _ in stream if text and text.strip()}
     # a page with no other text is one of comments
     most = INSIDE if any(aside == INSIDE for aside, _ in filled) else NAMED
     in_article = any(article and aside <= most for aside, article in filled)
     static = known
     if in_article and known:
-        texts = [_text_key(node, text) for node, text, _ in stream if text and node.article and node.aside <= most and text.strip()]
+        texts = [_text_key(node, text) for node, text, _ in stream if text and node.article and aside_of(node) <= most and text.strip()]
         static = static_in_article(classes, {node.key for node, text, _ in stream if text is None}, texts)
     slot_of: dict[str, str] = {}
     opened = {node.path for node, text, _ in stream if text is None and node.key in known}
@@ -328,14 +402,14 @@ def extract(page: str, templates: list[list[list[int]]], stock: frozenset[int] =
     for node, text, block in stream:
         n += block
         lines.append(n)
-        if text and text.strip() and node.aside <= most and (node.article or not in_article) and _text_key(node, text) not in static:
+        if text and text.strip() and aside_of(node) <= most and (node.article or not in_article) and _text_key(node, text) not in static:
             live.add(n)
     # of each slot outside articles: characters that may be the page's text, and those of links
     size: Counter[str] = Counter()
     linked: Counter[str] = Counter()
     allowed = []
     for line, (node, text, _) in zip(lines, stream, strict=True):
-        own = bool(text) and node.aside <= most and (node.article or not in_article) and (line in live or not text.strip())
+        own = bool(text) and aside_of(node) <= most and (node.article or not in_article) and (line in live or not text.strip())
         allowed.append(own)
         if own and not in_article:
             at, n = block_slot(node.path), len(text.strip())
@@ -345,7 +419,7 @@ def extract(page: str, templates: list[list[list[int]]], stock: frozenset[int] =
     doubtful = [own and not in_article and ((node.key in stock and node.tag in BLOCKS) or block_slot(node.path) in lists) for own, (node, _, _) in zip(allowed, stream, strict=True)]
     keeps = [own and not bad for own, bad in zip(allowed, doubtful, strict=True)]
     if not any(keep and text.strip() for keep, (_, text, _) in zip(keeps, stream, strict=True)):  # there is nothing else
-        keeps = allowed if live else [bool(text) and node.aside <= most and (node.article or not in_article) for node, text, _ in stream]
+        keeps = allowed if live else [bool(text) and aside_of(node) <= most and (node.article or not in_article) for node, text, _ in stream]
 
     blocks: list[list[str]] = [[]]
     slots: dict[tuple[str, bool], int] = {}

@@ -358,6 +358,29 @@ def test_slots_are_chosen_by_what_they_say(spark):
         ("<body><nav>Home</nav><article class='post share-enabled'><p>Text.</p></article></body>", "Text."),
         ("<body><main><p>Text.</p><article class=comment>Nice.</article></main></body>", "Text."),
         ("<body><nav>Home</nav><article class=comment>One.</article><article class=comment>Two.</article></body>", "One.\nTwo."),
+        # wrappers whose names only speak of asides
+        ("<div class='content-sidebar-wrap'><main><article><p>Text.</p></article></main></div>", "Text."),
+        ("<div id='page' class='site has-sidebar'><p>Text.</p></div>", "Text."),
+        ("<div class='container no-sidebar'><article><p>Text.</p></article></div>", "Text."),
+        ("<article><p>One.</p><section id='social-policy'><p>Two.</p></section></article>", "One.\nTwo."),
+        ("<article><p>One.</p><div class='related-work'><p>Two.</p></div></article>", "One.\nTwo."),
+        ("<div class='layout sidebar-left'><div class=sidebar><a href=/>Home</a></div><div><p>Some longer text.</p></div></div>", "Some longer text."),
+        ("<div id=search><main><p>Text.</p></main></div>", "Text."),
+        ("<div class=modal><div><p>Text of it all.</p></div></div>", "Text of it all."),
+        ("<div class='page-login'><article><p>Short.</p></article></div><p>Something that is longer than that.</p>", "Short."),
+        ("<div class='ad-free'><p>Text.</p></div>", "Text."),
+        ("<div class='share-price-page'><p>Text.</p></div>", "Text."),
+        ("<div class='social widget'><p>Text one.</p><div class=comments><p>Nice.</p></div></div>", "Text one."),
+        ("<div class='notice-board'><h1>News</h1><p>Text.</p></div>", "News\nText."),
+        ("<div class='wrapper-nav-open'><p>Text.</p></div>", "Text."),
+        ("<section class='search_engines'><p>Text.</p></section><div class=search><p>Find</p></div>", "Text."),
+        ("<div class=related><p>Text.</p></div>", "Text."),
+        # and asides that stay asides
+        ("<div><p>Text of a page.</p></div><div class='sidebar_2'><p>Other.</p></div>", "Text of a page."),
+        ("<div><p>Text.</p></div><div class='post-comments'><p>A long comment of a reader.</p></div>", "Text."),
+        ("<div><p>A text that is long.</p></div><div class='cookie-banner-text'><p>We use them.</p></div>", "A text that is long."),
+        ("<div><p>A text that is long.</p></div><div class=related><article><p>Teaser.</p></article></div>", "A text that is long."),
+        ("<article><p>A text that is long.</p><div class=ad>Buy.</div><div class='share-buttons'>Tell.</div></article>", "A text that is long."),
     ],
 )
 def test_names_and_asides_lose_no_text(body, text):
