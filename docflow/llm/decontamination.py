@@ -3,7 +3,8 @@
 Test items, and the question parts of those that have an answer, are units of an inverted index
 with BM25 impacts. Every passage of every training text is a query against it; all units above a
 threshold are retrieved, then their items are verified by five-word shingles: a part of an item is
-held if some ``width`` consecutive words of the text contain 0.8 of its distinct shingles. A text
+held if some ``width`` consecutive words of the text contain 0.8 of its distinct shingles, where the
+width is twice the item's words, 96 at least. A text
 leaks an item if it holds the whole item, or both its question and its answer, wherever they stand.
 
 The threshold loses nothing that verification would accept. If 0.8 of a unit's distinct shingles
@@ -11,8 +12,10 @@ are there, at most a fifth of them are missing, and a word is missing only if al
 are: each missing word before a shingle that is there is the first word of a missing shingle, each
 one that stands only behind it the last word of another one, so no more words are missing than
 shingles. The passage scores at least the unit's own score less its highest impacts for so many
-words. Impacts are divided by that bound; a unit is retrieved at 1. Passages are twice ``width``
-long and overlap by half, so any ``width`` consecutive words lie in one.
+words. Impacts are divided by that bound; a unit is retrieved at 1. Items are indexed by classes of
+width (96, 192, 384, ...), each with passages twice as long as its width that overlap by half, so any
+``width`` consecutive words lie in one. A long item has long passages, but no other item has; all
+items share one set of statistics.
 
 Units are numbered by length, so units of one block have impacts alike. Bounds are kept for groups
 of 64 units and for blocks of 4: a query adds up the bounds of its terms for the groups, follows
@@ -25,10 +28,12 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +44,10 @@ OVERLAP = 0.8
 K1, B = 1.2, 0.75
 #: Units of a block and of a group of blocks; maxima bound what a word gives to any of them.
 BLOCK, GROUP = 4, 64
-#: Words in which a unit must be held at least; twice the longest item if that is more.
+#: Words in which an item's parts must be held; twice the item's words if that is more.
 PASSAGE = 96
-#: Characters of test items in one index (it is broadcast and takes about ten bytes for each);
-#: more items make more indexes. Document frequencies and mean length are those of all items.
+#: Characters of test items in one set of indexes (it is broadcast and takes about ten bytes for each);
+#: more items make more sets. Document frequencies and mean length are those of all items.
 INDEX_CHARS = 16_000_000
 WHOLE, QUESTION = 0, 1
 
@@ -76,6 +81,16 @@ def shingle_hashes(terms: np.ndarray, size: int) -> np.ndarray:
     return np.where(known, x | np.uint64(1), np.uint64(0))
 
 
+def width_of(words: int) -> int:
+    """In how many consecutive words an item of so many words must be held."""
+    return max(PASSAGE, 2 * words)
+
+
+def class_of(width: int) -> int:
+    """The least k with PASSAGE << k >= width."""
+    return ((width - 1) // PASSAGE).bit_length()
+
+
 def needed(shingles: int) -> int:
     """How many of so many distinct shingles make an overlap of 0.8."""
     return math.ceil(OVERLAP * shingles - 1e-9)
@@ -94,13 +109,13 @@ class ItemIndex:
     All but the vocabulary is a few arrays: about 50 bytes a word of the items.
     """
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int] | None = None, n: int = 0, mean: float = 0.0, longest: int = 0):
+    def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int] | None = None, n: int = 0, mean: float = 0.0):
         kept = [(i, t, w) for i, t in items if (w := words_of(t))]
         if df is None:  # these are all items there are
-            df, n = Counter(w for _, _, ws in kept for w in set(ws)), len(kept)
-            mean, longest = sum(len(w) for _, _, w in kept) / max(1, n), max((len(w) for _, _, w in kept), default=0)
+            df, n, mean = statistics(kept)
         self.ids = [i for i, _, _ in kept]
-        self.width = max(PASSAGE, 2 * longest)
+        self.widths = [width_of(len(w)) for _, _, w in kept]
+        self.width = PASSAGE << class_of(max(self.widths, default=PASSAGE))
         self.term: dict[bytes, int] = {}
         parts, units = [], []
         for at, (_, text, words) in enumerate(kept):
@@ -204,15 +219,14 @@ class ItemIndex:
             cursors = [c for c in cursors if c[0] is not None]
         return out
 
-    def leaks(self, text: str) -> list[tuple[int, float, float, float, float]]:
-        """(item_id, score, overlap, question_overlap, answer_overlap) of the items in ``text``.
+    def leaks(self, words: list[bytes]) -> list[tuple[int, float, float, float, float]]:
+        """(item_id, score, overlap, question_overlap, answer_overlap) of the items in a text's ``words``.
 
-        ``score`` is the best of the item's units over the passages, an overlap the best share of
-        the part's distinct shingles in ``width`` consecutive words; a part without words has 1.
+        ``score`` is the best of the item's units over the passages, an overlap the best share of the
+        part's distinct shingles in consecutive words of the item's width; a part without words has 1.
         """
         if not self.ids:
             return []
-        words = words_of(text)
         terms = np.fromiter(map(self.term.get, words, repeat(-1)), np.int64, len(words))
         scores: dict[int, float] = {}
         for start in range(0, max(1, len(words) - self.width), self.width):
@@ -229,7 +243,7 @@ class ItemIndex:
         return found
 
     def _share(self, at: int, part: int, terms: np.ndarray, hashes: dict[int, np.ndarray]) -> float:
-        """The best share of the part's distinct shingles in ``width`` consecutive words of the text."""
+        """The best share of the part's distinct shingles in the item's width of consecutive words."""
         wanted = self.hashes[self.bounds[3 * at + part] : self.bounds[3 * at + part + 1]]
         size = int(self.sizes[3 * at + part])
         if not size:
@@ -246,7 +260,7 @@ class ItemIndex:
         spots, which = places.tolist(), which[places].tolist()
         for right, place in enumerate(spots):
             inside[which[right]] += 1
-            while place - spots[left] > self.width - size:
+            while place - spots[left] > self.widths[at] - size:
                 if inside[which[left]] == 1:
                     del inside[which[left]]
                 else:
@@ -256,16 +270,43 @@ class ItemIndex:
         return best / len(wanted)
 
 
-def item_indexes(benchmark: DataFrame, index_chars: int = INDEX_CHARS) -> Iterator[ItemIndex]:
-    """One index, or several over disjoint items if the items' characters exceed ``index_chars``.
+def statistics(kept: list[tuple[int, str, list[bytes]]]) -> tuple[Counter, int, float]:
+    """Document frequencies, number and mean length of items (id, text, words)."""
+    return Counter(w for _, _, ws in kept for w in set(ws)), len(kept), sum(len(w) for _, _, w in kept) / max(1, len(kept))
+
+
+class ItemSet:
+    """Items in one index for each class of width, all with the same statistics."""
+
+    def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int] | None = None, n: int = 0, mean: float = 0.0):
+        if df is None:
+            df, n, mean = statistics([(i, t, w) for i, t in items if (w := words_of(t))])
+        classes: dict[int, list[tuple[int, str]]] = {}
+        for i, t in items:
+            classes.setdefault(class_of(width_of(len(words_of(t)))), []).append((i, t))
+        self.indexes = [ItemIndex(own, df, n, mean) for _, own in sorted(classes.items())]
+
+    def leaks(self, text: str) -> list[tuple[int, float, float, float, float]]:
+        """As :meth:`ItemIndex.leaks`, of all items, for a whole text."""
+        words = words_of(text)
+        return [leak for index in self.indexes for leak in index.leaks(words)]
+
+
+def item_sets(benchmark: DataFrame, index_chars: int = INDEX_CHARS) -> tuple[int, Iterator[ItemSet]]:
+    """How many sets there are, and the sets, one at a time: one, or several of disjoint items if the
+    items' characters exceed ``index_chars``.
 
     Several have the statistics of all items, so it doesn't matter to a score how they are split.
     """
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     blocks = -(-chars // index_chars) or 1
+    return blocks, _sets(items, blocks)
+
+
+def _sets(items: DataFrame, blocks: int) -> Iterator[ItemSet]:
     if blocks == 1:
-        yield ItemIndex([(r.item_id, r.text) for r in items.orderBy("item_id", "text").collect()])
+        yield ItemSet([(r.item_id, r.text) for r in items.orderBy("item_id", "text").collect()])
         return
 
     @F.pandas_udf("array<binary>")
@@ -274,21 +315,19 @@ def item_indexes(benchmark: DataFrame, index_chars: int = INDEX_CHARS) -> Iterat
 
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("part")
     parsed = written(items.select("item_id", "text", split("text").alias("words"), part).where(F.size("words") > 0), "items")
-    n, mean, longest = parsed.agg(F.count(F.lit(1)), F.avg(F.size("words")), F.max(F.size("words"))).first()
+    n, mean = parsed.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
     frequency = written(parsed.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")), "item-words")
     for b in range(blocks):
         own = parsed.where(F.col("part") == b)
         needs = own.select(F.explode("words").alias("w")).distinct()
         df = {bytes(r.w): r.df for r in frequency.join(needs.hint("merge"), "w", "left_semi").collect()}
-        yield ItemIndex([(r.item_id, r.text) for r in own.orderBy("item_id", "text").select("item_id", "text").collect()], df, n, mean, longest)
+        yield ItemSet([(r.item_id, r.text) for r in own.orderBy("item_id", "text").select("item_id", "text").collect()], df, n, mean)
 
 
 LEAK = "array<struct<item_id:long,score:double,overlap:double,question_overlap:double,answer_overlap:double>>"
 
 
-def leaks_in(text: Column, index: ItemIndex, spark: SparkSession) -> Column:
-    shared = spark.sparkContext.broadcast(index)  # bounded by INDEX_CHARS
-
+def leaks_in(text: Column, shared: Broadcast[ItemSet]) -> Column:
     @F.pandas_udf(LEAK)
     def find(texts: pd.Series) -> pd.Series:
         one = shared.value
@@ -301,27 +340,38 @@ def leaks_in(text: Column, index: ItemIndex, spark: SparkSession) -> Column:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, index_chars: int = INDEX_CHARS) -> DataFrame:
     """doc_id, item_id, score, overlap, question_overlap, answer_overlap: items in each document.
 
-    One row for each document row and item. Defined cases: null and empty texts and items without
-    words have no leaks; null ids are kept; repeated documents and items come back each; other
-    columns are ignored; empty tables give no rows; texts are read whole.
+    One row for each document row and item. Whether a document leaks an item depends on no other
+    item. Of several sets of items, one is in memory at a time, and what it finds is written.
+    Defined cases: null and empty texts and items without words have no leaks; null ids are kept;
+    repeated documents and items come back each; other columns are ignored; empty tables give no
+    rows; texts are read whole.
     """
-    out = None
-    for index in item_indexes(benchmark, index_chars):
-        found = leaks_in(F.col("text").cast("string"), index, docs.sparkSession)
-        part = docs.select("doc_id", F.explode(found).alias("leak")).select("doc_id", "leak.*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    n, sets = item_sets(benchmark, index_chars)
+    parts = []
+    for items in sets:
+        shared = docs.sparkSession.sparkContext.broadcast(items)  # bounded by INDEX_CHARS
+        part = docs.select("doc_id", F.explode(leaks_in(F.col("text").cast("string"), shared)).alias("leak")).select("doc_id", "leak.*")
+        parts.append(written(part, "leaks") if n > 1 else part)
+        if n > 1:
+            shared.destroy()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, index_chars: int = INDEX_CHARS) -> DataFrame:
     """``docs`` with all its columns, without the documents that contain a test item.
 
+    Of several sets of items, one is in memory at a time, and what it leaves is written.
     Defined cases: null and empty texts stay; rows with a null or repeated doc_id, and repeated
     rows, are judged each by their text; no column but text is looked at; an empty benchmark, or
     one without words, removes nothing; an empty table gives no rows.
     """
-    for index in item_indexes(benchmark, index_chars):
-        docs = docs.where(F.size(leaks_in(F.col("text").cast("string"), index, docs.sparkSession)) == 0)
+    n, sets = item_sets(benchmark, index_chars)
+    for items in sets:
+        shared = docs.sparkSession.sparkContext.broadcast(items)  # bounded by INDEX_CHARS
+        docs = docs.where(F.size(leaks_in(F.col("text").cast("string"), shared)) == 0)
+        if n > 1:
+            docs = written(docs, "without-leaks")
+            shared.destroy()
     return docs
 
 

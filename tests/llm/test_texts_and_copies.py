@@ -253,7 +253,7 @@ def test_leaks_equal_brute_force(spark):
     texts += [*ODD, "one two", "w1 w2 w3 w4 w5 w6 w7 w8 w9", "q only " * 3]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     df = table(spark, texts)
-    width = decontamination.ItemIndex([(i, x) for i, x in enumerate(items) if x]).width
+    width = lambda x: max(96, 2 * len(decontamination.words_of(x)))
     expected = {}
     for d, t in enumerate(texts):
         have = decontamination.words_of(t or "")
@@ -264,7 +264,7 @@ def test_leaks_equal_brute_force(spark):
             most = [held(p, have, len(have)) for p in parts]
             if most[0] < 0.8 and min(most[1:]) < 0.8:
                 continue  # not even in the whole text
-            shares = [held(p, have, width) for p in parts]
+            shares = [held(p, have, width(x)) for p in parts]
             if shares[0] >= 0.8 or min(shares[1:]) >= 0.8:
                 expected[d, i] = tuple(shares)
     rows = decontamination.find_leaks(df, bench).collect()
@@ -277,6 +277,21 @@ def test_leaks_equal_brute_force(spark):
     assert decontamination.find_leaks(df, bench.limit(0)).count() == 0 and decontamination.find_leaks(df.limit(0), bench).count() == 0
 
 
+def test_other_items_decide_nothing(spark):
+    rng = random.Random(66)
+    say = lambda n, k=300: " ".join(f"w{rng.randrange(k)}" for _ in range(n))
+    item, long, longer = say(40), say(300), say(1000)
+    halves = item.split(" ")
+    far = " ".join([*halves[:20], say(200, 9), *halves[20:]])  # the item's halves stand 200 words apart
+    texts = [far, say(50) + " " + item, long, say(300) + " " + longer[: len(longer) // 2] + " " + say(300) + longer[len(longer) // 2 :], None]
+    leaks = lambda items: {(r.doc_id, r.item_id, r.overlap) for r in decontamination.find_leaks(table(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    alone = leaks([(1, item)])
+    assert {d for d, _, _ in alone} == {1}
+    more = leaks([(1, item), (2, long), (3, longer)])
+    assert {x for x in more if x[1] == 1} == alone and {(d, i) for d, i, _ in more} == {(1, 1), (2, 2), (3, 3)}
+    assert [decontamination.class_of(w) for w in (96, 97, 192, 193, 2000)] == [0, 1, 1, 2, 5]
+
+
 def test_retrieval_equals_exhaustive_scoring():
     rng = random.Random(7)
     words = [f"w{i}" for i in range(200)]
