@@ -4,8 +4,8 @@ The token ids of all documents, each closed by an end id, stand one behind the o
 the table's partitions. The first pass encodes each partition once and writes its ids in blocks with
 their places in the partition; the partitions' totals, a row each, are summed up to global offsets.
 The second pass cuts each block at the multiples of the sequence length. Windows that lie in one
-block are whole; only the pieces of windows that blocks share, at most two a block, are exchanged and
-joined. A window keeps boundary records: which document's ids, from where, stand at which offset.
+block are whole and stay where they are; only the parts of windows that blocks share, at most two a
+block, are exchanged and joined. A window keeps boundary records: which document's ids, from where, stand at which offset.
 
 Only the last sequence can be short of tokens. Padding, if asked for, fills it up to the full
 length, unless the number of its tokens is a power of two.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from docflow.llm.shared import table, written
 from docflow.llm.tokens import encoder
 
 LENGTH, END_ID = 4096, 2
-#: Tokens from which a block is closed; texts that are encoded at once.
-BLOCK_TOKENS, TEXTS = 1 << 19, 256
+#: Tokens from which a block is closed; texts that are encoded at once, and characters from which fewer are.
+BLOCK_TOKENS, TEXTS, CHARS = 1 << 19, 1024, 1 << 22
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("offset", pa.int64())])
 _WINDOW = pa.schema([("sequence_id", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("pieces", pa.list_(_PIECE))])
@@ -57,8 +58,9 @@ def encoded_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> Dat
         part, at, held, doc_ids, parts = TaskContext.get().partitionId(), 0, 0, [], []
         words = encoder(tokenizer)
         for b in batches:
-            for k in range(0, b.num_rows, TEXTS):
-                some = b.slice(k, TEXTS)
+            step = max(1, min(TEXTS, CHARS * b.num_rows // max(1, b.column(1).nbytes)))
+            for k in range(0, b.num_rows, step):
+                some = b.slice(k, step)
                 doc_ids += some.column(0).to_pylist()
                 fresh = [x + end for x in words.encode(some.column(1).to_pylist())]
                 parts += fresh
@@ -73,12 +75,15 @@ def encoded_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> Dat
     return written(rows.mapInArrow(encode, BLOCK), "packing-blocks", compression="zstd")
 
 
-def _cut(doc_ids: list, sizes: np.ndarray, ids: np.ndarray, base: int, length: int) -> Iterator[tuple]:
-    """Windows (sequence_id, offset, ids, pieces) of a block that starts at the global offset ``base``."""
+def _cut(doc_ids: list, sizes: np.ndarray, ids: np.ndarray, base: int, length: int, whole: bool) -> Iterator[tuple]:
+    """Windows (sequence_id, offset, ids, pieces) of a block that starts at the global offset ``base``:
+    those that lie in it, or its parts of those that don't."""
     stops = base + np.cumsum(sizes)
     starts = stops - sizes
     end = base + len(ids)
-    for seq in range(base // length, -(-end // length)):
+    within = range(-(-base // length), end // length)
+    shared = [seq for seq in dict.fromkeys((base // length, (end - 1) // length)) if seq not in within]
+    for seq in within if whole else shared:
         lo, hi = max(base, seq * length), min(end, (seq + 1) * length)
         pieces = []
         for k in range(int(np.searchsorted(stops, lo, "right")), int(np.searchsorted(starts, hi, "left"))):
@@ -114,23 +119,20 @@ def pack_sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(F.col("part").alias("b_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                r = b.slice(k, 1).to_pylist()[0]
-                ids = np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4")
-                some = []
-                for w in _cut(r["doc_ids"], np.array(r["sizes"], np.int64), ids, r["start"], length):
-                    some.append(w)
-                    if len(some) >= 64:
+    def cut(whole: bool):
+        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in range(b.num_rows):
+                    r = b.slice(k, 1).to_pylist()[0]
+                    ids = np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4")
+                    found = _cut(r["doc_ids"], np.array(r["sizes"], np.int64), ids, r["start"], length, whole)
+                    while some := list(islice(found, 64)):
                         yield _windows(some)
-                        some = []
-                if some:
-                    yield _windows(some)
+
+        return placed.mapInArrow(windows, WINDOW)
 
     placed = blocks.join(F.broadcast(bases), F.col("part") == F.col("b_part")).select((F.col("base") + F.col("at")).alias("start"), "doc_ids", "sizes", "width", "ids")
-    windows = written(placed.mapInArrow(cut, WINDOW), "packing-windows", compression="zstd")
-    return windows.where(F.col("n_tokens") == length).unionByName(_joined(windows.where(F.col("n_tokens") < length)))
+    return cut(True).unionByName(_joined(cut(False)))
 
 
 def _joined(parts: DataFrame) -> DataFrame:
