@@ -13,7 +13,7 @@ are: each missing word before a shingle that is there is the first word of a mis
 one that stands only behind it the last word of another one, so no more words are missing than
 shingles. The passage scores at least the unit's own score less its highest impacts for so many
 words. Impacts are divided by that bound; a unit is retrieved at 1. Items are indexed by classes of
-width (96, 192, 384, ...), each with passages twice as long as its width that overlap by half, so any
+width (128, 256, 512, ...), each with passages twice as long as its width that overlap by half, so any
 ``width`` consecutive words lie in one. A long item has long passages, but no other item has; all
 items share one set of statistics.
 
@@ -46,6 +46,9 @@ K1, B = 1.2, 0.75
 BLOCK, GROUP = 4, 64
 #: Words in which an item's parts must be held; twice the item's words if that is more.
 PASSAGE = 96
+#: Width of the first class of items: up to 64 words, as most test items are, which share one index
+#: and one pass. The classes change which windows are searched, not what is found.
+CLASS_WIDTH = 128
 #: Characters of test items in one set of indexes (it is broadcast and takes about ten bytes for each);
 #: more items make more sets. Document frequencies and mean length are those of all items.
 INDEX_CHARS = 16_000_000
@@ -87,8 +90,8 @@ def width_of(words: int) -> int:
 
 
 def class_of(width: int) -> int:
-    """The least k with PASSAGE << k >= width."""
-    return ((width - 1) // PASSAGE).bit_length()
+    """The least k with CLASS_WIDTH << k >= width."""
+    return ((width - 1) // CLASS_WIDTH).bit_length()
 
 
 def needed(shingles: int) -> int:
@@ -115,7 +118,7 @@ class ItemIndex:
             df, n, mean = statistics(kept)
         self.ids = [i for i, _, _ in kept]
         self.widths = [width_of(len(w)) for _, _, w in kept]
-        self.width = PASSAGE << class_of(max(self.widths, default=PASSAGE))
+        self.width = CLASS_WIDTH << class_of(max(self.widths, default=PASSAGE))
         self.term: dict[bytes, int] = {}
         parts, units = [], []
         for at, (_, text, words) in enumerate(kept):
