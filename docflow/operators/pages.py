@@ -1,11 +1,27 @@
-"""Page cleaning: furniture that repeats across pages, page numbers, reflow of wrapped lines."""
+"""Page cleaning: furniture that repeats across pages, page numbers, reflow of wrapped lines.
+
+Defined cases, for all of it: a null book is a book, a null page number a page of it before the
+others; a null text has one empty line; repeated rows are lines each; lines of one number stand in
+any order; an empty table gives no rows; texts and lines are read whole.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from docflow.functions.text import collapse, is_page_number, line_key, rtrim, trim
+from docflow.sources.shared import written
+
+
+def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", sized: bool = False) -> DataFrame:
+    """A join on columns of one name, in which null equals null; by sort, as lines come from a
+    generator, whose size Spark can't tell, unless ``right`` is ``sized``: a written table."""
+    renamed = right.select(*[F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in right.columns])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on])
+    return left.join(renamed if sized else renamed.hint("merge"), same, how).drop(*[f"_{c}" for c in on])
 
 
 def page_lines(pages: DataFrame, book: str = "book", page: str = "page_no", text: str = "text") -> DataFrame:
@@ -38,14 +54,14 @@ def find_furniture(lines: DataFrame, edge: int = 3, threshold: float = 0.5, min_
     edges = kept.select("book", "page_no", "line", top.alias("top"), bottom.alias("bottom")).where((F.col("top") <= edge) | (F.col("bottom") <= edge))
     keys = edges.select("book", "page_no", line_key(F.col("line")).alias("key")).where("key <> ''").distinct()
     pages = lines.select("book", "page_no").distinct().groupBy("book").agg(F.count(F.lit(1)).alias("pages"))
-    found = keys.groupBy("book", "key").agg(F.count(F.lit(1)).alias("n")).join(pages, "book")
+    found = _joined(keys.groupBy("book", "key").agg(F.count(F.lit(1)).alias("n")), pages, ["book"])
     return found.where((F.col("pages") >= min_pages) & (F.col("n") >= F.ceil(F.col("pages") * threshold))).select("book", "key", "n", "pages")
 
 
 def drop_furniture(lines: DataFrame, furniture: DataFrame, edge: int = 3) -> DataFrame:
     """Lines without page numbers, and without furniture near an edge; blank lines stay."""
-    known = furniture.select("book", "key").distinct().withColumn("is_known", F.lit(True))
-    marked = _placed(lines, edge).withColumn("key", line_key(F.col("line"))).join(known, ["book", "key"], "left")
+    known = written(furniture.select("book", "key").distinct().withColumn("is_known", F.lit(True)), "furniture")
+    marked = _joined(_placed(lines, edge).withColumn("key", line_key(F.col("line"))), known, ["book", "key"], "left", sized=True)
     blank = trim(F.col("line")) == ""
     gone = is_page_number(F.col("line")) | (F.col("near_edge") & F.coalesce("is_known", F.lit(False)))
     return marked.where(blank | ~gone).select("book", "page_no", "line_no", "line")
@@ -77,16 +93,14 @@ def reflow(lines: DataFrame, short_ratio: float = 0.6) -> DataFrame:
     A hyphen at a line's end goes if the next line starts in lower case, else stays without a space.
     """
     page = Window.partitionBy("book", "page_no").orderBy("line_no")
-    bare = lines.select("book", "page_no", "line_no", trim(F.col("line")).alias("t")).join(median_width(lines), "book")
+    bare = _joined(lines.select("book", "page_no", "line_no", trim(F.col("line")).alias("t")), median_width(lines), ["book"])
     ends = F.col("t").rlike("[.!?][\"'”’)\\]]?$") & (F.length("t") < F.col("stat") * short_ratio)
     closing = bare.withColumn("closes", ((F.col("t") == "") | ends).cast("int"))
     # ends before a line: those on the pages before it, a row a page, and those before it on its page
     counts = closing.groupBy("book", "page_no").agg(F.sum("closes").alias("closes"))
-    before = counts.select(
-        F.col("book").alias("b"), F.col("page_no").alias("p"), _sum_before("closes", Window.partitionBy("book").orderBy("page_no")).alias("earlier")
-    )
-    same_page = F.col("book").eqNullSafe(F.col("b")) & F.col("page_no").eqNullSafe(F.col("p"))
-    flagged = closing.withColumn("within", _sum_before("closes", page)).join(before, same_page).withColumn("para", F.col("earlier") + F.col("within"))
+    before = counts.select("book", "page_no", _sum_before("closes", Window.partitionBy("book").orderBy("page_no")).alias("earlier"))
+    within = closing.withColumn("within", _sum_before("closes", page))
+    flagged = _joined(within, before, ["book", "page_no"]).withColumn("para", F.col("earlier") + F.col("within"))
     inside = Window.partitionBy("book", "para").orderBy("page_no", "line_no")
     following = F.lead("t").over(inside)
     words = flagged.where("t <> ''").withColumn("next", following)
@@ -99,8 +113,10 @@ def reflow(lines: DataFrame, short_ratio: float = 0.6) -> DataFrame:
     joined = words.withColumn("piece", piece).groupBy("book", "para").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "line_no", "piece"))), lambda x: x["piece"]), "").alias("p")
     )
-    kept = joined.select("book", "para", collapse(F.col("p")).alias("paragraph")).where("paragraph <> ''")
-    return kept.select("book", (F.row_number().over(Window.partitionBy("book").orderBy("para")) - 1).alias("paragraph_no"), "paragraph")
+    kept = written(joined.select("book", "para", collapse(F.col("p")).alias("paragraph")).where("paragraph <> ''"), "paragraphs")
+    # numbered without their texts
+    numbers = kept.select("book", "para", (F.row_number().over(Window.partitionBy("book").orderBy("para")) - 1).alias("paragraph_no"))
+    return _joined(kept, numbers, ["book", "para"]).select("book", "paragraph_no", "paragraph")
 
 
 def _sum_before(value: str, order: WindowSpec) -> Column:
@@ -108,6 +124,9 @@ def _sum_before(value: str, order: WindowSpec) -> Column:
 
 
 def clean_pages(pages: DataFrame, edge: int = 3, threshold: float = 0.5, min_pages: int = 3) -> DataFrame:
-    """book, paragraph_no, paragraph of whole books: furniture and page numbers gone, reflowed."""
-    lines = page_lines(pages)
-    return reflow(drop_furniture(lines, find_furniture(lines, edge, threshold, min_pages), edge))
+    """book, paragraph_no, paragraph of whole books: furniture and page numbers gone, reflowed.
+
+    Lines are parsed once, and the kept ones are written once, as reflowing reads them several times.
+    """
+    lines = written(page_lines(pages), "lines")
+    return reflow(written(drop_furniture(lines, find_furniture(lines, edge, threshold, min_pages), edge), "kept-lines"))

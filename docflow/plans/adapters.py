@@ -66,7 +66,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT user_id, event_type AS pattern, concat('said ', CAST(event_id % 10 AS STRING)) AS replacement, CAST(floor(event_id / 50) AS BIGINT) AS created_at FROM events""",
     ),
     "docs_v": ((), "SELECT doc_id, doc_id % 4 AS user_id, text FROM documents"),
-    "books_v": ((), "SELECT source AS book, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page_no, doc_id, text FROM documents"),
+    "books_v": (  # pages are numbered without their texts
+        (),
+        """SELECT /*+ MERGE(n) */ d.source AS book, n.page_no, d.doc_id, d.text FROM documents AS d JOIN (
+        SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page_no FROM documents) n
+        ON d.doc_id IS NOT DISTINCT FROM n.doc_id AND d.source IS NOT DISTINCT FROM n.source""",
+    ),
     "paragraphs_v": ((), "SELECT doc_id, replace(text, chr(10), concat(chr(10), chr(10))) AS text FROM documents"),
 }
 

@@ -12,9 +12,10 @@ from docflow.plans import state_queries  # noqa: F401  its SQL is used below
 from docflow.plans.adapters import oracle, table, view
 from docflow.plans.registry import ORACLES, query
 from docflow.sources.readers import read_events
+from docflow.sources.shared import shared_dir
 from docflow.sources.sinks import UpsertTable, write_chunks, write_progress
 from docflow.streaming import progress, usage
-from docflow.streaming.run import drained, shared_dir
+from docflow.streaming.run import drained
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:

@@ -132,3 +132,23 @@ def test_feeds(spark):
     xml = {r.user_id: r.xml for r in feeds.render_feeds(spark.createDataFrame([(1,), (2,)], "user_id int"), items).collect()}
     assert xml[1].index("A &amp; &quot;B&quot;") < xml[1].index("Untitled") and "a=1&amp;b=2" in xml[1] and "<itunes:duration>61<" in xml[1] and "gone" not in xml[1]
     assert "<item>" not in xml[2] and xml[2].endswith("</channel></rss>")
+
+
+def test_books_without_a_key_are_books(spark):
+    from docflow.operators import pages
+
+    text = "Header\nThe {0} begins a line of some text that is long\nand {0} ends here.\n\nAnother {0} exam-\nple of {0}.\n7"
+    rows = [(b, n, text.format(w)) for b in ("x", None) for n, w in zip((None, 1, 2, 3, 4), ("oak", "elm", "ash", "fir", "yew"), strict=True)]
+    df = spark.createDataFrame(rows, "book string, page_no int, text string")
+    lines = pages.page_lines(df)
+    furniture = {(r.book, r.key) for r in pages.find_furniture(lines).collect()}
+    assert (None, "header") in furniture and ("x", "header") in furniture
+    assert {r.book for r in pages.median_width(lines).collect()} == {"x", None}
+    got = {}
+    for r in sorted(pages.clean_pages(df).collect(), key=lambda r: r.paragraph_no):
+        got.setdefault(r.book, []).append(r.paragraph)
+    assert got["x"] == got[None] and got["x"][0] == "The oak begins a line of some text that is long and oak ends here."
+    assert got["x"][1].startswith("Another oak example of oak. The elm begins")  # pages run on
+    assert not any("Header" in p for p in got[None])
+    assert {r.book for r in pages.reflow(lines).collect()} == {"x", None}
+    assert pages.clean_pages(df.limit(0)).count() == 0
