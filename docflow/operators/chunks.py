@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from docflow.functions.text import WS, let, paragraphs, split_sentences
 
 DEFAULT_MAX_CHARS = 2000
+#: Closed chunks that a fold gathers before they are set aside.
+LEAF = 256
 
 
 def split_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -51,23 +53,41 @@ def chunk_tokens(sentences: Column, n: int) -> Column:
 
 
 def pack(tokens: Column, n: int) -> Column:
-    """Greedy chunks: tokens joined by a space while they fit into ``n`` characters."""
-    none = F.array().cast("array<string>")
-    start = F.struct(F.lit("").alias("now"), none.alias("out"))
+    """Greedy chunks: tokens joined by a space while they fit into ``n`` characters.
 
-    def closed(acc: Column) -> Column:
-        return F.when(acc["now"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["now"])))
+    The fold keeps counts only: where the open chunk began, its length, and the closed ones as
+    (first token, tokens). These are gathered in leaves of ``LEAF``, since adding to an array copies
+    it; texts are sliced once at the end. Null gives null, no tokens give no chunks.
+    """
+    cuts = F.array().cast("array<struct<first:int,n:int>>")
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("first"), F.lit(0).alias("size"), F.lit(False).alias("sealed"), cuts.alias("leaf"), F.array().cast("array<array<struct<first:int,n:int>>>").alias("leaves"))
+
+    def open_chunk(acc: Column) -> Column:
+        return F.array(F.struct(acc["first"].alias("first"), (acc["i"] - acc["first"]).alias("n")))
 
     def step(acc: Column, t: Column) -> Column:
-        full = t["fresh"] | ((acc["now"] != "") & (F.length(acc["now"]) + 1 + F.length(t["text"]) > n))
-        joined = F.when(acc["now"] == "", t["text"]).otherwise(F.concat_ws(" ", acc["now"], t["text"]))
-        return (
-            F.when(t["solo"], F.struct(F.lit("").alias("now"), F.concat(closed(acc), F.array(t["text"])).alias("out")))
-            .when(full, F.struct(t["text"].alias("now"), closed(acc).alias("out")))
-            .otherwise(F.struct(joined.alias("now"), acc["out"].alias("out")))
+        some = acc["i"] > acc["first"]
+        length = F.length(t["text"])
+        ends = some & (t["fresh"] | t["solo"] | acc["sealed"] | (acc["size"] + 1 + length > n))
+        full = F.size(acc["leaf"]) >= LEAF
+        return F.struct(
+            (acc["i"] + 1).alias("i"),
+            F.when(ends, acc["i"]).otherwise(acc["first"]).alias("first"),
+            F.when(ends | ~some, length).otherwise(acc["size"] + 1 + length).alias("size"),
+            t["solo"].alias("sealed"),
+            F.when(~ends, acc["leaf"]).when(full, open_chunk(acc)).otherwise(F.concat(acc["leaf"], open_chunk(acc))).alias("leaf"),
+            F.when(ends & full, F.concat(acc["leaves"], F.array(acc["leaf"]))).otherwise(acc["leaves"]).alias("leaves"),
         )
 
-    return F.aggregate(tokens, start, step, closed)
+    def closed(acc: Column) -> Column:
+        last = F.when(acc["i"] > acc["first"], open_chunk(acc)).otherwise(cuts)
+        return F.flatten(F.concat(acc["leaves"], F.array(acc["leaf"], last)))
+
+    def sliced(ts: Column) -> Column:
+        texts = F.transform(ts, lambda t: t["text"])
+        return let(texts, lambda words: F.transform(F.aggregate(ts, start, step, closed), lambda c: F.array_join(F.slice(words, c["first"] + 1, c["n"]), " ")))
+
+    return let(tokens, sliced)
 
 
 def chunk_paragraph(paragraph: Column, n: int) -> Column:

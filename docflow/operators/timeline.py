@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions.text import chapter_title
 
 SENTENCE_MS, PARAGRAPH_MS = 350, 750
+#: Width of the buckets in which positions look for starts; a chunk lasts some seconds.
+BUCKET_MS = 60_000
 
 
 def _by_idx():
@@ -67,25 +69,44 @@ def read_along(chunks: DataFrame, lines: DataFrame) -> DataFrame:
     return chunks.join(lines.select("document_id", "idx", "start_ms", "end_ms"), ["document_id", "idx"], "left")
 
 
-def _as_of(positions: DataFrame, starts: DataFrame, value: str, tol_ms: int) -> DataFrame:
+def _as_of(positions: DataFrame, starts: DataFrame, value: str, tol_ms: int, bucket_ms: int) -> DataFrame:
     """``positions`` (document_id, position_id, position_ms) with ``value`` of the last start by then.
 
-    Both sides go through one sort by document and time; no pair of rows is made.
-    """
-    left = positions.select("document_id", (F.col("position_ms") + tol_ms).alias("t"), F.lit(1).alias("side"), F.lit(None).cast("int").alias("v"), "position_id", "position_ms")
-    right = starts.select("document_id", F.col("start_ms").alias("t"), F.lit(0).alias("side"), F.col(value).cast("int").alias("v"), F.lit(None).cast("long").alias("position_id"), F.lit(None).cast("long").alias("position_ms"))
-    upto = Window.partitionBy("document_id").orderBy("t", "side", "v").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right).withColumn(value, F.last("v", ignorenulls=True).over(upto))
-    return both.where("side = 1").select("document_id", "position_id", "position_ms", value)
+    Time is cut into buckets. A document's positions are spread over tasks by bucket, each looks among
+    the starts of its own bucket, and what the buckets before left off with is carried over by a scan
+    of one short row a bucket. Positions are never sorted; a bucket that many ask for is a join key
+    that adaptive execution splits, as only its few starts would be copied.
 
+    Of starts at the same time the largest value counts. Starts without a document, time or value
+    don't count; positions without a document or time, or before the first start, find null; repeated
+    positions each stay.
+    """
 
-def active_chunk(positions: DataFrame, lines: DataFrame, tol_ms: int = 50) -> DataFrame:
-    found = _as_of(positions, lines, "idx", tol_ms)
+    def bucket(t: Column) -> Column:
+        return F.floor(t / bucket_ms).alias("_bucket")
+
+    asked = positions.select("document_id", "position_id", "position_ms", (F.col("position_ms") + tol_ms).alias("_t")).select("*", bucket(F.col("_t")))
+    mark = F.struct(F.col("start_ms").alias("t"), F.col(value).cast("int").alias("v"))
+    known = starts.where(F.col("start_ms").isNotNull() & F.col(value).isNotNull()).select("document_id", bucket(F.col("start_ms")), mark.alias("_mark"))
+    both = known.unionByName(asked.select("document_id", "_bucket"), allowMissingColumns=True).where("document_id IS NOT NULL AND _bucket IS NOT NULL")
+    grid = both.groupBy("document_id", "_bucket").agg(F.array_sort(F.collect_list("_mark")).alias("_marks"))
+    earlier = Window.partitionBy("document_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("_carried", F.last(F.get("_marks", F.size("_marks") - 1)["v"], ignorenulls=True).over(earlier))
+    met = asked.join(grid.hint("merge"), ["document_id", "_bucket"], "left")
+    own = F.filter("_marks", lambda m: m["t"] <= F.col("_t"))
+    found = F.coalesce(F.get(own, F.size(own) - 1)["v"], "_carried")
+    return met.select("document_id", "position_id", "position_ms", found.alias(value))
+
+
+def active_chunk(positions: DataFrame, lines: DataFrame, tol_ms: int = 50, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """idx of the chunk that is read at each position, -1 where there is none yet."""
+    found = _as_of(positions, lines, "idx", tol_ms, bucket_ms)
     return found.withColumn("idx", F.coalesce("idx", F.lit(-1)))
 
 
-def active_chapter(positions: DataFrame, starts: DataFrame) -> DataFrame:
-    found = _as_of(positions, starts, "chapter_no", 0)
+def active_chapter(positions: DataFrame, starts: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """chapter_no at each position, 0 where there is none yet."""
+    found = _as_of(positions, starts, "chapter_no", 0, bucket_ms)
     return found.withColumn("chapter_no", F.coalesce("chapter_no", F.lit(0)))
 
 

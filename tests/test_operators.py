@@ -1,6 +1,7 @@
 """Examples for operators over tables."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +153,31 @@ def test_books_without_a_key_are_books(spark):
     assert not any("Header" in p for p in got[None])
     assert {r.book for r in pages.reflow(lines).collect()} == {"x", None}
     assert pages.clean_pages(df.limit(0)).count() == 0
+
+
+def test_positions_of_a_hot_document_spread_over_tasks(spark):
+    rng = random.Random(5)
+    lines = [(d, i, i * rng.choice([3000, 5000, 70_000]) if d else i * 4000) for d in (0, 1, 2) for i in range(120)] + [(1, 900, None), (None, 1, 0), (2, None, 5), (3, 4, 10), (3, 6, 10)]
+    places = [(0 if k % 3 == 0 else rng.choice([1, 2, 3, 8, None]), k, rng.randrange(-5000, 600_000)) for k in range(3000)]
+    places += [(0, 5000, 0), (0, 5000, 0), (1, 5001, None), (2, 5002, 10**12)]
+    given = spark.createDataFrame(lines, "document_id int, idx int, start_ms long").withColumn("extra", F.lit(1))
+    asked = spark.createDataFrame(places, "document_id int, position_id long, position_ms long").withColumn("idx", F.lit("clash"))
+
+    def last(d, ms):
+        seen = [(s, i) for doc, i, s in lines if None not in (doc, i, s, d, ms) and doc == d and s <= ms + 50]
+        return max(seen)[1] if seen else -1
+
+    expected = sorted((k, last(d, ms)) for d, k, ms in places)
+    for width in (1, 60_000, 10**9):
+        got = timeline.active_chunk(asked, given, bucket_ms=width)
+        assert sorted((r.position_id, r.idx) for r in got.collect()) == expected
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        hot = timeline.active_chunk(asked, given).where("document_id = 0").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(hot) > 1 and max(r["count"] for r in hot) < 1000
+    starts = given.select("document_id", F.col("idx").alias("chapter_no"), "start_ms")
+    assert timeline.active_chapter(asked.limit(0), starts).count() == 0
+    assert {r.chapter_no for r in timeline.active_chapter(asked, starts.limit(0)).collect()} == {0}

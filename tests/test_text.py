@@ -122,3 +122,14 @@ def test_chunk_rows(spark):
     ]
     with pytest.raises(ValueError):
         chunks.chunk_text(docs, 0)
+
+
+def test_many_chunks_of_one_paragraph(spark):
+    # several leaves, and ends on either side of a leaf's last chunk
+    for words in (1, 255, 256, 257, 512, 513, 1500):
+        text = " ".join(f"w{i}" for i in range(words))
+        (got,) = applied(spark, lambda c: chunks.pack(F.transform(F.split(c, " "), lambda w: F.struct(w.alias("text"), F.lit(False).alias("fresh"), F.lit(False).alias("solo"))), 5), [text])
+        assert got == restated([text], 5)
+    tokens = "array<struct<text:string,fresh:boolean,solo:boolean>>"
+    rows = spark.createDataFrame([(None,), ([],), ([("a", False, True), ("b", False, False), ("c", False, False), ("d", True, False)],)], f"t {tokens}")
+    assert [r.o for r in rows.select(chunks.pack(F.col("t"), 9).alias("o")).collect()] == [None, [], ["a", "b c", "d"]]
