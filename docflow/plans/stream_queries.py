@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.operators import jobs
+from docflow.operators import jobs, timeline
+from docflow.operators.rules import newest
 from docflow.plans import state_queries  # noqa: F401  its SQL is used below
 from docflow.plans.adapters import oracle, table, view
 from docflow.plans.registry import ORACLES, query
 from docflow.sources.readers import read_events
-from docflow.sources.shared import shared_dir
-from docflow.sources.sinks import UpsertTable, write_chunks, write_progress
+from docflow.sources.shared import shared_dir, written
+from docflow.sources.sinks import UpsertTable, chunk_table, replace_rows, write_progress
 from docflow.streaming import progress, usage
 from docflow.streaming.run import drained
 
@@ -48,9 +49,23 @@ _COUNTS = "count(*) FILTER (WHERE status = 'done') AS done, count(*) FILTER (WHE
 
 @query("s5_write_chunks", oracle("SELECT document_id, idx, status FROM chunks_v", "chunks_v"))
 def s5(s, d):
-    name = f"docflow_chunks_{uuid.uuid4().hex[:12]}"
-    write_chunks(view(s, d, "chunks_v").select("document_id", "idx", "status"), name, buckets=8)
-    return s.table(name)
+    with chunk_table(view(s, d, "chunks_v").select("document_id", "idx", "status"), buckets=8) as stored:
+        return written(stored, "chunks")
+
+
+@query("s5_read_along_buckets", oracle(f"""SELECT t.document_id, t.idx, c.status, t.start_ms, t.end_ms, p.done, p.total FROM ({state_queries.TIMELINE}) t
+  JOIN chunks_v c ON c.document_id = t.document_id AND c.idx = t.idx JOIN ({state_queries.PROGRESS}) p ON p.document_id = t.document_id""", "chunks_v"))
+def s5_buckets(s, d):
+    """Timeline, chunks and progress of each document, all from the buckets of one stored table."""
+    with chunk_table(view(s, d, "chunks_v"), buckets=8) as stored:
+        return written(along_with_progress(stored), "along")
+
+
+def along_with_progress(chunks: DataFrame) -> DataFrame:
+    """document_id, idx, status, start_ms, end_ms, done, total."""
+    along = timeline.read_along(chunks, timeline.timeline(chunks).hint("merge"))
+    counts = jobs.document_progress(chunks).select("document_id", "done", "total")
+    return along.join(counts.hint("merge"), "document_id").select("document_id", "idx", "status", "start_ms", "end_ms", "done", "total")
 
 
 @query("s6_upsert_stream", ORACLES["s6_upsert_cache"])
@@ -69,6 +84,17 @@ def s6_stream(s, d):
     return cache.read()
 
 
+@query("s7_replace_partitions", ORACLES["s7_replace_assets"])
+def s7_partitions(s, d):
+    """Assets in partitions by document; those of a new asset are written again, the others stay."""
+    path = f"{shared_dir(s)}/docflow-tables/assets-{uuid.uuid4().hex}"
+    old = newest(view(s, d, "assets_v"), ["document_id"], "created_at", "id").select("document_id", "id", "path")
+    replace_rows(old, path, ["document_id"], ["id"], parts=16)
+    new = old.where("document_id % 3 = 0").select("document_id", (F.col("id") + 1_000_000).alias("id"), F.lit("new").alias("path"))
+    replace_rows(new, path, ["document_id"], ["id"], parts=16)
+    return s.read.parquet(path).drop("part")
+
+
 @query("s8_event_log", "SELECT event_id, user_id, event_type, value FROM events")
 def s8(s, d):
     path = f"{shared_dir(s)}/docflow-streams/{uuid.uuid4().hex}"

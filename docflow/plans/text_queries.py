@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docflow.functions import text as fx
-from docflow.operators import chunks, extract, feeds, pages, planning, rules, timeline, usage
+from docflow.operators import chunks, extract, feeds, packages, pages, planning, rules, timeline, usage
 from docflow.plans.adapters import oracle, table, view
 from docflow.plans.registry import query
 from docflow.sources.readers import clean_markdown
@@ -144,6 +144,33 @@ def t5(s, d):
     return extract.spine_order(spine, manifest, members)
 
 
+@query("t5_read_packages", f"""WITH m AS (SELECT page_id // 10 AS book_id, page_id, {html_sql('html')} AS text FROM pages WHERE page_id % 7 <> 0 AND page_id % 4 <> 2)
+  SELECT book_id, string_agg(text, chr(10) || chr(10) ORDER BY page_id DESC) AS text, count(*) AS chapters FROM m WHERE text <> '' GROUP BY book_id""")
+def t5_packages(s, d):
+    """Ten pages a book, last first, as members with package XML: prefixes, encoded and relative paths, pictures, gaps."""
+    n = F.col("page_id").cast("string")
+    p = table(s, d, "pages").select(F.floor(F.col("page_id") / 10).cast("long").alias("book_id"), "page_id", F.concat(F.lit("text/page "), n, F.lit(".xhtml")).alias("path"), F.col("html").alias("content"))
+    media = F.get(F.array(*[F.lit(x) for x in ("", ' media-type="application/xhtml+xml"', ' media-type="image/png"', ' media-type="text/html"')]), (F.col("page_id") % 4).cast("int"))
+    href = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("../text/page%20"), n)).otherwise(F.concat(F.lit("./../text/page "), n))
+    lines = p.groupBy("book_id").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("page_id")).alias("pos"), F.concat(F.lit('item id="p'), n, F.lit('" href="'), href, F.lit('.xhtml"'), media, F.lit("/>")).alias("item"), F.concat(F.lit('itemref idref="p'), n, F.lit('"/>')).alias("ref")))).alias("x")
+    )
+    prefix = F.when(F.col("book_id") % 2 == 0, F.lit("<opf:")).otherwise(F.lit("<"))
+
+    def tags(part: str) -> Column:
+        return F.array_join(F.transform("x", lambda e: F.concat(prefix, e[part])), "\n")
+
+    close = F.replace(prefix, F.lit("<"), F.lit("</"))
+    package = F.concat(
+        F.lit("<?xml version='1.0'?>"), prefix, F.lit("package xmlns:opf='http://www.idpf.org/2007/opf'>"), prefix, F.lit("manifest>"), tags("item"), close, F.lit("manifest>"),
+        prefix, F.lit("spine>"), tags("ref"), close, F.lit("spine>"), close, F.lit("package>"),
+    )
+    container = F.lit("<container><rootfiles><rootfile full-path='OEBPS/book.opf'/></rootfiles></container>")
+    stored = p.where("page_id % 7 <> 0").drop("page_id")
+    members = stored.unionByName(lines.select("book_id", F.lit("OEBPS/book.opf").alias("path"), package.alias("content"))).unionByName(lines.select("book_id", F.lit(packages.CONTAINER).alias("path"), container.alias("content")))
+    return packages.read_books(members)
+
+
 @query("t6_runs_to_paragraphs", oracle(f"""WITH r AS (SELECT document_id AS doc_id, paragraph_idx AS paragraph_no, idx, CASE WHEN status = 'failed' THEN ' ' ELSE ' ' || status || chr(9) || left(content_hash, 4) END AS t FROM chunks_v)
   SELECT doc_id, paragraph_no, paragraph FROM (SELECT doc_id, paragraph_no, {collapse_sql("string_agg(t, '' ORDER BY idx)")} AS paragraph FROM r GROUP BY doc_id, paragraph_no) WHERE paragraph <> ''""", "chunks_v"))
 def t6(s, d):

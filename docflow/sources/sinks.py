@@ -1,17 +1,20 @@
-"""Sinks: chunk tables, replaced assets, progress streams, upserts from streams."""
+"""Sinks: bucketed chunk tables, replaced partitions, progress streams, upserts from streams."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from docflow.operators.rules import newest
+from docflow.sources.shared import written
 
 
 def write_chunks(chunks: DataFrame, table: str, buckets: int = 64) -> None:
@@ -19,11 +22,64 @@ def write_chunks(chunks: DataFrame, table: str, buckets: int = 64) -> None:
     chunks.write.bucketBy(buckets, "document_id").sortBy("document_id", "idx").mode("overwrite").saveAsTable(table)
 
 
+#: Spark moves both sides of a join by more keys than the buckets have, unless this is off.
+ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+@contextmanager
+def chunk_table(chunks: DataFrame, buckets: int = 64) -> Iterator[DataFrame]:
+    """``chunks`` as a bucketed table that is dropped at the end; write what must outlast it before.
+
+    Inside, joins by document and idx count as joins by document, so they read the buckets as they are.
+    """
+    spark, name = chunks.sparkSession, f"docflow_chunks_{uuid.uuid4().hex[:12]}"
+    before = spark.conf.get(ALL_KEYS)
+    try:
+        write_chunks(chunks, name, buckets)
+        spark.conf.set(ALL_KEYS, "false")
+        yield spark.table(name)
+    finally:
+        spark.conf.set(ALL_KEYS, before)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def write_partitions(df: DataFrame, path: str, *columns: str) -> None:
     """Replace only the partitions that ``df`` has rows of."""
     df.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*columns).parquet(path)
 
 
+def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:  # nothing was written there yet
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def replace_rows(new: DataFrame, path: str, keys: list[str], order: list[str], parts: int = 64) -> None:
+    """Put ``new`` in the place of the rows with its keys, in a table of ``parts`` partitions by key.
+
+    Only partitions that a new key falls into are read and written again; the files of all others stay.
+    ``parts`` is the table's for good. Of new rows with one key the newest by ``order`` counts, then the
+    one with the largest rest; null keys are a key; no rows change nothing. The merged rows are on disk
+    before the first partition is switched, so doing it again after a loss gives the same table.
+    """
+    spark, schema = new.sparkSession, StructType([*new.schema.fields]).add("part", IntegerType())
+    rest = [c for c in new.columns if c not in (*keys, *order)]
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+    incoming = written(newest(new, keys, *order, *rest).select(*new.columns, part.alias("part")), "replacing")
+    touched = [r.part for r in incoming.select("part").distinct().collect()]  # at most ``parts`` numbers
+    old = _read(spark, path, schema)
+    merged = incoming
+    if old is not None:
+        same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+        kept = old.where(F.col("part").isin(touched)).alias("o").join(incoming.alias("n").hint("merge"), same, "left_anti")
+        merged = written(kept.select(*schema.names).unionByName(incoming), "replaced")
+    if touched:
+        write_partitions(merged.repartition("part"), path, "part")
+
+
 def write_progress(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append what is there to Parquet files and stop."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
@@ -58,12 +114,7 @@ class UpsertTable:
         write_partitions(self._newest(batch).withColumn("epoch", F.lit(epoch).cast("long")), f"{self.path}/changes", "epoch")
 
     def _read(self, folder: str, schema: StructType) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
-        except AnalysisException as e:  # nothing was written there yet
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
+        return _read(self.spark, f"{self.path}/{folder}", schema)
 
     def _base(self) -> tuple[str | None, int, int]:
         ledger = self._read("ledger", StructType.fromDDL(LEDGER))
