@@ -57,6 +57,7 @@ def line_key(c: Column) -> Column:
     return collapse(F.regexp_replace(F.lower(c), "[0-9]+", "#"))
 
 
+# Lines that are a page number.
 PAGE_NUMBER = (
     "^[0-9]{1,4}$",
     f"^[-–—][{WS}]*[0-9]{{1,4}}[{WS}]*[-–—]$",
@@ -73,16 +74,20 @@ def is_page_number(c: Column) -> Column:
     return out
 
 
+# What markdown is taken off and what stays of it, in order.
+MARKDOWN = (
+    ("(?md)^```[\\s\\S]*?```", ""),
+    (f"(?md)^#{{1,6}}[{WS}]+", ""),
+    ("!?\\[([^\\]]*)\\]\\([^)]*\\)", "$1"),
+    ("(\\*\\*|__|\\*|_|`)(.+?)\\1", "$2"),
+    (f"(?md)^[{WS}]*[-*+][{WS}]+", ""),
+    (f"(?md)^[{WS}]*>[{WS}]?", ""),
+)
+
+
 def markdown_to_text(c: Column) -> Column:
     """The words of light markdown: no fences, marks of headings, links, emphasis, lists, quotes."""
-    for pattern, by in (
-        ("(?md)^```[\\s\\S]*?```", ""),
-        (f"(?md)^#{{1,6}}[{WS}]+", ""),
-        ("!?\\[([^\\]]*)\\]\\([^)]*\\)", "$1"),
-        ("(\\*\\*|__|\\*|_|`)(.+?)\\1", "$2"),
-        (f"(?md)^[{WS}]*[-*+][{WS}]+", ""),
-        (f"(?md)^[{WS}]*>[{WS}]?", ""),
-    ):
+    for pattern, by in MARKDOWN:
         c = F.regexp_replace(c, pattern, by)
     return c
 

@@ -219,8 +219,8 @@ def notification_outbox(jobs: DataFrame, users: DataFrame, docs: DataFrame) -> D
     joined = ended.join(known, "user_id").join(docs.select("document_id", "title"), "document_id", "left").withColumn("title", F.coalesce("title", F.lit("Untitled")))
     ok = F.col("status") == "succeeded"
     quoted = F.concat(F.lit('"'), "title", F.lit('"'))
-    subject = F.when(ok, F.concat(quoted, F.lit(" is ready"))).otherwise(F.concat(quoted, F.lit(" could not be narrated")))
-    failure = F.concat(F.lit("Narrating "), quoted, F.lit(" failed: "), F.coalesce("error", F.lit("unknown error")))
+    subject = F.when(ok, F.concat(quoted, F.lit(" is ready"))).otherwise(F.concat(quoted, F.lit(" has no audio yet")))
+    failure = F.concat(F.lit("The work on "), quoted, F.lit(" ended with this problem: "), F.coalesce("error", F.lit("none was given")))
     body = F.when(ok, F.concat(F.lit("The audio of "), quoted, F.lit(" has finished."))).otherwise(failure)
     return joined.select("id", "user_id", "email", subject.alias("subject"), body.alias("body"))
 

@@ -195,8 +195,8 @@ def j17(s, d):
   u AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 5 <> 0 THEN 'c' || c_custkey || '@example.com' END AS email, c_custkey % 3 = 0 AS is_anonymous FROM customer),
   o AS (SELECT id, e.user_id, email, '"' || coalesce(title, 'Untitled') || '"' AS q, status, error FROM e JOIN u ON e.user_id = u.user_id LEFT JOIN titles_v t ON e.document_id = t.document_id
     WHERE status IN ('succeeded', 'failed') AND NOT skipped AND email <> '' AND NOT is_anonymous)
-  SELECT id, user_id, email, CASE WHEN status = 'succeeded' THEN q || ' is ready' ELSE q || ' could not be narrated' END AS subject,
-  CASE WHEN status = 'succeeded' THEN 'The audio of ' || q || ' has finished.' ELSE 'Narrating ' || q || ' failed: ' || coalesce(error, 'unknown error') END AS body FROM o""", "jobs_v", "titles_v"))
+  SELECT id, user_id, email, CASE WHEN status = 'succeeded' THEN q || ' is ready' ELSE q || ' has no audio yet' END AS subject,
+  CASE WHEN status = 'succeeded' THEN 'The audio of ' || q || ' has finished.' ELSE 'The work on ' || q || ' ended with this problem: ' || coalesce(error, 'none was given') END AS body FROM o""", "jobs_v", "titles_v"))
 def j18(s, d):
     ended = view(s, d, "jobs_v").withColumn("skipped", F.col("id") % 11 == 0).withColumn("error", F.when(F.col("id") % 2 == 0, "timeout"))
     c = F.col("c_custkey")
