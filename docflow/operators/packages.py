@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.functions.text import html_to_text, trim
-from docflow.operators.extract import spine_order
+from docflow.operators.extract import MARKUP_TYPES, spine_order
 from docflow.sources.shared import written
 
 CONTAINER = "META-INF/container.xml"
@@ -82,5 +82,9 @@ def read_books(members: DataFrame) -> DataFrame:
     """
     known = members.where("book_id IS NOT NULL AND path IS NOT NULL").groupBy("book_id", "path").agg(F.max("content").alias("content"))
     packages = written(package_files(known), "packages")
-    texts = known.where(F.col("path") != CONTAINER).select("book_id", "path", html_to_text(F.col("content")).alias("content"))
-    return spine_order(spine_rows(packages), manifest_rows(packages, known), texts)
+    items = written(manifest_rows(packages, known), "manifests")
+    # only members that a manifest names as markup are read; filters on the prose would make it once more
+    markup = items.where(F.col("media_type").isNull() | F.col("media_type").rlike(MARKUP_TYPES)).select("book_id", F.col("href").alias("path")).distinct()
+    read = known.join(markup.hint("merge"), ["book_id", "path"], "left_semi")
+    texts = written(read.select("book_id", "path", html_to_text(F.col("content")).alias("content")), "prose")
+    return spine_order(spine_rows(packages), items, texts)
