@@ -92,6 +92,12 @@ def markdown_to_text(c: Column) -> Column:
     return c
 
 
+def replaced(c: Column, pattern: str, use: Callable[[Column], Column]) -> Column:
+    """``c`` in one pass with each match of ``pattern`` as ``use`` makes it of its first group."""
+    made = F.concat(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), use), F.array(F.lit("")))
+    return F.array_join(F.zip_with(F.split(c, pattern, -1), made, lambda between, new: F.concat(between, new)), "")
+
+
 ENTITY = "&(#[xX]?[0-9a-fA-F]+|[a-zA-Z]+);"
 
 
@@ -109,9 +115,7 @@ def decode_entities(c: Column) -> Column:
         named = F.try_element_at(names, F.lower(body))
         return F.when(body.startswith("#"), F.when(valid, char).otherwise(whole)).otherwise(F.coalesce(named, whole))
 
-    decoded = F.concat(F.transform(F.regexp_extract_all(c, F.lit(ENTITY), F.lit(1)), one), F.array(F.lit("")))
-    joined = F.array_join(F.zip_with(F.split(c, ENTITY, -1), decoded, lambda a, b: F.concat(a, b)), "")
-    return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
+    return F.when(F.contains(c, F.lit("&")), replaced(c, ENTITY, one)).otherwise(c)
 
 
 def normalise_paragraphs(c: Column) -> Column:
@@ -123,15 +127,21 @@ def paragraphs(c: Column, clean: Callable[[Column], Column] = trim) -> Column:
     return F.filter(F.transform(F.split(c, f"\\n[{WS}]*\\n"), clean), lambda p: p != "")
 
 
+UNREAD = f"(?i)<({'|'.join(UNREAD_TAGS)})[\\s\\S]*?</\\1\\s*>"
+COMMENT = "<!--[\\s\\S]*?-->"
+TAG = "<(/?[a-zA-Z][^>]*)>"
+
+
+def _break_of(tag: Column) -> Column:
+    """What a tag leaves of itself: a block's an empty line, a bare ``br`` a new line, others nothing."""
+    block = tag.rlike(f"(?i)^/?({BLOCK_TAGS})(?![a-zA-Z0-9])")
+    return F.when(block, "\n\n").when(tag.rlike("(?i)^br\\s*/?$"), "\n").otherwise("")
+
+
 def html_to_text(c: Column) -> Column:
-    """Prose of a well-formed chapter: unread bodies go, block tags end paragraphs."""
-    c = F.regexp_replace(c, f"(?i)<({'|'.join(UNREAD_TAGS)})[\\s\\S]*?</\\1\\s*>", "")
-    c = F.regexp_replace(c, "<!--[\\s\\S]*?-->", "")
-    c = F.regexp_replace(c, "(?i)<br\\s*/?>", "\n")
-    c = F.regexp_replace(c, "</?([a-zA-Z][a-zA-Z0-9]*)[^>]*>", "\x01$1\x02")
-    c = F.regexp_replace(c, f"(?i)\x01({BLOCK_TAGS})\x02", "\n\n")
-    c = F.regexp_replace(c, "\x01[^\x02]*\x02", "")
-    return normalise_paragraphs(decode_entities(c))
+    """Prose of a well-formed chapter: unread bodies and comments go, then each tag is told by its class."""
+    seen = F.regexp_replace(F.regexp_replace(c, UNREAD, ""), COMMENT, "")
+    return normalise_paragraphs(decode_entities(replaced(seen, TAG, _break_of)))
 
 
 def ends_with_abbreviation(before: Column) -> Column:

@@ -94,8 +94,11 @@ def chunk_paragraph(paragraph: Column, n: int) -> Column:
     return pack(chunk_tokens(split_sentences(paragraph), n), n)
 
 
-def chunk_text(docs: DataFrame, max_chars: int = DEFAULT_MAX_CHARS, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, idx over the document, text, char_count, paragraph_idx, ends_paragraph."""
+def chunk_text(docs: DataFrame, max_chars: int = DEFAULT_MAX_CHARS, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
+    """key, idx over the document, text, char_count, paragraph_idx, ends_paragraph.
+
+    A document without words (a null text too) has no rows, or with ``outer`` one of nulls.
+    """
     if not isinstance(max_chars, int) or max_chars < 1:
         raise ValueError(f"max_chars must be a positive whole number, not {max_chars!r}")
 
@@ -106,6 +109,7 @@ def chunk_text(docs: DataFrame, max_chars: int = DEFAULT_MAX_CHARS, key: str = "
         return let(chunk_paragraph(p, max_chars), rows)
 
     chunks = F.flatten(F.transform(paragraphs(F.col(text)), numbered))
-    return docs.select(key, *keep, F.posexplode(chunks).alias("idx", "c")).select(
+    explode = F.posexplode_outer if outer else F.posexplode
+    return docs.select(key, *keep, explode(chunks).alias("idx", "c")).select(
         key, *keep, "idx", "c.text", F.length("c.text").alias("char_count"), "c.paragraph_idx", "c.ends_paragraph"
     )

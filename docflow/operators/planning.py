@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions.text import content_hash
-from docflow.operators.rules import newest
+from docflow.operators.chunks import DEFAULT_MAX_CHARS, chunk_text
+from docflow.operators.rules import apply_rules, newest
+from docflow.operators.usage import DAILY_QUOTA, check_quota
+from docflow.sources.shared import written
 
 
 def resolve_settings(df: DataFrame, providers: DataFrame, default: str) -> DataFrame:
@@ -45,16 +48,45 @@ def cache_misses(chunks: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def plan_summary(probed: DataFrame, *keys: str) -> DataFrame:
-    """Per document: chunks, cached ones, and characters to bill; repeats of a miss are all billed."""
+    """Per document: chunks, cached ones, and characters to bill; repeats of a miss are all billed.
+
+    A row with a null hash stands for a document without chunks.
+    """
     missed = F.col("cache_path").isNull()
     return probed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("chunks"),
+        F.count("content_hash").alias("chunks"),
         F.count_if(~missed).alias("cached_count"),
         F.coalesce(F.sum(F.when(missed, F.col("char_count"))), F.lit(0)).cast("long").alias("billable_chars"),
-        F.sum("char_count").cast("long").alias("total_chars"),
+        F.coalesce(F.sum("char_count"), F.lit(0)).cast("long").alias("total_chars"),
     )
 
 
+def plan_chunks(docs: DataFrame, rules: DataFrame, voice: str, model: str, provider: str = "alpha", max_chars: int = DEFAULT_MAX_CHARS) -> DataFrame:
+    """Hashed chunks of ``docs`` (document_id, user_id, text) after their users' rules, written once.
+
+    A document without words (a null text too) has one row whose idx and hash are null.
+    """
+    ruled = apply_rules(docs.select("document_id", "user_id", "text"), rules)
+    made = with_hash(chunk_text(ruled, max_chars, key="document_id", keep=("user_id",), outer=True), voice, model, provider)
+    return written(made.withColumn("content_hash", F.when(F.col("text").isNotNull(), F.col("content_hash"))), "planned-chunks")
+
+
+def submit_plan(chunks: DataFrame, cache: DataFrame, used: DataFrame, quota: int = DAILY_QUOTA) -> DataFrame:
+    """What each document of :func:`plan_chunks` costs, next to what its user has left.
+
+    ``used`` (user_id, used) is what a user spent in the running window; each document is judged
+    for itself. ``problem`` tells why a document isn't taken: it has no words, or it costs more
+    than remains. Defined cases: a user without usage, or a null one, has spent nothing; null ids
+    are keys like others, but a null user has no cache; repeated cache rows count once; empty
+    tables give no rows.
+    """
+    summary = plan_summary(cache_probe(chunks, cache), "document_id", "user_id")
+    spent = used.groupBy("user_id").agg(F.sum("used").alias("used"))
+    told = summary.join(spent, "user_id", "left").withColumn("used", F.coalesce("used", F.lit(0)).cast("long"))
+    checked = check_quota(told.withColumn("want", F.col("billable_chars")), quota)
+    return checked.withColumn("problem", F.when(F.col("chunks") == 0, "no words").when(~F.col("ok"), "over quota"))
+
+
 def chunk_rows(probed: DataFrame) -> DataFrame:
     """Chunk rows to insert: a hit is done and from the cache, a miss is pending."""
     hit = F.col("cache_path").isNotNull()
@@ -86,7 +118,7 @@ def preview_plan(users: DataFrame, voices: DataFrame, cache: DataFrame, sentence
     listed = voices.agg(rows.alias("v"))  # one row
     pairs = users.select("user_id").join(F.broadcast(listed)).select("user_id", F.inline("v"))
     hashed = pairs.withColumn("content_hash", content_hash(F.lit(sentence), F.col("voice_id"), F.col("model_id"), F.col("provider")))
-    return hashed.join(cache.select("user_id", "content_hash"), ["user_id", "content_hash"], "left_anti")
+    return hashed.join(cache.select("user_id", "content_hash").hint("merge"), ["user_id", "content_hash"], "left_anti")
 
 
 def voice_catalogue(providers: DataFrame) -> DataFrame:

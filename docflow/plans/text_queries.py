@@ -298,21 +298,18 @@ def k3(s, d):
     return tokens.select(F.rtrim("t", F.lit(".")).alias("token")).distinct().select("token", fx.ends_with_abbreviation(F.col("token")).alias("abbreviated"))
 
 
-@query("k4_split_oversized")
-def k4(s, d):
-    return chunks.chunk_text(view(s, d, "paragraphs_v"), 40)
-
-
-#: Tokens of sentences over %(n)d characters are clauses, else words; no word is that long here.
+#: Tokens of sentences over %(n)d characters are clauses, else words, else pieces, which stay alone.
 TOKENS = f"""WITH RECURSIVE s AS MATERIALIZED ({SENTENCES}),
   m AS (SELECT *, length(sentence) > %(n)d AS long, coalesce(lag(length(sentence)) OVER (PARTITION BY doc_id, paragraph_idx ORDER BY n) > %(n)d, false) AS after_long FROM s),
   f AS (SELECT doc_id, paragraph_idx, n, i, fs[i] AS fragment FROM (SELECT *, unnest(range(1, len(fs) + 1)) AS i FROM (
     SELECT *, string_split({sub('sentence', f'([,;:])[{WS}]+', chr(92) + '1' + chr(1))}, chr(1)) AS fs FROM m WHERE long))),
   w AS (SELECT *, unnest(range(1, len(ws) + 1)) AS k FROM (SELECT *, string_split_regex(fragment, {sq(f'[{WS}]+')}) AS ws FROM f WHERE length(fragment) > %(n)d)),
-  t AS (SELECT doc_id, paragraph_idx, row_number() OVER (PARTITION BY doc_id, paragraph_idx ORDER BY n, i, k) - 1 AS n, text, fresh FROM (
-    SELECT doc_id, paragraph_idx, n, 0 AS i, 0 AS k, sentence AS text, after_long AS fresh FROM m WHERE NOT long
-    UNION ALL SELECT doc_id, paragraph_idx, n, i, 0, fragment, i = 1 FROM f WHERE length(fragment) <= %(n)d
-    UNION ALL SELECT doc_id, paragraph_idx, n, i, k, ws[k], k = 1 FROM w))"""
+  p AS (SELECT *, substring(ws[k], CAST(place AS INT), %(n)d) AS piece FROM (SELECT *, unnest(range(1, length(ws[k]) + 1, %(n)d)) AS place FROM w WHERE length(ws[k]) > %(n)d)),
+  t AS (SELECT doc_id, paragraph_idx, row_number() OVER o - 1 AS n, text, fresh OR coalesce(lag(solo) OVER o, false) AS fresh FROM (
+    SELECT doc_id, paragraph_idx, n, 0 AS i, 0 AS k, 0 AS place, sentence AS text, after_long AS fresh, false AS solo FROM m WHERE NOT long
+    UNION ALL SELECT doc_id, paragraph_idx, n, i, 0, 0, fragment, i = 1, false FROM f WHERE length(fragment) <= %(n)d
+    UNION ALL SELECT doc_id, paragraph_idx, n, i, k, 0, ws[k], k = 1, false FROM w WHERE length(ws[k]) <= %(n)d
+    UNION ALL SELECT doc_id, paragraph_idx, n, i, k, place, piece, true, true FROM p) WINDOW o AS (PARTITION BY doc_id, paragraph_idx ORDER BY n, i, k, place))"""
 PLAIN = f"""WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, paragraph_idx, n, sentence AS text, false AS fresh FROM ({SENTENCES}))"""
 PACKED = """, r AS (SELECT doc_id, paragraph_idx, n, CAST(0 AS BIGINT) AS part, length(text) AS size, text AS now FROM t WHERE n = 0 UNION ALL
   SELECT t.doc_id, t.paragraph_idx, t.n, CASE WHEN fresh OR r.size + 1 + length(t.text) > %(n)d THEN r.part + 1 ELSE r.part END,
@@ -329,6 +326,26 @@ def packed_sql(tokens: str, n: int, rest: str) -> str:
     return oracle("WITH " + sql.removeprefix("WITH RECURSIVE "), "paragraphs_v").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+#: As PACKED, by a fold over a paragraph's tokens: a walk by joins takes as many steps as the longest one has tokens.
+FOLDED = """, l AS (SELECT doc_id, paragraph_idx, list({'text': text, 'size': length(text), 'fresh': fresh} ORDER BY n) AS ts FROM t GROUP BY doc_id, paragraph_idx),
+  r AS (SELECT doc_id, paragraph_idx, list_reduce(ts, lambda a, x: {'text': a.text || CASE WHEN x.fresh OR a.size + 1 + x.size > %(n)d THEN chr(1) ELSE ' ' END || x.text,
+    'size': CASE WHEN x.fresh OR a.size + 1 + x.size > %(n)d THEN x.size ELSE a.size + 1 + x.size END, 'fresh': x.fresh}) AS x FROM l),
+  c AS (SELECT doc_id, paragraph_idx, unnest(string_split(x.text, chr(1))) AS text, generate_subscripts(string_split(x.text, chr(1)), 1) AS part FROM r),
+  chunked AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_idx, part) - 1 AS idx, text, length(text) AS char_count, paragraph_idx,
+  lead(part) OVER (PARTITION BY doc_id, paragraph_idx ORDER BY part) IS NULL AS ends_paragraph FROM c)"""
+
+
+def folded_sql(n: int, rest: str, *views: str, source: str = "paragraphs_v", head: str = "") -> str:
+    """Chunks of ``source``, a view or what ``head`` defines in front."""
+    sql = TOKENS.replace("WITH RECURSIVE ", f"WITH {head}").replace("paragraphs_v", source) + FOLDED
+    return oracle(sql.replace("%(n)d", str(n)) + rest, *views)
+
+
+@query("k4_split_oversized", folded_sql(40, " SELECT * FROM chunked", "paragraphs_v"))
+def k4(s, d):
+    return chunks.chunk_text(view(s, d, "paragraphs_v"), 40)
+
+
 @query("k5_pack_sentences", packed_sql(PLAIN, 600, " SELECT doc_id, paragraph_idx, part, text FROM c"))
 def k5(s, d):
     each = chunks.split_paragraphs(view(s, d, "paragraphs_v"))
@@ -460,12 +477,25 @@ def f5(s, d):
 
 
 # ---------------------------------------------------------------- flagship
-@query("k7_plan_from_text")
+#: When the flagship asks for what users have spent.
+PLAN_NOW = "2024-01-30 18:00:00"
+_RULED_DOCS = f"""ruled_v AS (SELECT doc_id, user_id, {_RULED} AS text FROM (SELECT doc_id, user_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM docs_v)), """
+_PLANNED = f""", h AS (SELECT d.doc_id AS document_id, user_id, char_count, sha256('voice-a:model-a:' || c.text) AS content_hash FROM docs_v d LEFT JOIN chunked c ON d.doc_id = c.doc_id),
+  su AS (SELECT document_id, user_id, count(content_hash) AS chunks, count(*) FILTER (WHERE content_hash < '5') AS cached_count,
+    CAST(coalesce(sum(char_count) FILTER (WHERE content_hash >= '5'), 0) AS BIGINT) AS billable_chars, CAST(coalesce(sum(char_count), 0) AS BIGINT) AS total_chars FROM h GROUP BY ALL),
+  u AS (SELECT user_id, CAST(sum(chars) AS BIGINT) AS used FROM usage_v WHERE ts BETWEEN TIMESTAMP '{PLAN_NOW}' - INTERVAL 24 HOUR AND TIMESTAMP '{PLAN_NOW}' GROUP BY user_id),
+  j AS (SELECT su.*, coalesce(used, 0) AS used, billable_chars AS want, coalesce(used, 0) + billable_chars <= 10000 AS ok, greatest(0, 10000 - coalesce(used, 0)) AS remaining FROM su LEFT JOIN u USING (user_id))
+  SELECT *, CASE WHEN chunks = 0 THEN 'no words' WHEN NOT ok THEN 'over quota' END AS problem FROM j"""
+
+
+@query("k7_plan_from_text", folded_sql(2000, _PLANNED, "docs_v", "usage_v", source="ruled_v", head=_RULED_DOCS))
 def plan_from_text(s, d):
-    """Documents to rules, chunks, hashes, cache probe, and what each document would cost."""
-    docs = view(s, d, "docs_v").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
-    ruled = rules.apply_rules(docs, view(s, d, "rules_v"))
-    made = planning.with_hash(chunks.chunk_text(ruled, keep=("user_id",)), "voice-a", "model-a").withColumnRenamed("doc_id", "document_id")
-    cache = made.where("pmod(xxhash64(content_hash), 3) = 0").select("user_id", "content_hash", F.col("content_hash").alias("path")).distinct()
-    summary = planning.plan_summary(planning.cache_probe(made, cache), "document_id", "user_id")
-    return usage.check_quota(summary.withColumn("used", F.lit(0).cast("long")).withColumn("want", F.col("billable_chars")))
+    """Documents to rules, chunks, hashes, cache probe, and what each document would cost its user.
+
+    Hashes that start below 5 stand for what users have narrated before.
+    """
+    docs = view(s, d, "docs_v").select(F.col("doc_id").alias("document_id"), "user_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    made = planning.plan_chunks(docs, view(s, d, "rules_v"), "voice-a", "model-a")
+    cache = made.where("content_hash < '5'").select("user_id", "content_hash", F.col("content_hash").alias("path"))
+    used = usage.chars_used(view(s, d, "usage_v"), F.expr(f"TIMESTAMP_NTZ '{PLAN_NOW}'"))
+    return planning.submit_plan(made, cache, used)

@@ -244,11 +244,15 @@ def stale_stream(chunks: DataFrame, minutes: int = 10, delay: str = "0 seconds")
 
 def chunk_stream(docs: DataFrame, cache: DataFrame, voice: str, model: str, max_chars: int = 2000, delay: str = "1 hour") -> DataFrame:
     """Chunks of incoming documents (document_id, user_id, text, ts) that need synthesis: not in
-    the static cache, and each user's content once within the watermark."""
+    the static cache, and each user's content once within the watermark.
+
+    Which of several documents with the same content is kept is left open. A null user has no
+    cache; texts without words and null ones have no chunks; repeated cache rows count once.
+    """
     from docflow.operators.planning import with_hash
 
     chunks = chunk_text(docs.withWatermark("ts", delay), max_chars, key="document_id", keep=("user_id", "ts"))
-    known = cache.select("user_id", "content_hash", F.lit(True).alias("cached"))
+    known = cache.select("user_id", "content_hash").distinct().withColumn("cached", F.lit(True)).hint("merge")
     probed = with_hash(chunks, voice, model).join(known, ["user_id", "content_hash"], "left")
     return probed.where("cached IS NULL").dropDuplicatesWithinWatermark(["user_id", "content_hash"]).drop("cached")
 

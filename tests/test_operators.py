@@ -1,6 +1,7 @@
 """Examples for operators over tables."""
 
 import datetime as dt
+import hashlib
 import random
 
 import pytest
@@ -181,3 +182,28 @@ def test_positions_of_a_hot_document_spread_over_tasks(spark):
     starts = given.select("document_id", F.col("idx").alias("chapter_no"), "start_ms")
     assert timeline.active_chapter(asked.limit(0), starts).count() == 0
     assert {r.chapter_no for r in timeline.active_chapter(asked, starts.limit(0)).collect()} == {0}
+
+
+def test_submit_plan_by_hand(spark):
+    docs = spark.createDataFrame(
+        [(1, 7, "One is here.\n\nTwo is here."), (2, 7, "Two is here."), (3, 8, "One is here."), (4, 7, None), (5, 9, " \n\n "), (None, None, "Null one.")],
+        "document_id long, user_id long, text string",
+    )
+    given = spark.createDataFrame([(8, "One", "Three", 1)], "user_id long, pattern string, replacement string, created_at long")
+    made = planning.plan_chunks(docs, given, "v", "m")
+    sha = lambda t: hashlib.sha256(f"v:m:{t}".encode()).hexdigest()
+    assert {(r.document_id, r.content_hash) for r in made.collect()} == {
+        (1, sha("One is here.")), (1, sha("Two is here.")), (2, sha("Two is here.")), (3, sha("Three is here.")), (4, None), (5, None), (None, sha("Null one.")),
+    }
+    cache = spark.createDataFrame([(7, sha("Two is here."), "a"), (7, sha("Two is here."), "b"), (8, sha("One is here."), "c")], "user_id long, content_hash string, path string")
+    used = spark.createDataFrame([(7, 20), (7, 1), (None, 99)], "user_id long, used long")
+    got = {r.document_id: (r.user_id, r.chunks, r.cached_count, r.billable_chars, r.total_chars, r.used, r.remaining, r.ok, r.problem) for r in planning.submit_plan(made, cache, used, quota=30).collect()}
+    assert got == {
+        1: (7, 2, 1, 12, 24, 21, 9, False, "over quota"),
+        2: (7, 1, 1, 0, 12, 21, 9, True, None),
+        3: (8, 1, 0, 14, 14, 0, 30, True, None),
+        4: (7, 0, 0, 0, 0, 21, 9, True, "no words"),
+        5: (9, 0, 0, 0, 0, 0, 30, True, "no words"),
+        None: (None, 1, 0, 9, 9, 0, 30, True, None),
+    }
+    assert planning.submit_plan(planning.plan_chunks(docs.limit(0), given, "v", "m"), cache, used).count() == 0
