@@ -1,11 +1,12 @@
 """Operator 10: license scan by a positional rare-token index (DataFrame functions only).
 
-The index is a table of template postings: for the words of highest IDF in each template's
-mandatory phrase (by document frequency over the whole corpus), word, template and position. A
-file's words that are in the index are joined with the postings; each gives the offset at which
-its template would stand. Postings are intersected by grouping on (file, template, offset): a
-template is a candidate where all its rare words agree. Candidates go back to the file, whose
-words must hold the mandatory phrase there word by word.
+Texts are split once: of a file's words those of the templates' vocabulary are kept at their
+places, the others are blanks, and this sparse form is written. Document frequencies over the
+whole corpus come from it. The index holds, for the words of highest IDF in each template's
+mandatory phrase, (word, template, place). A file's licence words, the rarest first, are looked up
+in it: a template is reached only if the file holds all its rare words. The places of its rarest
+word give the offsets at which it may stand, the postings of its other rare words are intersected
+with them by relative position, and the mandatory phrase is verified word by word.
 """
 
 from __future__ import annotations
@@ -134,8 +135,6 @@ TEMPLATES = (
 )
 #: Words of highest IDF of each key phrase that must agree on the offset (all of a shorter one).
 RARE = 3
-#: Up to so many postings, and so many files with candidates, are broadcast; beyond, shuffled joins.
-BROADCAST_POSTINGS, BROADCAST_FILES = 100_000, 200_000
 
 
 def license_words(text: Column) -> Column:
@@ -143,74 +142,59 @@ def license_words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, UPPER, LOWER), BREAK), lambda w: w != "")
 
 
+def sparse_words(docs: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
+    """doc_id, n_words, words: each word of the templates' vocabulary at its place, blanks between."""
+    vocabulary = sorted({w for t in templates for w in t.tokens})
+    words = F.transform(license_words(F.coalesce(F.col("text").cast("string"), F.lit(""))), lambda w: F.when(w.isin(*vocabulary), w).otherwise(""))
+    return docs.select("doc_id", words.alias("words")).select("doc_id", F.size("words").cast("long").alias("n_words"), "words")
+
+
 def document_frequencies(words: DataFrame, templates: tuple[Template, ...]) -> tuple[int, dict[str, int]]:
     """Number of documents, and in how many each template word occurs (one count a word)."""
-    vocabulary = sorted({w for t in templates for w in t.tokens})
-    rows = (
-        words.select(F.explode(F.concat(F.array_intersect("words", F.lit(vocabulary)), F.array(F.lit("")))).alias("w"))
-        .groupBy("w")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
-    )
+    in_file = F.array_union(F.array_distinct("words"), F.array(F.lit("")))  # the blank counts documents
+    rows = words.select(F.explode(in_file).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()
     counts = {r.w: r.n for r in rows}
-    return counts.pop("", 0), {w: counts.get(w, 0) for w in vocabulary}
-
+    return counts.pop("", 0), {w: counts.get(w, 0) for t in templates for w in t.tokens}
 
-def template_postings(templates: tuple[Template, ...], idf: dict[str, float]) -> list[tuple[str, int, int, int]]:
-    """(word, template, place from the key phrase's start, bit) of the rare words of each key phrase."""
-    rows = []
-    for n, t in enumerate(templates):
-        key = t.key.split()
-        rarest = sorted(range(len(key)), key=lambda i: (-idf[key[i]], i))[:RARE]
-        rows += [(key[i], n, i, 1 << k) for k, i in enumerate(rarest)]
-    return rows
 
+def rare_words(key: list[str], idf: dict[str, float]) -> list[tuple[str, int]]:
+    """(word, place) of a key phrase's words of highest IDF, the rarest first."""
+    rarest = sorted(range(len(key)), key=lambda i: (-idf[key[i]], i))[:RARE]
+    return [(key[i], i) for i in rarest]
 
-def _small(side: DataFrame, rows: int, most: int) -> DataFrame:
-    return F.broadcast(side) if rows <= most else side.hint("merge")
 
+#: ``own``: a file's indexed words, rarest first; ``f``: a template that all its rare words reach; ``p``: a place of its key phrase.
+_HITS = """
+transform(array(array_intersect({indexed}, words)), own -> flatten(transform(
+  filter({forms}, f -> forall(f.rare, r -> array_contains(own, r.word))),
+  f -> transform(
+    filter(
+      filter(transform(words, (w, i) -> CASE WHEN w = f.rare[0].word THEN i - f.rare[0].place END), p -> p >= 0),
+      p -> forall(f.rare, r -> get(words, p + r.place) <=> r.word) AND slice(words, p + 1, size(f.key)) = f.key),
+    p -> named_struct('template', f.template, 'start', p, 'label', f.label, 'base', f.base, 'score', least(1D, aggregate(
+      transform(f.tokens, (t, j) -> CASE WHEN get(words, p - f.at + j) = t THEN get(f.idf, j) ELSE 0D END), 0D, (a, x) -> a + x) / f.mass))))))[0]
+"""
+_FORM = (
+    "array<struct<template: int, label: string, base: boolean, key: array<string>, at: int, rare: array<struct<word: string, place: int>>, "
+    "tokens: array<string>, idf: array<double>, mass: double>>"
+)
 
-def find_candidates(words: DataFrame, templates: tuple[Template, ...], idf: dict[str, float]) -> DataFrame:
-    """file, found: the templates and places at which all rare words of a template agree.
 
-    ``words`` has the columns file (a hash that names the row) and words. Rows that share a hash
-    share their candidates; verification is each row's own.
-    """
-    spark = words.sparkSession
-    rows = template_postings(templates, idf)
-    postings = spark.createDataFrame(rows, "p_word string, template int, place int, bit int")
-    indexed = sorted({r[0] for r in rows})
-    places = F.transform("words", lambda w, i: F.when(w.isin(*indexed), F.struct(i.alias("i"), w.alias("w"))))
-    looked_up = words.select("file", F.explode(F.array_compact(places)).alias("at")).select("file", "at.i", "at.w")
-    agreed = (
-        looked_up.join(_small(postings, len(rows), BROADCAST_POSTINGS), F.col("w") == F.col("p_word"))
-        .groupBy("file", "template", (F.col("i") - F.col("place")).alias("start"))
-        .agg(F.bit_or("bit").alias("bits"))
-    )
-    full = F.lit([(1 << min(RARE, len(t.key.split()))) - 1 for t in templates])
-    whole = agreed.where((F.col("bits") == F.get(full, F.col("template"))) & (F.col("start") >= 0))
-    return whole.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("template", "start"))).alias("found"))
-
-
-#: Candidates whose key phrase stands at the place, with the share of the template's IDF mass there.
-_VERIFIED = """
-transform(
-  filter(transform(coalesce(found, cast(array() as array<struct<template: int, start: int>>)), c -> struct(c.template, c.start, get({forms}, c.template) as form)),
-    c -> slice(words, c.start + 1, size(c.form.key)) = c.form.key),
-  c -> named_struct('template', c.template, 'start', c.start, 'label', c.form.label, 'base', c.form.base, 'score', least(1D, aggregate(
-    transform(c.form.tokens, (t, j) -> CASE WHEN get(words, c.start - c.form.at + j) = t THEN get(c.form.idf, j) ELSE 0D END), 0D, (a, x) -> a + x) / c.form.mass)))
-"""
-_FORM = "array<struct<label: string, base: boolean, key: array<string>, at: int, tokens: array<string>, idf: array<double>, mass: double>>"
+def _constant(value: list, schema: str) -> str:
+    """SQL for a constant, which the optimizer folds once."""
+    quoted = json.dumps(value).replace("\\", "\\\\").replace("'", "\\'")
+    return f"from_json('{quoted}', '{schema}')"
 
 
-def _forms(templates: tuple[Template, ...], idf: dict[str, float]) -> str:
-    """SQL for the templates as one constant array, which the optimizer folds once."""
+def template_index(templates: tuple[Template, ...], idf: dict[str, float]) -> tuple[list[str], list[dict]]:
+    """The indexed words by falling IDF, and each template with its postings."""
     forms = []
-    for t in templates:
-        own = [idf[w] for w in t.tokens]
-        forms.append({"label": t.label, "base": t.base, "key": t.key.split(), "at": t.at, "tokens": t.tokens, "idf": own, "mass": sum(own)})
-    quoted = json.dumps(forms).replace("\\", "\\\\").replace("'", "\\'")
-    return f"from_json('{quoted}', '{_FORM}')"
+    for n, t in enumerate(templates):
+        key, own = t.key.split(), [idf[w] for w in t.tokens]
+        rare = [{"word": w, "place": i} for w, i in rare_words(key, idf)]
+        forms.append({"template": n, "label": t.label, "base": t.base, "key": key, "at": t.at, "rare": rare, "tokens": t.tokens, "idf": own, "mass": sum(own)})
+    indexed = {r["word"] for f in forms for r in f["rare"]}
+    return sorted(indexed, key=lambda w: (-idf[w], w)), forms
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -218,19 +202,16 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
 
     ``start`` is the place of the key phrase's first word, words counted from 0; ``score`` is the
     share of the template's IDF mass that stands at its place. Every row of ``docs`` comes back
-    once. Defined cases: a null text counts as empty; a null doc_id is kept; repeated rows are
-    scanned each; other columns are ignored; an empty table gives no rows; texts are read whole,
-    and a word that stands a million times in one is a million rows of the join, not one group.
+    once. Each row is decided for itself, so nothing but one count a template word is shuffled.
+    Defined cases: a null text counts as empty; a null doc_id is kept; repeated rows are scanned
+    each; other columns are ignored; an empty table gives no rows; texts are read whole.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = docs.select("doc_id", F.xxhash64("doc_id", text).alias("file"), license_words(text).alias("words"))
+    words = written(sparse_words(docs, templates), "license-words")
     total, df = document_frequencies(words, templates)
     idf = {w: math.log((total + 1) / (n + 1)) + 1.0 for w, n in df.items()}
-    candidates = written(find_candidates(words, templates, idf), "license-candidates")
-    side = candidates.withColumnRenamed("file", "c_file")
-    joined = words.join(_small(side, candidates.count(), BROADCAST_FILES), F.col("file") == F.col("c_file"), "left")
-    hits = F.expr(_VERIFIED.format(forms=_forms(templates, idf)))
-    return joined.select("doc_id", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
+    indexed, forms = template_index(templates, idf)
+    hits = F.expr(_HITS.format(indexed=_constant(indexed, "array<string>"), forms=_constant(forms, _FORM)))
+    return words.select("doc_id", "n_words", hits.alias("hits"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,3 +212,15 @@ def test_licenses_equal_a_restatement(spark):
     assert licenses.scan_licenses(table(spark, [])).count() == 0
 
 
+def test_templates_are_reached_by_their_rarest_words(spark):
+    texts = ["by the by"] * 8 + ["by nc by"] * 3 + ["cc by nc", "Under CC-BY-NC by"]
+    words = licenses.sparse_words(table(spark, texts), licenses.TEMPLATES)
+    total, df = licenses.document_frequencies(words, licenses.TEMPLATES)
+    assert (total, df["by"], df["nc"], df["cc"], df["gnu"]) == (13, 13, 5, 2, 0)
+    indexed, forms = licenses.template_index(licenses.TEMPLATES, {w: -float(n) for w, n in df.items()})
+    assert indexed.index("cc") < indexed.index("nc") < indexed.index("by")
+    assert [(r["word"], r["place"]) for r in forms[2]["rare"]] == [("cc", 0), ("nc", 2), ("by", 1)]
+    got = {r.doc_id: [(h.label, h.start) for h in r.hits] for r in licenses.scan_licenses(table(spark, texts)).collect()}
+    assert {k: v for k, v in got.items() if v} == {11: [("cc-by-nc", 0)], 12: [("cc-by-nc", 1)]} and len(got) == 13
+
+
