@@ -40,9 +40,12 @@ def progress_view(progress: DataFrame, jobs: DataFrame) -> DataFrame:
 def chunk_grid(progress: DataFrame, known: DataFrame) -> DataFrame:
     """document_id, idx, cell: what events say, else "done" from the lowest idx while done ones last.
 
-    ``known`` has (document_id, idx, status, cached), one row a chunk that an event told of.
+    ``known`` has (document_id, idx, status, cached), one row a chunk that an event told of. Defined
+    cases: a total of 0 or null gives no cells; events of chunks beyond the total, or with a null
+    key, are left out; a null count of done chunks is 0.
     """
-    cells = progress.select("document_id", "done", F.explode(F.sequence(F.lit(0), F.col("total").cast("int") - 1)).alias("idx"))
+    idx = F.when(F.col("total") > 0, F.sequence(F.lit(0), F.col("total").cast("int") - 1))
+    cells = progress.select("document_id", F.coalesce("done", F.lit(0)).alias("done"), F.explode(idx).alias("idx"))
     joined = cells.hint("merge").join(known, ["document_id", "idx"], "left")
     unknown = F.col("status").isNull()
     before = F.count_if(unknown).over(Window.partitionBy("document_id").orderBy("idx"))
@@ -125,7 +128,9 @@ def resume_decision(chunks: DataFrame, jobs: DataFrame, assets: DataFrame) -> Da
 def job_outcome(chunks: DataFrame, fatal: DataFrame) -> DataFrame:
     """Per document: succeeded, or failed with a message; the rows are the truth.
 
-    ``fatal`` has (document_id, message) of runs that a fatal answer stopped.
+    ``fatal`` has (document_id, message) of runs that a fatal answer stopped. Defined cases: of
+    several messages the smallest counts, null ones don't; documents without chunks, and fatal
+    answers of such, give no row; a null document is one that no fatal answer belongs to.
     """
     progress = document_progress(chunks).select("document_id", "failed")
     joined = progress.join(fatal.groupBy("document_id").agg(F.min("message").alias("fatal")), "document_id", "left")

@@ -34,7 +34,11 @@ def with_hash(chunks: DataFrame, voice: str, model: str, provider: str = "alpha"
 
 
 def cache_probe(chunks: DataFrame, cache: DataFrame) -> DataFrame:
-    """``chunks`` with cache_path: that of the user's cached audio of the same content, else null."""
+    """``chunks`` with cache_path: that of the user's cached audio of the same content, else null.
+
+    Defined cases: of several cached rows the smallest path counts; a null user or hash is never
+    cached; repeated chunks each stay; an empty cache leaves all chunks without a path.
+    """
     known = cache.groupBy("user_id", "content_hash").agg(F.min("path").alias("cache_path"))
     return chunks.join(known, ["user_id", "content_hash"], "left")
 

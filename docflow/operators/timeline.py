@@ -65,7 +65,11 @@ def unpack_asset(packed: DataFrame) -> DataFrame:
 
 
 def read_along(chunks: DataFrame, lines: DataFrame) -> DataFrame:
-    """Chunks with their times; those that the timeline lacks stay without."""
+    """Chunks with their times; those that the timeline lacks stay without.
+
+    Defined cases: chunks with a null key stay without times; repeated chunks each stay, repeated
+    lines give a row each; empty lines leave all chunks without times.
+    """
     return chunks.join(lines.select("document_id", "idx", "start_ms", "end_ms"), ["document_id", "idx"], "left")
 
 
@@ -118,7 +122,11 @@ def regroup_paragraphs(chunks: DataFrame) -> DataFrame:
 
 
 def resume_point(positions: DataFrame, assets: DataFrame, margin_ms: int = 5000) -> DataFrame:
-    """``positions`` with resume_ms: 0 near the start, near the end, or without an asset."""
+    """``positions`` with resume_ms: 0 near the start, near the end, or without an asset.
+
+    Defined cases: ``assets`` has one row a document; a null document, position or duration gives 0;
+    positions at the margins give 0; repeated positions each stay.
+    """
     joined = positions.join(assets.select("document_id", "duration_ms"), "document_id", "left")
     inside = (F.col("position_ms") > margin_ms) & (F.col("position_ms") < F.col("duration_ms") - margin_ms)
     return joined.withColumn("resume_ms", F.when(inside, F.col("position_ms")).otherwise(F.lit(0)).cast("long"))

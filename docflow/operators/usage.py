@@ -27,7 +27,12 @@ def check_quota(df: DataFrame, quota: int = DAILY_QUOTA) -> DataFrame:
 
 
 def rolling_usage(usage: DataFrame, seconds: int = DAY) -> DataFrame:
-    """``usage`` with ``rolling``: the user's characters in the ``seconds`` up to each event."""
+    """``usage`` with ``rolling``: the user's characters in the ``seconds`` up to each event.
+
+    Defined cases: events at one time count for each other, repeated rows are events each; those
+    without a user are one user's; those without a time see only each other; null characters add
+    nothing, and where no event in sight has any, the sum is null.
+    """
     order = F.unix_micros(F.col("ts").cast("timestamp"))
     span = Window.partitionBy("user_id").orderBy(order).rangeBetween(-seconds * 1_000_000, 0)
     return usage.withColumn("rolling", F.sum("chars").over(span))

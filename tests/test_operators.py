@@ -207,3 +207,37 @@ def test_submit_plan_by_hand(spark):
         None: (None, 1, 0, 9, 9, 0, 30, True, None),
     }
     assert planning.submit_plan(planning.plan_chunks(docs.limit(0), given, "v", "m"), cache, used).count() == 0
+
+
+def test_lookups_with_nulls_ties_and_repeats(spark):
+    chunks = spark.createDataFrame([(1, 0, 7, "a"), (1, 0, 7, "a"), (1, 1, 7, None), (2, 0, None, "a"), (None, 0, 8, "a")], "document_id int, idx int, user_id int, content_hash string")
+    cache = spark.createDataFrame([(7, "a", "q"), (7, "a", "p"), (None, "a", "n"), (7, None, "z")], "user_id int, content_hash string, path string")
+    key = lambda r: (r.document_id is None, r.document_id, r.idx)
+    probed = planning.cache_probe(chunks, cache)
+    assert [r.cache_path for r in sorted(probed.collect(), key=key)] == ["p", "p", None, None, None]
+    assert planning.cache_probe(chunks, cache.limit(0)).where("cache_path IS NULL").count() == 5
+    assert planning.cache_hits(chunks, cache).count() == 2 and planning.cache_misses(chunks, cache).count() == 3
+    lines = spark.createDataFrame([(1, 0, 5, 9), (None, 0, 1, 2)], "document_id int, idx int, start_ms long, end_ms long")
+    assert [r.start_ms for r in sorted(timeline.read_along(chunks, lines).collect(), key=key)] == [5, 5, None, None, None]
+    assert timeline.read_along(chunks.limit(0), lines).count() == 0
+
+
+def test_resume_points_and_rolling_usage_with_nulls(spark):
+    assets = spark.createDataFrame([(1, 60_000), (2, None)], "document_id int, duration_ms long")
+    places = spark.createDataFrame([(0, 1, 5_000), (1, 1, 5_001), (2, 1, 54_999), (3, 1, 55_000), (4, 2, 9_000), (5, 3, 9_000), (6, None, 9_000), (7, 1, None), (8, 1, 5_001)], "n int, document_id int, position_ms long")
+    assert [r.resume_ms for r in timeline.resume_point(places, assets).orderBy("n").collect()] == [0, 5_001, 54_999, 0, 0, 0, 0, 0, 5_001]
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    spent = [(0, 1, at(0), 5), (1, 1, at(0), 5), (2, 1, at(24), None), (3, 1, at(24.5), 1), (4, None, at(0), 2), (5, None, at(1), 3), (6, 1, None, 4), (7, 2, at(0), None)]
+    got = usage.rolling_usage(spark.createDataFrame(spent, "n int, user_id int, ts timestamp, chars long")).orderBy("n").collect()
+    assert [r.rolling for r in got] == [10, 10, 10, 1, 2, 5, 4, None]
+
+
+def test_chunk_grid_and_outcome_with_nothing_to_show(spark):
+    progress = spark.createDataFrame([(1, 1, 3), (2, 0, 0), (3, None, 1), (4, 0, None)], "document_id int, done long, total long")
+    known = spark.createDataFrame([(1, 1, "failed", False), (1, 9, "done", True), (None, 0, "done", False)], "document_id int, idx int, status string, cached boolean")
+    got = sorted((r.document_id, r.idx, r.cell) for r in jobs.chunk_grid(progress, known).collect())
+    assert got == [(1, 0, "done"), (1, 1, "failed"), (1, 2, "pending"), (3, 0, "pending")]
+    chunks = spark.createDataFrame([(1, 0, "done"), (2, 0, "failed"), (2, 1, "failed"), (3, 0, "done"), (None, 0, "done")], "document_id int, idx int, status string")
+    fatal = spark.createDataFrame([(3, "z"), (3, "b"), (1, None), (9, "x"), (None, "y")], "document_id int, message string")
+    found = {r.document_id: (r.status, r.message) for r in jobs.job_outcome(chunks, fatal).collect()}
+    assert found == {1: ("succeeded", None), 2: ("failed", "2 failed chunks"), 3: ("failed", "b"), None: ("succeeded", None)}
