@@ -69,6 +69,22 @@ def test_resampling_equals_brute_force(spark, percent, buckets, n_max):
     assert sorted(r.rank for r in got if r.rank) == list(range(1, sum(len(WORD.findall((t or "").translate(LOWER))) >= 20 for t in texts) * percent // 100 + 1))
 
 
+def test_gains_compare_shares():
+    """By the contract a bucket's gain is floor(1000 ln((t+1)(S+B)/((s+1)(T+B)))): above 0 where the target has the larger share."""
+    corpus_counts, target_counts = np.array([900, 100, 0]), np.array([1, 8, 0])
+    expected = [math.floor(1000 * math.log((t + 1) * (1000 + 3) / ((s + 1) * (9 + 3)))) for s, t in ((900, 1), (100, 8), (0, 0))]
+    assert resampling.gains(corpus_counts, target_counts).tolist() == expected
+    assert expected[0] < 0 < expected[1]
+
+
+def test_weights_are_those_of_the_contract(spark):
+    got = {r.doc_id: r.weight for r in resampling.importance(table(spark, ["a a a a", "b", None]), table(spark, ["b b"]), buckets=1, n_max=1).collect()}
+    assert got == {0: math.floor(1000 * math.log(3 * 6 / (6 * 3))), 1: 0, 2: 0}
+    rows = resampling.importance(table(spark, ["a a a a", "b", None]), table(spark, ["b b"]), n_max=1).collect()
+    gain = lambda s, t: math.floor(1000 * math.log((t + 1) * 10_005 / ((s + 1) * 10_002)))
+    assert {r.doc_id: r.weight for r in rows} == {0: gain(4, 0), 1: gain(1, 2), 2: 0}
+
+
 def test_batches_change_nothing(monkeypatch):
     texts = [(t or "").encode() for t in corpus(3, 40) + ODD]
     whole = resampling.features(texts, 3)
