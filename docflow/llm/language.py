@@ -26,6 +26,8 @@ from docflow.llm.shared import table, written
 ORDER = 3
 #: Distinct texts of each language that the model is fitted on (at most); they are taken whole.
 SAMPLE_DOCS = 400
+#: Tasks that count the sample.
+SAMPLE_TASKS = 8
 UNDETERMINED = "und"
 #: A text whose shortest code is longer than this many bits a byte is in no learned language:
 #: an even distribution over all bytes, which has learned nothing, takes 8.
@@ -87,10 +89,15 @@ class Model:
         return total + 8.0 * len(grams)
 
 
-def gram_counts(sample: DataFrame) -> DataFrame:
-    """lang, gram (four bytes as an int), n: how often each byte follows each three-byte context."""
+def partial_counts(sample: DataFrame) -> DataFrame:
+    """lang, gram, n by task.
+
+    The sample is bounded, so a few tasks count it, however many partitions it came in. Each keeps
+    its counts to its end: it gives a gram once, not once a batch.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, pd.Series] = {}
         for b in batches:
             for lang, part in b.groupby("lang"):
                 grams = []
@@ -98,9 +105,17 @@ def gram_counts(sample: DataFrame) -> DataFrame:
                     x = np.concatenate([np.zeros(ORDER, np.uint8), np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)]).astype(np.int64)
                     grams.append((x[:-3] << 24) | (x[1:-2] << 16) | (x[2:-1] << 8) | x[3:])
                 keys, n = np.unique(np.concatenate(grams), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "gram": keys, "n": n})
+                new = pd.Series(n, index=keys)
+                held[lang] = held[lang].add(new, fill_value=0).astype("int64") if lang in held else new
+        for lang, counts in held.items():
+            yield pd.DataFrame({"lang": lang, "gram": counts.index, "n": counts.to_numpy()})
 
-    return sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return sample.coalesce(SAMPLE_TASKS).mapInPandas(count, "lang string, gram long, n long")
+
+
+def gram_counts(sample: DataFrame) -> DataFrame:
+    """lang, gram (four bytes as an int), n: how often each byte follows each three-byte context."""
+    return partial_counts(sample).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def hash_cell(h: Column) -> Column:

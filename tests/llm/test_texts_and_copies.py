@@ -36,6 +36,13 @@ def test_language_on_held_out_documents(docs):
     assert all((zlib.crc32(str(r.doc_id).encode()) % 4 == 2) == r.held_out for r in found)
 
 
+def test_counting_the_sample_does_not_grow_with_its_partitions(spark):
+    sample = spark.createDataFrame([("A", "one same text")] * 300, "lang string, text string").repartition(60)
+    rows = language.partial_counts(sample)
+    assert rows.count() <= language.SAMPLE_TASKS * 13  # thirteen places, so as many grams a task at most
+    assert rows.agg(F.sum("n")).first()[0] == 300 * 13
+
+
 def test_code_lengths_by_definition(spark):
     own = ["".join(chr(c) for c in range(start, start + 200)) for start in (0x400, 0x4E00)]  # more than 128 byte values
     texts = ["abababababac" + own[0], "xyzxyzxyzx" + own[1], "abab xyz"]
