@@ -241,3 +241,29 @@ def test_chunk_grid_and_outcome_with_nothing_to_show(spark):
     fatal = spark.createDataFrame([(3, "z"), (3, "b"), (1, None), (9, "x"), (None, "y")], "document_id int, message string")
     found = {r.document_id: (r.status, r.message) for r in jobs.job_outcome(chunks, fatal).collect()}
     assert found == {1: ("succeeded", None), 2: ("failed", "2 failed chunks"), 3: ("failed", "b"), None: ("succeeded", None)}
+
+
+def test_lines_of_a_book_are_not_dealt_out_by_book(spark, capsys):
+    """A book's facts come to its lines: a join by sort would bring all lines of a book into one task."""
+    lines = pages.page_lines(book(spark, "One line of it.\nTwo.", "Three"))
+    pages.reflow(lines).explain()
+    assert "BroadcastHashJoin" in capsys.readouterr().out
+    pages.drop_furniture(lines, pages.find_furniture(lines)).explain()
+    assert "SortMergeJoin" not in capsys.readouterr().out
+
+
+def test_paragraphs_run_over_pages(spark):
+    """Page by page, with pages that are blank or without a word, against a walk over all lines."""
+    rng = random.Random(5)
+    texts = ["\n".join(rng.choice(["", "", "word", "a line without an end", "Short end.", "hyphen-"]) for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    flat = [line for t in texts for line in t.split("\n")]
+    widths = sorted(len(x) for x in flat if x)
+    stat, open_, want = widths[len(widths) // 2], [], []
+    for line in [*flat, ""]:
+        open_ += [line] if line else []
+        if open_ and (not line or (line[-1] in ".!?" and len(line) < stat * 0.6)):
+            said = open_[0]
+            for x in open_[1:]:
+                said = (said[:-1] if x[0].islower() else said) + x if said.endswith("-") else f"{said} {x}"
+            want, open_ = [*want, said], []
+    assert paragraphs(pages.reflow(pages.page_lines(book(spark, *texts)))) == want
