@@ -255,3 +255,31 @@ def test_upserts_can_be_played_again(spark, tmp_path):
     (tmp_path / "table" / "base-9-broken").mkdir()  # of a compaction that broke off
     assert read() == sorted([(1, 5, "a"), (2, 9, "new"), (None, 2, "m")], key=repr)
     assert spark.read.parquet(str(tmp_path / "table" / "ledger")).count() == 2
+
+
+def test_state_calls_are_few():
+    """Each call on a state is a round trip: two for a document's snapshot, however many chunks it has; nothing to tell is no frame."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    class Value:
+        calls, held = 0, None
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, row):
+            self.calls += 1
+            self.held = row
+
+    value = Value()
+    fold = progress.ProgressFold()
+    fold.init(SimpleNamespace(getValueState=lambda *a: value, registerTimer=lambda t: None))
+    rows = pd.DataFrame({"total": [50] * 50, "idx": range(50), "status": ["done"] * 50, "at": [0] * 50, "job_status": [""] * 50})
+    fold.handleInitialState((1,), rows, None)
+    assert value.calls == 2  # one read and one write a document, not one a chunk
+    stale = progress.StaleTimer(10)
+    stale.init(SimpleNamespace(getValueState=lambda *a: Value(), registerTimer=lambda t: None, deleteTimer=lambda t: None))
+    assert list(stale.handleInputRows((1, 1), iter([pd.DataFrame({"at": [5, 7], "stage": [1, 1]})]), None)) == []
