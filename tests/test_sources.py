@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docflow.operators import packages
 from docflow.plans.adapters import view
 from docflow.plans.stream_queries import along_with_progress
+from docflow.sources import shared
 from docflow.sources.sinks import chunk_table, replace_rows
 
 DIR = "/root/testdata/sf0.001"
@@ -99,3 +100,18 @@ def test_replacing_leaves_other_partitions(spark, tmp_path):
     empty = str(tmp_path / "none")
     replace_rows(new.limit(0).withColumn("more", F.lit(1)), empty, ["document_id"], ["id"])
     assert not Path(empty).exists()
+
+
+def test_tasks_of_chunks_are_numbered_by_rows(spark, monkeypatch):
+    # adaptive execution would put these few rows into one task
+    assert view(spark, DIR, "chunks_v").select("document_id", "idx").distinct().rdd.getNumPartitions() == 4
+    monkeypatch.setattr(shared, "TASK_ROWS", 1000)
+    lineitem = spark.read.parquet(f"{DIR}/lineitem.parquet")
+    want = -(-lineitem.count() // 1000)
+    assert want > 4 and shared.parts_for(lineitem) == want and shared.parts_for(lineitem, 99) == 99
+    numbered = view(spark, DIR, "chunks_v")
+    assert numbered.rdd.getNumPartitions() == want
+    # a bucket is one file of one task, of chunks that weren't moved again
+    with chunk_table(numbered, buckets=want) as stored:
+        assert len(stored.inputFiles()) <= want
+        assert stored.count() == lineitem.count()
