@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from docflow.functions.text import WS, let, paragraphs, split_sentences
 
 DEFAULT_MAX_CHARS = 2000
-#: Closed chunks that a fold gathers before they are set aside.
-LEAF = 256
+#: Between two tokens, and where the next one starts a chunk. Sentences are split at it, so no token holds it.
+TOKEN = "\x01"
+APART = TOKEN * 2
 
 
 def split_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -17,81 +18,47 @@ def split_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     return docs.select(key, F.posexplode(paragraphs(F.col(text))).alias("paragraph_idx", "paragraph"))
 
 
-def _token(text: Column, fresh: Column, solo: bool = False) -> Column:
-    return F.struct(text.alias("text"), fresh.alias("fresh"), F.lit(solo).alias("solo"))
-
-
 def _oversized(sentence: Column, n: int) -> Column:
-    """Tokens of a sentence over the budget: clauses, else words, else pieces of a word."""
-    no, yes = F.lit(False), F.lit(True)
-
-    def word(w: Column, fresh: Column) -> Column:
-        pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1)), F.lit(n)), lambda i: _token(F.substring(w, i, F.lit(n)), yes, True))
-        return F.when(F.length(w) > n, pieces).otherwise(F.array(_token(w, fresh)))
-
-    def fragment(f: Column) -> Column:
-        words = F.flatten(F.transform(F.split(f, f"[{WS}]+"), lambda w, i: word(w, i == 0)))
-        return F.when(F.length(f) > n, words).otherwise(F.array(_token(f, no)))
-
-    def opened(tokens: Column) -> Column:
-        return F.transform(tokens, lambda t, i: F.struct(t["text"].alias("text"), (t["fresh"] | (i == 0)).alias("fresh"), t["solo"].alias("solo")))
+    """A sentence over the budget with its marks: clauses, else words, else pieces of a word."""
 
-    return opened(F.flatten(F.transform(F.split(sentence, f"(?<=[,;:])[{WS}]+"), fragment)))
+    def words(fragment: Column) -> Column:
+        apart = F.concat(F.lit(APART), F.regexp_replace(fragment, f"[{WS}]+", TOKEN))
+        long = F.regexp_replace(apart, f"(?<![^{TOKEN}])[^{TOKEN}]{{{n + 1},}}+", f"{TOKEN}$0{TOKEN}")
+        return F.regexp_replace(long, f"(?:(?<![^{TOKEN}])|\\G)[^{TOKEN}]{{{n}}}+(?=[^{TOKEN}])", f"$0{APART}")
 
+    fragments = F.split(F.regexp_replace(sentence, f"([,;:])[{WS}]+", f"$1{TOKEN}"), TOKEN)
+    return F.array_join(F.transform(fragments, lambda f: F.when(F.length(f) > n, words(f)).otherwise(f)), TOKEN)
 
-def chunk_tokens(sentences: Column, n: int) -> Column:
-    """Tokens (text, fresh: starts a chunk, solo: is one) that packing joins in order."""
 
-    def tokens(ss: Column) -> Column:
-        def one(s: Column, i: Column) -> Column:
-            after_long = F.coalesce(F.length(F.get(ss, i - 1)) > n, F.lit(False))
-            return F.when(F.length(s) > n, _oversized(s, n)).otherwise(F.array(_token(s, after_long)))
+def marked_tokens(sentences: Column, n: int) -> Column:
+    """Sentences as tokens that packing joins in order, ``TOKEN`` between two and ``APART`` where a chunk starts."""
+    each = F.transform(sentences, lambda s: F.when(F.length(s) > n, F.concat(F.lit(APART), _oversized(s, n), F.lit(APART))).otherwise(s))
+    return F.array_join(each, TOKEN)
 
-        return F.flatten(F.transform(ss, one))
 
-    return let(sentences, tokens)
+def pack_marked(marked: Column, n: int) -> Column:
+    """Greedy chunks: tokens joined by a space while they fit into ``n`` characters; a longer one stays alone.
 
-
-def pack(tokens: Column, n: int) -> Column:
-    """Greedy chunks: tokens joined by a space while they fit into ``n`` characters.
-
-    The fold keeps counts only: where the open chunk began, its length, and the closed ones as
-    (first token, tokens). These are gathered in leaves of ``LEAF``, since adding to an array copies
-    it; texts are sliced once at the end. Null gives null, no tokens give no chunks.
+    A chunk is the longest match of up to ``n`` characters that ends with a token, so regexes walk
+    through a text once and no row is made for a token. Null gives null, no tokens give no chunks.
     """
-    cuts = F.array().cast("array<struct<first:int,n:int>>")
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("first"), F.lit(0).alias("size"), F.lit(False).alias("sealed"), cuts.alias("leaf"), F.array().cast("array<array<struct<first:int,n:int>>>").alias("leaves"))
+    chunk = f"[^{TOKEN}](?s:.{{0,{n - 1}}})(?<!{TOKEN})(?=[{TOKEN}]|\\z)|[^{TOKEN}]++"
+    runs = F.transform(F.split(marked, f"{APART}+"), lambda run: F.regexp_extract_all(run, F.lit(chunk), F.lit(0)))
+    return F.transform(F.flatten(runs), lambda c: F.replace(c, F.lit(TOKEN), F.lit(" ")))
 
-    def open_chunk(acc: Column) -> Column:
-        return F.array(F.struct(acc["first"].alias("first"), (acc["i"] - acc["first"]).alias("n")))
 
-    def step(acc: Column, t: Column) -> Column:
-        some = acc["i"] > acc["first"]
-        length = F.length(t["text"])
-        ends = some & (t["fresh"] | t["solo"] | acc["sealed"] | (acc["size"] + 1 + length > n))
-        full = F.size(acc["leaf"]) >= LEAF
-        return F.struct(
-            (acc["i"] + 1).alias("i"),
-            F.when(ends, acc["i"]).otherwise(acc["first"]).alias("first"),
-            F.when(ends | ~some, length).otherwise(acc["size"] + 1 + length).alias("size"),
-            t["solo"].alias("sealed"),
-            F.when(~ends, acc["leaf"]).when(full, open_chunk(acc)).otherwise(F.concat(acc["leaf"], open_chunk(acc))).alias("leaf"),
-            F.when(ends & full, F.concat(acc["leaves"], F.array(acc["leaf"]))).otherwise(acc["leaves"]).alias("leaves"),
-        )
-
-    def closed(acc: Column) -> Column:
-        last = F.when(acc["i"] > acc["first"], open_chunk(acc)).otherwise(cuts)
-        return F.flatten(F.concat(acc["leaves"], F.array(acc["leaf"], last)))
+def pack(tokens: Column, n: int) -> Column:
+    """As :func:`pack_marked`, of structs (text: not empty, without ``TOKEN``; fresh: starts a chunk; solo: is one)."""
 
-    def sliced(ts: Column) -> Column:
-        texts = F.transform(ts, lambda t: t["text"])
-        return let(texts, lambda words: F.transform(F.aggregate(ts, start, step, closed), lambda c: F.array_join(F.slice(words, c["first"] + 1, c["n"]), " ")))
+    def mark(t: Column) -> Column:
+        before = F.when(t["fresh"] | t["solo"], APART).otherwise("")
+        return F.concat(before, t["text"], F.when(t["solo"], APART).otherwise(""))
 
-    return let(tokens, sliced)
+    return pack_marked(F.array_join(F.transform(tokens, mark), TOKEN), n)
 
 
 def chunk_paragraph(paragraph: Column, n: int) -> Column:
-    return pack(chunk_tokens(split_sentences(paragraph), n), n)
+    return pack_marked(marked_tokens(split_sentences(paragraph), n), n)
 
 
 def chunk_text(docs: DataFrame, max_chars: int = DEFAULT_MAX_CHARS, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), outer: bool = False) -> DataFrame:

@@ -133,3 +133,14 @@ def test_many_chunks_of_one_paragraph(spark):
     tokens = "array<struct<text:string,fresh:boolean,solo:boolean>>"
     rows = spark.createDataFrame([(None,), ([],), ([("a", False, True), ("b", False, False), ("c", False, False), ("d", True, False)],)], f"t {tokens}")
     assert [r.o for r in rows.select(chunks.pack(F.col("t"), 9).alias("o")).collect()] == [None, [], ["a", "b c", "d"]]
+
+
+def test_packing_folds_nothing_token_by_token(spark, capsys):
+    """A struct a token was most of the time of small budgets; characters of one and two units alternate below."""
+    text = "ab cd, " * 5_000 + "\U0001d4b3a" * 1_500 + " e"
+    df = spark.createDataFrame([(text,)], "t string")
+    for n in (5, 2000):
+        made = df.select(chunks.chunk_paragraph(F.col("t"), n).alias("o"))
+        assert made.first().o == restated([text], n)
+        made.explain("extended")
+        assert "aggregate(" not in capsys.readouterr().out
