@@ -311,3 +311,53 @@ def test_state_calls_are_few():
     stale = progress.StaleTimer(10)
     stale.init(SimpleNamespace(getValueState=lambda *a: Value(), registerTimer=lambda t: None, deleteTimer=lambda t: None))
     assert list(stale.handleInputRows((1, 1), iter([pd.DataFrame({"at": [5, 7], "stage": [1, 1]})]), None)) == []
+
+
+class Cell:
+    """A state value, and how often it was asked or told; also the handle that gives it."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = 0, None, []
+
+    def getValueState(self, *_):
+        return self
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def get(self):
+        self.calls += 1
+        return self.held
+
+    def update(self, row):
+        self.calls += 1
+        self.held = row
+
+    def clear(self):
+        self.calls, self.held = self.calls + 1, None
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def started(processor):
+    cell = Cell()
+    processor.init(cell)
+    return processor, cell
+
+
+def test_progress_of_many_documents_is_one_call():
+    import pandas as pd
+
+    fold, cell = started(progress.ProgressFold(keep_ms=1_000))
+    told = pd.DataFrame({"document_id": [1, 2, 3] * 2, "at": [5, 6, 7_000_000] * 2, "idx": [0, 0, 0, 1, -1, 1], "status": ["done"] * 4 + ["", "failed"], "job_status": [""] * 4 + ["succeeded", ""], "job_id": -1})
+    (out,) = fold.handleInputRows((9,), iter([told]), Clock(0))
+    assert [tuple(r)[:5] for r in out.itertuples(index=False)] == [(1, "progress", 2, 2, 0), (2, "succeeded", 1, 1, 0), (3, "progress", 2, 1, 1)]
+    assert (cell.calls, cell.timers) == (2, [1_000])
+    assert list(fold.handleExpiredTimer((9,), Clock(1_001), None)) == [] and cell.timers == [1_000, 8_000]
+    assert set(fold._load()[0]) == {3}  # each document is forgotten in its own time
