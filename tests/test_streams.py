@@ -361,3 +361,26 @@ def test_progress_of_many_documents_is_one_call():
     assert (cell.calls, cell.timers) == (2, [1_000])
     assert list(fold.handleExpiredTimer((9,), Clock(1_001), None)) == [] and cell.timers == [1_000, 8_000]
     assert set(fold._load()[0]) == {3}  # each document is forgotten in its own time
+
+
+def test_usage_and_admissions_of_many_users_are_one_call():
+    import pandas as pd
+
+    day = 86_400_000_000
+    told = pd.DataFrame({"user_id": [1, 2, 2, 1], "at": [0, day, 0, day + 1], "event_id": [1, 2, 3, 4], "chars": [5, 6, 7, 8]})
+    rolling_usage, cell = started(rolling.RollingUsage(86_400))
+    (out,) = rolling_usage.handleInputRows((9,), iter([told]), Clock(0))
+    assert list(zip(out["user_id"], out["event_id"], out["rolling"], strict=True)) == [(1, 1, 5), (1, 4, 8), (2, 3, 7), (2, 2, 13)]
+    assert cell.calls == 2 and len(cell.timers) == 1
+    late = pd.DataFrame({"user_id": [2], "at": [1], "event_id": [5], "chars": [100]})
+    (out,) = rolling_usage.handleInputRows((9,), iter([late]), Clock(0))
+    assert list(zip(out["user_id"], out["event_id"], out["rolling"], strict=True)) == [(2, 5, 107), (2, 2, 113)]
+    list(rolling_usage.handleExpiredTimer((9,), Clock(10 * 86_400_000), None))
+    assert cell.held is None
+
+    replay, cell = started(rolling.AdmissionReplay(12, 86_400))
+    assert list(replay.handleInputRows((9,), iter([told]), Clock(0))) == [] and cell.calls == 2
+    (out,) = replay.handleExpiredTimer((9,), Clock(86_400_000), None)
+    assert list(out.itertuples(index=False, name=None)) == [(1, 0, 5, True), (2, 0, 7, True), (2, day, 6, False)]
+    (out,) = replay.handleExpiredTimer((9,), Clock(86_400_001), None)
+    assert list(out.itertuples(index=False, name=None)) == [(1, day + 1, 8, True)]
