@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.functions.text import WS, let, paragraphs, split_sentences
+from docflow.functions.text import WS, let, paragraphs, split_at, split_sentences
 
 DEFAULT_MAX_CHARS = 2000
 #: Between two tokens, and where the next one starts a chunk. Sentences are split at it, so no token holds it.
@@ -43,7 +43,7 @@ def pack_marked(marked: Column, n: int) -> Column:
     through a text once and no row is made for a token. Null gives null, no tokens give no chunks.
     """
     chunk = f"[^{TOKEN}](?s:.{{0,{n - 1}}})(?<!{TOKEN})(?=[{TOKEN}]|\\z)|[^{TOKEN}]++"
-    runs = F.transform(F.split(marked, f"{APART}+"), lambda run: F.regexp_extract_all(run, F.lit(chunk), F.lit(0)))
+    runs = F.transform(split_at(marked, APART, f"{APART}+"), lambda run: F.regexp_extract_all(run, F.lit(chunk), F.lit(0)))
     return F.transform(F.flatten(runs), lambda c: F.replace(c, F.lit(TOKEN), F.lit(" ")))
 
 
@@ -57,8 +57,8 @@ def pack(tokens: Column, n: int) -> Column:
     return pack_marked(F.array_join(F.transform(tokens, mark), TOKEN), n)
 
 
-def chunk_paragraph(paragraph: Column, n: int) -> Column:
-    return pack_marked(marked_tokens(split_sentences(paragraph), n), n)
+def chunk_paragraph(paragraph: Column, n: int, trimmed: bool = False) -> Column:
+    return pack_marked(marked_tokens(split_sentences(paragraph, trimmed), n), n)
 
 
 def chunk_text(docs: DataFrame, max_chars: int = DEFAULT_MAX_CHARS, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
@@ -73,7 +73,7 @@ def chunk_text(docs: DataFrame, max_chars: int = DEFAULT_MAX_CHARS, key: str = "
         def rows(parts: Column) -> Column:
             return F.transform(parts, lambda t, k: F.struct(t.alias("text"), i.alias("paragraph_idx"), (k == F.size(parts) - 1).alias("ends_paragraph")))
 
-        return let(chunk_paragraph(p, max_chars), rows)
+        return let(chunk_paragraph(p, max_chars, trimmed=True), rows)
 
     chunks = F.flatten(F.transform(paragraphs(F.col(text)), numbered))
     explode = F.posexplode_outer if outer else F.posexplode

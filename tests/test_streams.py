@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql.types import StructType
@@ -66,6 +67,28 @@ def test_chunks_to_synthesise(spark, tmp_path):
     assert sorted((r.user_id, r.text) for r in got) == [(7, "Three."), (8, "Three.")]  # not the cached one, and once a user
 
 
+def test_chunks_to_synthesise_end_with_the_last_document(spark, tmp_path, monkeypatch):
+    """A batch without rows would only take apart a state that isn't used again; settings are as before afterwards."""
+    from docflow.plans import stream_queries
+
+    with_batches = []
+    monkeypatch.setattr(stream_queries, "drained", lambda stream, *mode, **how: with_batches.append(drained(stream, *mode, **how)) or with_batches[-1])
+    keys = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.noDataMicroBatches.enabled", "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows")
+    before = [spark.conf.get(k, None) for k in keys]
+    rows = stream_queries.x4(spark, "/root/testdata/sf0.001").count()
+    assert [spark.conf.get(k, None) for k in keys] == before
+    batches = {re.search("epoch=([0-9]+)", f).group(1) for f in with_batches[0].inputFiles()}
+    assert rows > 0 and batches == {"0"}
+
+
+def test_contents_are_told_once_over_batches_without_timers(spark, tmp_path):
+    schema = "document_id long, user_id long, text string, ts timestamp"
+    live = in_batches(spark, tmp_path, [[(1, 7, "One.", at(0))], [(2, 7, "One.", at(60)), (3, 7, "Two.", at(60))], [(4, 7, "Two.", at(90)), (5, 8, "Two.", at(90))]], schema)
+    cache = spark.createDataFrame([], "user_id long, content_hash string")
+    got = drained(progress.chunk_stream(live, cache, "v", "m"), timers=False).collect()
+    assert sorted((r.user_id, r.text) for r in got) == [(7, "One."), (7, "Two."), (8, "Two.")]
+
+
 def test_stale_work_needs_a_later_event(spark, tmp_path):
     rows = [(1, 0, "processing", at(0)), (1, 1, "processing", at(0)), (1, 1, "done", at(60)), (2, 0, "done", at(3600))]
     got = drained(progress.stale_stream(stream_of(spark, tmp_path, rows, "document_id long, idx int, status string, ts timestamp")), "update").collect()

@@ -36,6 +36,25 @@ def test_sentences(spark):
     assert applied(spark, fx.split_sentences, [a for a, _ in SENTENCES]) == [b for _, b in SENTENCES]
 
 
+def test_sentences_around_marks_and_spellings(spark):
+    """White space goes with the end before it; marks of a text's own split it too, and are trimmed."""
+    pairs = [
+        ("\ufeff A.\u3000 B. ", ["A.\u3000 B."]), ("Ab.\u3000 \n7 b! (C", ["Ab.", "7 b!", "(C"]), ("a \x01 b. \x01\x01 C", ["a", "b.", "C"]),
+        ("{1}. It. Xmr. It. MR. It. Sect. It. \u017f. It", ["{1}.", "It.", "Xmr.", "It.", "MR. It.", "Sect.", "It. \u017f.", "It"]), (None, None),
+    ]
+    assert applied(spark, fx.split_sentences, [a for a, _ in pairs]) == [b for _, b in pairs]
+
+
+def test_patterns_are_not_compiled_for_texts_without_their_sign(spark, capsys):
+    """A split's pattern is compiled for each text, which for short ones took longer than the rest."""
+    df = spark.createDataFrame([("A b. C",), ("A.\n \nB",), ("",), (None,)], "t string")
+    made = df.select(fx.paragraphs(F.col("t")).alias("o"))
+    assert [r.o for r in made.collect()] == [["A b. C"], ["A.", "B"], [], None]
+    for each in (made, df.select(chunks.chunk_paragraph(F.col("t"), 9).alias("o"))):
+        each.explain()
+        assert "CASE WHEN NOT Contains(" in capsys.readouterr().out
+
+
 def test_sentences_keep_every_character(spark):
     rng = random.Random(1)
     made = ["".join(rng.choice(["Ab", "c", ". ", "! ", "? ", ", ", "Dr. ", "e.g. ", '"', ") ", " "]) for _ in range(60)) for _ in range(80)]
