@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from docflow.operators import usage
@@ -407,3 +408,49 @@ def test_usage_and_admissions_of_many_users_are_one_call():
     assert list(out.itertuples(index=False, name=None)) == [(1, 0, 5, True), (2, 0, 7, True), (2, day, 6, False)]
     (out,) = replay.handleExpiredTimer((9,), Clock(86_400_001), None)
     assert list(out.itertuples(index=False, name=None)) == [(1, day + 1, 8, True)]
+
+
+class OneTimer(Cell):
+    """Also takes timers back."""
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_stale_work_of_many_chunks_is_one_call():
+    import pandas as pd
+
+    far = 2**53 + 1
+    cell = OneTimer()
+    stale = progress.StaleTimer(10)
+    stale.init(cell)
+    frame = lambda rows: pd.DataFrame(rows, columns=["document_id", "idx", "at", "stage"])
+    told = frame([(1, 0, 5_000_000, 1), (far, 0, 6_000_000, 1), (1, 1, 5_000_000, 1), (1, 1, 5_000_000, 3), (2, 0, 1, 1), (2, 0, 700_000_000, 1)])
+    assert list(stale.handleInputRows((9,), iter([told[:3], told[3:]]), Clock(0))) == []
+    assert (cell.calls, cell.timers) == (2, [5_001])  # one read and one write, one timer: of two statuses at one time the one further on
+    assert list(stale.handleInputRows((9,), iter([frame([(1, 1, 4_000_000, 1), (far, 0, 7_000_000, 1)])]), Clock(0))) == []
+    cell.timers.remove(5_001)  # as it fires
+    (out,) = stale.handleExpiredTimer((9,), Clock(605_000), None)
+    assert list(out.itertuples(index=False, name=None)) == [(1, 0, 605_000)] and cell.timers == [607_000]
+    assert list(stale.handleInputRows((9,), iter([frame([(2, 0, 700_000_000, 3)])]), Clock(605_000))) == [] and cell.timers == [607_000]
+    cell.timers.clear()
+    (out,) = stale.handleExpiredTimer((9,), Clock(700_001), None)
+    assert list(out.itertuples(index=False, name=None)) == [(far, 0, 607_000)] and cell.held is None and cell.timers == []
+
+
+def test_stale_work_is_the_same_in_every_split(spark, tmp_path):
+    """Chunks of several documents share a group; a hot document's chunks are dealt out to many."""
+    schema = "document_id long, idx int, status string, ts timestamp"
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 2, 2**53 + 1]), rng.randrange(300), rng.choice(["processing", "processing", "done", "failed"]), at(rng.randrange(3600))) for _ in range(1500)]
+    newest = {}
+    for d, k, status, ts in rows:
+        newest[d, k] = max(newest.get((d, k), (ts, 0)), (ts, progress.STAGES.index(status)))
+    wanted = sorted((d, k, ts + dt.timedelta(minutes=10)) for (d, k), (ts, stage) in newest.items() if stage == 1 and ts + dt.timedelta(minutes=10) <= at(3600))
+    for parts in (1, 4):
+        batches = [rows[k::parts] for k in range(parts)] + [[(9, 0, "pending", at(3600 + 7200))]]  # the last one takes the watermark to an hour
+        stream = progress.stale_stream(in_batches(spark, tmp_path, batches, schema, f"s{parts}"), delay="2 hours")
+        got = drained(stream, "update").select("document_id", "idx", F.timestamp_millis("stale_at").cast("timestamp_ntz")).collect()
+        assert sorted(map(tuple, got)) == wanted and wanted
+    groups = {r.bucket for r in spark.range(300).selectExpr("1L AS document_id", "CAST(id AS INT) AS idx").select(progress.bucket("document_id", "idx")).collect()}
+    assert len(groups) > 200
