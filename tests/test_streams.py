@@ -454,3 +454,53 @@ def test_stale_work_is_the_same_in_every_split(spark, tmp_path):
         assert sorted(map(tuple, got)) == wanted and wanted
     groups = {r.bucket for r in spark.range(300).selectExpr("1L AS document_id", "CAST(id AS INT) AS idx").select(progress.bucket("document_id", "idx")).collect()}
     assert len(groups) > 200
+
+
+def test_a_snapshot_whose_join_is_shuffled(spark, monkeypatch):
+    """As with long tables: orders aren't broadcast, and the chunks are dealt out to more tasks than the state."""
+    from docflow.plans import stream_queries
+    from docflow.sources import shared
+
+    x2 = lambda: sorted(stream_queries.x2(spark, "/root/testdata/sf0.001").collect())
+    usual = x2()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(shared, "TASK_ROWS", 500)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert x2() == usual
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_long_tables_are_not_broadcast(spark, monkeypatch):
+    """Bytes of Parquet files tell little of how many rows the driver would hold."""
+    from docflow.plans import adapters
+
+    plan = lambda: adapters.view(spark, "/root/testdata/sf0.001", "chunks_v").select("document_id", "idx", "status")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan()
+    monkeypatch.setattr(adapters, "BROADCAST_ROWS", 100)
+    assert "Broadcast" not in plan() and "SortMergeJoin" in plan()
+
+
+def test_quiet_documents_of_a_snapshot_are_held_as_columns():
+    import pandas as pd
+
+    fold, cell = started(progress.ProgressFold(keep_ms=10_000))
+    far = 2**53 + 1
+    rows = [(2, 3, 1, "done"), (far, 2, 0, "failed"), (2, 3, 0, "pending"), (2, 3, 0, "done"), (2, 3, 0, "strange"), (5, 1, 0, "done"), (7, 2, -1, None), (3, 1, 0, "failed")]
+    table = pd.DataFrame(rows, columns=["document_id", "total", "idx", "status"]).assign(at=0, job_status="")
+    table.loc[table["document_id"] == 5, "job_status"] = "succeeded"
+    fold.handleInitialState((9,), table[:3], None)
+    fold.handleInitialState((9,), table[3:], None)
+    assert set(fold._load()[0]) == {5} and len(cell.held[2]) == 8 * 7  # an object for the one with an end, columns for the rows of the others
+    told = pd.DataFrame({"document_id": [3], "at": [5_000_000], "idx": [0], "status": ["done"], "job_status": [""], "job_id": [-1]})
+    (out,) = fold.handleInputRows((9,), iter([told]), Clock(0))
+    assert [tuple(r) for r in out.itertuples(index=False)] == [(3, "snapshot", 1, 0, 1, 0, 1), (3, "progress", 1, 1, 0, 0, 2)]
+    out = pd.concat(list(fold.handleExpiredTimer((9,), Clock(5_000), None)))
+    assert sorted(tuple(r) for r in out.itertuples(index=False)) == [(2, "snapshot", 3, 2, 0, 1, 1), (5, "snapshot", 1, 1, 0, 0, 1), (5, "succeeded", 1, 1, 0, 0, 2), (7, "snapshot", 2, 0, 0, 2, 1), (far, "snapshot", 2, 0, 1, 1, 1)]
+    assert list(fold.handleExpiredTimer((9,), Clock(5_001), None)) == []  # once
+    told = told.assign(document_id=2, at=6_000_000, idx=2)
+    (out,) = fold.handleInputRows((9,), iter([told]), Clock(5_001))
+    assert [tuple(r) for r in out.itertuples(index=False)] == [(2, "progress", 3, 3, 0, 0, 2)]  # what was told before isn't told again
+    assert list(fold.handleExpiredTimer((9,), Clock(15_000), None)) == [] and set(fold._load()[0]) == {2}
+    assert list(fold.handleExpiredTimer((9,), Clock(16_000), None)) == [] and cell.held is None
